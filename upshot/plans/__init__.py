@@ -3,6 +3,6 @@
 
 def load_all():
     """Import every query module so the registry is complete."""
-    from . import lift_queries  # noqa: F401
+    from . import lift_queries, opportunity_queries  # noqa: F401
     from .registry import REGISTRY
     return REGISTRY
