@@ -72,3 +72,29 @@ def iqr_chain_sql(src: str, cols: Sequence[str], segment: str, factor: float = 2
             f"AND x.{c} <= s.q3 + {factor} * (s.q3 - s.q1)))")
         cur = nxt
     return ",\n".join(ctes), cur
+
+
+def growth_sql(src: str, unit: str, event: str, metrics: Sequence[str], pre: int, post: int,
+               min_rows: int, extra_keys: Sequence[str] = ()) -> str:
+    """Per (unit, metric) pre/post compound growth (UNION ALL over metrics)."""
+    ek = "".join(f"{k}, " for k in extra_keys)
+    blocks = []
+    for m in metrics:
+        pre_c = f"period >= ({event}) - INTERVAL {pre} MONTH AND period < ({event})"
+        post_c = f"period >= ({event}) AND period < ({event}) + INTERVAL {post} MONTH"
+        parts = []
+        for tag, c in (("pre", pre_c), ("post", post_c)):
+            pos = f"{c} AND {m} > 0"
+            parts.append(
+                f"count(*) FILTER (WHERE {c}) AS {tag}_months, "
+                f"count(*) FILTER (WHERE {pos}) AS {tag}_k, "
+                f"arg_min(CAST({m} AS DOUBLE), period) FILTER (WHERE {pos}) AS {tag}_first, "
+                f"arg_max(CAST({m} AS DOUBLE), period) FILTER (WHERE {pos}) AS {tag}_last")
+        blocks.append(f"SELECT {ek}{unit}, '{m}' AS metric, count(*) AS rows_n, "
+                      f"CAST(min({event}) AS DATE) AS event_date, {', '.join(parts)} "
+                      f"FROM {src} GROUP BY {ek}{unit}")
+    inner = "\nUNION ALL\n".join(blocks)
+    cm = lambda t: f"CASE WHEN {t}_k >= 2 THEN pow({t}_last / {t}_first, 1.0 / ({t}_k - 1)) - 1.0 END"
+    return (f"SELECT {ek}{unit}, metric, event_date, {cm('pre')} AS pre_cmgr, {cm('post')} AS post_cmgr, "
+            f"{cm('post')} - {cm('pre')} AS cmgr_acceleration, pre_months, post_months "
+            f"FROM ({inner}) WHERE rows_n >= {min_rows} AND {cm('pre')} IS NOT NULL AND {cm('post')} IS NOT NULL")
