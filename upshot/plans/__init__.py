@@ -3,6 +3,6 @@
 
 def load_all():
     """Import every query module so the registry is complete."""
-    from . import growth_queries, lift_queries, opportunity_queries  # noqa: F401
+    from . import growth_queries, lift_queries, match_queries, opportunity_queries  # noqa: F401
     from .registry import REGISTRY
     return REGISTRY
