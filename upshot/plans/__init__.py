@@ -3,6 +3,7 @@
 
 def load_all():
     """Import every query module so the registry is complete."""
-    from . import growth_queries, lift_queries, match_queries, opportunity_queries  # noqa: F401
+    from . import (cluster_queries, growth_queries, lift_queries,  # noqa: F401
+                   match_queries, opportunity_queries)
     from .registry import REGISTRY
     return REGISTRY

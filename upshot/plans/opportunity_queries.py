@@ -204,7 +204,7 @@ def q_type_kpis(spark, d):
     return O.type_kpis(analysis(spark, d))
 
 
-def _features_sql() -> str:
+def features_sql_parts() -> tuple[str, str]:
     sec = ", ".join(f"'{v}'" for v in SECURITY_AREAS)
     res = ", ".join(f"'{v}'" for v in RESILIENCY_PRODUCTS)
     piv = ", ".join(f"coalesce(max(1) FILTER (WHERE product_name = '{p}'), 0) AS {p}" for p in PRODUCTS)
@@ -221,6 +221,11 @@ def _features_sql() -> str:
     final = (f"SELECT arr.*, {cols}, fam.has_security, fam.has_resiliency, fam.product_diversity "
              "FROM arr JOIN mat ON arr.account_id = mat.account_id AND arr.group_type = mat.group_type "
              "JOIN fam ON arr.account_id = fam.account_id AND arr.group_type = fam.group_type")
+    return body, final
+
+
+def _features_sql() -> str:
+    body, final = features_sql_parts()
     return q(body, final)
 
 
