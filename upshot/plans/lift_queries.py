@@ -59,7 +59,7 @@ _T_COLS = ["metric", "n_t", "n_c", "mean_t", "mean_c", "sd_t", "sd_c", "diff", "
 
 @register("s3_engagement_panel",
           sql=with_domain("", "SELECT * FROM panel"),
-          doubles=_PANEL_D, texts=("period", "event_date"))
+          doubles={k: v for k, v in _PANEL_D.items() if not k.endswith("_count")}, texts=("period", "event_date"))
 def q_panel(spark, d):
     """S-3/J-1/P-4: customer x month engagement panel joined to account attributes."""
     return Domain(spark, d).panel()

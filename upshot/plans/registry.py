@@ -38,6 +38,11 @@ def finalize(df: DataFrame, doubles: dict[str, int], texts=()) -> DataFrame:
 
     Any double column without a declared scale is an error, so the Spark
     output and the oracle SQL cannot silently drift apart."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    wrong = [c for c in doubles if c in kinds and not isinstance(
+        kinds[c], (T.DoubleType, T.FloatType, T.DecimalType))]
+    if wrong:
+        raise ValueError(f"declared scales on non-double columns: {wrong}")
     cols = []
     for f in df.schema.fields:
         n = f.name
