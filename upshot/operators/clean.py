@@ -44,11 +44,12 @@ def remove_outliers_iqr(df: DataFrame, columns: Sequence[str], segment: str,
     dominant segment never has to be buffered by one task.
     """
     out = df
+    # rows only ever leave, so the first segment count bounds every later one
+    how = _pick_method(out, segment, method, exact_limit)
     for col in columns:
         if col not in out.columns:
             continue
         out = out.withColumn(col, to_number(col))
-        how = _pick_method(out, segment, method, exact_limit)
         v = F.col(col)
         q = (F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))) if how == "exact"
              else F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.75)), accuracy))

@@ -26,13 +26,12 @@ from .opportunity import category_mode
 
 def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_encoded") -> DataFrame:
     """K-2: code = position of the value among the sorted distinct values
-    (nulls filled with 'Unknown' first). The code table has one row per
-    distinct value."""
-    out = df
+    (nulls filled with 'Unknown' first). Each code table has one row per
+    distinct value and is derived from the same materialised input."""
+    base = cut_lineage(df.withColumns({c: clean_category(c) for c in cols}))
+    out = base
     for c in cols:
-        filled = clean_category(c)
-        out = out.withColumn(c, filled)
-        codes = (out.select(c).distinct()
+        codes = (base.select(c).distinct()
                  .withColumn(f"{c}{suffix}", (F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(c)) - 1)
                              .cast("int")))
         out = out.join(codes, c, "left")
@@ -66,11 +65,11 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 
 def fit_kmeans(df: DataFrame, k: int, seeds: Sequence[int] = (42, 43, 44),
-               features: str = "features", out: str = "cluster") -> DataFrame:
-    """K-5: k-means, best (lowest cost) of several seeded runs."""
+               features: str = "features", out: str = "cluster", max_iter: int = 20) -> DataFrame:
+    """K-5: k-means (k-means|| start), best (lowest cost) of several seeded runs."""
     best = None
     for s in seeds:
-        m = KMeans(k=k, seed=s, featuresCol=features, predictionCol=out, maxIter=100).fit(df)
+        m = KMeans(k=k, seed=s, featuresCol=features, predictionCol=out, maxIter=max_iter).fit(df)
         cost = m.summary.trainingCost
         if best is None or cost < best[0]:
             best = (cost, m)

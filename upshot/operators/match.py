@@ -124,7 +124,7 @@ def _nearest_free(t: DataFrame, c: DataFrame, width: float) -> DataFrame:
 
 def match_nearest(units: DataFrame, id_col: str, arm: str, score: str,
                   caliper: float | None = 0.1, buckets: int = 1024,
-                  checkpoint: bool = True) -> DataFrame:
+                  checkpoint: bool = True, cut_every: int = 1) -> DataFrame:
     """M-2 (``caliper`` set, absolute score units) / M-3 (``caliper=None``):
     1:1 nearest-neighbour matching without replacement.
 
@@ -142,7 +142,7 @@ def match_nearest(units: DataFrame, id_col: str, arm: str, score: str,
         span = (r["hi"] - r["lo"]) if r["lo"] is not None else 0.0
         width = span / buckets if span > 0 else 1.0
     spark = units.sparkSession
-    pairs = None
+    found = []
     rnd = 0
     while True:
         rnd += 1
@@ -153,17 +153,20 @@ def match_nearest(units: DataFrame, id_col: str, arm: str, score: str,
                .agg(F.min_by(F.struct("tid", "dist"), F.struct("dist", "tid")).alias("w"))
                .select(F.col("w.tid").alias("treatment_id"), F.col("cid").alias("control_id"),
                        F.col("w.dist").alias("distance"), F.lit(rnd).alias("round")))
+        # each round's pairs are final: materialise them once
         acc = cut_lineage(acc) if checkpoint else acc.cache()
         if acc.isEmpty():
             break
-        pairs = acc if pairs is None else pairs.unionByName(acc)
+        found.append(acc)
         t = t.join(acc.select(F.col("treatment_id").alias("tid")), "tid", "left_anti")
         c = c.join(acc.select(F.col("control_id").alias("cid")), "cid", "left_anti")
-        if checkpoint:
+        if checkpoint and rnd % cut_every == 0:
             t, c = cut_lineage(t), cut_lineage(c)
-            pairs = cut_lineage(pairs)
-    if pairs is None:
+    if not found:
         return spark.createDataFrame([], "treatment_id long, control_id long, distance double, round int")
+    pairs = found[0]
+    for a in found[1:]:
+        pairs = pairs.unionByName(a)
     return pairs
 
 

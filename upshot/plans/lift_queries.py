@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.clean import coerce_numeric, fill_categories, remove_outliers_iqr
 from ..operators.effects import lift_vs_common_control, two_sample_t
 from ..operators.panel import cross_section
+from ..session import cut_lineage
 from .domain import OUTCOMES, Domain, with_domain
 from .registry import register
 from .sqlgen import first_by_sql, iqr_chain_sql, moments_sql, pooled_t_cols
@@ -26,6 +27,9 @@ def prepared_panel(spark, d):
     p = Domain(spark, d).panel()
     p = coerce_numeric(p, NUM)
     p = fill_categories(p, CATS)
+    # the trimming chain reads the panel once per column and once for the rows:
+    # materialise it once (it is far smaller than the line items it comes from)
+    p = cut_lineage(p)
     return remove_outliers_iqr(p, REV, "segment", factor=2.5, min_n=10)
 
 

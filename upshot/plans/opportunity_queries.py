@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cohort as C
 from ..operators import opportunity as O
 from .domain import RESILIENCY_PRODUCTS, SECURITY_AREAS, Domain, with_domain
+from ..session import cut_lineage
 from .registry import register
 
 FLAGS = ("qualified_account_flag", "has_revenue_flag", "created_opportunities_flag")
@@ -17,8 +18,11 @@ def analysis(spark, d):
     dm = Domain(spark, d)
     opps = dm.opportunities()
     acc_rev = opps.groupBy("account_id").agg(F.sum("opp_arr").alias("account_revenue"))
-    return C.analysis_table(dm.accounts(), dm.engagements(), dm.engagement_details(),
-                            opps, dm.lines(), acc_rev, FLAGS)
+    t = C.analysis_table(dm.accounts(), dm.engagements(), dm.engagement_details(),
+                         opps, dm.lines(), acc_rev, FLAGS)
+    # the analysis table feeds several branches of every analysis: persist it once
+    # in the shared checkpoint folder (the template's persisted analysis table)
+    return cut_lineage(t)
 
 
 def _acc_sel(prefix="acc"):
