@@ -122,15 +122,85 @@ def _nearest_free(t: DataFrame, c: DataFrame, width: float) -> DataFrame:
                     F.abs(F.col("m.s") - F.col("ts")).alias("dist")))
 
 
+def _rounds_local(t_id, t_s, c_id, c_s, caliper, first_round):
+    """The proposal-round rule on small in-memory arrays (same tie rules as
+    the Spark rounds): returns (tid, cid, dist, round) lists."""
+    import numpy as np
+    order = np.lexsort((c_id, c_s))
+    cs, cid = c_s[order].astype(float), c_id[order]
+    ts, tid = t_s.astype(float), t_id.copy()
+    out_t, out_c, out_d, out_r = [], [], [], []
+    rnd = first_round
+    while len(ts) and len(cs):
+        pos = np.searchsorted(cs, ts, side="left")
+        has_r = pos < len(cs)
+        has_l = pos > 0
+        ri = np.minimum(pos, len(cs) - 1)
+        lval = cs[np.maximum(pos - 1, 0)]
+        li = np.searchsorted(cs, lval, side="left")        # lowest id among equal scores
+        dr = np.where(has_r, cs[ri] - ts, np.inf)
+        dl = np.where(has_l, ts - lval, np.inf)
+        pick_l = (dl < dr) | ((dl == dr) & has_l & (cid[li] < cid[ri]))
+        ci = np.where(pick_l, li, ri)
+        dist = np.abs(cs[ci] - ts)
+        ok = np.isfinite(np.where(pick_l, dl, dr))
+        if caliper is not None:
+            ok &= dist <= caliper
+        if not ok.any():
+            break
+        pi, pc, pd_ = np.nonzero(ok)[0], ci[ok], dist[ok]
+        o = np.lexsort((tid[pi], pd_, pc))                  # per control: closest, then lower id
+        pc_o = pc[o]
+        first = np.r_[True, pc_o[1:] != pc_o[:-1]]
+        win_t, win_c, win_d = pi[o][first], pc_o[first], pd_[o][first]
+        out_t += tid[win_t].tolist()
+        out_c += cid[win_c].tolist()
+        out_d += win_d.tolist()
+        out_r += [rnd] * len(win_t)
+        keep_t = np.ones(len(ts), bool)
+        keep_t[win_t] = False
+        keep_c = np.ones(len(cs), bool)
+        keep_c[win_c] = False
+        ts, tid = ts[keep_t], tid[keep_t]
+        cs, cid = cs[keep_c], cid[keep_c]
+        rnd += 1
+    return out_t, out_c, out_d, out_r
+
+
+def _finish_local(t: DataFrame, c: DataFrame, caliper, first_round: int) -> DataFrame:
+    """Finish the rounds in one grouped pandas task; callers only use it after
+    checking that both free sets are within fixed size limits."""
+    import numpy as np
+    import pandas as pd
+    u = (t.select(F.lit(0).alias("g"), F.lit(1).alias("is_t"), F.col("tid").alias("id"), F.col("ts").alias("s"))
+         .unionByName(c.select(F.lit(0).alias("g"), F.lit(0).alias("is_t"), F.col("cid").alias("id"),
+                               F.col("cs").alias("s"))))
+
+    def fn(pdf):
+        tt, cc = pdf[pdf.is_t == 1], pdf[pdf.is_t == 0]
+        a, b, d, r = _rounds_local(tt.id.to_numpy(np.int64), tt.s.to_numpy(), cc.id.to_numpy(np.int64),
+                                   cc.s.to_numpy(), caliper, first_round)
+        return pd.DataFrame({"treatment_id": pd.Series(a, dtype="int64"), "control_id": pd.Series(b, dtype="int64"),
+                             "distance": pd.Series(d, dtype="float64"), "round": pd.Series(r, dtype="int32")})
+    return u.groupBy("g").applyInPandas(fn, "treatment_id long, control_id long, distance double, round int")
+
+
 def match_nearest(units: DataFrame, id_col: str, arm: str, score: str,
                   caliper: float | None = 0.1, buckets: int = 1024,
-                  checkpoint: bool = True, cut_every: int = 1) -> DataFrame:
+                  checkpoint: bool = True, cut_every: int = 1, tail_treated: int = 5000,
+                  tail_controls: int = 200000) -> DataFrame:
     """M-2 (``caliper`` set, absolute score units) / M-3 (``caliper=None``):
     1:1 nearest-neighbour matching without replacement.
 
     Returns ``(treatment_id, control_id, distance, round)``. Bucket width is
     the caliper (so only adjacent buckets can hold a partner) or, without a
-    caliper, the score range / ``buckets``."""
+    caliper, the score range / ``buckets``.
+
+    Tail: once at most ``tail_treated`` treated units are free and at most
+    ``tail_controls`` free controls lie within reach of them (both counted),
+    the remaining rounds run with the same rule in one pandas task. With
+    larger free sets the rounds simply continue on Spark, so the result does
+    not depend on the limits."""
     s = F.col(score).cast("double")
     base = units.where(s.isNotNull() & F.col(arm).isNotNull())
     t = base.where(F.col(arm) == 1).select(F.col(id_col).alias("tid"), s.alias("ts"))
@@ -162,6 +232,19 @@ def match_nearest(units: DataFrame, id_col: str, arm: str, score: str,
         c = c.join(acc.select(F.col("control_id").alias("cid")), "cid", "left_anti")
         if checkpoint and rnd % cut_every == 0:
             t, c = cut_lineage(t), cut_lineage(c)
+        if tail_treated and t.count() <= tail_treated:
+            if caliper is not None:
+                tb = t.select(F.floor(F.col("ts") / F.lit(width)).cast("long").alias("b")).distinct()
+                near = tb.select(F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b")).distinct()
+                reach = (c.withColumn("b", F.floor(F.col("cs") / F.lit(width)).cast("long"))
+                         .join(near, "b", "left_semi").drop("b"))
+            else:
+                reach = c
+            if reach.count() <= tail_controls:
+                tail = cut_lineage(_finish_local(t, reach, caliper, rnd + 1)) if checkpoint else \
+                    _finish_local(t, reach, caliper, rnd + 1).cache()
+                found.append(tail)
+                break
     if not found:
         return spark.createDataFrame([], "treatment_id long, control_id long, distance double, round int")
     pairs = found[0]
