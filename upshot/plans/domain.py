@@ -7,8 +7,10 @@ CTEs in :data:`DOMAIN_SQL` so the oracle queries see identical inputs.
 
 Scale notes: nation/region are fixed-size dimensions (broadcast); customer,
 part, orders and lineitem are fact-sized and joined by key so AQE can choose
-broadcast only from measured sizes. Line items are pre-aggregated per order
-before meeting the orders table.
+broadcast only from measured sizes. Line items meet the orders table once and
+all line measures of the panel are aggregated in one pass per (account,
+month); the engagement-type lookup semi-joins lines to engagement orders
+before aggregating.
 """
 
 from __future__ import annotations
@@ -96,10 +98,13 @@ class Domain:
                         F.col("l_tax").alias("tax"),
                         F.col("l_shipdate").alias("ship_ts")))
 
-    def first_line_type(self) -> DataFrame:
+    def first_line_type(self, only: DataFrame | None = None) -> DataFrame:
         """Product of the lowest line per opportunity (total order on all line
-        attributes, since line numbers repeat within an order)."""
+        attributes, since line numbers repeat within an order). ``only``
+        restricts the lines to the given ``opp_id`` set first (semi join)."""
         ln = self.lines()
+        if only is not None:
+            ln = ln.join(only, "opp_id", "left_semi")
         key = F.struct("line_no", "part_id", "supp_id", "line_price", "discount",
                        "quantity", "tax", "ship_ts")
         return ln.groupBy("opp_id").agg(F.min_by("product_name", key).alias("engagement_type"))
@@ -115,7 +120,8 @@ class Domain:
                      F.col("o_orderdate").cast("date").alias("engagement_date"),
                      (pr == DIRECT_PRIORITY).cast("int").alias("is_direct"),
                      (pr == ATTRIBUTED_PRIORITY).cast("int").alias("is_attributed")))
-        ft = self.first_line_type().withColumnRenamed("opp_id", "engagement_id")
+        ft = (self.first_line_type(e.select(F.col("engagement_id").alias("opp_id")))
+              .withColumnRenamed("opp_id", "engagement_id"))
         return e.join(ft, "engagement_id", "left")
 
     def first_direct(self) -> DataFrame:
