@@ -132,24 +132,33 @@ def composite_score(balance: float, sil: float, ch: float) -> float:
 
 
 def cluster_sweep(x: DataFrame, arm: str, ks: Sequence[int] = range(3, 8),
-                  seeds: Sequence[int] = (42, 43, 44), min_size: int = 10, min_ratio: float = 0.3):
+                  seeds: Sequence[int] = (42, 43, 44), min_size: int = 10, min_ratio: float = 0.3,
+                  parallel: int = 4):
     """K-5 .. K-10: fit both algorithms for every k, score them, and return
     (scores DataFrame, best prediction DataFrame or None). Q-20: when no
     configuration has a valid cluster, the best prediction is None."""
     spark = x.sparkSession
     x = cut_lineage(x)
-    rows, preds = [], {}
-    for k in ks:
-        for alg in ("kmeans", "bisecting"):
-            p = fit_kmeans(x, k, seeds) if alg == "kmeans" else fit_bisecting(x, k, seeds[0])
-            p = cut_lineage(p)
-            sil, ch = silhouette(p), calinski_harabasz(p)
-            bal = cluster_balance(p, arm, min_size=min_size, min_ratio=min_ratio)
-            s = bal.agg(F.count_if("is_valid").alias("v"),
-                        F.avg(F.when(F.col("is_valid"), F.col("balance_ratio"))).alias("b")).first()
-            valid, avg_bal = int(s["v"]), float(s["b"] or 0.0)
-            rows.append((alg, k, sil, ch, valid, avg_bal, composite_score(avg_bal, sil, ch)))
-            preds[(alg, k)] = p
+
+    def run(cfg):
+        alg, k = cfg
+        p = fit_kmeans(x, k, seeds) if alg == "kmeans" else fit_bisecting(x, k, seeds[0])
+        p = cut_lineage(p)
+        sil, ch = silhouette(p), calinski_harabasz(p)
+        bal = cluster_balance(p, arm, min_size=min_size, min_ratio=min_ratio)
+        s = bal.agg(F.count_if("is_valid").alias("v"),
+                    F.avg(F.when(F.col("is_valid"), F.col("balance_ratio"))).alias("b")).first()
+        valid, avg_bal = int(s["v"]), float(s["b"] or 0.0)
+        return (alg, k, sil, ch, valid, avg_bal, composite_score(avg_bal, sil, ch)), p
+
+    # configurations are independent jobs: submit them concurrently so small
+    # fits share the executors instead of running one after another
+    from concurrent.futures import ThreadPoolExecutor
+    cfgs = [(alg, k) for k in ks for alg in ("kmeans", "bisecting")]
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(cfgs)))) as ex:
+        results = list(ex.map(run, cfgs))
+    rows = [r for r, _ in results]
+    preds = {(r[0], r[1]): p for r, p in results}
     scores = spark.createDataFrame(rows, "algorithm string, n_clusters int, silhouette double, "
                                          "calinski_harabasz double, valid_clusters int, "
                                          "avg_balance_ratio double, composite double")
