@@ -38,11 +38,14 @@ def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_encoded") -
     return out
 
 
-def robust_scale(df: DataFrame, cols: Sequence[str], method: str = "exact",
-                 accuracy: int = 10000, suffix: str = "") -> DataFrame:
+def robust_scale(df: DataFrame, cols: Sequence[str], method: str = "auto",
+                 accuracy: int = 10000, suffix: str = "", exact_limit: int = 5_000_000) -> DataFrame:
     """K-3: (x - median) / IQR per column; a zero IQR divides by 1 (so rare
     binary columns keep their signal). Medians and quartiles of all columns
-    come from one aggregation."""
+    come from one aggregation: exact (linear interpolation) up to
+    ``exact_limit`` rows, the mergeable approximate sketch above it."""
+    if method == "auto":
+        method = "exact" if df.count() <= exact_limit else "approx"
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")

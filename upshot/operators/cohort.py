@@ -65,18 +65,27 @@ def team_flag(team: DataFrame, users: DataFrame, roster: DataFrame, key: str = "
 
 # ---- deduplication ---------------------------------------------------------------------
 
-def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """D-1 / D-2 / D-3: first row per key in a total order (row_number = 1)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
+def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """D-1 / D-2 / D-3: first row per key in a total order (ascending, nulls
+    first). An aggregate (``min_by`` over the row) rather than a window, so a
+    key holding a large share of the rows is reduced map-side instead of being
+    sorted by one task."""
+    keys = list(keys)
+    rest = [c for c in df.columns if c not in keys]
+    # nulls first, like an ascending sort: order on (value is not null, value)
+    okey = F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in order])
+    g = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), okey).alias("__r"))
+    return g.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest])
 
 
 def first_per_key(df: DataFrame, key: str, order: Sequence[str], mode: str = "first") -> DataFrame:
-    """D-3: ``mode='first'`` keeps the first row per key, ``'all'`` keeps every
-    row and adds the ordinal ``event_rank``."""
+    """D-3: ``mode='first'`` keeps the first row per key (aggregate, see
+    :func:`keep_first`), ``'all'`` keeps every row and adds the ordinal
+    ``event_rank`` (a per-key window)."""
+    if mode == "first":
+        return keep_first(df, [key], order).withColumn("event_rank", F.lit(1))
     w = Window.partitionBy(key).orderBy(*order)
-    ranked = df.withColumn("event_rank", F.row_number().over(w))
-    return ranked.where(F.col("event_rank") == 1) if mode == "first" else ranked
+    return df.withColumn("event_rank", F.row_number().over(w))
 
 
 def ordered_limit(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
