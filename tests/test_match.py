@@ -95,3 +95,13 @@ def test_propensity_scores_monotone_signal(spark):
     s = M.propensity_scores(df, "arm", ["x"], ["seg"]).toPandas()
     assert s.propensity_score.between(0, 1).all()
     assert np.corrcoef(s.x, s.propensity_score)[0, 1] > 0.9
+
+
+def test_gbt_propensity_small(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=200)
+    arm = (x + rng.normal(scale=0.5, size=200) > 0).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(200), "arm": arm, "x": x,
+                                             "seg": rng.choice(["a", "b"], 200)}))
+    scored, auc = M.gbt_propensity(df, "arm", ["x"], ["seg"], trees=5, depth=2, folds=2)
+    assert scored.count() == 200 and 0.7 < auc <= 1.0

@@ -33,3 +33,13 @@ def test_keep_first_total_order_nulls_first(spark):
     got = {r.k: r.tag for r in keep_first(df, ["k"], ["a", "b"]).collect()}
     assert got == {1: "a", 2: "d"}
     assert keep_first(df, ["k"], ["a", "b"]).where(F.col("k") == 1).first().a is None
+
+
+def test_report_bundle_subset(spark):
+    from upshot.plans.report import write_bundle
+    if not os.path.exists("/root/testdata/sf0.001"):
+        return
+    out = write_bundle(spark, "/root/testdata/sf0.001", tempfile.mkdtemp(),
+                       parts=["direct_vs_attributed", "effectiveness"])
+    assert set(out) == {"direct_vs_attributed", "effectiveness"}
+    assert spark.read.parquet(out["effectiveness"]).count() > 0
