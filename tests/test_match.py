@@ -40,8 +40,8 @@ def test_random_against_brute_force(spark):
     t = {i: float(rng.integers(0, 256)) * grid for i in range(40)}
     c = {100 + i: float(rng.integers(0, 256)) * grid for i in range(60)}
     for cal in (0.05, None):
-        for tail in (0, 5000):          # pure Spark rounds, and Spark rounds + local tail
-            got, rows = _run(spark, t, c, cal, buckets=16, tail_treated=tail)
+        for tail, nb in ((0, 16), (5000, 16), (5000, 64)):   # Spark rounds / + local tail / finer buckets
+            got, rows = _run(spark, t, c, cal, buckets=nb, tail_treated=tail)
             assert got == _brute(t, c, cal)
         used = [r.control_id for r in rows]
         assert len(used) == len(set(used))

@@ -19,6 +19,7 @@ remains. Each round matches at least the globally closest remaining pair.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
@@ -193,8 +194,8 @@ def match_nearest(units: DataFrame, id_col: str, arm: str, score: str,
     1:1 nearest-neighbour matching without replacement.
 
     Returns ``(treatment_id, control_id, distance, round)``. Bucket width is
-    the caliper (so only adjacent buckets can hold a partner) or, without a
-    caliper, the score range / ``buckets``.
+    min(caliper, score range / ``buckets``); the nearest control of the nearest
+    non-empty lower / upper bucket covers partners outside a unit's bucket.
 
     Tail: once at most ``tail_treated`` treated units are free and at most
     ``tail_controls`` free controls lie within reach of them (both counted),
@@ -205,12 +206,15 @@ def match_nearest(units: DataFrame, id_col: str, arm: str, score: str,
     base = units.where(s.isNotNull() & F.col(arm).isNotNull())
     t = base.where(F.col(arm) == 1).select(F.col(id_col).alias("tid"), s.alias("ts"))
     c = base.where(F.col(arm) != 1).select(F.col(id_col).alias("cid"), s.alias("cs"))
+    # window partitions are score buckets: at most the caliper wide and at most
+    # range / buckets wide, so the sort work spreads over about ``buckets`` tasks;
+    # partners in non-adjacent buckets come from the bucket-extremes table
+    r = base.agg(F.min(s).alias("lo"), F.max(s).alias("hi")).first()
+    span = (r["hi"] - r["lo"]) if r["lo"] is not None else 0.0
+    width = span / buckets if span > 0 else 1.0
     if caliper is not None:
-        width = float(caliper)
-    else:
-        r = base.agg(F.min(s).alias("lo"), F.max(s).alias("hi")).first()
-        span = (r["hi"] - r["lo"]) if r["lo"] is not None else 0.0
-        width = span / buckets if span > 0 else 1.0
+        width = min(float(caliper), width) if span > 0 else float(caliper)
+    reach_b = int(math.ceil(caliper / width)) if caliper is not None else 0
     spark = units.sparkSession
     found = []
     rnd = 0
@@ -235,7 +239,7 @@ def match_nearest(units: DataFrame, id_col: str, arm: str, score: str,
         if tail_treated and t.count() <= tail_treated:
             if caliper is not None:
                 tb = t.select(F.floor(F.col("ts") / F.lit(width)).cast("long").alias("b")).distinct()
-                near = tb.select(F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b")).distinct()
+                near = tb.select(F.explode(F.sequence(F.col("b") - reach_b, F.col("b") + reach_b)).alias("b")).distinct()
                 reach = (c.withColumn("b", F.floor(F.col("cs") / F.lit(width)).cast("long"))
                          .join(near, "b", "left_semi").drop("b"))
             else:
