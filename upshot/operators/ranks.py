@@ -27,15 +27,17 @@ def average_ranks(hist: DataFrame, by: Sequence[str], value: str, weight: str,
     ``hist`` must hold one row per distinct (by, value)."""
     by = list(by)
     single = not by
+    probs = [i / buckets for i in range(1, buckets)]
+    pct = F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(p) for p in probs]), accuracy)
     if single:
+        # one group: the buckets - 1 boundaries are fetched as scalars and inlined
+        b = hist.agg(pct.alias("b")).first()["b"] or []
         hist = hist.withColumn("__g", F.lit(0))
         by = ["__g"]
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = hist.groupBy(*by).agg(
-        F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(p) for p in probs]),
-                            accuracy).alias("__bounds"))
-    # one row per group; with a single group it is one row and is broadcast
-    hb = hist.join(F.broadcast(bounds) if single else bounds, by, "inner")
+        hb = hist.withColumn("__bounds", F.array(*[F.lit(float(x)) for x in b]).cast("array<double>"))
+    else:
+        bounds = hist.groupBy(*by).agg(pct.alias("__bounds"))
+        hb = hist.join(bounds, by, "inner")
     hb = hb.withColumn("__bucket", F.size(F.filter("__bounds", lambda b: b < F.col(value).cast("double")))) \
            .drop("__bounds")
     btot = hb.groupBy(*by, "__bucket").agg(F.sum(weight).alias("__btot"))

@@ -132,10 +132,10 @@ def average_treatment_effect(df: DataFrame, value: str, key: str, arm: str,
     est = df.agg(F.avg(F.when(F.col(arm) == 1, F.col(value))).alias("mean_t"),
                  F.avg(F.when(F.col(arm) == 0, F.col(value))).alias("mean_c"),
                  F.count_if(F.col(arm) == 1).alias("n_t"), F.count_if(F.col(arm) == 0).alias("n_c"))
-    ci = bootstrap_diff_ci(df, value, key, arm, (), reps, seed)
-    est = est.withColumn("__j", F.lit(0))
-    ci = ci.withColumn("__j", F.lit(0))
-    return (est.join(F.broadcast(ci), "__j").drop("__j")
+    ci = bootstrap_diff_ci(df, value, key, arm, (), reps, seed).first()
+    return (est.withColumn("ci_lower", F.lit(ci["ci_lower"]).cast("double"))
+            .withColumn("ci_upper", F.lit(ci["ci_upper"]).cast("double"))
+            .withColumn("replicates", F.lit(ci["replicates"]).cast("long"))
             .withColumn("estimate", F.col("mean_t") - F.col("mean_c"))
             .withColumn("significant", ~((F.col("ci_lower") <= 0) & (F.col("ci_upper") >= 0)))
             .withColumn("pct_effect", F.when(F.col("mean_c") > 0,

@@ -126,10 +126,12 @@ def q_matched_arr(spark, d):
     est = m.agg(F.avg(F.when(F.col("treated") == 1, F.col("real_total_arr"))).alias("treatment_mean"),
                 F.avg(F.when(F.col("treated") == 0, F.col("real_total_arr"))).alias("control_mean"))
     n_pairs = pairs.count()
-    # two one-row aggregates side by side
-    out = est.withColumn("__j", F.lit(0)).join(
-        F.broadcast(mw.select("u_stat", "z", "p_value", F.col("n_t").alias("treatment_n"),
-                              F.col("n_c").alias("control_n")).withColumn("__j", F.lit(0))), "__j").drop("__j")
+    # the rank test is one row: attach its values to the one-row estimate
+    t = mw.first()
+    out = est.select("*", F.lit(t["u_stat"]).cast("double").alias("u_stat"),
+                     F.lit(t["z"]).cast("double").alias("z"), F.lit(t["p_value"]).cast("double").alias("p_value"),
+                     F.lit(t["n_t"]).cast("long").alias("treatment_n"),
+                     F.lit(t["n_c"]).cast("long").alias("control_n"))
     return (out.withColumn("difference", F.col("treatment_mean") - F.col("control_mean"))
             .withColumn("pct_difference", F.when(F.col("control_mean") != 0,
                                                  F.col("difference") / F.col("control_mean") * 100).otherwise(0.0))
