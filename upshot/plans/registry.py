@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
 
 @dataclass(frozen=True)
 class Query:
@@ -76,6 +78,7 @@ def register(name: str, sql: str | None = None, doubles: dict[str, int] | None =
 
     def deco(fn):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             return finalize(fn(spark, sf_dir), doubles, texts)
         build.__name__ = fn.__name__
         build.__doc__ = fn.__doc__
