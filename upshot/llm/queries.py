@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import jaccard_join, substring_dedup
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op3_substring_dedup": (substring_dedup.op3, substring_dedup.SQL),
+    "op10_jaccard_join": (jaccard_join.op10, jaccard_join.SQL),
 }
