@@ -54,7 +54,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def gapless_rank(df: DataFrame, key: str, order: list[str], out: str, rows_per_part: int = 50_000,
                  rows: int | None = None) -> DataFrame:
-    """Number the rows of each ``key`` 0, 1, 2 … without bringing a key into one
+    """Number the rows of each ``key`` (without nulls) 0, 1, 2 … without bringing a key into one
     task: rows are ranked within (key, part), parts dealt by a hash of ``order``,
     and the counts of the parts before are added."""
     rows = df.count() if rows is None else rows
@@ -66,7 +66,7 @@ def gapless_rank(df: DataFrame, key: str, order: list[str], out: str, rows_per_p
     ranked = d.withColumn("_local", F.row_number().over(
         Window.partitionBy(key, "_part").orderBy(*order)) - 1)
     before = before.select(F.col(key).alias("_k"), F.col("_part").alias("_p"), "_before")
-    joined = ranked.join(before, ranked[key].eqNullSafe(before["_k"]) & (ranked["_part"] == before["_p"]))
+    joined = ranked.join(before, (F.col(key) == F.col("_k")) & (F.col("_part") == F.col("_p")))
     return (joined.withColumn(out, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("long"))
             .drop("_k", "_p", "_part", "_local", "_before"))
 

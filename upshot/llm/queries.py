@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, substring_dedup
+from . import jaccard_join, packing, sharding, substring_dedup
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op3_substring_dedup": (substring_dedup.op3, substring_dedup.SQL),
+    "op5_best_fit_packing": (packing.op5, None),
+    "op8_sharding": (sharding.op8, None),
     "op10_jaccard_join": (jaccard_join.op10, jaccard_join.SQL),
 }
