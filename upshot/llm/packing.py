@@ -3,9 +3,9 @@
 Lengths are whole numbers up to the capacity, so a corpus is a histogram of at
 most ``capacity`` counts, whatever its size. The plan is made on that histogram:
 
-1. Lengths above ``SMALL`` of the capacity are large. In falling order they are
-   cut into ``GROUPS`` groups of equal numbers, and each is rounded up to the
-   largest of its group.
+1. Lengths above a share of the capacity are large. In falling order they are cut
+   into some groups of equal numbers, and each is rounded up to the largest of its
+   group. Share and number of groups are the best of ``SETTINGS``.
 2. For these few sizes, the best numbers of each configuration (sizes that fit
    together) come from the linear program over all configurations, solved by
    column generation, rounded down.
@@ -13,7 +13,7 @@ most ``capacity`` counts, whatever its size. The plan is made on that histogram:
    frees space.
 4. What is left, large ones over from the rounding first, goes in falling order
    to the sequence with the least space that takes it, for many equal sequences
-   at once.
+   at once. Sequences that still have room are taken apart and best-fitted again.
 
 The plan's tables grow with the number of different lengths and configurations,
 not with the documents. Each piece then finds its place by its length and its
@@ -40,8 +40,7 @@ from pyspark.sql import types as T
 from .common import INT, LONG, documents, gapless_rank, materialise, schema, ship_package
 
 CAPACITY = 2048
-GROUPS = 16
-SMALL = 1 / 8
+SETTINGS = ((32, 1 / 4), (32, 1 / 3), (64, 1 / 3), (32, 1 / 2))  # (groups, share of the capacity up to which lengths are small)
 _ENCODERS: dict = {}
 
 
@@ -161,8 +160,14 @@ def best_configurations(sizes: list[int], wanted: list[int], capacity: int) -> l
             if c and x >= 1 - 1e-7]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: float = SMALL) -> list[tuple[int, list[int]]]:
-    """(number of sequences, their lengths in order) for ``{length: pieces}``."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
+    """(number of sequences, their lengths in order) for ``{length: pieces}``: the
+    scheme with the setting of ``SETTINGS`` that needs the fewest sequences."""
+    plans = [linear_grouping(histogram, capacity, groups, small) for groups, small in SETTINGS]
+    return min(plans, key=lambda p: sum(n for n, _ in p))
+
+
+def linear_grouping(histogram: dict[int, int], capacity: int, groups: int, small: float) -> list[tuple[int, list[int]]]:
     done: list[tuple[int, list[int]]] = []
     left = dict(sorted(((k, v) for k, v in histogram.items() if v), reverse=True))
     if left.get(capacity):
@@ -217,7 +222,23 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
         for g in merged:
             for k, v in g:
                 left[k] = left.get(k, 0) + v
-    return _best_fit(done, left, capacity)
+    return _refit(_best_fit(done, left, capacity), capacity)
+
+
+def _refit(patterns: list[tuple[int, list[int]]], capacity: int) -> list[tuple[int, list[int]]]:
+    """Sequences with more than a few tokens free are taken apart and best-fitted
+    again, as long as that saves some."""
+    for share in (256, 128, 64, 32, 16):
+        good = [(n, k) for n, k in patterns if capacity - sum(k) <= capacity // share]
+        loose: dict[int, int] = {}
+        for n, lengths in patterns:
+            if capacity - sum(lengths) > capacity // share:
+                for k in lengths:
+                    loose[k] = loose.get(k, 0) + n
+        again = _best_fit(good, loose, capacity)
+        if sum(n for n, _ in again) < sum(n for n, _ in patterns):
+            patterns = again
+    return patterns
 
 
 def _best_fit(done: list[tuple[int, list[int]]], left: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:

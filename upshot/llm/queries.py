@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing, sharding, substring_dedup
+from . import jaccard_join, packing, sharding, substring_dedup, warc
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op3_substring_dedup": (substring_dedup.op3, substring_dedup.SQL),
     "op5_best_fit_packing": (packing.op5, None),
+    "op7_salvage_warc": (warc.op7, warc.SQL),
     "op8_sharding": (sharding.op8, None),
     "op10_jaccard_join": (jaccard_join.op10, jaccard_join.SQL),
 }
