@@ -8,9 +8,11 @@ Method. A node of a run's recursion is a path of tokens. At each node a set of
 size n goes on with every token whose hash, seeded by the path, is below
 ``1/(0.8 n)``: about 1.25 of them, and the same ones in similar sets, for the
 larger one's choice is among the smaller one's. Sets that share a path make up a
-bucket. Buckets of at most ``LIMIT`` sets are compared by brute force with exact
-intersections; larger ones recurse. ``RUNS`` runs leave a pair at the threshold
-apart with probability exp(-RUNS), 2e-9, where one level suffices.
+bucket, from the second level on, so that a passage in common rarely makes one.
+Buckets of at most ``LIMIT`` sets are compared by brute force with exact
+intersections; larger ones recurse. A pair at the threshold shares a path of two
+tokens with probability 0.47 at least, so ``RUNS`` runs leave one in 300,000 such
+pairs apart, and fewer at higher similarities.
 
 Before a large bucket is split, its similar core is taken off: distances (one
 minus similarity) to the bucket's smallest member obey the triangle inequality,
@@ -95,30 +97,54 @@ def _bound(n: np.ndarray) -> np.ndarray:
     return np.where(share >= 2.0**64, 2.0**64 - 2048, share).astype(W.U)
 
 
+def _draw(x: np.ndarray, seed: np.ndarray | W.U) -> np.ndarray:
+    """Hash of each token at a node."""
+    v = (x ^ seed) * W.U(0xA24BAED4963EE407)
+    v ^= v >> W.U(29)
+    return v * W.U(0x9FB21C651E98DF25)
+
+
+def _paths(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All runs' paths of two tokens, and the text of each."""
+    size = np.diff(at)
+    own = np.repeat(np.arange(len(size)), size)
+    each = _bound(size)
+    bound = each[own]
+    paths, of = [], []
+    for seed in _SEEDS:
+        u = _draw(x, seed)
+        hit = np.flatnonzero(u < bound)
+        node, text = W.mix64(u[hit] + seed), own[hit]
+        n = size[text]
+        token = np.repeat(at[text] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        u = _draw(x[token], np.repeat(node, n))
+        hit = np.flatnonzero(u < np.repeat(each[text], n))
+        parent = np.repeat(np.arange(len(text)), n)[hit]
+        paths.append(W.mix64(u[hit] + node[parent]))
+        of.append(text[parent])
+    paths, of = np.concatenate(paths), np.concatenate(of)
+    order = np.lexsort((paths, of))
+    paths, of = paths[order], of[order]
+    new = np.ones(len(paths), dtype=bool)
+    new[1:] = (paths[1:] != paths[:-1]) | (of[1:] != of[:-1])
+    return paths[new], of[new]
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: set size and marks, text hash, paths of the first level."""
+    """Per document: set size and marks, text hash, paths."""
     for batch in batches:
         for c in W.chunks(batch, "text"):
             x, at = _sets(c.column("text"))
             size = np.diff(at)
-            own = np.repeat(np.arange(len(size)), size)
-            bound = _bound(size)[own]
-            chosen, of = [], []
-            for seed in _SEEDS:
-                u = W.mix64(x ^ seed)
-                hit = np.flatnonzero(u < bound)
-                chosen.append(W.mix64(u[hit] + seed))
-                of.append(own[hit])
-            paths, of = np.concatenate(chosen), np.concatenate(of)
-            order = np.argsort(of, kind="stable")
-            cut = np.searchsorted(of[order], np.arange(len(size) + 1)).astype(np.int32)
+            paths, of = _paths(x, at)
+            cut = np.searchsorted(of, np.arange(len(size) + 1)).astype(np.int32)
             m1, m2 = _marks(x, at)
             w = W.split(c.column("text"))
             th = w.span_hash(w.text_at[:-1], w.text_at[1:])
             yield pa.RecordBatch.from_pydict({
                 "id": c.column("id"), "m1": pa.array(W.int64(m1)), "m2": pa.array(W.int64(m2)),
                 "n": pa.array(size.astype(np.int64)), "th": pa.array(W.int64(th)),
-                "paths": pa.ListArray.from_arrays(pa.array(cut), pa.array(W.int64(paths[order])))})
+                "paths": pa.ListArray.from_arrays(pa.array(cut), pa.array(W.int64(paths)))})
 
 
 def _collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +155,7 @@ def _collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             same = ((W.int64(m1) == c.column("m1").to_numpy()) & (W.int64(m2) == c.column("m2").to_numpy()))
             rows = np.flatnonzero(same)
             yield pa.RecordBatch.from_pydict({
-                "rep": c.column("rep").take(pa.array(rows)),
+                "rep": c.column("rep").take(pa.array(rows)), "large": c.column("large").take(pa.array(rows)),
                 "set": pa.array([x[at[i]:at[i + 1]].tobytes() for i in rows], pa.binary())})
 
 
@@ -157,7 +183,7 @@ def _recurse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rep.append(r)
             if far >= NEAR:
                 seed = np.array([path], dtype=np.int64).view(W.U)
-                u = W.mix64(x ^ W.mix64(seed + W.U(1)))
+                u = _draw(x, W.mix64(seed + W.U(1)))
                 nxt = W.int64(W.mix64(u[u < _bound(np.array([len(x)]))] + seed))
                 kind += [1] * len(nxt)
                 home += nxt.tolist()
@@ -223,9 +249,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for g in _groups(batches, ["home", "a", "b"]):
-        rep = g.column("rep").to_numpy()
-        order = np.argsort(rep)
-        rep = rep[order]
+        rep, order = np.unique(g.column("rep").to_numpy(), return_index=True)
         side = g.column("side").to_numpy()[order]
         weight = g.column("weight").to_numpy()[order]
         cells, homes = g.column("set").to_pylist(), g.column("homes").to_pylist()
@@ -258,7 +282,6 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _members(paths: DataFrame) -> DataFrame:
     """Rows (path, rep) of buckets of two at least, with the bucket's size and smallest member."""
-    paths = paths.distinct()
     sized = (paths.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot")).where("size > 1")
              .withColumnRenamed("path", "_path"))
     return paths.join(sized, F.col("path") == F.col("_path")).drop("_path")
@@ -285,11 +308,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usable = reps.where("n > 0 and rep is not null")
     members, members_path = materialise(_members(usable.select(F.explode("paths").alias("path"), "rep")), "members")
 
-    wanted = members.select("rep").distinct().join(usable.select("rep", "m1", "m2"), "rep")
+    wanted = (members.groupBy("rep").agg(F.max(F.when(F.col("size") > LIMIT, 1).otherwise(0)).alias("large"))
+              .join(usable.select("rep", "m1", "m2"), "rep"))
     sets, sets_path = materialise(
-        given.join(wanted, F.col("id") == F.col("rep")).select("rep", "m1", "m2", "text")
-        .mapInArrow(_collect_sets, schema(rep=LONG, set=BINARY)).groupBy("rep").agg(F.first("set").alias("set")),
-        "tokens")
+        given.join(wanted, F.col("id") == F.col("rep")).select("rep", "m1", "m2", "large", "text")
+        .mapInArrow(_collect_sets, schema(rep=LONG, large=INT, set=BINARY)), "tokens", "large")
+    in_large, sets = sets.where("large = 1").select("rep", "set"), sets.select("rep", "set")
 
     small = members.where(F.col("size") <= LIMIT).select("path", "rep")
     large = members.where(F.col("size") > LIMIT).select("path", "rep", "pivot")
@@ -297,16 +321,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for _ in range(LEVELS):
         if large.isEmpty():
             break
-        pivots = sets.select(F.col("rep").alias("_pivot"), F.col("set").alias("pivot_set"))
+        pivots = (in_large.join(large.select("pivot").distinct(), F.col("rep") == F.col("pivot"))
+                  .select(F.col("rep").alias("_pivot"), F.col("set").alias("pivot_set")))
         step, _ = materialise(
-            large.join(sets, "rep").join(pivots, F.col("pivot") == F.col("_pivot"))
+            large.join(in_large, "rep").join(pivots, F.col("pivot") == F.col("_pivot"))
             .select("path", "rep", "pivot", "set", "pivot_set")
             .mapInArrow(_recurse, schema(kind=INT, path=LONG, rep=LONG)), "level")
         around.append(step.where("kind = 0").select(F.xxhash64(F.lit("around"), "path").alias("home"), "rep"))
         deeper, _ = materialise(_members(step.where("kind = 1").select("path", "rep")), "members")
         small = small.union(deeper.where(F.col("size") <= LIMIT).select("path", "rep"))
         large = deeper.where(F.col("size") > LIMIT).select("path", "rep", "pivot")
-    around.append(large.select(F.col("path").alias("home"), "rep"))
+    around.append(large.select(F.col("path").alias("home"), "rep"))  # still large: compared in tiles
 
     # buckets of the same members are compared once
     listed = small.groupBy("path").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
