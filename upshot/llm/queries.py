@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing, sharding, substring_dedup, warc
+from . import fertility, jaccard_join, langid, license_scan, packing, sharding, substring_dedup, warc
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_tokenizer_fertility": (fertility.op1, None),
+    "op2_license_scan": (license_scan.op2, license_scan.SQL),
     "op3_substring_dedup": (substring_dedup.op3, substring_dedup.SQL),
+    "op4_language_id": (langid.op4, None),
     "op5_best_fit_packing": (packing.op5, None),
     "op7_salvage_warc": (warc.op7, warc.SQL),
     "op8_sharding": (sharding.op8, None),
