@@ -16,8 +16,8 @@ pairs apart, and fewer at higher similarities.
 
 Before a large bucket is split, its similar core is taken off: distances (one
 minus similarity) to the bucket's smallest member obey the triangle inequality,
-so a set nearer than 0.3 has all its links within distance 0.5. The sets within
-0.5 are compared completely, once, in tiles (an exact way, whatever their
+so a set nearer than 0.5 has all its links within distance 0.7. The sets within
+0.7 are compared completely, once, in tiles (an exact way, whatever their
 number), and the near ones leave the recursion. What is still large after
 ``LEVELS`` levels is compared in tiles too, so nothing is capped.
 
@@ -52,7 +52,7 @@ LIMIT = 128
 LEVELS = 5
 TILE = 256
 LOW = 0.8  # least overlap relative to the larger set at similarity 0.8
-NEAR, FAR = 0.3, 0.5  # FAR - NEAR is the distance 0.2 of the threshold
+NEAR, FAR = 0.5, 0.7  # FAR - NEAR is the distance 0.2 of the threshold
 
 _SEEDS = W.mix64(np.arange(1, RUNS + 1).astype(W.U) * W.U(0x9E3779B97F4A7C15))
 
