@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, jaccard_join, langid, license_scan, packing, sharding, substring_dedup, warc
+from . import decontaminate, fertility, jaccard_join, langid, license_scan, packing, preferences, sharding, substring_dedup, warc
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_tokenizer_fertility": (fertility.op1, None),
@@ -14,7 +14,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_substring_dedup": (substring_dedup.op3, substring_dedup.SQL),
     "op4_language_id": (langid.op4, None),
     "op5_best_fit_packing": (packing.op5, None),
+    "op6_decontamination": (decontaminate.op6, decontaminate.SQL),
     "op7_salvage_warc": (warc.op7, warc.SQL),
     "op8_sharding": (sharding.op8, None),
+    "op9_preferences": (preferences.op9, preferences.SQL),
     "op10_jaccard_join": (jaccard_join.op10, jaccard_join.SQL),
 }
