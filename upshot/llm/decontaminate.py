@@ -55,12 +55,15 @@ def _is_number(t: Column) -> Column:
 
 def canonical(tokens: Column) -> Column:
     units = F.array(*map(F.lit, UNITS))
+    # zipped with the token before: a lambda that indexes the array could be planned
+    # with the array's whole expression evaluated for each token
+    before = F.slice(F.concat(F.array(F.lit("")), tokens), F.lit(1), F.size(tokens))
 
-    def one(t: Column, i: Column) -> Column:
+    def one(t: Column, last: Column) -> Column:
         return (F.when(_is_number(t), NUMBER).when(t.startswith(NAME_MARK), NAME)
-                .when(_is_number(F.coalesce(F.get(tokens, i - 1), F.lit(""))) & F.array_contains(units, t), UNIT).otherwise(t))
+                .when(_is_number(last) & F.array_contains(units, t), UNIT).otherwise(t))
 
-    return F.transform(tokens, one)
+    return F.zip_with(tokens, before, one)
 
 
 def _is_slot(t: Column) -> Column:
@@ -76,15 +79,36 @@ def templates(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def window_index(found: DataFrame) -> DataFrame:
-    """Rows (hash, k, item, at, values, slots) of the templates' windows."""
+    """Rows (hash, k, item, n_items, size, at, filled) of the templates' windows;
+    ``filled`` has the slots' values and null for literal tokens."""
     k = F.least(F.size("canon"), F.lit(WINDOW))
-    here = F.slice("canon", F.col("at") + 1, F.col("k"))
-    return (found.withColumn("k", k).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("canon") - k)))
-            .withColumn("_here", here)
-            .withColumn("slots", F.filter(F.transform("_here", lambda t, i: F.when(_is_slot(t), i)), lambda i: i.isNotNull()))
-            .where(F.size("slots") * 2 <= F.col("k"))
-            .select(F.xxhash64(F.transform("_here", lambda t: F.xxhash64(t))).alias("hash"), "k", "item", "n_items",
-                    F.size("canon").alias("size"), "at", F.slice("tokens", F.col("at") + 1, F.col("k")).alias("values"), "slots"))
+    windows = (found.withColumn("k", k).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("canon") - k)))
+               .withColumn("here", F.slice("canon", F.col("at") + 1, F.col("k")))
+               .withColumn("filled", F.slice(_slot_values(F.col("tokens"), F.col("canon")), F.col("at") + 1, F.col("k"))))
+    return (windows.where(F.size(F.array_compact("filled")) * 2 <= F.col("k"))
+            .select(F.xxhash64(F.transform("here", lambda t: F.xxhash64(t))).alias("hash"), "k", "item", "n_items",
+                    F.size("canon").alias("size"), "at", "filled"))
+
+
+def _slot_values(tokens: Column, canon: Column) -> Column:
+    return F.zip_with(tokens, canon, lambda t, c: F.when(_is_slot(c), t))
+
+
+def windows_of(docs: DataFrame, k: int) -> DataFrame:
+    """Rows (id, pos, hash, values) of the documents' windows. The arrays of a document
+    are in one struct, which the windows refer to more than once, and nothing
+    filters on them: so they are made once per document, and no exploded row
+    carries them."""
+    given = (docs.withColumn("canon", canonical(F.col("tokens")))
+             .select("id", F.struct(F.transform("canon", lambda t: F.xxhash64(t)).alias("marks"),
+                                    _slot_values(F.col("tokens"), F.col("canon")).alias("values")).alias("t")))
+    last = F.size("t.marks") - k
+    some = F.exists("t.values", lambda v: v.isNotNull())
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    each = F.transform(starts, lambda i: F.struct(
+        i.alias("pos"), F.xxhash64(F.slice("t.marks", i + 1, k)).alias("hash"),
+        F.when(F.col("some"), F.slice("t.values", i + 1, k)).alias("values")))
+    return given.withColumn("some", some).select("id", F.explode(each).alias("w")).select("id", "w.*")
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -95,17 +119,14 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     rows = index.count()
     given = (docs.select(F.col(f"`{id_col}`").alias("id"), tokens_of(F.col(f"`{text_col}`").cast("string")).alias("tokens"))
              .where("id is not null"))
-    given = given.withColumn("marks", F.transform(canonical(F.col("tokens")), lambda t: F.xxhash64(t)))
     found = None
     for k in sorted(r["k"] for r in index.select("k").distinct().collect()) or [WINDOW]:  # at most WINDOW lengths
         side = index.where(F.col("k") == k).drop("k").withColumnRenamed("hash", "_hash")
         side = F.broadcast(side) if rows <= BROADCAST_ROWS else side
-        probes = (given.where(F.size("marks") >= k)
-                  .select("id", "tokens", "marks", F.explode(F.sequence(F.lit(0), F.size("marks") - k)).alias("pos"))
-                  .withColumn("hash", F.xxhash64(F.slice("marks", F.col("pos") + 1, k))))
-        hit = (probes.join(side, F.col("hash") == F.col("_hash"))
-               .select("id", "item", "n_items", "size", "pos", "at", F.lit(k).alias("k"),
-                       F.transform("slots", lambda s: F.struct(F.get("values", s).alias("b"), F.get("tokens", F.col("pos") + s).alias("d"))).alias("filled")))
+        hit = (windows_of(given, k).join(side, F.col("hash") == F.col("_hash"))
+               .select("id", "item", "n_items", "size", "pos", "at", F.lit(k).alias("k"), F.array_compact(F.col("filled")).alias("b"),
+                       F.coalesce(F.array_compact("values"), F.array().cast("array<string>")).alias("d"))
+               .withColumn("filled", F.arrays_zip("b", "d")).drop("b", "d"))
         found = hit if found is None else found.union(hit)
     covered = F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("k") - 1)))
     line = (found.groupBy("id", "item", "n_items", "size", (F.col("pos") - F.col("at")).alias("shift"))
@@ -148,17 +169,17 @@ bc AS (SELECT *, list_transform(range(1, len(tokens) + 1), lambda i: CASE WHEN t
     WHEN tokens[i][1] = '{NAME_MARK}' THEN '{NAME}' WHEN i > 1 AND tokens[i - 1][1] BETWEEN '0' AND '9' AND list_contains({list(UNITS)!r}, tokens[i]) THEN '{UNIT}'
     ELSE tokens[i] END) AS canon FROM bt WHERE len(tokens) >= {LEAST}),
 tpl AS (SELECT min(item) AS item, count(DISTINCT item) AS n_items, arg_min(tokens, item) AS tokens, canon, least(len(canon), {WINDOW}) AS k FROM bc GROUP BY canon),
-bw AS (SELECT item, n_items, tokens, canon, k, unnest(range(0, len(canon) - k + 1)) AS at FROM tpl),
-bx AS (SELECT *, array_to_string(canon[at + 1:at + k], ' ') AS win,
-    list_filter(range(1, k + 1), lambda s: canon[at + s] IN ('{NUMBER}', '{NAME}', '{UNIT}')) AS slots FROM bw),
+bw AS (SELECT item, n_items, tokens, canon, k, unnest(range(0, len(canon) - k + 1)) AS spot FROM tpl),
+bx AS (SELECT *, array_to_string(canon[spot + 1:spot + k], ' ') AS win,
+    list_filter(range(1, k + 1), lambda s: canon[spot + s] IN ('{NUMBER}', '{NAME}', '{UNIT}')) AS slots FROM bw),
 bi AS (SELECT * FROM bx WHERE len(slots) * 2 <= k),
 ks AS (SELECT DISTINCT k FROM bi),
 dw AS (SELECT id, tokens, canon, k, unnest(range(0, len(canon) - k + 1)) AS pos FROM dc, ks WHERE len(canon) >= k),
 dx AS (SELECT id, tokens, pos, k, array_to_string(canon[pos + 1:pos + k], ' ') AS win FROM dw),
-hit AS (SELECT d.id, b.item, b.n_items, len(b.canon) AS size, d.pos, b.at, b.k,
-    list_transform(b.slots, lambda s: {{'b': b.tokens[b.at + s], 'd': d.tokens[d.pos + s]}}) AS filled FROM dx d JOIN bi b ON d.win = b.win AND d.k = b.k),
-line AS (SELECT id, item, n_items, size, list_distinct(flatten(list(range(at, at + k)))) AS covered,
-    list_distinct(flatten(list(filled))) AS filled, min(pos) AS pos FROM hit GROUP BY id, item, n_items, size, pos - at),
+hit AS (SELECT d.id, b.item, b.n_items, len(b.canon) AS size, d.pos, b.spot, b.k,
+    list_transform(b.slots, lambda s: {{'b': b.tokens[b.spot + s], 'd': d.tokens[d.pos + s]}}) AS filled FROM dx d JOIN bi b ON d.win = b.win AND d.k = b.k),
+line AS (SELECT id, item, n_items, size, list_distinct(flatten(list(range(spot, spot + k)))) AS covered,
+    list_distinct(flatten(list(filled))) AS filled, min(pos) AS pos FROM hit GROUP BY id, item, n_items, size, pos - spot),
 fit AS (SELECT * FROM line WHERE len(list_distinct(list_transform(filled, lambda p: p.b))) = len(filled)),
 total AS (SELECT id, item, n_items, size, len(list_distinct(flatten(list(covered)))) AS n, max(len(filled)) AS n_slots,
     bool_and(len(list_filter(filled, lambda p: p.b <> p.d)) = 0) AS same_values, min(pos) AS pos FROM fit GROUP BY id, item, n_items, size)

@@ -81,18 +81,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    clean = "{'role': coalesce(replace(t.role, '<|', '< |'), 'unknown'), 'text': replace(t.text, '<|', '< |')}"
-    render = f"array_to_string(list_transform({{0}}, lambda t: '{OPEN}' || t.role || chr(10) || t.text || '{CLOSE}' || chr(10)), '')"
-    head, body = f"(length(t.role) + {len(OPEN) + 1})", f"(length(t.text) + {len(CLOSE)})"
-    mask = (f"array_to_string(list_transform({{0}}, lambda t: CASE WHEN t.role = 'assistant' THEN '0:' || {head} || ',1:' || {body} || ',0:1' "
+    clean = "{'role': coalesce(replace(x.role, '<|', '< |'), 'unknown'), 'text': replace(x.text, '<|', '< |')}"
+    render = f"array_to_string(list_transform({{0}}, lambda x: '{OPEN}' || x.role || chr(10) || x.text || '{CLOSE}' || chr(10)), '')"
+    head, body = f"(length(x.role) + {len(OPEN) + 1})", f"(length(x.text) + {len(CLOSE)})"
+    mask = (f"array_to_string(list_transform({{0}}, lambda x: CASE WHEN x.role = 'assistant' THEN '0:' || {head} || ',1:' || {body} || ',0:1' "
             f"ELSE '0:' || ({head} + {body} + 1) END), ',')")
     return f"""
 WITH rows AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
 last AS (SELECT conv_id, max({{'turn': turn, 'text': text}}) AS last FROM rows WHERE role = 'assistant' GROUP BY conv_id),
 chosen AS (SELECT conv_id, list({{'turn': turn, 'role': role, 'text': text}} ORDER BY turn, role, text) AS t FROM rows GROUP BY conv_id),
-sides AS (SELECT c.conv_id, list_transform(c.t, lambda t: {clean}) AS c,
-  list_transform(list_transform(c.t, lambda t: {{'role': t.role, 'text': CASE WHEN t.role = 'assistant' AND t.turn = l.last.turn AND t.text = l.last.text
-    THEN coalesce(o.last.text, '') ELSE t.text END}}), lambda t: {clean}) AS r
+sides AS (SELECT c.conv_id, list_transform(c.t, lambda x: {clean}) AS c,
+  list_transform(list_transform(c.t, lambda x: {{'role': x.role, 'text': CASE WHEN x.role = 'assistant' AND x.turn = l.last.turn AND x.text = l.last.text
+    THEN coalesce(o.last.text, '') ELSE x.text END}}), lambda x: {clean}) AS r
   FROM chosen c LEFT JOIN last l ON l.conv_id = c.conv_id LEFT JOIN last o ON o.conv_id = c.conv_id + 1),
 n AS (SELECT *, coalesce(list_filter(range(1, len(c) + 1), lambda i: i > len(r) OR c[i] <> r[i])[1] - 1, least(len(c), len(r))) AS n FROM sides),
 cut AS (SELECT conv_id, n, c[1:n] AS h, c[n + 1:] AS c, r[n + 1:] AS r FROM n)
