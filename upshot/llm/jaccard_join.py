@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,11 +139,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             paths, of = _paths(x, at)
             cut = np.searchsorted(of, np.arange(len(size) + 1)).astype(np.int32)
             m1, m2 = _marks(x, at)
-            w = W.split(c.column("text"))
-            th = w.span_hash(w.text_at[:-1], w.text_at[1:])
             yield pa.RecordBatch.from_pydict({
                 "id": c.column("id"), "m1": pa.array(W.int64(m1)), "m2": pa.array(W.int64(m2)),
-                "n": pa.array(size.astype(np.int64)), "th": pa.array(W.int64(th)),
+                "n": pa.array(size.astype(np.int64)), "th": c.column("th"),
                 "paths": pa.ListArray.from_arrays(pa.array(cut), pa.array(W.int64(paths)))})
 
 
@@ -287,16 +285,30 @@ def _members(paths: DataFrame) -> DataFrame:
     return paths.join(sized, F.col("path") == F.col("_path")).drop("_path")
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class: the one whose id is the class id."""
+    first = (near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("class_id")))
+             .select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    text = F.col(f"`{text_col}`")
+    return (docs.join(first, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (text_hash(text) == F.col("_hash")), "left_semi")
+            .dropDuplicates([id_col, text_col]))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, ``class_id`` (smallest id of the texts
     linked with it, directly or through others), ``n_links`` (different texts
     with similarity 0.8 or more), ``n_copies`` (documents with an equal set, itself
-    included) and ``text_hash``."""
+    included) and ``text_hash`` (:func:`text_hash`)."""
     spark = docs.sparkSession
     given = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"),
                         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    hashed = given.withColumn("th", text_hash(F.col("text")))
     described = schema(id=LONG, m1=LONG, m2=LONG, n=LONG, th=LONG).add("paths", T.ArrayType(LONG))
-    rows, _ = materialise(given.mapInArrow(_describe, described), "sets")
+    rows, _ = materialise(hashed.mapInArrow(_describe, described), "sets")
 
     texts = rows.groupBy("m1", "m2", "n", "th").agg(
         F.min(F.struct(F.col("id").isNull(), "id", "paths")).alias("first"), F.count(F.lit(1)).alias("copies"))
