@@ -306,6 +306,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     pieces, _ = materialise(tokenize(docs, id_col, text_col, capacity, path, keep_ids), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = places(plan(histogram, capacity), capacity)
+    names = pieces.columns
     ranked = gapless_rank(pieces, "length", ["id", "piece", "ids_crc32"], "rank", rows=sum(histogram.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,11 +315,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             at = np.searchsorted(table["key"], key, side="right") - 1
             number = key - table["key"][at]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in pieces.columns), pa.array(table["sequence"][at] + number), pa.array(table["offset"][at])],
-                [*pieces.columns, "sequence_id", "offset"])
+                [*(b.column(c) for c in names), pa.array(table["sequence"][at] + number), pa.array(table["offset"][at])],
+                [*names, "sequence_id", "offset"])
 
     out = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", LONG), T.StructField("offset", LONG)])
-    return ranked.select(*pieces.columns, "rank").mapInArrow(run, out).withColumnRenamed("id", id_col)
+    return ranked.select(*names, "rank").mapInArrow(run, out).withColumnRenamed("id", id_col)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
