@@ -48,7 +48,7 @@ def test_against_brute_force(spark, tricky, monkeypatch):
 
 
 def test_many_small_chunks_give_the_same(spark, tricky, monkeypatch):
-    import cloudpickle
+    from pyspark import cloudpickle
     monkeypatch.setattr(S, "CHUNK_ROWS", 2)
     cloudpickle.register_pickle_by_value(S)
     try:
