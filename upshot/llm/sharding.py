@@ -5,11 +5,14 @@ Documents with equal texts are a group and stay together. A partial partition is
 takes the two partial partitions with the largest spread (largest minus smallest
 sum) and adds them in opposite order, largest to smallest, until one is left.
 
-Distribution: groups are dealt into buckets of about ``LEAF`` by a hash; each
-bucket is differenced in a task, then the buckets' partial partitions are, in
-tasks of ``LEAF`` again, until one is left. So no task and not the driver sees
-more than ``LEAF`` partial partitions, and a frequent text is one group, summed
-before it is shuffled.
+Distribution: groups are dealt into buckets of about ``LEAF`` by a hash, each
+bucket is differenced in a task, and its subsets are groups of the next level,
+until few are left for a last task, which deals them to the shards. Groups that
+are large for a shard, at most ``SHARDS * COARSE`` a level, and one bucket a level
+go to that task as they are: so it has groups of all sizes to even out the large
+ones. It sees at most ``5 * LEAF + SHARDS * COARSE`` groups and as many more per
+level, and each level is ``LEAF / SHARDS`` times smaller. A frequent text is one
+group, summed before it is shuffled.
 
 Defined cases: a null text has size 1 and null texts are a group; repeated rows
 are rows of their group; an empty table gives an empty result; other columns are
@@ -29,6 +32,7 @@ from .common import INT, LONG, documents, gapless_rank, materialise, schema
 
 SHARDS = 16
 LEAF = 4096
+COARSE = 64
 
 
 def difference(parts: list[np.ndarray]) -> list[np.ndarray]:
@@ -57,32 +61,46 @@ def difference(parts: list[np.ndarray]) -> list[np.ndarray]:
     return final[:len(parts)]
 
 
-def _groups(shards: int):
+def _deal(shards: int):
+    """The subset of each group of a bucket."""
+
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("bytes", "descending"), ("k1", "ascending"), ("k2", "ascending")])
-        size = table.column("bytes").to_numpy()
-        parts = [np.append(np.int64(s), np.zeros(shards - 1, np.int64)) for s in size]
-        subset = np.array([f[0] for f in difference(parts)], dtype=np.int32)
-        return pa.table({"k1": table.column("k1"), "k2": table.column("k2"), "bytes": table.column("bytes"),
-                         "node": table.column("node"), "subset": pa.array(subset)})
+        table = table.sort_by([("bytes", "descending"), ("level", "ascending"), ("a", "ascending"), ("b", "ascending")])
+        parts = [np.append(np.int64(s), np.zeros(shards - 1, np.int64)) for s in table.column("bytes").to_numpy()]
+        subset = np.array([f[0] for f in difference(parts)], dtype=np.int64)
+        return table.append_column("subset", pa.array(subset))
 
     return run
 
 
-def _nodes(shards: int):
-    def run(table: pa.Table) -> pa.Table:
-        """Rows (above, node, subset, bytes) of several nodes: the subset above of each."""
-        node, subset = table.column("node").to_numpy(), table.column("subset").to_numpy()
-        ids, at = np.unique(node, return_inverse=True)
-        sums = np.zeros((len(ids), shards), dtype=np.int64)
-        sums[at, subset] = table.column("bytes").to_numpy()
-        final = np.stack(difference(list(sums)))
-        return pa.table({"above": pa.array(np.full(final.size, table.column("above")[0].as_py())),
-                         "node": pa.array(np.repeat(ids, shards)),
-                         "subset": pa.array(np.tile(np.arange(shards, dtype=np.int32), len(ids))),
-                         "new": pa.array(final.reshape(-1).astype(np.int32)), "bytes": pa.array(sums.reshape(-1))})
-
-    return run
+def deal(groups: DataFrame, shards: int = SHARDS, leaf: int = LEAF) -> DataFrame:
+    """Rows (a, b, shard) for ``groups`` (a, b, bytes), where a and b name a group."""
+    out = schema(level=INT, a=LONG, b=LONG, bytes=LONG, node=LONG, subset=LONG)
+    level, held, below = groups.withColumn("level", F.lit(0)), [], []
+    while True:
+        count, total = level.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+        if count <= 4 * leaf:
+            break
+        nodes = -(-count // leaf)
+        level = level.withColumn("node", F.when(F.col("bytes") > total // (shards * COARSE), 0).otherwise(
+            F.pmod(F.xxhash64("a", "b"), F.lit(nodes))).cast("long"))
+        held.append(level.where("node = 0").select("level", "a", "b", "bytes"))
+        step, _ = materialise(level.where("node > 0").select("level", "a", "b", "bytes", "node").groupBy("node")
+                              .applyInArrow(_deal(shards), out), "subsets")
+        below.append(step)
+        level, _ = materialise(step.groupBy("node", "subset").agg(F.sum("bytes").alias("bytes"))
+                               .select(F.lit(len(below)).alias("level"), F.col("node").alias("a"), F.col("subset").alias("b"), "bytes"), "groups")
+    last = level.select("level", "a", "b", "bytes")
+    for h in held:
+        last = last.union(h)
+    last, _ = materialise(last.withColumn("node", F.lit(0).cast("long")).groupBy("node").applyInArrow(_deal(shards), out), "shards")
+    place = last.where(F.col("level") == len(below)).select("a", "b", F.col("subset").alias("shard"))
+    for number in range(len(below) - 1, -1, -1):
+        above = place.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "shard")
+        down = (below[number].join(above, (F.col("node") == F.col("_a")) & (F.col("subset") == F.col("_b")))
+                .select("a", "b", "shard"))
+        place = down.union(last.where(F.col("level") == number).select("a", "b", F.col("subset").alias("shard")))
+    return place
 
 
 def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS,
@@ -96,23 +114,8 @@ def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(text.isNull(), 0).otherwise(F.xxhash64(text)).alias("k1"),
         F.when(text.isNull(), 0).otherwise(F.xxhash64(F.lit(1), text)).alias("k2")), "sizes")
     groups, _ = materialise(meta.groupBy("k1", "k2").agg(F.sum("size").alias("bytes")), "groups")
-    count = groups.count()
-    nodes = max(1, -(-count // leaf))
-    level, _ = materialise(
-        groups.withColumn("node", F.pmod(F.col("k1"), F.lit(nodes)).cast("long")).groupBy("node")
-        .applyInArrow(_groups(shards), schema(k1=LONG, k2=LONG, bytes=LONG, node=LONG, subset=INT)), "subsets")
-    sums = level.groupBy("node", "subset").agg(F.sum("bytes").alias("bytes"))
-    place = level.select("k1", "k2", "node", "subset")
-    while nodes > 1:
-        nodes = -(-nodes // leaf)
-        step, _ = materialise(
-            sums.withColumn("above", F.pmod(F.xxhash64("node"), F.lit(nodes)).cast("long")).groupBy("above")
-            .applyInArrow(_nodes(shards), schema(above=LONG, node=LONG, subset=INT, new=INT, bytes=LONG)), "subsets")
-        moved = step.select(F.col("node").alias("_n"), F.col("subset").alias("_s"), "above", "new")
-        place = (place.join(moved, (F.col("node") == F.col("_n")) & (F.col("subset") == F.col("_s")))
-                 .select("k1", "k2", F.col("above").alias("node"), F.col("new").alias("subset")))
-        sums = step.groupBy(F.col("above").alias("node"), F.col("new").alias("subset")).agg(F.sum("bytes").alias("bytes"))
-    placed = place.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("subset").cast("int").alias("shard"))
+    placed = deal(groups.select(F.col("k1").alias("a"), F.col("k2").alias("b"), "bytes"), shards, leaf).select(
+        F.col("a").alias("_k1"), F.col("b").alias("_k2"), F.col("shard").cast("int").alias("shard"))
     dealt, _ = materialise(
         meta.join(placed, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
         .select("id", "size", "text_crc32", "shard"), "shards")
