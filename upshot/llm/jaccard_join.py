@@ -28,8 +28,8 @@ smallest relative, from which classes are joined.
 
 Defined cases: a null text is an empty text; texts without words form one class
 and have no links; rows that repeat an id and text are copies; rows with a null
-id are classed by their text like others, but are never the class id unless all
-members lack one; an empty table gives an empty result; other columns are ignored.
+id are classed by their text like others, and the class id is null if all members
+lack one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -311,19 +311,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows, _ = materialise(hashed.mapInArrow(_describe, described), "sets")
 
     texts = rows.groupBy("m1", "m2", "n", "th").agg(
-        F.min(F.struct(F.col("id").isNull(), "id", "paths")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    reps, reps_path = materialise(
+        F.min(F.struct(F.col("id").isNull(), "id", "th", "paths")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    reps, _ = materialise(
         texts.groupBy("m1", "m2", "n").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("weight"),
                                            F.sum("copies").alias("copies"))
-        .select("m1", "m2", "n", "weight", "copies", F.col("first.id").alias("rep"), F.col("first.paths").alias("paths")),
-        "reps")
-    usable = reps.where("n > 0 and rep is not null")
+        .select(F.monotonically_increasing_id().alias("rep"), "m1", "m2", "n", "weight", "copies", "first.id", "first.th", "first.paths"),
+        "reps")  # ids may repeat with other texts, so sets are numbered; the numbers are fixed by the written table
+    usable = reps.where("n > 0")
     members, members_path = materialise(_members(usable.select(F.explode("paths").alias("path"), "rep")), "members")
 
     wanted = (members.groupBy("rep").agg(F.max(F.when(F.col("size") > LIMIT, 1).otherwise(0)).alias("large"))
-              .join(usable.select("rep", "m1", "m2"), "rep"))
+              .join(usable.select("rep", "m1", "m2", F.col("id").alias("_id"), F.col("th").alias("_th")), "rep"))
     sets, sets_path = materialise(
-        given.join(wanted, F.col("id") == F.col("rep")).select("rep", "m1", "m2", "large", "text")
+        hashed.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("rep", "m1", "m2", "large", "text")
         .mapInArrow(_collect_sets, schema(rep=LONG, large=INT, set=BINARY)), "tokens", "large")
     in_large, sets = sets.where("large = 1").select("rep", "set"), sets.select("rep", "set")
 
@@ -372,11 +372,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     counts = found.groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "_rep")
     classes = components(found, "rep", "label")
-    by_rep = (reps.select("m1", "m2", "n", "weight", "copies", "rep")
+    named = classes.join(reps.select("rep", "id"), F.col("node") == F.col("rep"))
+    least = named.groupBy("label").agg(F.min("id").alias("least")).withColumnRenamed("label", "_label")
+    named = named.join(least, F.col("label") == F.col("_label")).select("node", "least")
+    by_rep = (reps.select("m1", "m2", "n", "weight", "copies", "rep", "id")
               .join(counts, F.col("rep") == F.col("_rep"), "left")
-              .join(classes, F.col("rep") == F.col("node"), "left")
+              .join(named, F.col("rep") == F.col("node"), "left")
               .select(F.col("m1").alias("_m1"), F.col("m2").alias("_m2"), F.col("n").alias("_n"),
-                      F.coalesce("label", "rep").alias("class_id"), "copies",
+                      F.coalesce("least", "id").alias("class_id"), "copies",
                       (F.coalesce("links", F.lit(0)) + F.when(F.col("n") > 0, F.col("weight") - 1).otherwise(0)).alias("n_links")))
     return (rows.select("id", "m1", "m2", "n", "th")
             .join(by_rep, (F.col("m1") == F.col("_m1")) & (F.col("m2") == F.col("_m2")) & (F.col("n") == F.col("_n")))

@@ -16,9 +16,9 @@ bytes between as a quarantined gap.
 
 Defined cases: a null payload is empty; payloads shorter than ``REVISIT_BYTES``
 are all responses; rows that repeat an id give a record each, and of such rows
-with equal payloads the records all are responses; null ids are written as ids
-without a number and never are the response that others revisit; an empty
-table gives no files; other columns are ignored. A record larger than memory
+with the smallest id all records are responses; a null id is written without a
+number, is a response and never the one that others revisit; an empty table gives
+no files; other columns are ignored. A record larger than memory
 isn't read: a record is held whole while it is checked.
 """
 
