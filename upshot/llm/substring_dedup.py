@@ -218,9 +218,10 @@ def _firsts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.sort(first), place
 
 
-def _extend(row_type, ranges: int, window: int):
-    """Rows of kind 0: documents, with the runs of their candidate windows; kind
-    1: each chunk's candidate windows by range, once, with their smallest id."""
+def _extend(ranges: int, window: int, keep_text: bool):
+    """Rows of kind 0: documents with candidate windows, and the windows' runs; kind
+    1: each chunk's candidate windows by range, once, with their smallest id; kind
+    2: the other documents, which lose nothing, with their digests."""
 
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
         docs = _in_order(docs)
@@ -258,18 +259,27 @@ def _extend(row_type, ranges: int, window: int):
                 parts.append(int(i))
         m = len(blobs)
         runs = pa.list_(pa.int64())
+        clean = [s is None for s in starts]
+        n_words, digest = [None] * n, [None] * n
+        if any(clean):
+            for i, text in enumerate(_texts(docs)):
+                if clean[i]:
+                    one = W.split(pa.array([text.as_py()], pa.large_string()))
+                    n_words[i], digest[i] = len(one.start), hashlib.sha256(_joined(one)).hexdigest()
+        cells = [c if keep_text or not q else None for c, q in zip(docs.column("data").to_pylist(), clean, strict=True)]
         chunk = docs.column("chunk")[0].as_py() if n else 0
         row = docs.column("row").combine_chunks()
         row = row.chunk(0) if isinstance(row, pa.ChunkedArray) else row
         ids = docs.column("id").to_pylist()
         return pa.table({
-            "kind": pa.array([0] * n + [1] * m, pa.int32()), "chunk": pa.array([chunk] * (n + m), pa.int64()),
+            "kind": pa.array([2 if q else 0 for q in clean] + [1] * m, pa.int32()), "chunk": pa.array([chunk] * (n + m), pa.int64()),
             "part": pa.array([0] * n + parts, pa.int64()),
             "size": pa.array(docs.column("size").to_pylist() + sizes, pa.int64()),
-            "data": pa.array(docs.column("data").to_pylist() + blobs, pa.binary()),
+            "data": pa.array(cells + blobs, pa.binary()),
             "id": pa.array(ids + [None] * m, pa.int64()),
             "row": pa.concat_arrays([row, pa.nulls(m, row.type)]),
-            "starts": pa.array(starts + [None] * m, runs), "ends": pa.array(ends + [None] * m, runs)})
+            "starts": pa.array(starts + [None] * m, runs), "ends": pa.array(ends + [None] * m, runs),
+            "n_words": pa.array(n_words + [None] * m, pa.int64()), "kept_sha256": pa.array(digest + [None] * m, pa.string())})
 
     return run
 
@@ -363,6 +373,14 @@ def _remove(ranges: int, window: int):
     return run
 
 
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = b.num_rows
+        yield pa.RecordBatch.from_pydict({
+            "row": b.column("row"), "kept": _texts(pa.Table.from_batches([b])).cast(pa.string()), "n_words": b.column("n_words"),
+            "n_removed": pa.array(np.zeros(n, np.int64)), "kept_sha256": b.column("kept_sha256")})
+
+
 def _joined(w: W.Words) -> bytes:
     """The words with one space between."""
     if not len(w.start):
@@ -378,11 +396,13 @@ def _joined(w: W.Words) -> bytes:
     return out[keep].tobytes()
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
+                     keep_text: bool = True) -> DataFrame:
     """All rows of ``docs`` with their columns in the struct ``row``, and ``kept``
     (the text as it was, or the kept words joined by one space if any were
     removed), ``n_words``, ``n_removed`` and ``kept_sha256`` of the kept words
-    joined by one space."""
+    joined by one space. Without ``keep_text``, ``kept`` is null where nothing was
+    removed."""
     if window < PERIOD + 1:
         raise ValueError(f"window must be at least {PERIOD + 1} words")
     spark = docs.sparkSession
@@ -395,7 +415,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                                T.StructField("size", LONG), T.StructField("data", BINARY), T.StructField("id", LONG),
                                T.StructField("row", row_type)])
     runs = T.ArrayType(LONG)
-    extended_type = T.StructType([*dealt_type.fields, T.StructField("starts", runs), T.StructField("ends", runs)])
+    extended_type = T.StructType([*dealt_type.fields, T.StructField("starts", runs), T.StructField("ends", runs), T.StructField("n_words", LONG),
+                                  T.StructField("kept_sha256", STRING)])
     removed_type = T.StructType([T.StructField("row", row_type), T.StructField("kept", STRING),
                                  *schema(n_words=LONG, n_removed=LONG, kept_sha256=STRING).fields])
 
@@ -404,17 +425,23 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
               .applyInArrow(_shared_anchors, schema(chunk=LONG, data=BINARY)))
     extended, _ = materialise(
         dealt.where("kind = 0").groupBy("chunk").cogroup(shared.groupBy("chunk"))
-        .applyInArrow(_extend(row_type, ranges, window), extended_type), "extended", "kind")
+        .applyInArrow(_extend(ranges, window, keep_text), extended_type), "extended", "kind")
     drop_scratch(spark, dealt_path)
     earlier = (extended.where("kind = 1").select("part", "chunk", "size", "data").groupBy("part")
                .applyInArrow(_earlier, schema(chunk=LONG, part=LONG, size=LONG, data=BINARY)))
-    return (extended.where("kind = 0").groupBy("chunk").cogroup(earlier.groupBy("chunk"))
-            .applyInArrow(_remove(ranges, window), removed_type))
+    removed = (extended.where("kind = 0").drop("n_words", "kept_sha256").groupBy("chunk").cogroup(earlier.groupBy("chunk"))
+               .applyInArrow(_remove(ranges, window), removed_type))
+    clean = extended.where("kind = 2")
+    if keep_text:
+        clean = clean.select("row", "data", "size", "n_words", "kept_sha256").mapInArrow(_unpack, removed_type)
+    else:
+        clean = clean.select("row", F.lit(None).cast("string").alias("kept"), "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
+    return removed.union(clean)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Substring dedup of all documents: words, removed words and the digest of the kept ones."""
-    out = dedup_substrings(documents(spark, sf_dir))
+    out = dedup_substrings(documents(spark, sf_dir), keep_text=False)
     return out.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
