@@ -95,15 +95,18 @@ def fit(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge:
     langs = sorted(set(labels))
     if not langs:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
-    x = np.unpackbits(bits, axis=1).astype(np.float32)
-    norm = np.sqrt(np.maximum(x.sum(axis=1), 1))
-    x /= norm[:, None]
+
+    def unpacked(rows: np.ndarray) -> np.ndarray:
+        x = np.unpackbits(rows, axis=1).astype(np.float32)
+        return x / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
+
     y = np.array([langs.index(v) for v in labels])
     turn = np.empty(len(y), dtype=np.int64)
     for k in range(len(langs)):
         turn[y == k] = np.arange((y == k).sum())
     marks = np.lexsort((y, turn))[:landmarks]
-    k_nm = (x @ x[marks].T).astype(float)
+    m = unpacked(bits[marks])
+    k_nm = np.vstack([unpacked(bits[at:at + BATCH]) @ m.T for at in range(0, len(bits), BATCH)]).astype(float)
     value, vector = np.linalg.eigh(k_nm[marks])
     keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])  # K_mm^(-1/2) on its range
@@ -114,7 +117,7 @@ def fit(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge:
     penalty = ridge * len(y) * np.eye(z.shape[1])
     penalty[-1, -1] = 1e-9 * len(y)
     w = np.linalg.solve(z.T @ (share * z) + penalty, z.T @ (share * target))
-    return Model(langs, (x[marks].T @ (root @ w[:-1]).astype(np.float32)), w[-1])
+    return Model(langs, (m.T @ (root @ w[:-1]).astype(np.float32)), w[-1])
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
