@@ -27,7 +27,7 @@ def test_iqr_matches_sequential_brute_force(spark):
     pdf.loc[pdf.seg == "C", "x"] = np.r_[[1e6], pdf.loc[pdf.seg == "C", "x"].to_numpy()[1:]]
     small = pdf.seg == "C"
     pdf = pdf[~small | (pdf.index.isin(pdf[small].index[:9]))]   # segment C keeps 9 rows (n <= 10)
-    got = remove_outliers_iqr(spark.createDataFrame(pdf), ["x", "y"], "seg", method="exact")
+    got = remove_outliers_iqr(spark.createDataFrame(pdf), ["x", "y"], "seg")
     assert sorted(r.id for r in got.collect()) == sorted(_brute(pdf, ["x", "y"], "seg").id)
     got_auto = remove_outliers_iqr(spark.createDataFrame(pdf), ["x", "y"], "seg")
     assert got_auto.count() == got.count()

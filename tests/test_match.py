@@ -5,48 +5,64 @@ from upshot.operators import match as M
 
 
 def _brute(t, c, cal):
-    """The same proposal-round rule, serially: each free treated proposes to its
-    nearest free control (distance, lower id); each control keeps its closest
-    proposer (distance, lower id)."""
-    pairs, ft, fc = [], dict(t), dict(c)
-    while True:
-        props = {}
-        for tid, ts in ft.items():
-            cand = [(abs(cs - ts), cid) for cid, cs in fc.items() if cal is None or abs(cs - ts) <= cal]
-            if cand:
-                d, cid = min(cand)
-                props[tid] = (cid, d)
-        if not props:
-            return sorted(pairs)
-        acc = {}
-        for tid, (cid, d) in props.items():
-            if cid not in acc or (d, tid) < acc[cid]:
-                acc[cid] = (d, tid)
-        for cid, (d, tid) in acc.items():
+    """All pairs within the caliper, sorted by (distance, treated id, control id); each is accepted if both are free."""
+    every = sorted((abs(cs - ts), tid, cid) for tid, ts in t.items() for cid, cs in c.items())
+    pairs, used_t, used_c = [], set(), set()
+    for d, tid, cid in every:
+        if (cal is None or d <= cal) and tid not in used_t and cid not in used_c:
             pairs.append((tid, cid))
-            del ft[tid], fc[cid]
+            used_t.add(tid)
+            used_c.add(cid)
+    return sorted(pairs)
 
 
-def _run(spark, t, c, cal, **kw):
+def _run(spark, t, c, cal, kind="long", **kw):
     rows = [(k, 1, v) for k, v in t.items()] + [(k, 0, v) for k, v in c.items()]
-    df = spark.createDataFrame(rows, "id long, arm int, s double")
+    df = spark.createDataFrame(rows, f"id {kind}, arm int, s double")
     out = M.match_nearest(df, "id", "arm", "s", caliper=cal, **kw).collect()
     return sorted((r.treatment_id, r.control_id) for r in out), out
 
 
 def test_random_against_brute_force(spark):
     rng = np.random.default_rng(11)
-    grid = 1 / 256
-    t = {i: float(rng.integers(0, 256)) * grid for i in range(40)}
-    c = {100 + i: float(rng.integers(0, 256)) * grid for i in range(60)}
+    grid = 1 / 256                         # exact distances, many ties
+    t = {i: float(rng.integers(0, 256)) * grid for i in range(60)}
+    c = {100 + i: float(rng.integers(0, 256)) * grid for i in range(80)}
     for cal in (0.05, None):
-        for tail, nb in ((0, 16), (5000, 16), (5000, 64)):   # Spark rounds / + local tail / finer buckets
-            got, rows = _run(spark, t, c, cal, buckets=nb, tail_treated=tail)
+        for bucket in (12, 10_000):        # many buckets and passes / one
+            got, rows = _run(spark, t, c, cal, bucket=bucket)
             assert got == _brute(t, c, cal)
-        used = [r.control_id for r in rows]
-        assert len(used) == len(set(used))
-        if cal is not None:
-            assert all(r.distance <= cal for r in rows)
+            used = [r.control_id for r in rows]
+            assert len(used) == len(set(used))
+            assert cal is None or all(r.distance <= cal for r in rows)
+
+
+def test_one_bucket_without_spark():
+    rng = np.random.default_rng(5)
+    for n in (3, 20, 60):
+        for span in (4, 30, 10_000):
+            t = {f"T{i}": float(rng.integers(0, span)) / 64 for i in range(n)}
+            c = {f"C{i}": float(rng.integers(0, span)) / 64 for i in range(n + 5)}
+            # equal scores pair by rank beforehand; _settle takes them as blocks all the same
+            ids, arm, s = [*t, *c], [1] * len(t) + [0] * len(c), [*t.values(), *c.values()]
+            got = sorted((ids[a], ids[b]) for a, b, _ in M._settle(ids, arm, s, None, (None,) * 4))
+            if not set(t.values()) & set(c.values()):
+                assert got == _brute(t, c, None)
+
+
+def test_string_ids_and_far_arms(spark):
+    t = {f"CUST{i:03d}": 0.25 + i / 1024 for i in range(20)}
+    c = {f"ACC{i:03d}": 0.75 + i / 512 for i in range(15)}   # all controls above all treated: one chain
+    got, _ = _run(spark, t, c, None, kind="string", bucket=8)
+    assert got == _brute(t, c, None) and len(got) == 15
+
+
+def test_many_equal_scores_take_few_passes(spark):
+    n = 5000
+    df = spark.createDataFrame([(i, i % 2, 0.5) for i in range(2 * n)], "id long, arm int, s double")
+    out = M.match_nearest(df, "id", "arm", "s", caliper=0.1).collect()
+    assert len(out) == n and max(r["round"] for r in out) == 0
+    assert sorted((r.treatment_id, r.control_id) for r in out) == [(2 * i + 1, 2 * i) for i in range(n)]
 
 
 def test_contention_ties_and_caliper_edge(spark):
@@ -86,15 +102,23 @@ def test_maximal_and_report(spark):
     assert rep.matched == len(got) and abs(rep.match_rate - len(got) / 30) < 1e-12
 
 
-def test_propensity_scores_monotone_signal(spark):
+def test_propensity_gradient_is_zero(spark):
+    """The first level is dropped, and the penalised log-likelihood of the fit is stationary."""
     rng = np.random.default_rng(8)
-    x = rng.normal(size=400)
-    arm = (rng.uniform(size=400) < 1 / (1 + np.exp(-2 * x))).astype(int)
-    seg = rng.choice(["a", "b"], 400)
-    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(400), "arm": arm, "x": x, "seg": seg}))
-    s = M.propensity_scores(df, "arm", ["x"], ["seg"]).toPandas()
-    assert s.propensity_score.between(0, 1).all()
-    assert np.corrcoef(s.x, s.propensity_score)[0, 1] > 0.9
+    n = 400
+    x = rng.normal(size=n)
+    arm = (rng.uniform(size=n) < 1 / (1 + np.exp(-2 * x))).astype(int)
+    seg = rng.choice(["a", "b", "c"], n)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "arm": arm, "x": x, "seg": seg}))
+    s = M.propensity_scores(df, "arm", ["x"], ["seg"], tol=1e-12).toPandas().sort_values("id")
+    design = np.column_stack([x, seg == "b", seg == "c"]).astype(float)
+    design = (design - design.mean(axis=0)) / design.std(axis=0)
+    p = s.propensity_score.to_numpy()
+    logit = np.log(p / (1 - p))
+    beta, *_ = np.linalg.lstsq(np.column_stack([np.ones(n), design]), logit, rcond=None)
+    assert np.allclose(np.column_stack([np.ones(n), design]) @ beta, logit, atol=1e-6)   # these columns and no others
+    gradient = design.T @ (p - arm) + beta[1:]                                           # C = 1
+    assert np.abs(gradient).max() < 1e-3 and abs((p - arm).sum()) < 1e-3
 
 
 def test_gbt_propensity_small(spark):

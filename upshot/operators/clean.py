@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_category, to_number
+from .quantiles import exact_quantiles, small_side
 
 
 def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -24,44 +25,28 @@ def fill_categories(df: DataFrame, cols: Sequence[str], keep_raw: Sequence[str]
     return df.withColumns({c: clean_category(c) for c in cols if c in df.columns})
 
 
-def _pick_method(df: DataFrame, segment: str, method: str, exact_limit: int) -> str:
-    if method != "auto":
-        return method
-    biggest = df.groupBy(segment).count().agg(F.max("count")).first()[0] or 0
-    return "exact" if biggest <= exact_limit else "approx"
-
-
 def remove_outliers_iqr(df: DataFrame, columns: Sequence[str], segment: str,
-                        factor: float = 2.5, min_n: int = 10, method: str = "auto",
-                        exact_limit: int = 5_000_000, accuracy: int = 10000) -> DataFrame:
+                        factor: float = 2.5, min_n: int = 10) -> DataFrame:
     """C-1: per segment, drop rows outside [Q1 - f*IQR, Q3 + f*IQR].
 
     Columns are processed in order, each on the rows left by the previous
     one. A segment is only trimmed when it has more than ``min_n`` rows and a
     positive IQR; rows with a null segment are never removed. Quartiles are
-    exact (linear interpolation) unless the largest segment exceeds
-    ``exact_limit`` rows, where the mergeable approximate sketch is used so a
-    dominant segment never has to be buffered by one task.
-    """
+    exact at any size (linear interpolation, :mod:`.quantiles`)."""
     out = df
-    # rows only ever leave, so the first segment count bounds every later one
-    how = _pick_method(out, segment, method, exact_limit)
     for col in columns:
         if col not in out.columns:
             continue
         out = out.withColumn(col, to_number(col))
-        v = F.col(col)
-        q = (F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))) if how == "exact"
-             else F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.75)), accuracy))
-        stats = (out.where(F.col(segment).isNotNull()).groupBy(segment)
-                 .agg(F.count(F.lit(1)).alias("__n"), q.alias("__q"))
-                 .where((F.col("__n") > min_n) & ((F.col("__q")[1] - F.col("__q")[0]) > 0))
-                 .select(segment,
-                         (F.col("__q")[0] - factor * (F.col("__q")[1] - F.col("__q")[0])).alias("__lo"),
-                         (F.col("__q")[1] + factor * (F.col("__q")[1] - F.col("__q")[0])).alias("__hi")))
-        out = (out.join(stats, segment, "left")
+        v, q = F.col(col), F.col("q")
+        stats = (exact_quantiles(out, col, (0.25, 0.75), [segment])
+                 .where((F.col("n") > min_n) & ((q[1] - q[0]) > 0))
+                 .select(F.col(segment).alias("__seg"),
+                         (q[0] - factor * (q[1] - q[0])).alias("__lo"),
+                         (q[1] + factor * (q[1] - q[0])).alias("__hi")))
+        out = (out.join(small_side(stats), F.col(segment) == F.col("__seg"), "left")
                .where(F.col("__lo").isNull() | ((v >= F.col("__lo")) & (v <= F.col("__hi"))))
-               .drop("__lo", "__hi"))
+               .drop("__seg", "__lo", "__hi"))
     return out
 
 

@@ -22,40 +22,37 @@ from ..functions.columns import clean_category
 from ..session import cut_lineage
 from .effects import two_sample_t
 from .opportunity import category_mode
+from .quantiles import exact_quantiles, small_side
 
 
 def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_encoded") -> DataFrame:
     """K-2: code = position of the value among the sorted distinct values
-    (nulls filled with 'Unknown' first). Each code table has one row per
-    distinct value and is derived from the same materialised input."""
+    (nulls filled with 'Unknown' first). The distinct values are range
+    partitioned and numbered within each partition; the partitions' counts give
+    the offsets, so no task sees all values."""
     base = cut_lineage(df.withColumns({c: clean_category(c) for c in cols}))
     out = base
     for c in cols:
-        codes = (base.select(c).distinct()
-                 .withColumn(f"{c}{suffix}", (F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(c)) - 1)
-                             .cast("int")))
-        out = out.join(codes, c, "left")
+        values = cut_lineage(base.select(c).distinct().repartitionByRange(c).withColumn("__p", F.spark_partition_id()))
+        sizes = values.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+        before = sizes.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(
+            Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))  # a row per partition
+        codes = (values.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(c)) - 1)
+                 .join(before, F.col("__p") == F.col("__q"))
+                 .select(F.col(c).alias("__value"), (F.col("__r") + F.col("__o")).cast("int").alias(f"{c}{suffix}")))
+        out = out.join(small_side(codes), F.col(c) == F.col("__value"), "left").drop("__value")
     return out
 
 
-def robust_scale(df: DataFrame, cols: Sequence[str], method: str = "auto",
-                 accuracy: int = 10000, suffix: str = "", exact_limit: int = 5_000_000) -> DataFrame:
+def robust_scale(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
     """K-3: (x - median) / IQR per column; a zero IQR divides by 1 (so rare
-    binary columns keep their signal). Medians and quartiles of all columns
-    come from one aggregation: exact (linear interpolation) up to
-    ``exact_limit`` rows, the mergeable approximate sketch above it."""
-    if method == "auto":
-        method = "exact" if df.count() <= exact_limit else "approx"
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-        q = F.percentile(x, probs) if method == "exact" else F.percentile_approx(x, probs, accuracy)
-        aggs.append(q.alias(f"q{i}"))
-    r = df.agg(*aggs).first()
+    binary columns keep their signal). Medians and quartiles of all columns are
+    exact at any size and come from one pass over (column, value)."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in cols])).alias("s")).select("s.*")
+    found = {r["c"]: r["q"] for r in exact_quantiles(long, "x", (0.25, 0.5, 0.75), ["c"]).collect()}  # a row per column
     out = df
-    for i, c in enumerate(cols):
-        q1, med, q3 = r[f"q{i}"] if r[f"q{i}"] is not None else (0.0, 0.0, 0.0)
+    for c in cols:
+        q1, med, q3 = found.get(c, (0.0, 0.0, 0.0))
         iqr = (q3 - q1) or 1.0
         out = out.withColumn(f"{c}{suffix}", (F.col(c).cast("double") - F.lit(med)) / F.lit(iqr))
     return out
@@ -67,9 +64,13 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=list(cols), outputCol=out).transform(filled)
 
 
-def fit_kmeans(df: DataFrame, k: int, seeds: Sequence[int] = (42, 43, 44),
-               features: str = "features", out: str = "cluster", max_iter: int = 20) -> DataFrame:
-    """K-5: k-means (k-means|| start), best (lowest cost) of several seeded runs."""
+SEEDS = tuple(range(42, 52))  # ten starts
+
+
+def fit_kmeans(df: DataFrame, k: int, seeds: Sequence[int] = SEEDS,
+               features: str = "features", out: str = "cluster", max_iter: int = 300) -> DataFrame:
+    """K-5: k-means (k-means|| start), best (lowest cost) of ten seeded runs, each
+    until it converges."""
     best = None
     for s in seeds:
         m = KMeans(k=k, seed=s, featuresCol=features, predictionCol=out, maxIter=max_iter).fit(df)
@@ -100,15 +101,17 @@ def calinski_harabasz(pred: DataFrame, features: str = "features", cluster: str
     d = len(arr.first()["v"])
     aggs = [F.count(F.lit(1)).alias("n")]
     for j in range(d):
-        aggs += [F.sum(F.col("v")[j]).alias(f"s{j}"), F.sum(F.col("v")[j] ** 2).alias(f"q{j}")]
+        aggs += [F.avg(F.col("v")[j]).alias(f"m{j}"), F.var_pop(F.col("v")[j]).alias(f"q{j}")]
     rows = arr.groupBy("c").agg(*aggs).collect()          # one row per cluster
     k = len(rows)
     n = sum(r["n"] for r in rows)
     if k < 2 or n <= k:
         return float("nan")
-    within = sum(r[f"q{j}"] - r[f"s{j}"] ** 2 / r["n"] for r in rows for j in range(d))
-    total = sum(sum(r[f"q{j}"] for r in rows) - sum(r[f"s{j}"] for r in rows) ** 2 / n for j in range(d))
-    between = total - within
+    within = sum(r[f"q{j}"] * r["n"] for r in rows for j in range(d))
+    between = 0.0
+    for j in range(d):
+        mean = sum(r[f"m{j}"] * r["n"] for r in rows) / n
+        between += sum(r["n"] * (r[f"m{j}"] - mean) ** 2 for r in rows)
     return float((between / (k - 1)) / (within / (n - k))) if within > 0 else float("inf")
 
 
@@ -135,7 +138,7 @@ def composite_score(balance: float, sil: float, ch: float) -> float:
 
 
 def cluster_sweep(x: DataFrame, arm: str, ks: Sequence[int] = range(3, 8),
-                  seeds: Sequence[int] = (42, 43, 44), min_size: int = 10, min_ratio: float = 0.3,
+                  seeds: Sequence[int] = SEEDS, min_size: int = 10, min_ratio: float = 0.3,
                   parallel: int = 4):
     """K-5 .. K-10: fit both algorithms for every k, score them, and return
     (scores DataFrame, best prediction DataFrame or None). Q-20: when no

@@ -1,25 +1,24 @@
 """Propensity scores and 1:1 matching without replacement (M-1 .. M-8, J-9, J-10).
 
-Matching runs in proposal rounds, all on Spark:
-
-1. every free treated unit finds its nearest free control (distance, then
-   the lower control id) - found without enumerating pairs: treated and
-   control scores are sorted together inside score buckets, the previous /
-   next control comes from running ``last`` over the sorted rows, and a small
-   per-bucket table supplies the nearest control of neighbouring buckets;
-2. each control accepts its closest proposer (distance, then lower treated
-   id); accepted pairs are final;
-3. matched units leave the free sets (anti joins) and the free sets are
-   checkpointed to the shared checkpoint folder.
-
-Rounds stop when no free treated unit has a free control within the
-caliper, so the result is maximal: no unmatched pair within the caliper
-remains. Each round matches at least the globally closest remaining pair.
+The rule: of all pairs of a free treated and a free control within the caliper, the
+closest is matched first (ties: lower treated id, then lower control id), until none
+is left. That depends on no order of processing, so any set of pairs that nothing
+closer can disturb may be settled at once:
+
+1. units of equal score pair by rank, in one pass;
+2. units are cut into buckets of about ``BUCKET`` at quantiles of the score. A bucket
+   settles its pairs in order of distance, as long as they are closer than the
+   nearest unit outside the bucket that could take part; a pair that isn't holds
+   back its units, and with them what depends on them;
+3. matched units, and units without a partner within the caliper, leave; buckets
+   are cut anew from what is left, at shifted borders, until no pair is possible.
+
+Of units with one score only the ``BUCKET`` lowest ids take part in a pass, as lower
+ids go first; so a common score doesn't fill a bucket.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
@@ -56,9 +55,9 @@ def propensity_scores(df: DataFrame, label: str, numeric: Sequence[str],
     for col in categorical:
         # descending order puts the alphabetically first level last; dropLast removes it
         stages.append(StringIndexer(inputCol=f"__c_{col}", outputCol=f"__i_{col}",
-                                    stringOrderType="alphabetDesc", handleInvalid="keep"))
+                                    stringOrderType="alphabetDesc", handleInvalid="error"))
         stages.append(OneHotEncoder(inputCol=f"__i_{col}", outputCol=f"__o_{col}", dropLast=True,
-                                    handleInvalid="keep"))
+                                    handleInvalid="error"))
         feats.append(f"__o_{col}")
     stages.append(VectorAssembler(inputCols=feats, outputCol="__raw"))
     stages.append(StandardScaler(inputCol="__raw", outputCol="__std", withMean=True, withStd=True))
@@ -80,181 +79,173 @@ def propensity_scores(df: DataFrame, label: str, numeric: Sequence[str],
 
 # ---- J-9 / J-10 / M-2 / M-3 -------------------------------------------------------------
 
-def _nearest_free(t: DataFrame, c: DataFrame, width: float) -> DataFrame:
-    """For each free treated (tid, ts): its nearest free control (cid, cs)
-    by distance, then lower control id."""
-    u = (t.select(F.col("tid").alias("id"), F.col("ts").alias("s"), F.lit(1).alias("is_t"))
-         .unionByName(c.select(F.col("cid").alias("id"), F.col("cs").alias("s"), F.lit(0).alias("is_t")))
-         .withColumn("b", F.floor(F.col("s") / F.lit(width)).cast("long")))
-    ctrl = F.when(F.col("is_t") == 0, F.struct(F.col("s").alias("s"), F.col("id").alias("id")))
-    # ascending scan: controls before treated at equal score, lower id last among equal scores
-    w_up = (Window.partitionBy("b").orderBy(F.col("s"), F.col("is_t"), F.col("id").desc())
-            .rowsBetween(Window.unboundedPreceding, -1))
-    w_dn = (Window.partitionBy("b").orderBy(F.col("s").desc(), F.col("is_t"), F.col("id").desc())
-            .rowsBetween(Window.unboundedPreceding, -1))
-    scanned = (u.withColumn("prev", F.last(ctrl, ignorenulls=True).over(w_up))
-               .withColumn("next", F.last(ctrl, ignorenulls=True).over(w_dn))
-               .where(F.col("is_t") == 1))
-    # nearest control of lower / higher non-empty buckets (table of bucket extremes)
-    cb = (c.withColumn("b", F.floor(F.col("cs") / F.lit(width)).cast("long"))
-          .groupBy("b").agg(F.max_by(F.struct(F.col("cs").alias("s"), F.col("cid").alias("id")),
-                                     F.struct(F.col("cs"), -F.col("cid"))).alias("hi"),
-                            F.min_by(F.struct(F.col("cs").alias("s"), F.col("cid").alias("id")),
-                                     F.struct(F.col("cs"), F.col("cid"))).alias("lo")))
-    tb = scanned.select("b").distinct()
-    allb = cb.select("b", "hi", "lo").unionByName(
-        tb.join(cb, "b", "left_anti").select("b", F.lit(None).alias("hi"), F.lit(None).alias("lo")),
-        allowMissingColumns=True)
-    wb_up = Window.partitionBy(F.lit(0)).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    wb_dn = Window.partitionBy(F.lit(0)).orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    nb = (allb.withColumn("below", F.last("hi", ignorenulls=True).over(wb_up))
-          .withColumn("above", F.last("lo", ignorenulls=True).over(wb_dn))
-          .select("b", "below", "above"))
-    j = scanned.join(F.broadcast(nb), "b", "left")
-    prev = F.coalesce(F.col("prev"), F.col("below"))
-    nxt = F.coalesce(F.col("next"), F.col("above"))
-    dp = F.col("s") - prev.s
-    dn = nxt.s - F.col("s")
-    pick_prev = nxt.isNull() | (prev.isNotNull() & ((dp < dn) | ((dp == dn) & (prev.id < nxt.id))))
-    best = F.when(prev.isNull() & nxt.isNull(), None).when(pick_prev, prev).otherwise(nxt)
-    return (j.select(F.col("id").alias("tid"), F.col("s").alias("ts"), best.alias("m"))
-            .where(F.col("m").isNotNull())
-            .select("tid", "ts", F.col("m.id").alias("cid"), F.col("m.s").alias("cs"),
-                    F.abs(F.col("m.s") - F.col("ts")).alias("dist")))
-
-
-def _rounds_local(t_id, t_s, c_id, c_s, caliper, first_round):
-    """The proposal-round rule on small in-memory arrays (same tie rules as
-    the Spark rounds): returns (tid, cid, dist, round) lists."""
-    import numpy as np
-    order = np.lexsort((c_id, c_s))
-    cs, cid = c_s[order].astype(float), c_id[order]
-    ts, tid = t_s.astype(float), t_id.copy()
-    out_t, out_c, out_d, out_r = [], [], [], []
-    rnd = first_round
-    while len(ts) and len(cs):
-        pos = np.searchsorted(cs, ts, side="left")
-        has_r = pos < len(cs)
-        has_l = pos > 0
-        ri = np.minimum(pos, len(cs) - 1)
-        lval = cs[np.maximum(pos - 1, 0)]
-        li = np.searchsorted(cs, lval, side="left")        # lowest id among equal scores
-        dr = np.where(has_r, cs[ri] - ts, np.inf)
-        dl = np.where(has_l, ts - lval, np.inf)
-        pick_l = (dl < dr) | ((dl == dr) & has_l & (cid[li] < cid[ri]))
-        ci = np.where(pick_l, li, ri)
-        dist = np.abs(cs[ci] - ts)
-        ok = np.isfinite(np.where(pick_l, dl, dr))
-        if caliper is not None:
-            ok &= dist <= caliper
-        if not ok.any():
-            break
-        pi, pc, pd_ = np.nonzero(ok)[0], ci[ok], dist[ok]
-        o = np.lexsort((tid[pi], pd_, pc))                  # per control: closest, then lower id
-        pc_o = pc[o]
-        first = np.r_[True, pc_o[1:] != pc_o[:-1]]
-        win_t, win_c, win_d = pi[o][first], pc_o[first], pd_[o][first]
-        out_t += tid[win_t].tolist()
-        out_c += cid[win_c].tolist()
-        out_d += win_d.tolist()
-        out_r += [rnd] * len(win_t)
-        keep_t = np.ones(len(ts), bool)
-        keep_t[win_t] = False
-        keep_c = np.ones(len(cs), bool)
-        keep_c[win_c] = False
-        ts, tid = ts[keep_t], tid[keep_t]
-        cs, cid = cs[keep_c], cid[keep_c]
-        rnd += 1
-    return out_t, out_c, out_d, out_r
-
-
-def _finish_local(t: DataFrame, c: DataFrame, caliper, first_round: int) -> DataFrame:
-    """Finish the rounds in one grouped pandas task; callers only use it after
-    checking that both free sets are within fixed size limits."""
-    import numpy as np
+BUCKET = 10_000
+
+
+def _settle(ids, arm, score, caliper, outside) -> list[tuple[int, int, float]]:
+    """Pairs (row, row, distance) of one bucket. ``outside``: scores just beyond the
+    bucket, (control below, control above, treated below, treated above), None if
+    there is none."""
+    import heapq
+    order = sorted(range(len(ids)), key=lambda i: (score[i], arm[i], ids[i]))
+    blocks: list[list] = []                 # [score, arm, rows by id (lowest last), held back, left, right]
+    for i in order:
+        if blocks and blocks[-1][0] == score[i] and blocks[-1][1] == arm[i]:
+            blocks[-1][2].append(i)
+        else:
+            blocks.append([score[i], arm[i], [i], False, len(blocks) - 1, len(blocks) + 1])
+    for k in blocks:
+        k[2].reverse()
+    blocks[-1][5] = -1
+    heap: list = []
+
+    def offer(left: int, right: int) -> None:
+        if left < 0 or right < 0 or blocks[left][1] == blocks[right][1]:
+            return
+        t, c = (left, right) if blocks[left][1] else (right, left)
+        d = blocks[right][0] - blocks[left][0]
+        if caliper is None or d <= caliper:
+            a, b = blocks[t][2][-1], blocks[c][2][-1]
+            heapq.heappush(heap, (d, ids[a], ids[b], t, c, a, b))
+
+    def safe(d: float, s: float, below, above) -> bool:
+        return (below is None or d < s - below) and (above is None or d < above - s)
+
+    for k in range(len(blocks) - 1):
+        offer(k, k + 1)
+    pairs = []
+    while heap:
+        d, _, _, t, c, a, b = heapq.heappop(heap)
+        bt, bc = blocks[t], blocks[c]
+        if not bt[2] or not bc[2] or bt[2][-1] != a or bc[2][-1] != b:
+            continue                        # an end has moved on; its own offer was made then
+        if bt[3] or bc[3] or not (safe(d, bt[0], outside[0], outside[1]) and safe(d, bc[0], outside[2], outside[3])):
+            bt[3] = bc[3] = True            # what is farther waits for these two
+            continue
+        pairs.append((a, b, d))
+        for k in (t, c):
+            blocks[k][2].pop()
+            if not blocks[k][2]:
+                left, right = blocks[k][4], blocks[k][5]
+                if left >= 0:
+                    blocks[left][5] = right
+                if right >= 0:
+                    blocks[right][4] = left
+                offer(left, right)
+        for k in (t, c):
+            if blocks[k][2]:
+                offer(blocks[k][4], k)
+                offer(k, blocks[k][5])
+    return pairs
+
+
+def _equal_scores(units: DataFrame) -> DataFrame:
+    """Pairs of units with the same score, by rank of id."""
+    at = Window.partitionBy("s", "arm").orderBy("id")
+    both = units.join(units.groupBy("s").agg(F.countDistinct("arm").alias("__arms")).where("__arms > 1")
+                      .select(F.col("s").alias("__s")), F.col("s") == F.col("__s")).drop("__s")
+    ranked = both.withColumn("r", F.row_number().over(at))
+    t = ranked.where("arm = 1").select(F.col("id").alias("treatment_id"), "s", "r")
+    c = ranked.where("arm = 0").select(F.col("id").alias("control_id"), F.col("s").alias("__s"), F.col("r").alias("__r"))
+    return (t.join(c, (F.col("s") == F.col("__s")) & (F.col("r") == F.col("__r")))
+            .select("treatment_id", "control_id", F.lit(0.0).alias("distance"), F.lit(0).alias("round")))
+
+
+def _without(units: DataFrame, pairs: DataFrame) -> DataFrame:
+    gone = (pairs.select(F.lit(1).alias("__arm"), F.col("treatment_id").alias("__id"))
+            .unionByName(pairs.select(F.lit(0).alias("__arm"), F.col("control_id").alias("__id"))))
+    return units.join(gone, (F.col("id") == F.col("__id")) & (F.col("arm") == F.col("__arm")), "left_anti")
+
+
+def _pass(units: DataFrame, count: int, size: int, shift: float, caliper, number: int, kind) -> DataFrame:
+    """The pairs that one pass settles."""
     import pandas as pd
-    u = (t.select(F.lit(0).alias("g"), F.lit(1).alias("is_t"), F.col("tid").alias("id"), F.col("ts").alias("s"))
-         .unionByName(c.select(F.lit(0).alias("g"), F.lit(0).alias("is_t"), F.col("cid").alias("id"),
-                               F.col("cs").alias("s"))))
+    spark = units.sparkSession
+    n = max(1, round(count / size))
+    probs = [(i + shift) / n for i in range(n) if 0 < (i + shift) / n < 1] if n > 1 else []
+    cuts = units.agg(F.percentile_approx("s", F.array(*[F.lit(p) for p in probs]), max(10_000, 10 * n)).alias("c")).first()["c"] if probs else []
+    cuts = sorted(set(cuts))
+    starts = spark.sparkContext.broadcast(cuts)  # one number per bucket
+    place = F.pandas_udf(lambda s: pd.Series(_search(starts.value, s)), "int")
+    dealt = units.withColumn("b", place("s")) if cuts else units.withColumn("b", F.lit(0))
+    top = Window.partitionBy("s", "arm").orderBy("id")
+    dealt = dealt.withColumn("__r", F.row_number().over(top)).where(F.col("__r") <= size).drop("__r")
+    ends = dealt.groupBy("b").agg(*[f(F.when(F.col("arm") == k, F.col("s"))).alias(f"{name}{k}") for k in (0, 1)
+                                    for name, f in (("lo", F.min), ("hi", F.max))])
+    rows = sorted(ends.collect(), key=lambda r: r["b"])  # one row per bucket
+    edge = {}
+    low = [None, None]
+    for r in rows:
+        edge[r["b"]] = [low[0], None, low[1], None]
+        low = [r[f"hi{k}"] if r[f"hi{k}"] is not None else low[k] for k in (0, 1)]
+    high = [None, None]
+    for r in reversed(rows):
+        edge[r["b"]][1], edge[r["b"]][3] = high
+        high = [r[f"lo{k}"] if r[f"lo{k}"] is not None else high[k] for k in (0, 1)]
+    edges = spark.sparkContext.broadcast(edge)
+
+    def run(key, pdf):
+        ids, arm, s = pdf["id"].tolist(), pdf["arm"].tolist(), pdf["s"].tolist()
+        got = _settle(ids, arm, s, caliper, edges.value[key[0]])
+        return pd.DataFrame({"treatment_id": pd.Series([ids[a] for a, _, _ in got], dtype=object),
+                             "control_id": pd.Series([ids[b] for _, b, _ in got], dtype=object),
+                             "distance": pd.Series([d for _, _, d in got], dtype="float64"), "round": number})
+
+    return dealt.select("b", "id", "arm", "s").groupBy("b").applyInPandas(
+        run, f"treatment_id {kind}, control_id {kind}, distance double, round int")
 
-    def fn(pdf):
-        tt, cc = pdf[pdf.is_t == 1], pdf[pdf.is_t == 0]
-        a, b, d, r = _rounds_local(tt.id.to_numpy(np.int64), tt.s.to_numpy(), cc.id.to_numpy(np.int64),
-                                   cc.s.to_numpy(), caliper, first_round)
-        return pd.DataFrame({"treatment_id": pd.Series(a, dtype="int64"), "control_id": pd.Series(b, dtype="int64"),
-                             "distance": pd.Series(d, dtype="float64"), "round": pd.Series(r, dtype="int32")})
-    return u.groupBy("g").applyInPandas(fn, "treatment_id long, control_id long, distance double, round int")
+
+def _search(cuts: list, scores):
+    import numpy as np
+    return np.searchsorted(np.asarray(cuts), scores.to_numpy(), side="right").astype("int32")
+
+
+def _reachable(units: DataFrame, caliper: float) -> DataFrame:
+    """Units with a unit of the other arm in their own or a neighbouring caliper-wide
+    cell; the others can't match, now or later."""
+    cell = units.withColumn("__cell", F.floor(F.col("s") / F.lit(caliper)))
+    other = (cell.select("arm", "__cell").distinct()
+             .select((1 - F.col("arm")).alias("__arm"), F.explode(F.array(*[F.col("__cell") + k for k in (-1, 0, 1)])).alias("__at")).distinct())
+    return cell.join(other, (F.col("arm") == F.col("__arm")) & (F.col("__cell") == F.col("__at")), "left_semi").drop("__cell")
 
 
 def match_nearest(units: DataFrame, id_col: str, arm: str, score: str,
-                  caliper: float | None = 0.1, buckets: int = 1024,
-                  checkpoint: bool = True, cut_every: int = 1, tail_treated: int = 5000,
-                  tail_controls: int = 200000) -> DataFrame:
-    """M-2 (``caliper`` set, absolute score units) / M-3 (``caliper=None``):
-    1:1 nearest-neighbour matching without replacement.
-
-    Returns ``(treatment_id, control_id, distance, round)``. Bucket width is
-    min(caliper, score range / ``buckets``); the nearest control of the nearest
-    non-empty lower / upper bucket covers partners outside a unit's bucket.
-
-    Tail: once at most ``tail_treated`` treated units are free and at most
-    ``tail_controls`` free controls lie within reach of them (both counted),
-    the remaining rounds run with the same rule in one pandas task. With
-    larger free sets the rounds simply continue on Spark, so the result does
-    not depend on the limits."""
+                  caliper: float | None = 0.1, bucket: int = BUCKET) -> DataFrame:
+    """M-2 (``caliper`` set, absolute score units) / M-3 (``caliper=None``): 1:1
+    matching without replacement, the closest pair first. Ids are of any type
+    that orders.
+
+    Returns ``(treatment_id, control_id, distance, round)``; ``round`` is the pass
+    that settled the pair. A pass without a pair doubles the buckets, so passes end."""
+    if caliper is not None and caliper <= 0:
+        caliper = 0.0
     s = F.col(score).cast("double")
-    base = units.where(s.isNotNull() & F.col(arm).isNotNull())
-    t = base.where(F.col(arm) == 1).select(F.col(id_col).alias("tid"), s.alias("ts"))
-    c = base.where(F.col(arm) != 1).select(F.col(id_col).alias("cid"), s.alias("cs"))
-    # window partitions are score buckets: at most the caliper wide and at most
-    # range / buckets wide, so the sort work spreads over about ``buckets`` tasks;
-    # partners in non-adjacent buckets come from the bucket-extremes table
-    r = base.agg(F.min(s).alias("lo"), F.max(s).alias("hi")).first()
-    span = (r["hi"] - r["lo"]) if r["lo"] is not None else 0.0
-    width = span / buckets if span > 0 else 1.0
-    if caliper is not None:
-        width = min(float(caliper), width) if span > 0 else float(caliper)
-    reach_b = int(math.ceil(caliper / width)) if caliper is not None else 0
-    spark = units.sparkSession
-    found = []
-    rnd = 0
-    while True:
-        rnd += 1
-        prop = _nearest_free(t, c, width)
+    kind = dict(units.dtypes)[id_col]
+    free = cut_lineage(units.where(s.isNotNull() & F.col(arm).isNotNull())
+                       .select(F.col(id_col).alias("id"), F.when(F.col(arm) == 1, 1).otherwise(0).alias("arm"), s.alias("s")))
+    pairs = cut_lineage(_equal_scores(free))
+    found, number, size = [pairs], 0, bucket
+    free = cut_lineage(_without(free, pairs))
+    while caliper != 0.0:
         if caliper is not None:
-            prop = prop.where(F.col("dist") <= F.lit(caliper))
-        acc = (prop.groupBy("cid")
-               .agg(F.min_by(F.struct("tid", "dist"), F.struct("dist", "tid")).alias("w"))
-               .select(F.col("w.tid").alias("treatment_id"), F.col("cid").alias("control_id"),
-                       F.col("w.dist").alias("distance"), F.lit(rnd).alias("round")))
-        # each round's pairs are final: materialise them once
-        acc = cut_lineage(acc) if checkpoint else acc.cache()
-        if acc.isEmpty():
+            free = cut_lineage(_reachable(free, caliper))
+        arms = free.agg(F.count_if(F.col("arm") == 1).alias("t"), F.count_if(F.col("arm") == 0).alias("c")).first()
+        if not arms["t"] or not arms["c"]:
             break
-        found.append(acc)
-        t = t.join(acc.select(F.col("treatment_id").alias("tid")), "tid", "left_anti")
-        c = c.join(acc.select(F.col("control_id").alias("cid")), "cid", "left_anti")
-        if checkpoint and rnd % cut_every == 0:
-            t, c = cut_lineage(t), cut_lineage(c)
-        if tail_treated and t.count() <= tail_treated:
-            if caliper is not None:
-                tb = t.select(F.floor(F.col("ts") / F.lit(width)).cast("long").alias("b")).distinct()
-                near = tb.select(F.explode(F.sequence(F.col("b") - reach_b, F.col("b") + reach_b)).alias("b")).distinct()
-                reach = (c.withColumn("b", F.floor(F.col("cs") / F.lit(width)).cast("long"))
-                         .join(near, "b", "left_semi").drop("b"))
-            else:
-                reach = c
-            if reach.count() <= tail_controls:
-                tail = cut_lineage(_finish_local(t, reach, caliper, rnd + 1)) if checkpoint else \
-                    _finish_local(t, reach, caliper, rnd + 1).cache()
-                found.append(tail)
+        number += 1
+        got = _pass(free, arms["t"] + arms["c"], size, 0.5 * (number % 2), caliper, number, kind)
+        got = cut_lineage(got)
+        if got.isEmpty():
+            if arms["t"] + arms["c"] <= size:
                 break
-    if not found:
-        return spark.createDataFrame([], "treatment_id long, control_id long, distance double, round int")
-    pairs = found[0]
-    for a in found[1:]:
-        pairs = pairs.unionByName(a)
-    return pairs
+            size *= 2
+            continue
+        found.append(got)
+        free = cut_lineage(_without(free, got))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def match_report(pairs: DataFrame, units: DataFrame, arm: str) -> DataFrame:

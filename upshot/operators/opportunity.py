@@ -21,6 +21,12 @@ OPP_ATTRS = ("opp_id", "account_id", "group_type", "organization", "opp_arr",
              "is_closed", "is_won")
 
 
+def money_sum(amount: Column | str) -> Column:
+    """Sum of amounts in whole cents, added as decimals: exact whatever the order."""
+    x = F.col(amount) if isinstance(amount, str) else amount
+    return F.sum(x.cast("decimal(20,2)")).cast("double")
+
+
 def win_rate(closed: Column, won: Column, cap: bool = True) -> Column:
     """A-6: won / closed, 0 when nothing closed; optionally capped at 1."""
     r = F.coalesce(F.try_divide(won.cast("double"), F.nullif(closed, F.lit(0)).cast("double")),
@@ -40,7 +46,7 @@ def account_arr_metrics(table: DataFrame, account_cols: Sequence[str]) -> DataFr
     opp = (table.select(*account_cols, "opp_id", "opp_arr", "is_won", "is_closed")
            .distinct())
     g = opp.groupBy(*account_cols).agg(
-        F.coalesce(F.sum("opp_arr"), F.lit(0.0)).alias("real_total_arr"),
+        F.coalesce(money_sum("opp_arr"), F.lit(0.0)).alias("real_total_arr"),
         F.count("opp_id").alias("total_opportunities"),
         F.count_if(F.col("is_won")).alias("won_opportunities"),
         F.count_if(F.col("is_closed")).alias("closed_opportunities"))
@@ -66,7 +72,7 @@ def type_kpis(table: DataFrame, region: str | None = None) -> DataFrame:
     return t.groupBy("engagement_type").agg(
         F.countDistinct("account_id").alias("accounts"),
         F.countDistinct("opp_id").alias("opportunities"),
-        F.sum(arr).alias("total_arr"), F.avg(arr).alias("avg_arr_per_opp"),
+        money_sum(arr).alias("total_arr"), F.avg(arr).alias("avg_arr_per_opp"),
         closed.alias("closed_opps"), won.alias("won_opps"),
         win_rate(closed, won).alias("win_rate"))
 
@@ -118,7 +124,7 @@ def direct_vs_attributed(table: DataFrame, region: str | None = None) -> DataFra
         F.count(F.lit(1)).alias("total_opportunities"),
         won_closed.alias("won_opportunities"),
         win_rate(closed, won_closed).alias("win_rate"),
-        F.avg(arr).alias("avg_arr_per_opp"), F.sum(arr).alias("total_arr"),
+        F.avg(arr).alias("avg_arr_per_opp"), money_sum(arr).alias("total_arr"),
         F.count_if(F.col("is_won")).alias("__wins"))
     # the chi-square uses four counts of a table with at most three rows: fetch them
     cnt = {r["engagement_category"]: (r["__wins"], r["total_opportunities"])
@@ -148,8 +154,8 @@ def _arm_compare(opp: DataFrame, by: Sequence[str], min_opps: int, with_p: bool)
     t, c = F.col("__t") == 1, F.col("__t") == 0
     g = opp.groupBy(*by).agg(
         F.count_if(t).alias("treatment_opps"), F.count_if(c).alias("control_opps"),
-        F.sum(F.when(t, F.col("opp_arr"))).alias("treatment_arr"),
-        F.sum(F.when(c, F.col("opp_arr"))).alias("control_arr"),
+        money_sum(F.when(t, F.col("opp_arr"))).alias("treatment_arr"),
+        money_sum(F.when(c, F.col("opp_arr"))).alias("control_arr"),
         F.countDistinct(F.when(t, F.col("account_id"))).alias("treatment_accounts"),
         F.countDistinct(F.when(c, F.col("account_id"))).alias("control_accounts"),
         F.count_if(t & F.col("is_closed")).alias("t_closed"),
@@ -193,7 +199,7 @@ def type_pipeline_lift(table: DataFrame, min_opps: int = 5, lo: float = 0.0, hi:
     treated = (base.where((F.col("group_type") == "Treatment") & F.col("engagement_type").isNotNull())
                .select("engagement_type", *cols).distinct())
     control = base.where(F.col("group_type") == "Control").select(*cols).distinct()
-    c = control.agg(F.count(F.lit(1)).alias("opps"), F.sum("opp_arr").alias("arr"),
+    c = control.agg(F.count(F.lit(1)).alias("opps"), money_sum("opp_arr").alias("arr"),
                     F.countDistinct("account_id").alias("accounts"),
                     F.count_if(F.col("is_closed")).alias("closed"),
                     F.count_if(F.col("is_closed") & F.col("is_won")).alias("won")).first()
@@ -202,7 +208,7 @@ def type_pipeline_lift(table: DataFrame, min_opps: int = 5, lo: float = 0.0, hi:
     g = treated.groupBy("engagement_type").agg(
         F.countDistinct("account_id").alias("accounts"),
         F.count(F.lit(1)).alias("opportunities"),
-        F.sum("opp_arr").alias("__arr"),
+        money_sum("opp_arr").alias("__arr"),
         F.count_if(F.col("is_closed")).alias("t_closed"),
         F.count_if(F.col("is_closed") & F.col("is_won")).alias("t_won"))
     g = g.where(F.col("opportunities") > min_opps)
@@ -246,6 +252,6 @@ def effectiveness(table: DataFrame, region: str | None = None) -> DataFrame:
          .agg(F.countDistinct("account_id").alias("accounts"),
               F.count(F.lit(1)).alias("opportunities"), closed.alias("closed_opps"),
               win_rate(closed, won).alias("win_rate"), F.avg(arr).alias("avg_arr"),
-              F.sum(arr).alias("total_arr"), F.grouping_id().alias("__gid")))
+              money_sum(arr).alias("total_arr"), F.grouping_id().alias("__gid")))
     g = g.withColumn("level", F.when(F.col("__gid") == 0, "type_category").otherwise("type")).drop("__gid")
     return g.where((F.col("level") == "type") | F.col("product_category").isin("Security", "Resiliency"))

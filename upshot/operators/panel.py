@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def first_by(value: str, order: Column | str) -> Column:
     """First non-null value in ``order`` (a total order): pandas ``first``."""
@@ -39,21 +41,11 @@ def median_time(col: str) -> Column:
     return F.timestamp_seconds(F.percentile(secs, 0.5))
 
 
-def quartiles(df: DataFrame, value: str, by: Sequence[str] = (), method: str = "exact",
-              accuracy: int = 10000) -> DataFrame:
-    """A-14: Q1 and Q3 per segment (linear interpolation when exact).
-
-    ``method='approx'`` uses the mergeable ``percentile_approx`` sketch, which
-    is what a segment holding a large share of all rows needs."""
-    v = F.col(value).cast("double")
-    if method == "exact":
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)))
-    else:
-        q = F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.75)), accuracy)
-    aggs = [F.count(v).alias("n"), q.alias("__q")]
-    g = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    return (g.withColumn("q1", F.col("__q")[0]).withColumn("q3", F.col("__q")[1])
-            .withColumn("iqr", F.col("q3") - F.col("q1")).drop("__q"))
+def quartiles(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """A-14: Q1 and Q3 per segment, exact at any size (linear interpolation)."""
+    g = exact_quantiles(df, value, (0.25, 0.75), by)
+    return (g.withColumn("q1", F.col("q")[0]).withColumn("q3", F.col("q")[1])
+            .withColumn("iqr", F.col("q3") - F.col("q1")).drop("q"))
 
 
 def profile(df: DataFrame, unit: str, arm: str, numeric: Sequence[str]) -> DataFrame:

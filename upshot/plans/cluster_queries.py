@@ -14,7 +14,6 @@ ENCODED = ("segment", "phase", "industry", "organization")
 NUMERIC = PRODUCTS + ("real_total_arr", "total_opportunities", "won_opportunities",
                       "closed_opportunities", "has_security", "has_resiliency", "product_diversity")
 FEATURES = tuple(NUMERIC) + tuple(f"{c}_encoded" for c in ENCODED)
-_MEMO: dict = {}
 
 
 def clustering_input(spark, d):
@@ -30,12 +29,9 @@ def clustering_input(spark, d):
 
 
 def sweep(spark, d):
-    key = (id(spark), d)
-    if key not in _MEMO:
-        x = cut_lineage(clustering_input(spark, d))
-        scores, best = K.cluster_sweep(x, "treated")
-        _MEMO[key] = (x, scores, best)
-    return _MEMO[key]
+    x = cut_lineage(clustering_input(spark, d))
+    scores, best = K.cluster_sweep(x, "treated")
+    return x, scores, best
 
 
 def _scaled_sql() -> str:
@@ -64,7 +60,7 @@ def q_scaled(spark, d):
 @register("k5_k10_cluster_selection", doubles={"silhouette": 6, "calinski_harabasz": 4,
                                                "avg_balance_ratio": 6, "composite": 6})
 def q_selection(spark, d):
-    """K-5..K-10: k-means (best of 3 seeds) and bisecting k-means for k = 3..7 with silhouette,
+    """K-5..K-10: k-means (best of 10 starts) and bisecting k-means for k = 3..7 with silhouette,
     Calinski-Harabasz, arm balance and the composite selection score."""
     return sweep(spark, d)[1]
 

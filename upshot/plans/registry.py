@@ -29,10 +29,11 @@ class Query:
 
 REGISTRY: dict[str, Query] = {}
 
-# Relative nudge applied before rounding on both sides: values that sit
-# exactly on a rounding tie (means of fixed-point data) resolve the same way
-# in every engine instead of by last-bit summation noise.
-TIE_NUDGE = 1.00000000001
+# Decimals kept beyond the declared ones in a first rounding, on both sides. Means of
+# fixed-point data can sit on a rounding tie, where summation noise in the last bit
+# would decide; the first rounding removes that noise. It moves a value by less
+# than 10^-(k + GUARD) and leaves large sums as they are.
+GUARD = 5
 
 
 def finalize(df: DataFrame, doubles: dict[str, int], texts=()) -> DataFrame:
@@ -52,8 +53,10 @@ def finalize(df: DataFrame, doubles: dict[str, int], texts=()) -> DataFrame:
             if n not in doubles:
                 raise ValueError(f"double column {n!r} has no declared scale")
             k = doubles[n]
-            x = F.col(n).cast("double") * F.lit(TIE_NUDGE)
-            cols.append(F.round(x, k).cast(T.DecimalType(38, k)).alias(n))
+            if isinstance(f.dataType, T.DecimalType):
+                cols.append(F.round(F.col(n), k).cast(T.DecimalType(38, k)).alias(n))
+            else:
+                cols.append(F.round(F.round(F.col(n).cast("double"), k + GUARD), k).cast(T.DecimalType(38, k)).alias(n))
         elif isinstance(f.dataType, (T.DateType, T.TimestampType)) or n in texts:
             cols.append(F.col(n).cast("string").alias(n))
         else:
@@ -62,7 +65,7 @@ def finalize(df: DataFrame, doubles: dict[str, int], texts=()) -> DataFrame:
 
 
 def sql_finalize(inner: str, doubles: dict[str, int], texts=()) -> str:
-    parts = [f"CAST(round(CAST({c} AS DOUBLE) * CAST({TIE_NUDGE!r} AS DOUBLE), {k}) AS DECIMAL(38,{k})) AS {c}"
+    parts = [f"CAST(round(round(CAST({c} AS DOUBLE), {k + GUARD}), {k}) AS DECIMAL(38,{k})) AS {c}"
              for c, k in doubles.items()]
     parts += [f"CAST({c} AS VARCHAR) AS {c}" for c in texts]
     if not parts:
