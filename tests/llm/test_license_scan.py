@@ -7,7 +7,7 @@ from .conftest import prose, tricky_rows
 TEXTS = [None, "", "CC BY", "cc by cc by", "all rights Reserved. ALL RIGHTS RESERVED", "General Public License general public",
          "x " * 40 + "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files" + " y" * 30,
          "free of charge to any person obtaining a copy of this software", "Licensed under CC BY-NC 4.0.", "license version apache the under 2.0 licensed",
-         prose(1, 200) + " Released under the MIT License. " + prose(2, 200), "Éall rights reserved", "allé rights reserved"]
+         prose(1, 200) + " Released under the MIT License. " + prose(2, 200), "Éall rights reserved", "allé rights reserved", "cc by \u212aelvin", "\u212a \u0130n all rights reserved"]
 
 
 def brute(text):

@@ -37,6 +37,7 @@ BLOCK = 64
 STRIDE = 32
 THRESHOLD = 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Sentences of public licenses and license notices, by label.
@@ -73,8 +74,11 @@ def least_overlap(size: int) -> int:
 
 
 def words_of(text: Column) -> Column:
-    """The words, lower-cased in A-Z, in order."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """The words, lower-cased, in order. Lower-casing other letters than A-Z moves no
+    word bound and makes no ASCII word, but for the Kelvin sign, which would become
+    a k and so gives way to another letter sign first."""
+    lower = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u212b")))
+    return F.array_remove(F.split(lower, GAP), "")
 
 
 def _starts(words: Column, phrase: str) -> Column:
@@ -102,20 +106,28 @@ def base_columns(docs: DataFrame, words: str = "words") -> DataFrame:
             .withColumn("base", labels).drop("_starts"))
 
 
-def word_order(docs: DataFrame, words: str, vocabulary: list[str]) -> list[str]:
+def vocabulary(templates=TEMPLATES) -> list[str]:
+    return sorted(set().union(*(template_words(t) for _, t in templates)))
+
+
+def held_words(words: Column, templates=TEMPLATES) -> Column:
+    """The template words among the words, once each."""
+    return F.array_intersect(words, F.array(*map(F.lit, vocabulary(templates))))
+
+
+def word_order(docs: DataFrame, held: str, templates=TEMPLATES) -> list[str]:
     """The template words by the number of documents that hold them, then by the
     word. At most one row per template word reaches the driver."""
-    held = F.array_intersect(F.col(words), F.array(*map(F.lit, vocabulary)))
     counts = docs.select(F.explode(held).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()
     n = {r["w"]: r["n"] for r in counts}
-    return sorted(vocabulary, key=lambda w: (n.get(w, 0), w))
+    return sorted(vocabulary(templates), key=lambda w: (n.get(w, 0), w))
 
 
-def template_matches(docs: DataFrame, key: str, words: str, templates=TEMPLATES) -> DataFrame:
-    """Rows (key, block, template, overlap, size) of all blocks and templates that meet the threshold."""
+def template_matches(docs: DataFrame, key: str, words: str, order: list[str], templates=TEMPLATES) -> DataFrame:
+    """Rows (key, block, template, overlap, size) of all blocks and templates that
+    meet the threshold; ``order`` is the global order of :func:`word_order`."""
     spark = docs.sparkSession
     sets = [template_words(t) for _, t in templates]
-    order = word_order(docs, words, sorted(set().union(*sets)))
     rank = {w: k for k, w in enumerate(order, 1)}
     rows, heads = [], set()
     for tid, s in enumerate(sets):
@@ -124,15 +136,15 @@ def template_matches(docs: DataFrame, key: str, words: str, templates=TEMPLATES)
             rows.append((r, tid, i, len(ranks), need, ranks))
             heads.add(order[r - 1])
     index = spark.createDataFrame(rows, "rank int, template int, i int, size int, need int, ranks array<int>")  # bounded by the templates
-    vocabulary = F.array(*map(F.lit, order))
+    ordered = F.array(*map(F.lit, order))
     head_words = F.array(*map(F.lit, sorted(heads)))
     least = min(least_overlap(len(s)) for s in sets)
     blocks = (docs.where(F.arrays_overlap(F.col(words), head_words))
               .select(F.col(key).alias("key"), F.col(words).alias("_w"),
                       F.explode(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(STRIDE))).alias("block"))
-              .select("key", "block", F.array_intersect(F.slice("_w", F.col("block") + 1, BLOCK), vocabulary).alias("held"))
+              .select("key", "block", F.array_intersect(F.slice("_w", F.col("block") + 1, BLOCK), ordered).alias("held"))
               .where((F.size("held") >= least) & F.arrays_overlap("held", head_words))
-              .select("key", "block", F.sort_array(F.transform("held", lambda w: F.array_position(vocabulary, w).cast("int"))).alias("held")))
+              .select("key", "block", F.sort_array(F.transform("held", lambda w: F.array_position(ordered, w).cast("int"))).alias("held")))
     probes = blocks.select("key", "block", "held", F.posexplode("held").alias("j", "rank"))
     met = (probes.join(F.broadcast(index), "rank")
            .where((F.size("held") >= F.col("need")) & (F.col("j") <= F.size("held") - F.col("need"))))
@@ -148,9 +160,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     ``score``, the largest share of a template's words found together, and
     ``blocks``, first words of the matching blocks."""
     worded = docs.select(F.col(f"`{id_col}`").alias("id"), words_of(F.col(f"`{text_col}`").cast("string")).alias("words"))
-    base, _ = materialise(base_columns(worded).drop("words"), "base")
+    base, _ = materialise(base_columns(worded).withColumn("held", held_words(F.col("words"), templates)).drop("words"), "base")
+    order = word_order(base.where("id is not null"), "held", templates)
     names = F.array(*[F.lit(label) for label, _ in templates])
-    found = (template_matches(worded.where("id is not null"), "id", "words", templates)
+    found = (template_matches(worded.where("id is not null"), "id", "words", order, templates)
              .groupBy(F.col("key").alias("_key"))
              .agg(F.max(F.col("overlap") / F.col("size")).alias("best"), F.collect_set(F.get(names, F.col("template"))).alias("own"),
                   F.sort_array(F.collect_set("block")).alias("blocks")))
