@@ -149,7 +149,6 @@ def cluster_sweep(x: DataFrame, arm: str, ks: Sequence[int] = range(3, 8),
     def run(cfg):
         alg, k = cfg
         p = fit_kmeans(x, k, seeds) if alg == "kmeans" else fit_bisecting(x, k, seeds[0])
-        p = cut_lineage(p)
         sil, ch = silhouette(p), calinski_harabasz(p)
         bal = cluster_balance(p, arm, min_size=min_size, min_ratio=min_ratio)
         s = bal.agg(F.count_if("is_valid").alias("v"),
@@ -172,7 +171,8 @@ def cluster_sweep(x: DataFrame, arm: str, ks: Sequence[int] = range(3, 8),
     best = max(ok, key=lambda r: r[6]) if ok else None
     scores = scores.withColumn("best", F.lit(False) if best is None else
                                (F.col("algorithm") == best[0]) & (F.col("n_clusters") == best[1]))
-    return scores, (preds[(best[0], best[1])] if best else None)
+    # predictions are the fitted models over the one stored input; only the winner's are written
+    return scores, (cut_lineage(preds[(best[0], best[1])]) if best else None)
 
 
 def cluster_profile(pred: DataFrame, arm: str, cluster: str = "cluster") -> DataFrame:

@@ -20,7 +20,8 @@ def did(panel: DataFrame, unit: str, period: str, arm: str, outcomes: Sequence[s
     The panel is first reduced to one row per (unit, period) (mean outcome,
     the unit's flag; A-2). ``split`` is the post indicator; by default rows
     at or after the median period (over the input rows, A-13) are post.
-    SE = sqrt(sum over cells of s^2 / n); t = estimate / SE (0 when SE = 0).
+    SE = sqrt(sum over cells of s^2 / n); t = estimate / SE (0 when SE = 0, null
+    when a cell is too small for an SE).
     ``p_value`` is the two-sided normal tail; ``p_value_simplified`` keeps the
     legacy formula 2(1 - |t|) for |t| <= 1, else 0.05 (it can exceed 1)."""
     if split is None:
@@ -43,14 +44,15 @@ def did(panel: DataFrame, unit: str, period: str, arm: str, outcomes: Sequence[s
            for i, o in enumerate(outcomes)}
     long = unpivot_structs(g, [], per, "outcome")
     est = (F.col("treat_post") - F.col("treat_pre")) - (F.col("control_post") - F.col("control_pre"))
-    se = F.sqrt(sum((F.pow(F.col(f"{n}_sd"), 2) / F.col(f"{n}_n") for n, _, _ in CELLS), F.lit(0.0)))
+    se = F.sqrt(sum((F.try_divide(F.pow(F.col(f"{n}_sd"), 2), F.col(f"{n}_n")) for n, _, _ in CELLS), F.lit(0.0)))
     long = (long.withColumn("did_estimate", est).withColumn("standard_error", se)
-            .withColumn("t_statistic", F.when(F.col("standard_error") > 0,
-                                              F.col("did_estimate") / F.col("standard_error")).otherwise(0.0))
+            .withColumn("t_statistic", F.when(F.col("standard_error") > 0, F.col("did_estimate") / F.col("standard_error"))
+                        .when(F.col("standard_error").isNotNull(), 0.0))
             .withColumn("p_value_simplified", F.when(F.abs("t_statistic") <= 1,
-                                                     2 * (1 - F.abs("t_statistic"))).otherwise(0.05)))
+                                                     2 * (1 - F.abs("t_statistic")))
+                        .when(F.col("t_statistic").isNotNull(), 0.05)))
     if with_p:
-        long = long.withColumn("p_value", D.z_pvalue(F.col("t_statistic")))
+        long = long.withColumn("p_value", F.when(F.col("t_statistic").isNotNull(), D.z_pvalue(F.col("t_statistic"))))
     return long
 
 
@@ -72,7 +74,7 @@ def did_cluster_se(panel: DataFrame, unit: str, period: str, arm: str, outcome:
                                    F.sum(sign / F.col("__n") * F.col("__y")).alias("__b"))
     g = per_unit.agg(F.sum("__b").alias("did_estimate"), F.sum(F.col("__s") ** 2).alias("__v"),
                      F.count(F.lit(1)).alias("clusters"), F.sum("__k").alias("n_obs"))
-    fac = (F.col("clusters") / (F.col("clusters") - 1.0)) * ((F.col("n_obs") - 1.0) / (F.col("n_obs") - 4.0))
+    fac = F.try_divide(F.col("clusters"), F.col("clusters") - 1.0) * F.try_divide(F.col("n_obs") - 1.0, F.col("n_obs") - 4.0)
     return (g.withColumn("se_cluster", F.sqrt(F.col("__v") * fac))
             .withColumn("t_cluster", F.try_divide(F.col("did_estimate"), F.nullif(F.col("se_cluster"), F.lit(0.0))))
             .drop("__v"))

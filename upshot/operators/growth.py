@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .effects import one_sample_t, pooled_t, unpivot_structs
+from .effects import add_t_pvalue, one_sample_t, pooled_t, unpivot_structs
 from .panel import median_time
 
 
@@ -102,5 +102,6 @@ def growth_comparison(treated: DataFrame, control: DataFrame | None, with_p: boo
         c = arm(control, "c")
         j = t.join(c, "metric", "left").na.fill(0, ["n_c"])
         out = pooled_t(j).drop("sd_t", "sd_c", "diff", "lift_pct")
+        out = add_t_pvalue(out) if with_p else out
         out = out.withColumn("net_impact", F.col("mean_t") - F.coalesce(F.col("mean_c"), F.lit(0.0)))
     return out.withColumn("net_impact_annual", F.pow(1.0 + F.col("net_impact"), 12.0) - 1.0)

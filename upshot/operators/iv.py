@@ -18,7 +18,7 @@ def iv_estimate(df: DataFrame, instrument: str, treatment: str, outcome: str,
     treatment and controls (two distributed least-squares fits)."""
     z, x, y = (F.col(c).cast("double") for c in (instrument, treatment, outcome))
     if not controls:
-        return df.agg((F.covar_samp(z, y) / F.covar_samp(z, x)).alias("iv_estimate"),
+        return df.agg(F.try_divide(F.covar_samp(z, y), F.covar_samp(z, x)).alias("iv_estimate"),
                       F.covar_samp(z, y).alias("reduced_form"),
                       F.covar_samp(z, x).alias("first_stage"),
                       F.count(F.lit(1)).alias("n"))

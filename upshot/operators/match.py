@@ -288,8 +288,9 @@ def gbt_propensity(df: DataFrame, label: str, numeric: Sequence[str], categorica
         feats.append(f"__i_{col}")
     stages.append(VectorAssembler(inputCols=feats, outputCol="__features"))
     x = x.withColumn("__label", F.col(label).cast("double"))
+    levels = x.agg(*[F.countDistinct(f"__c_{col}").alias(col) for col in categorical]).first() if categorical else ()
     gbt = GBTClassifier(featuresCol="__features", labelCol="__label", maxIter=trees, maxDepth=depth,
-                        stepSize=step, seed=seed)
+                        stepSize=step, seed=seed, maxBins=max(32, *(n + 1 for n in levels)) if levels else 32)
     pipe = Pipeline(stages=stages + [gbt])
     ev = BinaryClassificationEvaluator(labelCol="__label", metricName="areaUnderROC")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,

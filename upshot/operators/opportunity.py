@@ -134,7 +134,9 @@ def direct_vs_attributed(table: DataFrame, region: str | None = None) -> DataFra
     ok = dw > 0 and dt > dw and aw > 0 and at > aw and dt >= 5 and at >= 5
     stat = (chi2_2x2(F.lit(dw), F.lit(dt - dw), F.lit(aw), F.lit(at - aw)) if ok
             else F.lit(None).cast("double"))
-    return g.drop("__wins").withColumn("chi2", stat)
+    from .contingency import with_chi2_p
+    return (g.drop("__wins").withColumn("chi2", stat).transform(lambda d: with_chi2_p(d, "chi2", 1))
+            .withColumn("significant", F.coalesce(F.col("p_value") < 0.05, F.lit(False))))
 
 
 def segment_pipeline_lift(table: DataFrame, segment: str, min_opps: int = 5,
@@ -183,10 +185,15 @@ def _arm_compare(opp: DataFrame, by: Sequence[str], min_opps: int, with_p: bool)
                .transform(lambda d: with_chi2_p(d, "win_rate_chi2", 1, "win_rate_p_value"))
                .withColumn("win_rate_p_value", F.when(F.col("win_rate_chi2").isNull()
                                                       & ((F.col("t_closed") == 0) | (F.col("c_closed") == 0)),
-                                                      F.lit(1.0)).otherwise(F.col("win_rate_p_value"))))
+                                                      F.lit(1.0)).otherwise(F.col("win_rate_p_value")))
+               .transform(_flags))
     return out
 
 
+def _flags(d: DataFrame) -> DataFrame:
+    return d.withColumns({f"{k}_significant": F.coalesce(F.col(f"{k}_p_value") < 0.05, F.lit(False)) for k in ("arr", "win_rate")})
+
+
 def type_pipeline_lift(table: DataFrame, min_opps: int = 5, lo: float = 0.0, hi: float = 5.0e7,
                        with_p: bool = True) -> DataFrame:
     """E-9: each engagement type's treated opportunities (deduplicated per
@@ -231,7 +238,7 @@ def type_pipeline_lift(table: DataFrame, min_opps: int = 5, lo: float = 0.0, hi:
         from .contingency import with_chi2_p
         out = (out.withColumnRenamed("p_value", "arr_p_value")
                .transform(lambda d: with_chi2_p(d, "win_rate_chi2", 1, "win_rate_p_value"))
-               .withColumn("win_rate_p_value", F.coalesce("win_rate_p_value", F.lit(1.0))))
+               .withColumn("win_rate_p_value", F.coalesce("win_rate_p_value", F.lit(1.0))).transform(_flags))
     return out
 
 

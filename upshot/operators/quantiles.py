@@ -54,18 +54,19 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     same = [F.col(k) == F.col(f"__k{j}") for j, k in enumerate(keys)]
     placed = src.join(frame, same, "inner").select(*keys, "__v", "n", "__b")
     # values inside a bracket keep themselves; those below count at the bracket's start
-    inside = (placed.select(*keys, "__v", "n", F.explode("__b").alias("b")).where(F.col("__v") <= F.col("b.high"))
-              .select(*keys, "n", F.col("b.i").alias("i"), F.col("b.at").alias("at"),
-                      F.when(F.col("__v") >= F.col("b.low"), F.col("__v")).alias("x"))
-              .groupBy(*keys, "n", "i", "at", "x").agg(F.count(F.lit(1)).alias("c")))
-    order = Window.partitionBy(*keys, "i").orderBy(F.col("x").asc_nulls_first())
-    ranked = inside.withColumn("end", F.sum("c").over(order)).withColumn("start", F.col("end") - F.col("c")).where("x is not null")
+    inside = (placed.select(*keys, "__v", "n", F.explode("__b").alias("__s")).where(F.col("__v") <= F.col("__s.high"))
+              .select(*keys, "n", F.col("__s.i").alias("__i"), F.col("__s.at").alias("__at"),
+                      F.when(F.col("__v") >= F.col("__s.low"), F.col("__v")).alias("__x"))
+              .groupBy(*keys, "n", "__i", "__at", "__x").agg(F.count(F.lit(1)).alias("__c")))
+    order = Window.partitionBy(*keys, "__i").orderBy(F.col("__x").asc_nulls_first())
+    ranked = (inside.withColumn("__end", F.sum("__c").over(order)).withColumn("__start", F.col("__end") - F.col("__c"))
+              .where(F.col("__x").isNotNull()))
 
     def holding(rank):
-        return F.max(F.when((F.col("start") <= rank) & (rank < F.col("end")), F.col("x")))
+        return F.max(F.when((F.col("__start") <= rank) & (rank < F.col("__end")), F.col("__x")))
 
-    lo, hi = F.floor("at"), F.ceil("at")
-    got = (ranked.groupBy(*keys, "n", "i", "at").agg(holding(lo).alias("lo"), holding(hi).alias("hi"))
-           .withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))))
-    out = got.groupBy(*keys, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("q"))
+    lo, hi = F.floor("__at"), F.ceil("__at")
+    got = (ranked.groupBy(*keys, "n", "__i", "__at").agg(holding(lo).alias("__lo"), holding(hi).alias("__hi"))
+           .withColumn("__q", F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (F.col("__at") - F.floor("__at"))))
+    out = got.groupBy(*keys, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("__i", "__q"))), lambda s: s["__q"]).alias("q"))
     return out if by else out.drop("__all")

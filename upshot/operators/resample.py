@@ -75,9 +75,11 @@ def _partials(reps: int, seed: int, n_groups_cols: int, block: int = 128):
 def replicate_means(df: DataFrame, value: str, key: str, arm: str | None = None,
                     by: Sequence[str] = (), reps: int = 1000, seed: int = 42) -> DataFrame:
     """Per (group, arm, replicate): bootstrap-weighted mean of ``value``.
-    ``key`` must be a unique integer row key (weights are keyed by it)."""
+    ``key`` must be a unique row key of any type (weights are keyed by it)."""
     g = F.concat_ws("\u0001", *[F.col(b).cast("string") for b in by]) if by else F.lit("")
-    x = df.select(g.alias("__g"), F.col(key).cast("long").alias("__key"),
+    whole = dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    row_key = F.col(key).cast("long") if whole else F.xxhash64(F.col(key))
+    x = df.select(g.alias("__g"), row_key.alias("__key"),
                   F.col(value).cast("double").alias("__x"),
                   (F.col(arm).cast("int") if arm else F.lit(1)).alias("__arm"))
     x = x.where(F.col("__x").isNotNull())

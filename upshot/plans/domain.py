@@ -139,13 +139,18 @@ class Domain:
             F.trunc(F.col("o_orderdate").cast("date"), "month").alias("period"),
             F.col("o_totalprice").alias("price"))
         rev = o.groupBy("account_id", "period").agg(F.sum("price").alias("revenue"))
-        ln = self.lines().select("opp_id", "part_id", "line_arr", "is_security", "is_resiliency")
-        lo = ln.join(o.select("opp_id", "account_id", "period"), "opp_id")
-        fam = lo.groupBy("account_id", "period").agg(
-            F.sum(F.when(F.col("is_security") == 1, F.col("line_arr")).otherwise(0.0)).alias("security_revenue"),
-            F.sum(F.when(F.col("is_resiliency") == 1, F.col("line_arr")).otherwise(0.0)).alias("resiliency_revenue"),
-            F.countDistinct(F.when(F.col("is_security") == 1, F.col("part_id"))).alias("security_count"),
-            F.countDistinct(F.when(F.col("is_resiliency") == 1, F.col("part_id"))).alias("resiliency_count"))
+        # only lines of a family count; a part belongs to its families as a whole, so
+        # distinct parts are rows of the first aggregation
+        ln = (self.lines().where((F.col("is_security") == 1) | (F.col("is_resiliency") == 1))
+              .select("opp_id", "part_id", "line_arr", "is_security", "is_resiliency"))
+        parts = (ln.join(o.select("opp_id", "account_id", "period"), "opp_id")
+                 .groupBy("account_id", "period", "part_id", "is_security", "is_resiliency")
+                 .agg(F.sum("line_arr").alias("arr")))
+        fam = parts.groupBy("account_id", "period").agg(
+            F.sum(F.when(F.col("is_security") == 1, F.col("arr")).otherwise(0.0)).alias("security_revenue"),
+            F.sum(F.when(F.col("is_resiliency") == 1, F.col("arr")).otherwise(0.0)).alias("resiliency_revenue"),
+            F.sum("is_security").alias("security_count"),
+            F.sum("is_resiliency").alias("resiliency_count"))
         p = (rev.join(fam, ["account_id", "period"], "left")
              .join(self.first_direct(), "account_id", "left")
              .join(self.accounts().select("account_id", "segment", "organization", "region",

@@ -15,7 +15,7 @@ from ..operators.ranks import wilcoxon_signed_rank
 from .domain import OUTCOMES, Domain, with_domain
 from .lift_queries import PREP_SQL, prepared_panel
 from .registry import register
-from .sqlgen import growth_sql
+from .sqlgen import growth_sql, t_p_sql, with_p_sql, z_p_sql
 
 # Query parameters. The driver tables have about ten active months per
 # account spread over several years, so windows are 24 months and the row
@@ -149,30 +149,31 @@ def q_control_growth(spark, d):
                           "avg(cmgr_acceleration) AS mean_c, var_samp(cmgr_acceleration) AS var_c FROM cg GROUP BY metric),\n"
                           "j AS (SELECT ta.*, coalesce(ca.n_c, 0) AS n_c, ca.pre_c, ca.post_c, ca.mean_c, ca.var_c "
                           "FROM ta LEFT JOIN ca ON ta.metric = ca.metric)",
-                          "SELECT metric, n_t, pre_t, post_t, mean_t, var_t, n_c, pre_c, post_c, mean_c, var_c, "
+                          with_p_sql("SELECT metric, n_t, pre_t, post_t, mean_t, var_t, n_c, pre_c, post_c, mean_c, var_c, "
                           "(mean_t - mean_c) / nullif(sqrt(((n_t - 1) * coalesce(var_t, 0.0) + (n_c - 1) * coalesce(var_c, 0.0)) "
                           "/ nullif(n_t + n_c - 2, 0) * (1.0 / nullif(n_t, 0) + 1.0 / nullif(n_c, 0))), 0.0) AS t_stat, "
                           "CAST(n_t + n_c - 2 AS BIGINT) AS df, mean_t - coalesce(mean_c, 0.0) AS net_impact, "
-                          "pow(1.0 + (mean_t - coalesce(mean_c, 0.0)), 12.0) - 1.0 AS net_impact_annual FROM j"),
+                          "pow(1.0 + (mean_t - coalesce(mean_c, 0.0)), 12.0) - 1.0 AS net_impact_annual FROM j", t_p_sql())),
           doubles={k: 6 for k in ("pre_t", "post_t", "mean_t", "var_t", "pre_c", "post_c", "mean_c", "var_c",
-                                  "t_stat", "net_impact", "net_impact_annual")})
+                                  "t_stat", "net_impact", "net_impact_annual", "p_value")})
 def q_growth_compare(spark, d):
     """G-5/P-20: treated vs control accelerations per revenue type, net impact and annualised impact."""
     cg, tg = control_growth(spark, d)
-    return G.growth_comparison(tg, cg).select(
+    return G.growth_comparison(tg, cg, with_p=True).select(
         "metric", "n_t", "pre_t", "post_t", "mean_t", "var_t", "n_c", "pre_c", "post_c", "mean_c", "var_c",
-        "t_stat", "df", "net_impact", "net_impact_annual")
+        "t_stat", "df", "net_impact", "net_impact_annual", "p_value", "significant")
 
 
 @register("e2_one_sample_acceleration",
-          sql=with_domain(GROWTH_SQL, "SELECT metric, count(*) AS n, avg(cmgr_acceleration) AS mean, "
+          sql=with_domain(GROWTH_SQL, with_p_sql("SELECT metric, count(*) AS n, avg(cmgr_acceleration) AS mean, "
                                       "stddev_samp(cmgr_acceleration) AS sd, avg(cmgr_acceleration) / "
                                       "nullif(stddev_samp(cmgr_acceleration) / sqrt(count(*)), 0.0) AS t_stat, "
-                                      "CAST(count(*) - 1 AS BIGINT) AS df FROM tg GROUP BY metric"),
-          doubles={"mean": 6, "sd": 6, "t_stat": 6})
+                                      "CAST(count(*) - 1 AS BIGINT) AS df FROM tg GROUP BY metric", t_p_sql(), flag=False)),
+          doubles={"mean": 6, "sd": 6, "t_stat": 6, "p_value": 6})
 def q_one_sample(spark, d):
     """E-2: one-sample t of the treated acceleration against zero."""
-    return one_sample_t(treated_growth(spark, d), "cmgr_acceleration", ["metric"], with_p=False)
+    return one_sample_t(treated_growth(spark, d), "cmgr_acceleration", ["metric"]).select(
+        "metric", "n", "mean", "sd", "t_stat", "df", "p_value")
 
 
 @register("g6_growth_by_segment",
@@ -229,7 +230,7 @@ def q_time_to_impact(spark, d):
 _DID_D = {c: 4 for c in ("treat_pre", "treat_post", "control_pre", "control_post", "treat_pre_sd",
                          "treat_post_sd", "control_pre_sd", "control_post_sd", "did_estimate",
                          "standard_error")}
-_DID_D.update({"t_statistic": 6, "p_value_simplified": 6})
+_DID_D.update({"t_statistic": 6, "p_value_simplified": 6, "p_value": 6})
 
 
 def _did_sql() -> str:
@@ -244,19 +245,19 @@ def _did_sql() -> str:
         blocks.append(f"SELECT '{o}' AS outcome, {', '.join(cols)} FROM dp")
     se = "sqrt(" + " + ".join(f"pow({n}_sd, 2) / {n}_n" for n, _, _ in cells) + ")"
     est = "((treat_post - treat_pre) - (control_post - control_pre))"
-    t = f"CASE WHEN {se} > 0 THEN {est} / {se} ELSE 0.0 END"
+    t = f"CASE WHEN {se} > 0 THEN {est} / {se} WHEN {se} = 0 THEN 0.0 END"
     body = (PREP_SQL + ",\nmed AS (SELECT quantile_cont(CAST(period - DATE '1970-01-01' AS DOUBLE), 0.5) AS m FROM clean),\n"
             "dp AS (SELECT c.*, CAST(CAST(period - DATE '1970-01-01' AS DOUBLE) >= med.m AS INTEGER) AS post "
             "FROM clean c CROSS JOIN med),\n"
             "cells AS (" + "\nUNION ALL\n".join(blocks) + ")")
-    return with_domain(body, f"SELECT *, {est} AS did_estimate, {se} AS standard_error, {t} AS t_statistic, "
-                             f"CASE WHEN abs({t}) <= 1 THEN 2 * (1 - abs({t})) ELSE 0.05 END AS p_value_simplified FROM cells")
+    return with_domain(body, with_p_sql(f"SELECT *, {est} AS did_estimate, {se} AS standard_error, {t} AS t_statistic, "
+                             f"CASE WHEN abs({t}) <= 1 THEN 2 * (1 - abs({t})) WHEN abs({t}) > 1 THEN 0.05 END AS p_value_simplified FROM cells", z_p_sql("t_statistic"), flag=False))
 
 
 @register("e13_did", sql=_did_sql(), doubles=_DID_D)
 def q_did(spark, d):
     """E-13/A-2/A-13/A-16: 2x2 difference in differences per outcome, split at the median period."""
-    return DD.did(prepared_panel(spark, d), "account_id", "period", "treated", OUTCOMES, with_p=False)
+    return DD.did(prepared_panel(spark, d), "account_id", "period", "treated", OUTCOMES)
 
 
 def _cluster_sql() -> str:
@@ -322,16 +323,16 @@ def q_prepost(spark, d):
                           "ws AS (SELECT outcome, count(*) AS n, coalesce(sum(r) FILTER (WHERE dd > 0), 0) AS w_plus, "
                           "coalesce(sum(r) FILTER (WHERE dd < 0), 0) AS w_minus, sum(CAST(tc AS DOUBLE) * tc - 1) AS tie "
                           "FROM wr GROUP BY outcome)",
-                          "SELECT outcome, n, w_plus, w_minus, least(w_plus, w_minus) AS statistic, "
+                          with_p_sql("SELECT outcome, n, w_plus, w_minus, least(w_plus, w_minus) AS statistic, "
                           "(w_plus - n * (n + 1) / 4.0) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tie / 48.0), 0.0) AS z "
-                          "FROM ws"),
-          doubles={"w_plus": 1, "w_minus": 1, "statistic": 1, "z": 6})
+                          "FROM ws", z_p_sql(), flag=False)),
+          doubles={"w_plus": 1, "w_minus": 1, "statistic": 1, "z": 6, "p_value": 6})
 def q_wilcoxon(spark, d):
     """E-16/W-4: Wilcoxon signed-rank on per-account post - pre means (rounded to 4 dp, zeros dropped)."""
     u = DD.prepost_change(prepared_panel(spark, d), "account_id", "period", "event_date", OUTCOMES)
     u = u.withColumn("dd", F.round("change", 4))
-    return wilcoxon_signed_rank(u, "dd", ["outcome"], with_p=False).select(
-        "outcome", "n", "w_plus", "w_minus", "statistic", "z")
+    return wilcoxon_signed_rank(u, "dd", ["outcome"]).select(
+        "outcome", "n", "w_plus", "w_minus", "statistic", "z", "p_value")
 
 
 @register("a13_a14_quantiles",

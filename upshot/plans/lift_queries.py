@@ -14,7 +14,7 @@ from ..operators.panel import cross_section
 from ..session import cut_lineage
 from .domain import OUTCOMES, Domain, with_domain
 from .registry import register
-from .sqlgen import first_by_sql, iqr_chain_sql, moments_sql, pooled_t_cols
+from .sqlgen import first_by_sql, iqr_chain_sql, moments_sql, pooled_t_cols, t_p_sql, with_p_sql
 
 CATS = ("segment", "phase", "region", "support_level", "organization")
 REV = ("revenue", "security_revenue", "resiliency_revenue")
@@ -56,9 +56,9 @@ _PANEL_D = {"revenue": 2, "security_revenue": 4, "resiliency_revenue": 4,
             "security_count": 6, "resiliency_count": 6, "adoption_score": 6}
 _XS_D = {"revenue": 4, "security_revenue": 4, "resiliency_revenue": 4,
          "security_count": 6, "resiliency_count": 6, "adoption_score": 6}
-_T_D = {"mean_t": 4, "mean_c": 4, "sd_t": 4, "sd_c": 4, "diff": 4, "lift_pct": 6, "t_stat": 6}
+_T_D = {"mean_t": 4, "mean_c": 4, "sd_t": 4, "sd_c": 4, "diff": 4, "lift_pct": 6, "t_stat": 6, "p_value": 6}
 _T_COLS = ["metric", "n_t", "n_c", "mean_t", "mean_c", "sd_t", "sd_c", "diff", "lift_pct",
-           "t_stat", "df"]
+           "t_stat", "df", "p_value", "significant"]
 
 
 @register("s3_engagement_panel",
@@ -87,23 +87,23 @@ def q_cross_section(spark, d):
 
 @register("e1_two_sample_ttest",
           sql=with_domain(XS_SQL + ",\nm AS (" + moments_sql("xs", "treated", METRICS) + ")",
-                          f"SELECT metric, n_t, n_c, mean_t, mean_c, {pooled_t_cols()} FROM m"),
+                          with_p_sql(f"SELECT metric, n_t, n_c, mean_t, mean_c, {pooled_t_cols()} FROM m", t_p_sql())),
           doubles=_T_D)
 def q_ttest(spark, d):
     """E-1: treated vs control pooled t test on the customer cross-section, all outcomes."""
-    r = two_sample_t(customer_xs(spark, d), "treated", METRICS, with_p=False)
+    r = two_sample_t(customer_xs(spark, d), "treated", METRICS)
     return r.select(*_T_COLS)
 
 
 @register("e3_segment_lift",
           sql=with_domain(XS_SQL + ",\nm AS (" + moments_sql("xs", "treated", METRICS, ["organization"]) + ")",
-                          f"SELECT organization, metric, n_t, n_c, mean_t, mean_c, {pooled_t_cols()} "
-                          "FROM m WHERE n_t >= 10 AND n_c >= 10"),
+                          with_p_sql(f"SELECT organization, metric, n_t, n_c, mean_t, mean_c, {pooled_t_cols()} "
+                                     "FROM m WHERE n_t >= 10 AND n_c >= 10", t_p_sql())),
           doubles=_T_D)
 def q_segment_lift(spark, d):
     """E-3/A-11: lift per organization with at least 10 customers in each arm."""
     r = two_sample_t(customer_xs(spark, d), "treated", METRICS, by=["organization"],
-                     min_n=10, with_p=False)
+                     min_n=10)
     return r.select("organization", *_T_COLS)
 
 
@@ -119,14 +119,14 @@ def _type_lift_sql() -> str:
     ctes = (XS_SQL + ",\ntm AS (" + "\nUNION ALL\n".join(blocks_t) + "),\ncm AS ("
             + "\nUNION ALL\n".join(blocks_c) + "),\nj AS (SELECT tm.*, cm.n_c, cm.mean_c, cm.var_c "
             "FROM tm JOIN cm ON tm.metric = cm.metric WHERE tm.n_t >= 5 AND cm.mean_c > 0)")
-    return with_domain(ctes, f"SELECT event_type, metric, n_t, n_c, mean_t, mean_c, {pooled_t_cols()} FROM j")
+    return with_domain(ctes, with_p_sql(f"SELECT event_type, metric, n_t, n_c, mean_t, mean_c, {pooled_t_cols()} FROM j", t_p_sql()))
 
 
 @register("e4_type_lift", sql=_type_lift_sql(), doubles=_T_D)
 def q_type_lift(spark, d):
     """E-4: each first-engagement type (>= 5 customers) against the common control."""
     r = lift_vs_common_control(customer_xs(spark, d), "treated", "event_type", METRICS,
-                               min_n=5, with_p=False)
+                               min_n=5)
     return r.select("event_type", *_T_COLS)
 
 

@@ -11,7 +11,7 @@ from ..operators import match as M
 from ..operators import opportunity as O
 from ..operators import resample as B
 from ..operators.contingency import chi2_independence
-from ..operators.effects import (Z_80, Z_975, add_power, arm_moments, cohens_d, pooled_t,
+from ..operators.effects import (Z_80, Z_975, add_power, add_t_pvalue, arm_moments, cohens_d, pooled_t,
                                  two_sample_t, unpivot_structs)
 from ..operators.iv import iv_estimate
 from ..operators.panel import cross_section
@@ -21,7 +21,7 @@ from .lift_queries import CATS, METRICS, NUM, XS_SQL, customer_xs, prepared_pane
 from .opportunity_queries import analysis
 from .registry import register
 from ..session import cut_lineage
-from .sqlgen import moments_sql, pooled_t_cols
+from .sqlgen import moments_sql, pooled_t_cols, t_p_sql, with_p_sql, z_p_sql
 
 PS_NUM = NUM
 PS_CAT = CATS
@@ -213,36 +213,42 @@ def q_stratified(spark, d):
     return C.stratified_assignment(acc, "account_id", ["segment"], 0.5, SEED)
 
 
+PLACEBO_SHARE = 0.25  # of the units, drawn as placebo treated
+
+
 def _placebo_sql() -> str:
     body = (XS_SQL.replace("xs AS (", "xs_unused AS (") + ",\n"
             "pm AS (SELECT quantile_cont(CAST(period AS TIMESTAMP), 0.5) AS m FROM clean),\n"
             "pre AS (SELECT c.* FROM clean c CROSS JOIN pm WHERE c.period < pm.m),\n"
             "pu AS (SELECT DISTINCT account_id FROM pre),\n"
-            "pk AS (SELECT least(100, CAST(floor((SELECT count(*) FROM pu) / 2) AS BIGINT)) AS k),\n"
+            f"pk AS (SELECT CAST(floor((SELECT count(*) FROM pu) * {PLACEBO_SHARE}) AS BIGINT) AS k),\n"
             f"pick AS (SELECT account_id FROM (SELECT account_id, row_number() OVER (ORDER BY {uniform_sql(SEED, 'account_id')}, "
             "account_id) AS pos FROM pu) WHERE pos <= (SELECT k FROM pk)),\n"
             "pxs AS (SELECT account_id, CAST(account_id IN (SELECT account_id FROM pick) AS INTEGER) AS placebo, "
             "avg(revenue) AS revenue, avg(security_revenue) AS security_revenue FROM pre GROUP BY account_id),\n"
             "m AS (" + moments_sql("pxs", "placebo", ["revenue", "security_revenue"]) + ")")
-    return with_domain(body, f"SELECT metric, n_t, n_c, mean_t, mean_c, {pooled_t_cols()} FROM m")
+    tested = with_p_sql(f"SELECT metric, n_t, n_c, mean_t, mean_c, {pooled_t_cols()} FROM m", t_p_sql(), flag=False)
+    return with_domain(body, f"SELECT *, CASE WHEN p_value IS NULL THEN NULL WHEN p_value >= 0.05 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM ({tested}) AS v")
 
 
 @register("c11_e22_placebo", sql=_placebo_sql(),
-          doubles={"mean_t": 4, "mean_c": 4, "sd_t": 4, "sd_c": 4, "diff": 4, "lift_pct": 6, "t_stat": 6})
+          doubles={"mean_t": 4, "mean_c": 4, "sd_t": 4, "sd_c": 4, "diff": 4, "lift_pct": 6, "t_stat": 6, "p_value": 6})
 def q_placebo(spark, d):
-    """C-11/E-22: placebo test on pre-median rows with min(100, n/2) seeded placebo units."""
+    """C-11/E-22: placebo test on pre-median rows with a seeded share of the units as placebo
+    treated; PASS if the difference isn't significant."""
     p = prepared_panel(spark, d)
     from ..operators.panel import median_time
     med = p.agg(median_time("period").alias("m")).first()["m"]
     pre = p.where(F.col("period").cast("timestamp") < F.lit(med))
     units = pre.select("account_id").distinct()
-    k = min(100, units.count() // 2)
+    k = int(units.count() * PLACEBO_SHARE)
     pick = C.seeded_sample(units, "account_id", k, SEED).withColumn("placebo", F.lit(1))
     xs = cross_section(pre, "account_id", ["revenue", "security_revenue"], [], "period")
     xs = xs.join(pick, "account_id", "left").withColumn("placebo", F.coalesce("placebo", F.lit(0)))
-    r = pooled_t(arm_moments(xs, "placebo", ["revenue", "security_revenue"]))
+    r = add_t_pvalue(pooled_t(arm_moments(xs, "placebo", ["revenue", "security_revenue"])))
+    verdict = F.when(F.col("p_value").isNotNull(), F.when(F.col("p_value") >= 0.05, "PASS").otherwise("FAIL"))
     return r.select("metric", "n_t", "n_c", "mean_t", "mean_c", "sd_t", "sd_c", "diff", "lift_pct",
-                    "t_stat", "df")
+                    "t_stat", "df", "p_value", verdict.alias("verdict"))
 
 
 @register("e21_instrumental_variable",
@@ -256,6 +262,17 @@ def q_iv(spark, d):
     return iv_estimate(customer_xs(spark, d), "adoption_score", "treated", "revenue")
 
 
+@register("e21_iv_with_control",
+          sql=with_domain(XS_SQL + ",\nb AS (SELECT covar_samp(adoption_score, security_count) / var_samp(security_count) AS b FROM xs),\n"
+                          "r AS (SELECT treated, revenue, adoption_score - b * security_count AS z FROM xs CROSS JOIN b)",
+                          "SELECT covar_samp(z, revenue) / covar_samp(z, treated) AS iv_estimate, "
+                          "covar_samp(z, treated) / var_samp(z) AS first_stage, count(*) AS n FROM r"),
+          doubles={"iv_estimate": 3, "first_stage": 8})
+def q_iv_control(spark, d):
+    """E-21: two-stage least squares with a control (security products), adoption score as the instrument."""
+    return iv_estimate(customer_xs(spark, d), "adoption_score", "treated", "revenue", ["security_count"])
+
+
 COST_PER_ENGAGEMENT = 10000.0
 
 
@@ -291,11 +308,11 @@ def _rollup_sql() -> str:
             "var_samp(revenue) FILTER (WHERE treated = 1) AS var_t, count(revenue) FILTER (WHERE treated = 0) AS n_c, "
             "avg(revenue) FILTER (WHERE treated = 0) AS mean_c, var_samp(revenue) FILTER (WHERE treated = 0) AS var_c "
             f"FROM xs GROUP BY GROUPING SETS ({sets}))")
-    return with_domain(body, f"SELECT dimension, value, n_t, n_c, mean_t, mean_c, {pooled_t_cols()} FROM m")
+    return with_domain(body, with_p_sql(f"SELECT dimension, value, n_t, n_c, mean_t, mean_c, {pooled_t_cols()} FROM m", t_p_sql()))
 
 
 @register("a17_segment_rollup", sql=_rollup_sql(),
-          doubles={"mean_t": 4, "mean_c": 4, "sd_t": 4, "sd_c": 4, "diff": 4, "lift_pct": 6, "t_stat": 6})
+          doubles={"mean_t": 4, "mean_c": 4, "sd_t": 4, "sd_c": 4, "diff": 4, "lift_pct": 6, "t_stat": 6, "p_value": 6})
 def q_rollup(spark, d):
     """A-17/E-3: revenue lift for every value of several dimensions and overall, one grouping-sets pass."""
     xs = customer_xs(spark, d)
@@ -313,8 +330,8 @@ def q_rollup(spark, d):
         label = F.when(F.col("__gid") == ((1 << n) - 1) - bit, dim).otherwise(label)
     g = (g.withColumn("dimension", label)
          .withColumn("value", F.coalesce(*[F.col(x) for x in _DIMS], F.lit("ALL"))))
-    return pooled_t(g).select("dimension", "value", "n_t", "n_c", "mean_t", "mean_c", "sd_t", "sd_c",
-                              "diff", "lift_pct", "t_stat", "df")
+    return add_t_pvalue(pooled_t(g)).select("dimension", "value", "n_t", "n_c", "mean_t", "mean_c", "sd_t", "sd_c",
+                                            "diff", "lift_pct", "t_stat", "df", "p_value", "significant")
 
 
 @register("e5_mann_whitney_by_segment",
@@ -325,16 +342,16 @@ def q_rollup(spark, d):
                           "count(*) OVER (PARTITION BY segment, v) AS tc FROM xr),\n"
                           "s AS (SELECT segment, count(*) FILTER (WHERE treated = 1) AS n_t, count(*) FILTER (WHERE treated = 0) AS n_c, "
                           "sum(r) FILTER (WHERE treated = 1) AS rank_sum_t, sum(CAST(tc AS DOUBLE) * tc - 1) AS tie FROM rk GROUP BY segment)",
-                          "SELECT segment, n_t, n_c, rank_sum_t, rank_sum_t - n_t * (n_t + 1) / 2.0 AS u_stat, "
+                          with_p_sql("SELECT segment, n_t, n_c, rank_sum_t, rank_sum_t - n_t * (n_t + 1) / 2.0 AS u_stat, "
                           "(greatest(rank_sum_t - n_t * (n_t + 1) / 2.0, n_t * n_c - (rank_sum_t - n_t * (n_t + 1) / 2.0)) "
                           "- n_t * n_c / 2.0 - 0.5) / nullif(sqrt(n_t * n_c / 12.0 * ((n_t + n_c + 1) - tie / "
-                          "((n_t + n_c) * (n_t + n_c - 1.0)))), 0.0) AS z FROM s"),
-          doubles={"rank_sum_t": 1, "u_stat": 1, "z": 6})
+                          "((n_t + n_c) * (n_t + n_c - 1.0)))), 0.0) AS z FROM s", z_p_sql(), flag=False)),
+          doubles={"rank_sum_t": 1, "u_stat": 1, "z": 6, "p_value": 6})
 def q_mw_segment(spark, d):
     """E-5/W-4: Mann-Whitney U of customer revenue, treated vs control, per segment."""
     xs = customer_xs(spark, d).withColumn("revenue", F.round("revenue", 6))
-    return mann_whitney(xs, "treated", "revenue", ["segment"], with_p=False).select(
-        "segment", "n_t", "n_c", "rank_sum_t", "u_stat", "z")
+    return mann_whitney(xs, "treated", "revenue", ["segment"]).select(
+        "segment", "n_t", "n_c", "rank_sum_t", "u_stat", "z", "p_value")
 
 
 @register("w4_average_ranks",

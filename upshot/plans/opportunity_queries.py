@@ -9,6 +9,7 @@ from ..operators import opportunity as O
 from .domain import RESILIENCY_PRODUCTS, SECURITY_AREAS, Domain, with_domain
 from ..session import cut_lineage
 from .registry import register
+from .sqlgen import with_p_sql, z_p_sql
 
 FLAGS = ("qualified_account_flag", "has_revenue_flag", "created_opportunities_flag")
 PRODUCTS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
@@ -287,9 +288,9 @@ def _chi2_sql(a, b, c, d) -> str:
                 "max(total_opportunities) FILTER (WHERE engagement_category = 'Attributed') AS a_tot FROM g),\n"
                 "s AS (SELECT CASE WHEN dw > 0 AND d_tot > dw AND aw > 0 AND a_tot > aw AND d_tot >= 5 AND a_tot >= 5 THEN "
                 + _chi2_sql("dw", "d_tot - dw", "aw", "a_tot - aw") + " END AS chi2 FROM p)",
-                "SELECT g.engagement_category, g.accounts, g.total_opportunities, g.won_opportunities, g.win_rate, "
-                "g.avg_arr_per_opp, g.total_arr, s.chi2 FROM g, s"),
-          doubles={"win_rate": 6, "avg_arr_per_opp": 4, "total_arr": 2, "chi2": 6})
+                with_p_sql("SELECT g.engagement_category, g.accounts, g.total_opportunities, g.won_opportunities, g.win_rate, "
+                           "g.avg_arr_per_opp, g.total_arr, s.chi2 FROM g, s", z_p_sql("sqrt(chi2)"))),
+          doubles={"win_rate": 6, "avg_arr_per_opp": 4, "total_arr": 2, "chi2": 6, "p_value": 6})
 def q_direct_attr(spark, d):
     """E-7/P-13: Direct vs Attributed comparison with the corrected 2x2 chi-square."""
     return O.direct_vs_attributed(analysis(spark, d))
@@ -309,7 +310,15 @@ def _mw_sql(src: str, key: str, tcond: str) -> str:
 
 
 _E8_D = {"treatment_arr": 2, "control_arr": 2, "arr_lift_pct": 6, "treatment_win_rate": 6,
-         "control_win_rate": 6, "win_rate_lift_pct": 6, "win_rate_chi2": 6, "u_stat": 2, "z": 6}
+         "control_win_rate": 6, "win_rate_lift_pct": 6, "win_rate_chi2": 6, "u_stat": 2, "z": 6,
+         "arr_p_value": 6, "win_rate_p_value": 6}
+
+
+def _both_p_sql(final: str, win_rate_p: str) -> str:
+    """The p-values of the rank test and of the win-rate chi-square, and their flags."""
+    inner = f"SELECT *, {z_p_sql('z')} AS arr_p_value, {win_rate_p} AS win_rate_p_value FROM ({final}) AS stats"
+    return (f"SELECT *, coalesce(arr_p_value < 0.05, FALSE) AS arr_significant, "
+            f"coalesce(win_rate_p_value < 0.05, FALSE) AS win_rate_significant FROM ({inner}) AS tests")
 
 
 def _e8_sql() -> str:
@@ -341,18 +350,19 @@ def _e8_sql() -> str:
         "CASE WHEN t_closed > 0 AND c_closed > 0 THEN "
         + _chi2_sql("t_won", "t_closed - t_won", "c_won", "c_closed - c_won") + " END AS win_rate_chi2, "
         "mw.u_stat, mw.z FROM g LEFT JOIN mw ON g.organization = mw.organization")
-    return q(body, final)
+    return q(body, _both_p_sql(final, f"CASE WHEN t_closed = 0 OR c_closed = 0 THEN 1.0 ELSE {z_p_sql('sqrt(win_rate_chi2)')} END"))
 
 
 @register("e8_organization_lift", sql=_e8_sql(), doubles=_E8_D)
 def q_org_lift(spark, d):
     """E-8/E-5/E-6/P-8: per organization, treated vs control opportunities: ARR/account lift,
     win-rate lift, Mann-Whitney z on ARR and chi-square on closed won/lost."""
-    return O.segment_pipeline_lift(analysis(spark, d), "organization", with_p=False)
+    return O.segment_pipeline_lift(analysis(spark, d), "organization")
 
 
 _E9_D = {"arr_per_account": 4, "control_arr_per_account": 4, "arr_lift_pct": 6, "win_rate": 6,
-         "control_win_rate": 6, "win_rate_lift_pct": 6, "win_rate_chi2": 6, "u_stat": 2, "z": 6}
+         "control_win_rate": 6, "win_rate_lift_pct": 6, "win_rate_chi2": 6, "u_stat": 2, "z": 6,
+         "arr_p_value": 6, "win_rate_p_value": 6}
 
 
 def _e9_sql() -> str:
@@ -381,13 +391,13 @@ def _e9_sql() -> str:
         "CASE WHEN t_closed > 0 AND cs.c_closed > 0 THEN "
         + _chi2_sql("t_won", "t_closed - t_won", "cs.c_won", "cs.c_closed - cs.c_won") + " END AS win_rate_chi2, "
         "mw.u_stat, mw.z FROM g CROSS JOIN cs LEFT JOIN mw ON g.engagement_type = mw.engagement_type")
-    return q(body, final)
+    return q(body, _both_p_sql(final, f"coalesce({z_p_sql('sqrt(win_rate_chi2)')}, 1.0)"))
 
 
 @register("e9_type_lift_vs_control", sql=_e9_sql(), doubles=_E9_D)
 def q_type_pipeline(spark, d):
     """E-9: each engagement type against the pooled control opportunities."""
-    return O.type_pipeline_lift(analysis(spark, d), with_p=False)
+    return O.type_pipeline_lift(analysis(spark, d))
 
 
 @register("e11_effectiveness",

@@ -98,3 +98,29 @@ def growth_sql(src: str, unit: str, event: str, metrics: Sequence[str], pre: int
     return (f"SELECT {ek}{unit}, metric, event_date, {cm('pre')} AS pre_cmgr, {cm('post')} AS post_cmgr, "
             f"{cm('post')} - {cm('pre')} AS cmgr_acceleration, pre_months, post_months "
             f"FROM ({inner}) WHERE rows_n >= {min_rows} AND {cm('pre')} IS NOT NULL AND {cm('post')} IS NOT NULL")
+
+
+def t_p_sql(stat: str = "t_stat", dof: str = "df", steps: int = 8000) -> str:
+    """Two-sided tail of Student's t: Simpson's rule on the density after
+    t = sqrt(df) tan(a), where it is a power of the cosine."""
+    start = f"atan(abs({stat}) / sqrt({dof}))"
+    step = f"((least(pi() / 2, {start} + 45.0 / sqrt({dof})) - {start}) / {steps})"
+    weight = f"(CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    total = (f"list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * "
+             f"pow(greatest(cos({start} + i * {step}), 0.0), {dof} - 1.0)))")
+    return (f"CASE WHEN {stat} IS NULL OR {dof} <= 0 THEN NULL ELSE least(1.0, 2.0 * exp(lgamma(({dof} + 1) / 2.0) - lgamma({dof} / 2.0)) "
+            f"/ sqrt(pi()) * {step} / 3.0 * {total}) END")
+
+
+def z_p_sql(stat: str = "z", steps: int = 4000) -> str:
+    """Two-sided tail of the normal distribution by Simpson's rule."""
+    weight = f"(CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    total = (f"list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * "
+             f"exp(-pow(abs({stat}) + i * 40.0 / {steps}, 2) / 2.0)))")
+    return f"CASE WHEN {stat} IS NULL THEN NULL ELSE least(1.0, 2.0 / sqrt(2.0 * pi()) * (40.0 / {steps}) / 3.0 * {total}) END"
+
+
+def with_p_sql(final: str, p: str, flag: bool = True) -> str:
+    """``final`` with its p-value and, if wanted, the 5 % significance flag."""
+    inner = f"SELECT *, {p} AS p_value FROM ({final}) AS stats"
+    return f"SELECT *, coalesce(p_value < 0.05, FALSE) AS significant FROM ({inner}) AS tests" if flag else inner
