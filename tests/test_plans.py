@@ -35,3 +35,13 @@ def test_pushdown_and_pruning(spark):
     li = [line for line in _plan(Domain(spark, SMOKE).panel()).split("\n")
           if "FileScan parquet" in line and "l_orderkey" in line]
     assert li and all("l_comment" not in x and "l_returnflag" not in x for x in li)
+
+
+def test_panel_reads_lines_once_for_the_families(spark):
+    """The panel as planned, before anything is written: no Expand, two reads of the
+    line items (family revenue, type of the first direct engagement)."""
+    if not os.path.exists(SMOKE):
+        pytest.skip("no smoke data")
+    plan = _plan(Domain(spark, SMOKE).panel())
+    assert "Expand" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert sum("FileScan parquet" in line and "l_orderkey" in line for line in plan.split("\n")) == 2

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import cluster as K
 from ..session import cut_lineage
 from .domain import Domain
-from .opportunity_queries import PRODUCTS, account_features, features_sql_parts, q
+from ..operators.effects import add_t_pvalue, arm_moments, pooled_t
+from ..operators.ranks import mann_whitney
+from .opportunity_queries import PRODUCTS, _mw_sql, account_features, features_sql_parts, q
 from .registry import register
+from .sqlgen import moments_sql, pooled_t_cols, t_p_sql, with_p_sql, z_p_sql
 
 ENCODED = ("segment", "phase", "industry", "organization")
 NUMERIC = PRODUCTS + ("real_total_arr", "total_opportunities", "won_opportunities",
@@ -118,6 +121,59 @@ def _rule_sql() -> str:
     return q(body, final)
 
 
+def _rule_rows_sql() -> str:
+    body, final = features_sql_parts()
+    return (body + ",\nfeat AS (" + final + "),\n"
+            "fx AS (SELECT feat.account_id, least(feat.product_diversity, 4) AS cluster, CAST(feat.group_type = 'Treatment' AS INTEGER) AS treated, "
+            "feat.real_total_arr, least(coalesce(feat.won_opportunities / nullif(feat.closed_opportunities, 0), 0.0), 1.0) AS win_rate FROM feat),\n"
+            "bal AS (SELECT cluster, count(*) AS total_accounts, count(*) FILTER (WHERE treated = 1) AS treatment_accounts, "
+            "count(*) FILTER (WHERE treated = 0) AS control_accounts FROM fx GROUP BY cluster),\n"
+            "rb AS (SELECT *, treatment_accounts / total_accounts AS treatment_ratio, control_accounts / total_accounts AS control_ratio, "
+            "coalesce(least(treatment_accounts, control_accounts) / nullif(greatest(treatment_accounts, control_accounts), 0), 0.0) AS balance_ratio FROM bal),\n"
+            "vb AS (SELECT *, total_accounts >= 10 AND balance_ratio >= 0.3 AND treatment_accounts > 0 AND control_accounts > 0 AS is_valid FROM rb)")
+
+
+def rule_clusters(spark, d):
+    """Accounts with a cluster fixed by a rule: product diversity capped at 4."""
+    f = account_features(spark, d)
+    rate = F.least(F.coalesce(F.try_divide(F.col("won_opportunities").cast("double"), F.col("closed_opportunities")), F.lit(0.0)), F.lit(1.0))
+    return cut_lineage(f.select("account_id", F.least(F.col("product_diversity"), F.lit(4)).alias("cluster"), "real_total_arr",
+                                (F.col("group_type") == "Treatment").cast("int").alias("treated"), rate.alias("win_rate")))
+
+
+@register("k9_rule_balance", sql=q(_rule_rows_sql(), "SELECT * FROM vb"),
+          doubles={"treatment_ratio": 6, "control_ratio": 6, "balance_ratio": 6})
+def q_rule_balance(spark, d):
+    """K-9: arm balance and validity of clusters fixed by a rule."""
+    return K.cluster_balance(rule_clusters(spark, d), "treated")
+
+
+def _within_sql() -> str:
+    body = (_rule_rows_sql() + ",\nvx AS (SELECT * FROM fx WHERE cluster IN (SELECT cluster FROM vb WHERE is_valid)),\n"
+            "m AS (" + moments_sql("vx", "treated", ["real_total_arr", "win_rate"], ["cluster"]) + "),\n"
+            "mwsrc AS (SELECT cluster || ':real_total_arr' AS k, real_total_arr AS v, treated FROM vx UNION ALL "
+            "SELECT cluster || ':win_rate', win_rate, treated FROM vx),\n" + _mw_sql("mwsrc", "k", "treated = 1"))
+    tested = with_p_sql(f"SELECT cluster, metric, n_t, n_c, mean_t, mean_c, {pooled_t_cols()} FROM m", t_p_sql())
+    return q(body, f"SELECT w.*, mw.u_stat, {z_p_sql('mw.z')} AS rank_p_value FROM ({tested}) AS w "
+                   "LEFT JOIN mw ON mw.k = w.cluster || ':' || w.metric")
+
+
+@register("e18_within_cluster_lift", sql=_within_sql(),
+          doubles={"mean_t": 4, "mean_c": 4, "sd_t": 4, "sd_c": 4, "diff": 4, "lift_pct": 6, "t_stat": 6, "p_value": 6,
+                   "u_stat": 1, "rank_p_value": 6})
+def q_within_lift(spark, d):
+    """E-18: ARR and win-rate lift, t test and Mann-Whitney U inside each valid cluster (rule labels)."""
+    x = rule_clusters(spark, d)
+    valid = K.cluster_balance(x, "treated").where("is_valid").select("cluster")
+    v = cut_lineage(x.join(valid, "cluster", "left_semi"))
+    metrics = ["real_total_arr", "win_rate"]
+    t = add_t_pvalue(pooled_t(arm_moments(v, "treated", metrics, ["cluster"])))
+    long = v.select("cluster", "treated", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])).alias("s")).select("cluster", "treated", "s.*")
+    u = mann_whitney(long, "treated", "v", ["cluster", "metric"]).select("cluster", "metric", "u_stat", F.col("p_value").alias("rank_p_value"))
+    return t.join(u, ["cluster", "metric"], "left").select("cluster", "metric", "n_t", "n_c", "mean_t", "mean_c", "sd_t", "sd_c", "diff",
+                                                           "lift_pct", "t_stat", "df", "p_value", "significant", "u_stat", "rank_p_value")
+
+
 @register("k9_k11_rule_clusters", sql=_rule_sql(),
           doubles={"avg_product_diversity": 6, "treatment_ratio": 6, "balance_ratio": 6})
 def q_rule_clusters(spark, d):
