@@ -65,6 +65,7 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 
 SEEDS = tuple(range(42, 52))  # ten starts
+ROWS_PER_PARTITION = 20_000
 
 
 def fit_kmeans(df: DataFrame, k: int, seeds: Sequence[int] = SEEDS,
@@ -139,12 +140,14 @@ def composite_score(balance: float, sil: float, ch: float) -> float:
 
 def cluster_sweep(x: DataFrame, arm: str, ks: Sequence[int] = range(3, 8),
                   seeds: Sequence[int] = SEEDS, min_size: int = 10, min_ratio: float = 0.3,
-                  parallel: int = 4):
+                  parallel: int = 8):
     """K-5 .. K-10: fit both algorithms for every k, score them, and return
     (scores DataFrame, best prediction DataFrame or None). Q-20: when no
     configuration has a valid cluster, the best prediction is None."""
     spark = x.sparkSession
-    x = cut_lineage(x)
+    # the fits are many short jobs over the same rows: partitions of some thousand rows
+    # each, so that a job has tasks by the data and not by the plan before
+    x = cut_lineage(x.repartition(max(1, -(-x.count() // ROWS_PER_PARTITION))))
 
     def run(cfg):
         alg, k = cfg

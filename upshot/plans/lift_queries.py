@@ -22,19 +22,19 @@ METRICS = OUTCOMES
 NUM = OUTCOMES + ("adoption_score",)
 
 
-def prepared_panel(spark, d):
-    """Coerce outcomes, fill categories, trim outliers per segment (factor 2.5)."""
+def prepared_panel(spark, d, factor=2.5):
+    """Coerce outcomes, fill categories, trim outliers per segment."""
     p = Domain(spark, d).panel()
     p = coerce_numeric(p, NUM)
     p = fill_categories(p, CATS)
     # the trimming chain reads the panel once per column and once for the rows:
     # materialise it once (it is far smaller than the line items it comes from)
     p = cut_lineage(p)
-    return remove_outliers_iqr(p, REV, "segment", factor=2.5, min_n=10)
+    return remove_outliers_iqr(p, REV, "segment", factor=factor, min_n=10)
 
 
-def customer_xs(spark, d):
-    p = prepared_panel(spark, d)
+def customer_xs(spark, d, factor=2.5):
+    p = prepared_panel(spark, d, factor)
     return cross_section(p, "account_id", NUM,
                          ("treated",) + CATS + ("event_type",), "period")
 

@@ -29,8 +29,8 @@ CALIPER = 0.1
 SEED = 42
 
 
-def scored_xs(spark, d):
-    xs = customer_xs(spark, d)
+def scored_xs(spark, d, factor=2.5):
+    xs = customer_xs(spark, d, factor)
     return M.propensity_scores(xs, "treated", PS_NUM, PS_CAT)
 
 
@@ -385,14 +385,16 @@ def q_chi2(spark, d):
 
 @register("e23_sensitivity", doubles={"effect_size_pct": 6, "t_stat": 6, "p_value": 6})
 def q_sensitivity(spark, d):
-    """E-23: matched revenue effect across calipers (0.05, 0.1, 0.2), one table."""
-    xs = cut_lineage(scored_xs(spark, d))
+    """E-23: matched revenue effect on the grid of outlier factors (2.0, 2.5, 3.0) and
+    calipers (0.05, 0.1, 0.2), one table."""
     out = None
-    for cal in (0.05, 0.1, 0.2):
-        pairs = M.match_nearest(xs, "account_id", "treated", "propensity_score", caliper=cal)
-        m = M.matched_units(pairs, xs, "account_id")
-        r = (two_sample_t(m, "treated", ["revenue"])
-             .select(F.lit(cal).alias("caliper"), F.col("n_t").alias("pairs"),
-                     F.col("lift_pct").alias("effect_size_pct"), "t_stat", "p_value"))
-        out = r if out is None else out.unionByName(r)
-    return out.withColumn("caliper", F.col("caliper").cast("string"))
+    for factor in (2.0, 2.5, 3.0):
+        xs = cut_lineage(scored_xs(spark, d, factor))
+        for cal in (0.05, 0.1, 0.2):
+            pairs = M.match_nearest(xs, "account_id", "treated", "propensity_score", caliper=cal)
+            m = M.matched_units(pairs, xs, "account_id")
+            r = (two_sample_t(m, "treated", ["revenue"])
+                 .select(F.lit(str(factor)).alias("outlier_factor"), F.lit(str(cal)).alias("caliper"), F.col("n_t").alias("pairs"),
+                         F.col("lift_pct").alias("effect_size_pct"), "t_stat", "p_value"))
+            out = r if out is None else out.unionByName(r)
+    return out
