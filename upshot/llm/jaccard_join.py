@@ -51,6 +51,7 @@ RUNS = 20
 LIMIT = 128
 LEVELS = 5
 TILE = 256
+SALT = 32  # parts into which the members of a large bucket are dealt to meet its smallest one
 LOW = 0.8  # least overlap relative to the larger set at similarity 0.8
 NEAR, FAR = 0.5, 0.7  # FAR - NEAR is the distance 0.2 of the threshold
 
@@ -334,9 +335,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if large.isEmpty():
             break
         pivots = (in_large.join(large.select("pivot").distinct(), F.col("rep") == F.col("pivot"))
-                  .select(F.col("rep").alias("_pivot"), F.col("set").alias("pivot_set")))
+                  .select(F.col("rep").alias("_pivot"), F.col("set").alias("pivot_set"),
+                          F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_part")))
         step, _ = materialise(
-            large.join(in_large, "rep").join(pivots, F.col("pivot") == F.col("_pivot"))
+            large.join(in_large, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(SALT)).cast("int"))
+            .join(pivots, (F.col("pivot") == F.col("_pivot")) & (F.col("part") == F.col("_part")))
             .select("path", "rep", "pivot", "set", "pivot_set")
             .mapInArrow(_recurse, schema(kind=INT, path=LONG, rep=LONG)), "level")
         around.append(step.where("kind = 0").select(F.xxhash64(F.lit("around"), "path").alias("home"), "rep"))
