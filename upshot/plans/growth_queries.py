@@ -164,6 +164,28 @@ def q_growth_compare(spark, d):
         "t_stat", "df", "net_impact", "net_impact_annual", "p_value", "significant")
 
 
+# ---- dense panel: daily event values, days taken as months, at the default windows ----------
+_EVENT_BODY = (
+    "ev AS (SELECT user_id, CAST(DATE '2020-01-01' + to_months(CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER)) AS DATE) AS period, "
+    "event_type, value FROM events),\n"
+    "es AS (SELECT user_id, min(period) AS event_date FROM ev WHERE event_type = 'signup' GROUP BY user_id),\n"
+    "ex AS (SELECT p.*, es.event_date FROM (SELECT user_id, period, sum(value) AS value FROM ev GROUP BY user_id, period) p "
+    "JOIN es ON p.user_id = es.user_id)")
+
+
+@register("g2_event_growth", sql=f"WITH {_EVENT_BODY}\n{growth_sql('ex', 'user_id', 'event_date', ['value'], 6, 6, 12)}",
+          doubles=_GD, texts=("event_date",))
+def q_event_growth(spark, d):
+    """G-2/G-3/W-1/W-2 at 6 / 6 / 12: growth of users' event values around their first signup,
+    each day of the events table taken as a month."""
+    e = Domain(spark, d).t.events
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    ev = e.select("user_id", "event_type", "value", F.add_months(F.lit("2020-01-01").cast("date"), day).alias("period"))
+    first = ev.where("event_type = 'signup'").groupBy("user_id").agg(F.min("period").alias("event_date"))
+    panel = ev.groupBy("user_id", "period").agg(F.sum("value").alias("value")).join(first, "user_id")
+    return G.growth_per_unit(panel, "user_id", "period", "event_date", ["value"], 6, 6, 12)
+
+
 @register("e2_one_sample_acceleration",
           sql=with_domain(GROWTH_SQL, with_p_sql("SELECT metric, count(*) AS n, avg(cmgr_acceleration) AS mean, "
                                       "stddev_samp(cmgr_acceleration) AS sd, avg(cmgr_acceleration) / "
