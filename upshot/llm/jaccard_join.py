@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import BINARY, INT, LONG, documents, drop_scratch, materialise, schema
+from .common import BINARY, BOOL, INT, LONG, documents, drop_scratch, materialise, schema
 from .components import components
 
 SHINGLE = 5
@@ -168,27 +168,21 @@ def _similarity(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def _recurse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of large buckets: the surroundings of the smallest member (kind 0),
-    and for those not near it the paths of the next level (kind 1)."""
+    """Of a member of large buckets with the same smallest member: whether it lies
+    around that one, and if it isn't near it, the paths of the next level."""
     for batch in batches:
-        kind, home, rep = [], [], []
-        for path, r, pivot, x, p in zip(*(batch.column(k).to_pylist() for k in
-                                          ("path", "rep", "pivot", "set", "pivot_set")), strict=True):
+        around, children = [], []
+        for paths, x, p in zip(*(batch.column(k).to_pylist() for k in ("paths", "set", "pivot_set")), strict=True):
             x = _tokens(x)
             far = 1 - _similarity(x, _tokens(p))
-            if far <= FAR:
-                kind.append(0)
-                home.append(pivot)
-                rep.append(r)
-            if far >= NEAR:
-                seed = np.array([path], dtype=np.int64).view(W.U)
+            around.append(far <= FAR)
+            nxt = []
+            for seed in np.array(paths if far >= NEAR else [], dtype=np.int64).view(W.U):
                 u = _draw(x, W.mix64(seed + W.U(1)))
-                nxt = W.int64(W.mix64(u[u < _bound(np.array([len(x)]))] + seed))
-                kind += [1] * len(nxt)
-                home += nxt.tolist()
-                rep += [r] * len(nxt)
-        yield pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int32()), "path": pa.array(home, pa.int64()),
-                                          "rep": pa.array(rep, pa.int64())})
+                nxt += W.int64(W.mix64(u[u < _bound(np.array([len(x)]))] + seed)).tolist()
+            children.append(nxt)
+        yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "pivot": batch.column("pivot"), "around": pa.array(around, pa.bool_()),
+                                          "children": pa.array(children, pa.list_(pa.int64()))})
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -337,13 +331,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pivots = (in_large.join(large.select("pivot").distinct(), F.col("rep") == F.col("pivot"))
                   .select(F.col("rep").alias("_pivot"), F.col("set").alias("pivot_set"),
                           F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_part")))
+        met = large.repartition("rep").groupBy("rep", "pivot").agg(F.collect_list("path").alias("paths"))
         step, _ = materialise(
-            large.join(in_large, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(SALT)).cast("int"))
+            met.join(in_large, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(SALT)).cast("int"))
             .join(pivots, (F.col("pivot") == F.col("_pivot")) & (F.col("part") == F.col("_part")))
-            .select("path", "rep", "pivot", "set", "pivot_set")
-            .mapInArrow(_recurse, schema(kind=INT, path=LONG, rep=LONG)), "level")
-        around.append(step.where("kind = 0").select(F.xxhash64(F.lit("around"), "path").alias("home"), "rep"))
-        deeper, _ = materialise(_members(step.where("kind = 1").select("path", "rep")), "members")
+            .select("rep", "pivot", "paths", "set", "pivot_set")
+            .mapInArrow(_recurse, schema(rep=LONG, pivot=LONG, around=BOOL).add("children", T.ArrayType(LONG))), "level")
+        around.append(step.where("around").select(F.xxhash64(F.lit("around"), "pivot").alias("home"), "rep"))
+        deeper, _ = materialise(_members(step.select(F.explode("children").alias("path"), "rep")), "members")
         small = small.union(deeper.where(F.col("size") <= LIMIT).select("path", "rep"))
         large = deeper.where(F.col("size") > LIMIT).select("path", "rep", "pivot")
     around.append(large.select(F.col("path").alias("home"), "rep"))  # still large: compared in tiles
