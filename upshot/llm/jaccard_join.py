@@ -309,9 +309,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min(F.struct(F.col("id").isNull(), "id", "th", "paths")).alias("first"), F.count(F.lit(1)).alias("copies"))
     reps, _ = materialise(
         texts.groupBy("m1", "m2", "n").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("weight"),
-                                           F.sum("copies").alias("copies"))
+                                           F.sum("copies").alias("copies")).orderBy("first.id")
         .select(F.monotonically_increasing_id().alias("rep"), "m1", "m2", "n", "weight", "copies", "first.id", "first.th", "first.paths"),
-        "reps")  # ids may repeat with other texts, so sets are numbered; the numbers are fixed by the written table
+        "reps")  # ids may repeat with other texts, so sets are numbered, in the order of their ids; the written table fixes the numbers
     usable = reps.where("n > 0")
     members, members_path = materialise(_members(usable.select(F.explode("paths").alias("path"), "rep")), "members")
 
