@@ -48,3 +48,12 @@ def test_clean_documents_stay(spark, tricky, no_rows):
     assert D.decontaminate(tricky, items).count() == tricky.count()
     assert D.matches(no_rows, items).count() == 0 and D.decontaminate(no_rows, items).columns == no_rows.columns
     assert D.matches(docs, items.where("1 = 0")).count() == 0
+
+
+def test_a_stricter_sibling_does_not_hide_a_looser_one(spark):
+    ask = "Your box holds %d red balls and my box holds %d blue balls so how many balls do both boxes hold"
+    items = spark.createDataFrame([(0, ask % (3, 3)), (1, ask % (3, 5)), (2, ask % (8, 9))], "item_id long, text string")
+    docs = spark.createDataFrame([(k, prose(k, 20) + ". " + ask % v) for k, v in enumerate([(3, 5), (4, 4), (6, 7)])], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_items"], r["share"], r["same_values"]) for r in D.matches(docs, items).collect()}
+    # two equal numbers fill both templates, two different ones only the looser
+    assert got == {(0, 1): (2, 1.0, True), (1, 0): (1, 1.0, False), (1, 1): (2, 1.0, False), (2, 1): (2, 1.0, False)}

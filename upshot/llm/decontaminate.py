@@ -10,8 +10,9 @@ or names is caught, and one whose values don't fit together is not. A document i
 contaminated by an item if the consistent windows cover ``SHARE`` of the item's
 tokens, or ``ENOUGH`` of them.
 
-Everything is DataFrame functions. Items with the same canonical tokens are one
-template, reported under the smallest id. The window index of the benchmark is
+Everything is DataFrame functions. Items with the same canonical tokens, whose
+slots share values in the same places, are one template, reported under the
+smallest id. The window index of the benchmark is
 broadcast up to ``BROADCAST_ROWS`` rows and joined with a shuffle beyond, with the
 same result. Documents are never compared with each other.
 
@@ -71,10 +72,14 @@ def _is_slot(t: Column) -> Column:
 
 
 def templates(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (item, n_items, tokens, canon): one per canonical text of the benchmark."""
+    """Rows (item, n_items, tokens, canon): one per canonical text of the benchmark and
+    equality pattern of its slots (the first place of each slot's value), so an item
+    that repeats a value never stands for one that doesn't."""
     given = (items.select(F.col(f"`{id_col}`").alias("item"), tokens_of(F.col(f"`{text_col}`").cast("string")).alias("tokens"))
-             .where("item is not null").where(F.size("tokens") >= LEAST).withColumn("canon", canonical(F.col("tokens"))))
-    return (given.groupBy("canon").agg(F.min(F.struct("item", "tokens")).alias("first"), F.countDistinct("item").alias("n_items"))
+             .where("item is not null").where(F.size("tokens") >= LEAST).withColumn("canon", canonical(F.col("tokens"))).distinct()
+             .withColumn("filled", _slot_values(F.col("tokens"), F.col("canon")))
+             .withColumn("pattern", F.transform("filled", lambda v: F.array_position("filled", v))))
+    return (given.groupBy("canon", "pattern").agg(F.min(F.struct("item", "tokens")).alias("first"), F.countDistinct("item").alias("n_items"))
             .select(F.col("first.item").alias("item"), "n_items", F.col("first.tokens").alias("tokens"), "canon"))
 
 
