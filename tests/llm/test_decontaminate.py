@@ -1,3 +1,4 @@
+import corpus_pipeline
 from upshot.llm import decontaminate as D
 
 from .conftest import prose
@@ -57,3 +58,34 @@ def test_a_stricter_sibling_does_not_hide_a_looser_one(spark):
     got = {(r["doc_id"], r["item_id"]): (r["n_items"], r["share"], r["same_values"]) for r in D.matches(docs, items).collect()}
     # two equal numbers fill both templates, two different ones only the looser
     assert got == {(0, 1): (2, 1.0, True), (1, 0): (1, 1.0, False), (1, 1): (2, 1.0, False), (2, 1): (2, 1.0, False)}
+
+
+def test_verbatim_copies_of_items_of_mostly_slots(spark, tmp_path, monkeypatch):
+    sums = "Compute 12 + 7 * 31 - 5 / 2 + 18 * 44 - 9 + 63"
+    names = "The guests were Anna, Boris, Clara, David, Emil, Frida, Gustav, Hanna, Igor and Jana"
+    half = "Each morning the old baker on our street counts the loaves that were left over 31 4 51 6 71 8 91 10 11 12 13 14 15 16 17"
+    items = spark.createDataFrame([ITEMS[7], (20, sums), (21, names), (22, sums.replace("63", "64")), (23, half), (24, "7 8 9 10 11")], "item_id long, text string")
+    texts = [ITEMS[7][1], prose(1, 20) + ". " + sums + ". " + prose(2, 9), prose(3, 20) + ". " + names, "Compute 1 + 2 * 3 - 4 / 5 + 6 * 8 - 10 + 11",
+             names.replace("Clara", "Chloe").replace("Emil", "Ernst").replace("Hanna", "Heidi"), half, prose(5, 40), prose(6, 9) + " 7 8 9 10 11 " + prose(7, 9),
+             "2 3 4 5 6 7 8 1 9 10 11"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {(0, 7), (0, 24), (1, 20), (1, 22), (2, 21), (5, 23), (7, 24)}
+    got = {(r["doc_id"], r["item_id"]): r for r in D.matches(docs, items, verbatim=True).collect()}
+    assert set(got) == want and all(got[k]["same_values"] for k in want)
+    assert got[0, 7]["share"] == got[1, 20]["share"] == got[2, 21]["share"] == got[5, 23]["share"] == 1.0 > got[1, 22]["share"]
+    assert [r["doc_id"] for r in D.decontaminate(docs, items, verbatim=True).orderBy("doc_id").collect()] == [3, 4, 6, 8]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {(r["doc_id"], r["item_id"]) for r in D.op6(spark, str(tmp_path)).collect()} == want
+    assert corpus_pipeline.remove_benchmark(spark, docs, str(tmp_path)).count() == 4
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    assert {(r["doc_id"], r["item_id"]) for r in D.matches(docs, items, verbatim=True).collect()} == want
+
+
+def test_equal_values_count_beside_slots_that_do_not_fit(spark):
+    numbers = "5 9 2 7 4 8 1 6 3 0 12 13 14 15 16 17"
+    text = "Our tall neighbour bought 5 green apples today while we sold 5 %s pears to them" % numbers
+    items = spark.createDataFrame([(0, text)], "item_id long, text string")
+    docs = spark.createDataFrame([(0, text.replace("bought 5", "bought 6")), (1, numbers), (2, text)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in D.matches(docs, items, verbatim=True).collect()}
+    assert set(got) == {0, 1, 2} and got[2]["share"] == 1.0 and got[1]["n_tokens"] == 16

@@ -10,9 +10,15 @@ or names is caught, and one whose values don't fit together is not. A document i
 contaminated by an item if the consistent windows cover ``SHARE`` of the item's
 tokens, or ``ENOUGH`` of them.
 
+With ``verbatim``, windows of mostly slots (arithmetic, tables, lists of names) are
+joined too, with the slots' own values in the hash: they match on equal values only,
+and count on any diagonal. Without it they are left out. The queries set it; op6's
+oracle SQL leaves them out.
+
 Everything is DataFrame functions. Items with the same canonical tokens, whose
 slots share values in the same places, are one template, reported under the
-smallest id. The window index of the benchmark is
+smallest id; with ``verbatim``, items with a window of mostly slots are one only
+if all their slots' values are equal. The window index of the benchmark is
 broadcast up to ``BROADCAST_ROWS`` rows and joined with a shuffle beyond, with the
 same result. Documents are never compared with each other.
 
@@ -71,7 +77,16 @@ def _is_slot(t: Column) -> Column:
     return (t >= NUMBER) & (t <= UNIT)
 
 
-def templates(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _mostly_slots(values: Column, k: Column | int) -> Column:
+    return F.size(F.array_compact(values)) * 2 > k
+
+
+def _window_hash(marks: Column, values: Column, k: Column | int) -> Column:
+    """Hash of a window's canonical tokens, and of the slots' values if it is mostly slots."""
+    return F.when(_mostly_slots(values, k), F.xxhash64(marks, values)).otherwise(F.xxhash64(marks))
+
+
+def templates(items: DataFrame, id_col: str, text_col: str, verbatim: bool = False) -> DataFrame:
     """Rows (item, n_items, tokens, canon): one per canonical text of the benchmark and
     equality pattern of its slots (the first place of each slot's value), so an item
     that repeats a value never stands for one that doesn't."""
@@ -79,27 +94,32 @@ def templates(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
              .where("item is not null").where(F.size("tokens") >= LEAST).withColumn("canon", canonical(F.col("tokens"))).distinct()
              .withColumn("filled", _slot_values(F.col("tokens"), F.col("canon")))
              .withColumn("pattern", F.transform("filled", lambda v: F.array_position("filled", v))))
-    return (given.groupBy("canon", "pattern").agg(F.min(F.struct("item", "tokens")).alias("first"), F.countDistinct("item").alias("n_items"))
+    k = F.least(F.size("canon"), F.lit(WINDOW))
+    some = F.exists(F.sequence(F.lit(0), F.size("canon") - k), lambda i: _mostly_slots(F.slice("filled", i + 1, k), k))
+    given = given.withColumn("own", F.when(F.lit(verbatim) & some, F.col("filled")))
+    return (given.groupBy("canon", "pattern", "own").agg(F.min(F.struct("item", "tokens")).alias("first"), F.countDistinct("item").alias("n_items"))
             .select(F.col("first.item").alias("item"), "n_items", F.col("first.tokens").alias("tokens"), "canon"))
 
 
-def window_index(found: DataFrame) -> DataFrame:
-    """Rows (hash, k, item, n_items, size, at, filled) of the templates' windows;
-    ``filled`` has the slots' values and null for literal tokens."""
+def window_index(found: DataFrame, verbatim: bool = False) -> DataFrame:
+    """Rows (hash, k, item, n_items, size, at, filled, equal) of the templates' windows;
+    ``filled`` has the slots' values and null for literal tokens, ``equal`` marks
+    windows of mostly slots, which match on equal values."""
     k = F.least(F.size("canon"), F.lit(WINDOW))
     windows = (found.withColumn("k", k).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("canon") - k)))
                .withColumn("here", F.slice("canon", F.col("at") + 1, F.col("k")))
                .withColumn("filled", F.slice(_slot_values(F.col("tokens"), F.col("canon")), F.col("at") + 1, F.col("k"))))
-    return (windows.where(F.size(F.array_compact("filled")) * 2 <= F.col("k"))
-            .select(F.xxhash64(F.transform("here", lambda t: F.xxhash64(t))).alias("hash"), "k", "item", "n_items",
-                    F.size("canon").alias("size"), "at", "filled"))
+    windows = windows.withColumn("equal", _mostly_slots(F.col("filled"), F.col("k")))
+    return (windows.where(F.lit(verbatim) | ~F.col("equal"))
+            .select(_window_hash(F.transform("here", lambda t: F.xxhash64(t)), F.col("filled"), F.col("k")).alias("hash"), "k", "item", "n_items",
+                    F.size("canon").alias("size"), "at", "filled", "equal"))
 
 
 def _slot_values(tokens: Column, canon: Column) -> Column:
     return F.zip_with(tokens, canon, lambda t, c: F.when(_is_slot(c), t))
 
 
-def windows_of(docs: DataFrame, k: int) -> DataFrame:
+def windows_of(docs: DataFrame, k: int, verbatim: bool = False) -> DataFrame:
     """Rows (id, pos, hash, values) of the documents' windows. The arrays of a document
     are in one struct, which the windows refer to more than once, and nothing
     filters on them: so they are made once per document, and no exploded row
@@ -110,17 +130,24 @@ def windows_of(docs: DataFrame, k: int) -> DataFrame:
     last = F.size("t.marks") - k
     some = F.exists("t.values", lambda v: v.isNotNull())
     starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+    def hashed(i: Column) -> Column:
+        marks = F.slice("t.marks", i + 1, k)
+        if not verbatim:
+            return F.xxhash64(marks)
+        return F.when(F.col("many"), _window_hash(marks, F.slice("t.values", i + 1, k), k)).otherwise(F.xxhash64(marks))
+
     each = F.transform(starts, lambda i: F.struct(
-        i.alias("pos"), F.xxhash64(F.slice("t.marks", i + 1, k)).alias("hash"),
+        i.alias("pos"), hashed(i).alias("hash"),
         F.when(F.col("some"), F.slice("t.values", i + 1, k)).alias("values")))
-    return given.withColumn("some", some).select("id", F.explode(each).alias("w")).select("id", "w.*")
+    return given.withColumn("some", some).withColumn("many", _mostly_slots(F.col("t.values"), k)).select("id", F.explode(each).alias("w")).select("id", "w.*")
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+            item_col: str = "item_id", item_text_col: str = "text", verbatim: bool = False) -> DataFrame:
     """Rows (``id_col``, ``item_col``, ``n_items``, ``n_tokens``, ``share``,
     ``n_slots``, ``same_values``, ``first_token``) of contaminated documents."""
-    index, _ = materialise(window_index(templates(items, item_col, item_text_col)), "windows")
+    index, _ = materialise(window_index(templates(items, item_col, item_text_col, verbatim), verbatim), "windows")
     rows = index.count()
     given = (docs.select(F.col(f"`{id_col}`").alias("id"), tokens_of(F.col(f"`{text_col}`").cast("string")).alias("tokens"))
              .where("id is not null"))
@@ -128,16 +155,26 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     for k in sorted(r["k"] for r in index.select("k").distinct().collect()) or [WINDOW]:  # at most WINDOW lengths
         side = index.where(F.col("k") == k).drop("k").withColumnRenamed("hash", "_hash")
         side = F.broadcast(side) if rows <= BROADCAST_ROWS else side
-        hit = (windows_of(given, k).join(side, F.col("hash") == F.col("_hash"))
-               .select("id", "item", "n_items", "size", "pos", "at", F.lit(k).alias("k"), F.array_compact(F.col("filled")).alias("b"),
+        hit = (windows_of(given, k, verbatim).join(side, F.col("hash") == F.col("_hash"))
+               .select("id", "item", "n_items", "size", "pos", "at", F.lit(k).alias("k"), "equal", F.array_compact(F.col("filled")).alias("b"),
                        F.coalesce(F.array_compact("values"), F.array().cast("array<string>")).alias("d"))
                .withColumn("filled", F.arrays_zip("b", "d")).drop("b", "d"))
         found = hit if found is None else found.union(hit)
-    covered = F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("k") - 1)))
+    here = F.sequence("at", F.col("at") + F.col("k") - 1)
+
+    def gathered(which: Column) -> Column:
+        return F.struct(F.array_distinct(F.flatten(F.collect_set(F.when(which, here)))).alias("covered"),
+                        F.array_distinct(F.flatten(F.collect_set(F.when(which, F.col("filled"))))).alias("filled"),
+                        F.min(F.when(which, F.col("pos"))).alias("pos"))
+
+    # windows that match on equal values count whether or not the others' slots fit together
     line = (found.groupBy("id", "item", "n_items", "size", (F.col("pos") - F.col("at")).alias("shift"))
-            .agg(F.array_distinct(covered).alias("covered"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"),
-                 F.min("pos").alias("pos"))
-            .where(F.size(F.array_distinct(F.transform("filled", lambda p: p["b"]))) == F.size("filled")))
+            .agg(gathered(F.lit(True)).alias("all"), gathered(F.col("equal")).alias("same"),
+                 F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("equal"), F.col("filled"))))).alias("free"))
+            .withColumn("fits", F.size(F.array_distinct(F.transform("free", lambda p: p["b"]))) == F.size("free"))
+            .where(F.col("fits") | (F.size("same.covered") > 0))
+            .select("id", "item", "n_items", "size", F.when(F.col("fits"), F.col("all")).otherwise(F.col("same")).alias("t"))
+            .select("id", "item", "n_items", "size", "t.*"))
     total = (line.groupBy("id", "item", "n_items", "size")
              .agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n"), F.max(F.size("filled")).alias("n_slots"),
                   F.min(F.forall("filled", lambda p: p["b"] == p["d"])).alias("same_values"), F.min("pos").alias("pos")))
@@ -148,15 +185,15 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                  item_col: str = "item_id", item_text_col: str = "text", verbatim: bool = False) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    hit = matches(docs, items, id_col, text_col, item_col, item_text_col).select(F.col(id_col).alias("_hit")).distinct()
+    hit = matches(docs, items, id_col, text_col, item_col, item_text_col, verbatim).select(F.col(id_col).alias("_hit")).distinct()
     return docs.join(hit, docs[id_col] == F.col("_hit"), "left_anti")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, exactly or with other values."""
-    return matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), verbatim=True)
 
 
 def _tokens_sql(text: str) -> str:
