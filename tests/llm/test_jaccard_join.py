@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from upshot.llm import jaccard_join as J
@@ -105,3 +106,17 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 105), (105, 101), (7, 7), (200, 200)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 105: 100}
+
+
+def test_pairs_at_the_threshold_share_paths_at_every_depth():
+    """Sets of 40 and 50 tokens with 40 in common, the worst case, followed through the levels of a bucket that stays large."""
+    rng, lost = np.random.default_rng(1), [0] * (J.LEVELS + 1)
+    for _ in range(800):
+        y = rng.integers(0, 2**63, 50, dtype=np.int64).astype(np.uint64)
+        pair = [np.sort(y[:40]), np.sort(y)]
+        first = [J._paths(x, np.array([0, len(x)]), J._SEEDS)[0] for x in pair]
+        shared = np.intersect1d(*first)
+        for depth in range(J.LEVELS + 1):
+            lost[depth] += not len(shared)
+            shared = np.array([c for p in shared for c in np.intersect1d(*(J._children(x, p) for x in pair))], dtype=np.uint64)
+    assert lost == [0] * (J.LEVELS + 1)

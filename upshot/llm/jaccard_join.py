@@ -12,7 +12,13 @@ bucket, from the second level on, so that a passage in common rarely makes one.
 Buckets of at most ``LIMIT`` sets are compared by brute force with exact
 intersections; larger ones recurse. A pair at the threshold shares a path of two
 tokens with probability 0.47 at least, so ``RUNS`` runs leave one in 300,000 such
-pairs apart, and fewer at higher similarities.
+pairs apart, and fewer at higher similarities. Deeper paths are shared less often.
+So members of large buckets get ``MORE_RUNS`` further runs among themselves, and
+below the second level a node chooses the tokens below ``1/(0.64 n)``. Of pairs at
+the threshold with sizes 4:5, the worst case, a run then shares a path of 3, 4, 5,
+6 and 7 tokens with probability 0.40, 0.36, 0.33, 0.32 and 0.30; all runs miss one
+with probability 1e-9, 2e-8, 9e-8, 2e-7 and 5e-7, which comes on top of the 3e-6
+of pairs that share no path of two tokens in the first ``RUNS``.
 
 Before a large bucket is split, its similar core is taken off: distances (one
 minus similarity) to the bucket's smallest member obey the triangle inequality,
@@ -48,14 +54,16 @@ from .components import components
 
 SHINGLE = 5
 RUNS = 20
+MORE_RUNS = 20  # for members of large buckets
 LIMIT = 128
 LEVELS = 5
 TILE = 256
 SALT = 32  # parts into which the members of a large bucket are dealt to meet its smallest one
 LOW = 0.8  # least overlap relative to the larger set at similarity 0.8
+DEEP = 0.64  # in place of LOW below the second level
 NEAR, FAR = 0.5, 0.7  # FAR - NEAR is the distance 0.2 of the threshold
 
-_SEEDS = W.mix64(np.arange(1, RUNS + 1).astype(W.U) * W.U(0x9E3779B97F4A7C15))
+_SEEDS = W.mix64(np.arange(1, RUNS + MORE_RUNS + 1).astype(W.U) * W.U(0x9E3779B97F4A7C15))
 
 
 def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,9 +100,9 @@ def _marks(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _sum(W.mix64(x), at), _sum(W.mix64(x ^ W.U(0x5851F42D4C957F2D)), at)
 
 
-def _bound(n: np.ndarray) -> np.ndarray:
+def _bound(n: np.ndarray, low: float = LOW) -> np.ndarray:
     """Below this hash a token of a set of size n is chosen."""
-    share = 2.0**64 / (LOW * np.maximum(n, 1))
+    share = 2.0**64 / (low * np.maximum(n, 1))
     return np.where(share >= 2.0**64, 2.0**64 - 2048, share).astype(W.U)
 
 
@@ -105,14 +113,14 @@ def _draw(x: np.ndarray, seed: np.ndarray | W.U) -> np.ndarray:
     return v * W.U(0x9FB21C651E98DF25)
 
 
-def _paths(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All runs' paths of two tokens, and the text of each."""
+def _paths(x: np.ndarray, at: np.ndarray, seeds: np.ndarray = _SEEDS[:RUNS]) -> tuple[np.ndarray, np.ndarray]:
+    """The runs' paths of two tokens, and the text of each."""
     size = np.diff(at)
     own = np.repeat(np.arange(len(size)), size)
     each = _bound(size)
     bound = each[own]
     paths, of = [], []
-    for seed in _SEEDS:
+    for seed in seeds:
         u = _draw(x, seed)
         hit = np.flatnonzero(u < bound)
         node, text = W.mix64(u[hit] + seed), own[hit]
@@ -167,6 +175,23 @@ def _similarity(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def _more_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paths of two tokens of the further runs."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            lists = [_tokens(cell) for cell in part.column("set").to_pylist()]
+            at = np.cumsum([0, *map(len, lists)])
+            paths, of = _paths(np.concatenate(lists), at, _SEEDS[RUNS:])
+            yield pa.RecordBatch.from_pydict({"rep": part.column("rep").take(pa.array(of)), "path": pa.array(W.int64(paths))})
+
+
+def _children(x: np.ndarray, path: W.U) -> np.ndarray:
+    """Paths of one token more."""
+    u = _draw(x, W.mix64(path + W.U(1)))
+    return W.mix64(u[u < _bound(np.array([len(x)]), DEEP)] + path)
+
+
 def _recurse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a member of large buckets with the same smallest member: whether it lies
     around that one, and if it isn't near it, the paths of the next level."""
@@ -178,8 +203,7 @@ def _recurse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             around.append(far <= FAR)
             nxt = []
             for seed in np.array(paths if far >= NEAR else [], dtype=np.int64).view(W.U):
-                u = _draw(x, W.mix64(seed + W.U(1)))
-                nxt += W.int64(W.mix64(u[u < _bound(np.array([len(x)]))] + seed)).tolist()
+                nxt += W.int64(_children(x, seed)).tolist()
             children.append(nxt)
         yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "pivot": batch.column("pivot"), "around": pa.array(around, pa.bool_()),
                                           "children": pa.array(children, pa.list_(pa.int64()))})
@@ -324,6 +348,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     small = members.where(F.col("size") <= LIMIT).select("path", "rep")
     large = members.where(F.col("size") > LIMIT).select("path", "rep", "pivot")
+    if not large.isEmpty():
+        more, _ = materialise(_members(in_large.mapInArrow(_more_paths, schema(rep=LONG, path=LONG))), "members")
+        small = small.union(more.where(F.col("size") <= LIMIT).select("path", "rep"))
+        large = large.union(more.where(F.col("size") > LIMIT).select("path", "rep", "pivot"))
     around: list[DataFrame] = []
     for _ in range(LEVELS):
         if large.isEmpty():
