@@ -44,6 +44,15 @@ def materialise(df: DataFrame, name: str, *partition_by: str) -> tuple[DataFrame
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def open_file(path: str, write: bool = False):
+    """A file of the shared folder, in whatever store it is."""
+    from pyarrow import fs
+    store, at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    if write:
+        store.create_dir(at.rpartition("/")[0], recursive=True)
+    return store.open_output_stream(at) if write else store.open_input_file(at)
+
+
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 

@@ -49,7 +49,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _bytes_of_letters() -> dict[str, int]:
+def bytes_of_letters() -> dict[str, int]:
     """The printable letter that byte-level vocabulary files use for each byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     other = [b for b in range(256) if b not in set(plain)]
@@ -67,7 +67,7 @@ def encoder(path: str):
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters = _bytes_of_letters()
+        letters = bytes_of_letters()
         special = [t["content"] for t in spec.get("added_tokens", [])]
         ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
         fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
