@@ -38,6 +38,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -88,42 +89,39 @@ class Encoder:
             spec = json.load(f)
         suffix, letters = spec["model"]["end_of_word_suffix"], bytes_of_letters()
         added = {t["content"] for t in spec.get("added_tokens", [])}
-        self.ranks = {}
+        ranks = {}
         for word, i in spec["model"]["vocab"].items():
             if word not in added:
                 whole = word.endswith(suffix)
-                self.ranks[bytes(letters[c] for c in (word.removesuffix(suffix) if whole else word)) + (b"\xff" if whole else b"")] = i
-        self.pair = tiktoken.Encoding("file", pat_str=".", mergeable_ranks=self.ranks, special_tokens={})._core_bpe.encode_single_piece
+                ranks[bytes(letters[c] for c in (word.removesuffix(suffix) if whole else word)) + (b"\xff" if whole else b"")] = i
+        self.pair = tiktoken.Encoding("file", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.new, self.old = {}, {}
 
     def word(self, word: bytes) -> bytes:
         """Ids of a word as little-endian uint32."""
+        if word.isalpha():  # ASCII letters alone
+            return array("I", self.pair(word.lower() + b"\xff")).tobytes()
         text = word.decode("utf-8", "replace")
         if PLAIN.fullmatch(text) and "<|" not in text:
             ids = []
             for piece in PIECES.findall(text.lower()):
-                piece = piece.encode() + b"\xff"
-                one = self.ranks.get(piece)
-                if one is None:
-                    ids.extend(self.pair(piece))
-                else:
-                    ids.append(one)
+                ids += self.pair(piece.encode() + b"\xff")
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", ids).tobytes()
+
+    def _first(self, word: bytes) -> bytes:
+        found = self.old.get(word) or self.word(word)
+        if len(word) <= 64:
+            self.new[word] = found
+        return found
 
     def ids(self, text: bytes) -> np.ndarray:
-        new, parts = self.new, []
-        for w in text.split():
-            found = new.get(w)
-            if found is None:
-                found = self.old.get(w) or self.word(w)
-                if len(w) <= 64:
-                    new[w] = found
-            parts.append(found)
-        if len(new) > WORDS_HELD:
-            self.new, self.old = {}, new
-        return np.frombuffer(b"".join(parts), dtype="<u4")
+        get, first = self.new.get, self._first
+        out = b"".join([get(w) or first(w) for w in text.split()])
+        if len(self.new) > WORDS_HELD:
+            self.new, self.old = {}, self.new
+        return np.frombuffer(out, dtype="<u4")
 
 
 _ENCODERS: dict[str, Encoder] = {}
