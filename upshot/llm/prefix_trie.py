@@ -287,7 +287,7 @@ def trie_nodes(rebuilt: DataFrame, trie_turns: int = TRIE_TURNS) -> DataFrame:
         *(F.min(c).alias(c) for c in ("depth", "p1", "p2", "size")), F.sum("n").alias("n"), F.min("conv").alias("conv"),
         F.first("u1").alias("u1"), F.first("u2").alias("u2"))
     merged, merged_path = materialise(merged, "nodes")
-    deepest = merged.agg(F.max("depth")).first()[0] or 0
+    deepest, root = merged.agg(F.max("depth"), F.min("conv")).first()
     children = (merged.where("depth > 0").groupBy(F.col("p1").alias("_c1"), F.col("p2").alias("_c2"))
                 .agg(F.count(F.lit(1)).alias("n_children")))
     nodes = (merged.join(children, _same(["k1", "k2"], ["_c1", "_c2"]), "left").drop("_c1", "_c2")
@@ -295,7 +295,7 @@ def trie_nodes(rebuilt: DataFrame, trie_turns: int = TRIE_TURNS) -> DataFrame:
              .withColumn("n_leaves", (F.col("n_children") == 0).cast("long"))
              .withColumn("saved", (F.col("n") - 1) * F.col("size")))
     sums, sums_path = materialise(nodes, "sums")
-    for level in range(deepest.bit_length()):
+    for level in range((deepest or 0).bit_length()):
         below = (sums.where(F.size("u1") > level)
                  .groupBy(F.get("u1", F.lit(level)).alias("_a1"), F.get("u2", F.lit(level)).alias("_a2"))
                  .agg(F.sum("n_leaves").alias("_leaves"), F.sum("saved").alias("_saved")))
@@ -310,8 +310,7 @@ def trie_nodes(rebuilt: DataFrame, trie_turns: int = TRIE_TURNS) -> DataFrame:
     digests = digests.select(F.col("k1").alias("_e1"), F.col("k2").alias("_e2"), "ends_sha256")
     full = sums.drop("u1", "u2").join(digests, _same(["k1", "k2"], ["_e1", "_e2"]), "left")
     up = merged.select(F.col("k1").alias("_p1"), F.col("k2").alias("_p2"), F.col("conv").alias("parent_conv_id"))
-    root = merged.where("depth = 0").select(F.col("conv").alias("parent_conv_id"))  # one row
-    shallow = full.where("depth = 1").crossJoin(root)  # the root's children don't meet in one task
+    shallow = full.where("depth = 1").withColumn("parent_conv_id", F.lit(root).cast("long"))  # the root's children don't meet in one task
     deep = full.where("depth <> 1").join(up.where("_p1 <> 0 or _p2 <> 0"), (F.col("depth") > 0) & _same(["p1", "p2"], ["_p1", "_p2"]), "left")
     names = ["conv", "depth", "parent_conv_id", "n", "n_children", "n_leaves", "saved", "ends_sha256"]
     out = deep.select(*names).union(shallow.select(*names))
