@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fertility, grammar_ids, jaccard_join, langid, license_scan, packing, preferences, prefix_trie, sharding, substring_dedup, warc
+from . import decontaminate, fertility, grammar_ids, jaccard_join, langid, license_scan, packing, preferences, prefix_trie, sharding, substring_dedup, token_align, warc
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_tokenizer_fertility": (fertility.op1, None),
@@ -19,6 +19,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_sharding": (sharding.op8, None),
     "op9_preferences": (preferences.op9, preferences.SQL),
     "op10_jaccard_join": (jaccard_join.op10, jaccard_join.SQL),
+    "op11_token_align": (token_align.op11, None),
     "op12_prefix_trie": (prefix_trie.op12, prefix_trie.SQL),
     "op13_grammar_ids": (grammar_ids.op13, None),
 }
