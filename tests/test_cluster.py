@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from upshot.operators import cluster as K
 
@@ -67,3 +68,40 @@ def test_pca_of_centred_features(spark):
     assert np.allclose(shares, s ** 2 / (s ** 2).sum(), atol=1e-6)
     got = out.toPandas()
     assert np.allclose(sorted(np.abs(got.pc1.std() * np.sqrt(len(v) - 1)) for _ in (0,))[0], s[0], rtol=1e-6)
+
+
+def test_all_starts_in_one_scan_cost_no_more_than_separate_fits(spark):
+    from pyspark.ml.clustering import KMeans
+    rng = np.random.default_rng(5)
+    n = 600
+    v = np.column_stack([rng.normal(size=n) + rng.integers(0, 5, n) * 3, rng.normal(size=n) * 2, rng.integers(0, 3, n)])
+    x = K.assemble(spark.createDataFrame(pd.DataFrame(np.round(v, 2), columns=list("abc"))), list("abc"))
+    points = K.weighted_points(x)
+    runs = K.fit_starts(points, (3, 5), K.SEEDS)
+    for k in (3, 5):
+        best = min(KMeans(k=k, seed=s, maxIter=300).fit(x).summary.trainingCost for s in K.SEEDS[:5])
+        assert runs[k].cost <= best * 1.0001 and runs[k].done
+        labels = x.withColumn("cluster", K.nearest_centre("features", runs[k].centres)).toPandas().cluster.to_numpy()
+        w = np.round(v, 2)
+        assert runs[k].cost == pytest.approx(sum(((w[labels == c] - w[labels == c].mean(axis=0)) ** 2).sum() for c in set(labels)), rel=1e-6)
+
+
+def test_equal_points_and_few_points(spark):
+    hot = K.assemble(spark.createDataFrame([(1.0, 2.0)] * 500 + [(5.0, 2.0)] * 3 + [(None, None)], "a double, b double"), ["a", "b"])
+    points = K.weighted_points(hot)
+    assert sorted(r["w"] for r in points.collect()) == [1, 3, 500]
+    runs = K.fit_starts(points, (2, 4), (1, 2))
+    assert len(runs[4].centres) == 3 and runs[4].cost == 0.0 and runs[2].cost < 200
+    assert K.fit_starts(K.weighted_points(hot.where("1 = 0")), (2,), (1,)) == {}
+
+
+def test_scores_of_labellings_against_spark_and_plain_sums(spark):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    pdf, x = frame(spark)
+    x = x.withColumn("b2", F.col("id") % 4).withColumn("single", F.when(F.col("id") == 0, 1).otherwise(0))
+    got = K.score_labels(x, ["truth", "b2", "single"], arm="arm")
+    for c in ("truth", "b2", "single"):
+        want = ClusteringEvaluator(featuresCol="features", predictionCol=c).evaluate(x)
+        assert got[c]["silhouette"] == pytest.approx(want, abs=1e-6)
+    assert got["truth"]["clusters"] == [(c, int((pdf.truth == c).sum()), int(pdf[pdf.truth == c].arm.sum())) for c in range(3)]
+    assert np.isnan(K.silhouette(x.withColumn("cluster", F.lit(0))))

@@ -1,18 +1,16 @@
 """Clustering-based control groups (K-1 .. K-13, E-18).
 
 Features are scaled with per-column median / IQR from one aggregation,
-clustered with Spark ML k-means (best of several seeds) and bisecting k-means,
-and scored by silhouette (Spark's evaluator), Calinski-Harabasz (between /
-within sums of squares from one grouped aggregation) and treated / control
-balance per cluster. Every score is a small per-cluster table.
+clustered with k-means (best of several starts, all in one scan) and bisecting
+k-means, and scored by silhouette, Calinski-Harabasz and treated / control
+balance per cluster, for all labellings at once. Every score comes from small per-cluster tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -21,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clean_category
 from ..session import cut_lineage
 from .effects import two_sample_t
+from .kmeans import ROWS_PER_PARTITION, fit_starts, nearest_centre, score_labels, weighted_points
 from .opportunity import category_mode
 from .quantiles import exact_quantiles, small_side
 
@@ -65,20 +64,14 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 
 SEEDS = tuple(range(42, 52))  # ten starts
-ROWS_PER_PARTITION = 20_000
 
 
 def fit_kmeans(df: DataFrame, k: int, seeds: Sequence[int] = SEEDS,
                features: str = "features", out: str = "cluster", max_iter: int = 300) -> DataFrame:
-    """K-5: k-means (k-means|| start), best (lowest cost) of ten seeded runs, each
-    until it converges."""
-    best = None
-    for s in seeds:
-        m = KMeans(k=k, seed=s, featuresCol=features, predictionCol=out, maxIter=max_iter).fit(df)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
-    return best[1].transform(df)
+    """K-5: k-means (k-means|| start), best (lowest cost) of ten seeded runs, each until it
+    converges; all runs share their scans (``kmeans.fit_starts``)."""
+    best = fit_starts(weighted_points(df, features), [k], seeds, max_iter)
+    return df.withColumn(out, nearest_centre(features, best[k].centres) if best else F.lit(None).cast("int"))
 
 
 def fit_bisecting(df: DataFrame, k: int, seed: int = 42, features: str = "features",
@@ -89,31 +82,14 @@ def fit_bisecting(df: DataFrame, k: int, seed: int = 42, features: str = "featur
 
 
 def silhouette(pred: DataFrame, features: str = "features", cluster: str = "cluster") -> float:
-    """K-7: silhouette (squared Euclidean, Spark's evaluator)."""
-    if pred.select(cluster).distinct().count() < 2:
-        return float("nan")
-    return float(ClusteringEvaluator(featuresCol=features, predictionCol=cluster).evaluate(pred))
+    """K-7: silhouette (squared Euclidean); nan for fewer than two clusters."""
+    return score_labels(pred, [cluster], features).get(cluster, {}).get("silhouette", float("nan"))
 
 
 def calinski_harabasz(pred: DataFrame, features: str = "features", cluster: str = "cluster") -> float:
     """K-8: (B / (k - 1)) / (W / (n - k)) with within / between sums of squares
     from per-cluster counts, sums and sums of squares (one aggregation)."""
-    arr = pred.select(F.col(cluster).alias("c"), vector_to_array(features).alias("v"))
-    d = len(arr.first()["v"])
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for j in range(d):
-        aggs += [F.avg(F.col("v")[j]).alias(f"m{j}"), F.var_pop(F.col("v")[j]).alias(f"q{j}")]
-    rows = arr.groupBy("c").agg(*aggs).collect()          # one row per cluster
-    k = len(rows)
-    n = sum(r["n"] for r in rows)
-    if k < 2 or n <= k:
-        return float("nan")
-    within = sum(r[f"q{j}"] * r["n"] for r in rows for j in range(d))
-    between = 0.0
-    for j in range(d):
-        mean = sum(r[f"m{j}"] * r["n"] for r in rows) / n
-        between += sum(r["n"] * (r[f"m{j}"] - mean) ** 2 for r in rows)
-    return float((between / (k - 1)) / (within / (n - k))) if within > 0 else float("inf")
+    return score_labels(pred, [cluster], features).get(cluster, {}).get("calinski_harabasz", float("nan"))
 
 
 def cluster_balance(pred: DataFrame, arm: str, cluster: str = "cluster", min_size: int = 10,
@@ -143,30 +119,32 @@ def cluster_sweep(x: DataFrame, arm: str, ks: Sequence[int] = range(3, 8),
                   parallel: int = 8):
     """K-5 .. K-10: fit both algorithms for every k, score them, and return
     (scores DataFrame, best prediction DataFrame or None). Q-20: when no
-    configuration has a valid cluster, the best prediction is None."""
+    configuration has a valid cluster, the best prediction is None.
+
+    All k-means runs share one scan an iteration, and all labellings one scan for their
+    moments and one for their silhouettes; the bisecting fits are submitted together."""
     spark = x.sparkSession
-    # the fits are many short jobs over the same rows: partitions of some thousand rows
+    # many short jobs over the same rows: partitions of some thousand rows
     # each, so that a job has tasks by the data and not by the plan before
     x = cut_lineage(x.repartition(max(1, -(-x.count() // ROWS_PER_PARTITION))))
-
-    def run(cfg):
-        alg, k = cfg
-        p = fit_kmeans(x, k, seeds) if alg == "kmeans" else fit_bisecting(x, k, seeds[0])
-        sil, ch = silhouette(p), calinski_harabasz(p)
-        bal = cluster_balance(p, arm, min_size=min_size, min_ratio=min_ratio)
-        s = bal.agg(F.count_if("is_valid").alias("v"),
-                    F.avg(F.when(F.col("is_valid"), F.col("balance_ratio"))).alias("b")).first()
-        valid, avg_bal = int(s["v"]), float(s["b"] or 0.0)
-        return (alg, k, sil, ch, valid, avg_bal, composite_score(avg_bal, sil, ch)), p
-
-    # configurations are independent jobs: submit them concurrently so small
-    # fits share the executors instead of running one after another
     from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(ks) + 1))) as ex:
+        trees = {k: ex.submit(lambda k=k: BisectingKMeans(k=k, seed=seeds[0], predictionCol=f"__bisecting_{k}").fit(x)) for k in ks}
+        runs = fit_starts(weighted_points(x), ks, seeds)
+        labelled = x.withColumns({f"__kmeans_{k}": nearest_centre("features", r.centres) for k, r in runs.items()})
+        for k in ks:
+            labelled = trees[k].result().transform(labelled)
+    labelled = cut_lineage(labelled)
     cfgs = [(alg, k) for k in ks for alg in ("kmeans", "bisecting")]
-    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(cfgs)))) as ex:
-        results = list(ex.map(run, cfgs))
-    rows = [r for r, _ in results]
-    preds = {(r[0], r[1]): p for r, p in results}
+    found = score_labels(labelled, [f"__{alg}_{k}" for alg, k in cfgs], arm=arm)
+    rows = []
+    for alg, k in cfgs:
+        s = found[f"__{alg}_{k}"]
+        ratios = [min(t, n - t) / max(t, n - t) for _, n, t in s["clusters"]]
+        valid = [r for r, (_, n, t) in zip(ratios, s["clusters"]) if n >= min_size and r >= min_ratio and 0 < t < n]
+        balance = sum(valid) / len(valid) if valid else 0.0
+        rows.append((alg, k, s["silhouette"], s["calinski_harabasz"], len(valid), balance,
+                     composite_score(balance, s["silhouette"], s["calinski_harabasz"])))
     scores = spark.createDataFrame(rows, "algorithm string, n_clusters int, silhouette double, "
                                          "calinski_harabasz double, valid_clusters int, "
                                          "avg_balance_ratio double, composite double")
@@ -174,8 +152,7 @@ def cluster_sweep(x: DataFrame, arm: str, ks: Sequence[int] = range(3, 8),
     best = max(ok, key=lambda r: r[6]) if ok else None
     scores = scores.withColumn("best", F.lit(False) if best is None else
                                (F.col("algorithm") == best[0]) & (F.col("n_clusters") == best[1]))
-    # predictions are the fitted models over the one stored input; only the winner's are written
-    return scores, (cut_lineage(preds[(best[0], best[1])]) if best else None)
+    return scores, (labelled.select(*x.columns, F.col(f"__{best[0]}_{best[1]}").alias("cluster")) if best else None)
 
 
 def cluster_profile(pred: DataFrame, arm: str, cluster: str = "cluster") -> DataFrame:
