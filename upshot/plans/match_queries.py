@@ -18,7 +18,7 @@ from ..operators.panel import cross_section
 from ..operators.ranks import average_ranks, mann_whitney
 from .domain import OUTCOMES, Domain, with_domain
 from .lift_queries import CATS, METRICS, NUM, XS_SQL, customer_xs, prepared_panel
-from .opportunity_queries import analysis
+from .opportunity_queries import analysis, q
 from .registry import register
 from ..session import cut_lineage
 from .sqlgen import moments_sql, pooled_t_cols, t_p_sql, with_p_sql, z_p_sql
@@ -139,27 +139,66 @@ def q_matched_arr(spark, d):
             .withColumn("significant", F.col("p_value") < 0.05))
 
 
-@register("e12_ate_bootstrap", doubles={"mean_t": 4, "mean_c": 4, "ci_lower": 4, "ci_upper": 4,
-                                        "estimate": 4, "pct_effect": 6})
+REPLICATES = 1000
+
+
+def _replicates_sql(src: str, key: str, values: dict[str, str], keys: str) -> str:
+    """CTE ``rep``: weighted means of each (keys, replicate), from a relation ``src``."""
+    means = ", ".join(f"sum(w * {x}) FILTER (WHERE {x} IS NOT NULL) / nullif(sum(w) FILTER (WHERE {x} IS NOT NULL), 0) AS {name}"
+                      for name, x in values.items())
+    return (f"wr AS (SELECT *, CAST({B.weight_sql(SEED, key)} AS DOUBLE) AS w FROM (SELECT *, unnest(range({REPLICATES})) AS r FROM {src}) AS x),\n"
+            f"rep AS (SELECT {keys}, r, {means} FROM wr GROUP BY {keys}, r)")
+
+
+def _account_sql() -> str:
+    return ("opp_acc AS (SELECT DISTINCT account_id, group_type, opp_id, opp_arr, is_won, is_closed FROM analysis),\n"
+            "acc0 AS (SELECT account_id, CAST(group_type = 'Treatment' AS INTEGER) AS treated, CAST(coalesce(sum(opp_arr), 0.0) AS DOUBLE) AS arr, "
+            "count(*) FILTER (WHERE is_won) / greatest(count(*) FILTER (WHERE is_closed), 1) AS win_rate FROM opp_acc GROUP BY account_id, group_type)")
+
+
+def _ate_sql() -> str:
+    body = _account_sql() + ",\n" + _replicates_sql("acc0", "account_id", {"arr": "arr", "win_rate": "win_rate"}, "treated")
+    parts = []
+    for m in ("arr", "win_rate"):
+        parts.append(
+            f"SELECT '{m}' AS measure, avg({m}) FILTER (WHERE treated = 1) AS mean_t, avg({m}) FILTER (WHERE treated = 0) AS mean_c, "
+            "count(*) FILTER (WHERE treated = 1) AS n_t, count(*) FILTER (WHERE treated = 0) AS n_c, "
+            f"(SELECT quantile_cont(t.{m} - c.{m}, [0.025, 0.975]) FROM rep t JOIN rep c ON t.r = c.r WHERE t.treated = 1 AND c.treated = 0) AS ci, "
+            f"(SELECT count(t.{m} - c.{m}) FROM rep t JOIN rep c ON t.r = c.r WHERE t.treated = 1 AND c.treated = 0) AS replicates FROM acc0")
+    union = " UNION ALL ".join(parts)
+    return q(body, "SELECT measure, mean_t, mean_c, n_t, n_c, ci[1] AS ci_lower, ci[2] AS ci_upper, replicates, mean_t - mean_c AS estimate, "
+                   "NOT (ci[1] <= 0 AND ci[2] >= 0) AS significant, CASE WHEN mean_c > 0 THEN (mean_t - mean_c) / mean_c * 100.0 ELSE 0.0 END AS pct_effect "
+                   f"FROM ({union}) AS u")
+
+
+@register("e12_ate_bootstrap", sql=_ate_sql(), doubles={"mean_t": 4, "mean_c": 4, "ci_lower": 4, "ci_upper": 4,
+                                                        "estimate": 4, "pct_effect": 6})
 def q_ate(spark, d):
-    """E-12/B-1: average treatment effect on account ARR and win rate with 1000-replicate bootstrap CIs."""
-    acc = cut_lineage(account_level(spark, d))
-    arr = B.average_treatment_effect(acc, "real_total_arr", "account_id", "treated", 1000, SEED)
-    wr = B.average_treatment_effect(acc, "real_win_rate", "account_id", "treated", 1000, SEED)
-    return (arr.withColumn("measure", F.lit("arr"))
-            .unionByName(wr.withColumn("measure", F.lit("win_rate"))))
+    """E-12/B-1: average treatment effect on account ARR and win rate with 1000-replicate bootstrap CIs, one pass for both."""
+    acc = account_level(spark, d).select("account_id", "treated", F.col("real_total_arr").cast("double").alias("arr"),
+                                         F.col("real_win_rate").alias("win_rate"))
+    return B.average_treatment_effect(cut_lineage(acc), ["arr", "win_rate"], "account_id", "treated", REPLICATES, SEED)
+
+
+_CLOSED_SQL = ("closed AS (SELECT engagement_type, concat_ws('|', activity_id, opp_id, line_no) AS k, CAST(is_won AS INTEGER) AS won FROM analysis "
+               "WHERE group_type = 'Treatment' AND opp_id IS NOT NULL AND engagement_type IS NOT NULL AND is_closed)")
 
 
-@register("b2_win_rate_ci", doubles={"win_rate": 6, "ci_lower": 6, "ci_upper": 6})
+@register("b2_win_rate_ci",
+          sql=q(_CLOSED_SQL + ",\n" + _replicates_sql("closed", "k", {"rate": "won"}, "engagement_type") + ",\n"
+                "ci AS (SELECT engagement_type, quantile_cont(rate, [0.025, 0.975]) AS ci FROM rep GROUP BY engagement_type),\n"
+                "g AS (SELECT engagement_type, count(*) AS closed_opps, avg(won) AS win_rate FROM closed GROUP BY engagement_type)",
+                "SELECT g.engagement_type, g.closed_opps, g.win_rate, CASE WHEN closed_opps > 10 THEN ci[1] ELSE win_rate END AS ci_lower, "
+                "CASE WHEN closed_opps > 10 THEN ci[2] ELSE win_rate END AS ci_upper FROM g LEFT JOIN ci ON ci.engagement_type = g.engagement_type"),
+          doubles={"win_rate": 6, "ci_lower": 6, "ci_upper": 6})
 def q_win_rate_ci(spark, d):
     """B-2/E-11: bootstrap CI of the win rate per engagement type over closed rows (when more than 10)."""
     t = analysis(spark, d).where((F.col("group_type") == "Treatment") & F.col("opp_id").isNotNull()
                                  & F.col("engagement_type").isNotNull() & F.col("is_closed"))
-    t = t.withColumn("__key", F.xxhash64(*[F.col(c) for c in t.columns]))
-    t = t.withColumn("won", F.col("is_won").cast("double"))
+    t = t.select("engagement_type", F.concat_ws("|", "activity_id", "opp_id", "line_no").alias("__key"), F.col("is_won").cast("double").alias("won"))
     g = t.groupBy("engagement_type").agg(F.count(F.lit(1)).alias("closed_opps"),
                                          F.avg("won").alias("win_rate"))
-    ci = B.bootstrap_mean_ci(t, "won", "__key", ["engagement_type"], 1000, SEED)
+    ci = B.bootstrap_mean_ci(t, "won", "__key", ["engagement_type"], REPLICATES, SEED)
     j = g.join(ci, "engagement_type", "left")
     big = F.col("closed_opps") > 10
     return j.select("engagement_type", "closed_opps", "win_rate",
@@ -167,11 +206,15 @@ def q_win_rate_ci(spark, d):
                     F.when(big, F.col("ci_upper")).otherwise(F.col("win_rate")).alias("ci_upper"))
 
 
-@register("b3_relative_effect_ci", doubles={"ci_lower": 6, "ci_upper": 6})
+@register("b3_relative_effect_ci",
+          sql=with_domain(XS_SQL + ",\n" + _replicates_sql("xs", "account_id", {"m": "revenue"}, "treated") + ",\n"
+                          "s AS (SELECT (t.m - c.m) / nullif(c.m, 0) AS v FROM rep t JOIN rep c ON t.r = c.r WHERE t.treated = 1 AND c.treated = 0)",
+                          "SELECT quantile_cont(v, 0.025) AS ci_lower, quantile_cont(v, 0.975) AS ci_upper, count(v) AS replicates FROM s"),
+          doubles={"ci_lower": 6, "ci_upper": 6})
 def q_relative_ci(spark, d):
     """B-3: bootstrap CI of the relative revenue effect (mt - mc) / mc on the customer cross-section."""
     xs = customer_xs(spark, d)
-    return B.bootstrap_diff_ci(xs, "revenue", "account_id", "treated", (), 1000, SEED, relative=True)
+    return B.bootstrap_diff_ci(xs, "revenue", "account_id", "treated", (), REPLICATES, SEED, relative=True)
 
 
 _ES_D = {"mean_t": 4, "mean_c": 4, "cohens_d": 6}
