@@ -46,11 +46,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import BINARY, LONG, STRING, documents, materialise, schema, ship_package
-from .packing import bytes_of_letters
+from .packing import bytes_of_letters, is_panic
 from .words import chunks
 
-BLOCK_BYTES = 16 << 20
-SEGMENTS_HELD = 300_000  # where a block begins; it adds its own
+BLOCK_BYTES = 4 << 20
+SEGMENTS_HELD = 200_000  # where a block begins; it adds its own
 #: characters of the property White_Space, but for the space
 OTHER_WHITE = "\t-\r\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE = " " + OTHER_WHITE
@@ -121,8 +121,8 @@ class Vocabularies:
             return self.one_piece(segment.encode())
         try:
             return self.fast.encode_ordinary(segment)
-        except BaseException as e:  # the routine's panic on a very long run of white space is no Exception
-            if isinstance(e, (KeyboardInterrupt, SystemExit, GeneratorExit, MemoryError)):
+        except BaseException as e:  # a run of white space too long for the routine's pattern
+            if not is_panic(e):
                 raise
             return self.whole.encode(segment, add_special_tokens=False).ids
 
