@@ -59,6 +59,14 @@ def test_same_ids_as_the_tokenizers_library():
         assert fast(t) == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_long_runs_of_white_space(spark):
+    texts = [(k, c * 1_000_000 + tail) for k, (c, tail) in enumerate([(" ", ""), ("\n", "x"), ("\u00a0", "\u00a0y")])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    check(P.pack(docs).collect(), texts)
+    import corpus_pipeline
+    assert corpus_pipeline.pack(spark, docs, "").count() > 3
+
+
 def check(rows, texts):
     """Pieces rebuild each document's ids; sequences are gapless and not overfull."""
     whole = Tokenizer.from_file(P.tokenizer_path())

@@ -56,11 +56,17 @@ def bytes_of_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def is_panic(e: BaseException) -> bool:
+    """A panic of a tokenizer's native code: no ``Exception``, and raised for one text alone."""
+    return type(e).__name__ == "PanicException"
+
+
 def encoder(path: str):
     """``texts -> lists of ids`` for a byte-level vocabulary file. Its ids are in
     the order of its merges, so the byte-pair routine of tiktoken gives the same
     ids on the same vocabulary, at twice the speed; a text that has one of the
-    file's added tokens is left to the tokenizers library."""
+    file's added tokens, or a run of white space too long for the routine's pattern, is
+    left to the tokenizers library."""
     if path not in _ENCODERS:
         import public_tokenizers
         import tiktoken
@@ -76,7 +82,12 @@ def encoder(path: str):
         def encode(text: str) -> list[int]:
             if any(s in text for s in special):
                 return whole.encode(text, add_special_tokens=False).ids
-            return fast.encode_ordinary(text)
+            try:
+                return fast.encode_ordinary(text)
+            except BaseException as e:
+                if not is_panic(e):
+                    raise
+                return whole.encode(text, add_special_tokens=False).ids
 
         _ENCODERS[path] = encode
     return _ENCODERS[path]
