@@ -71,3 +71,57 @@ def test_edge_rows(spark, tricky, no_rows):
     assert Q.judge(no_rows).count() == 0
     assert Q.judge(tricky.drop("lang")).count() == len(rows)
     assert Q.script("привет мир abc") == "cyrillic" and Q.script("12") == "other"
+
+
+def test_long_runs_of_white_space(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    byte = Q._vocabularies(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model"))[0]
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for word in ("\u00a0" * 100_000, "ab" + "\u00a0" * 100_000 + "cd.\u3000x", "x" + "\u3000" * 70_000):
+        assert Q.byte_tokens(byte, word) == len(whole.encode(" " + word, add_special_tokens=False).ids)
+    docs = [(1, " " * 1_000_000, "en"), (2, "\n" * 1_000_000, "en"), (3, "\u00a0" * 1_000_000, "en"), (4, prose(1, 60), "en")]
+    out = {r["doc_id"]: r for r in Q.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert [out[i]["n_words"] for i in (1, 2, 3, 4)] == [0, 0, 1, 60]
+
+
+def plain_bands(rows):
+    """Verdicts from the measures by plain loops."""
+    import statistics
+    passed = [r for r in rows if not r["base_failed"]]
+
+    def low_median(v):
+        return sorted(v)[(len(v) + 1) // 2 - 1]
+
+    def band(of):
+        out = {}
+        for k, (scale, least, _, _) in Q.MEASURES.items():
+            v = [int(r[k] * scale + 0.5) for r in passed if of(r) and r[k] is not None]
+            if v:
+                out[k] = low_median(v), max(least, low_median([abs(x - low_median(v)) for x in v])), len(v)
+        return out
+
+    kept = {}
+    for r in rows:
+        mine = band(lambda x: x["lang"] is not None and x["lang"] == r["lang"])
+        if not mine or min(n for _, _, n in mine.values()) < Q.GROUP_ROWS:
+            mine = band(lambda x: x["script"] == r["script"])
+        wider = max(1.0, Q.FULL_WORDS / max(r["n_words"], 1)) ** 0.5
+        out = False
+        for k, (scale, _, below, above) in Q.MEASURES.items():
+            if k in mine and r[k] is not None:
+                away = (r[k] * scale - mine[k][0]) / (mine[k][1] * wider)
+                out |= away < -below or away > above
+        kept[r["doc_id"]] = not r["base_failed"] and not out
+    assert statistics
+    return kept
+
+
+def test_verdicts_by_plain_loops_and_rare_languages(spark):
+    junk = [" ".join("zqx%dvkj" % (k + j) for k in range(150)) for j in range(4)]
+    rows = [(i, prose(i, 60 + 3 * i), "en") for i in range(60)] + [(100 + i, prose(200 + i, 120), "zz") for i in range(5)]
+    rows += [(200, junk[0], "en"), (201, junk[1], "zz"), (202, junk[2], None), (203, junk[3], "one"), (300, "привет мир " * 40 + prose(1, 5), "ru")]
+    out = Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()
+    got = {r["doc_id"]: r["kept"] for r in out}
+    assert got == plain_bands(out)
+    assert not any(got[i] for i in (200, 201, 202, 203)) and all(got[100 + i] for i in range(5))

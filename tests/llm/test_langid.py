@@ -61,3 +61,8 @@ def test_edge_rows(spark, tricky, no_rows):
 def test_sample_is_bounded(spark):
     docs = spark.createDataFrame([(i, "word %d" % i, "l%d" % (i % 7)) for i in range(200)], "doc_id long, text string, lang string")
     assert len(L.train(docs, rows=21).langs) == 7 and len(L.train(docs, rows=5).langs) <= 5
+
+
+def test_letters():
+    assert not any(map(L.has_letter, ["½", "²", "Ⅷ", "12 !?", "_", "☃", "", "१"]))
+    assert all(map(L.has_letter, ["1a", "漢", "ª", "ʰ", "½ é"]))

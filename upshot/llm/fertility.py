@@ -8,12 +8,13 @@ into many or few pieces, as bytes outside the vocabulary, or as a flat or
 repetitive choice of tokens.
 
 A measure is rejected outside a band around the median of the document's language,
-or of its main script where the language is unknown: some times the median
+or of its main script where the language is unknown or has fewer than ``GROUP_ROWS``
+documents that pass the word rules: some times the median
 absolute deviation (``MEASURES``), and wider for texts of fewer than
 ``FULL_WORDS`` words, by the square root of the ratio, as their measures scatter
 more. Medians and deviations come from exact histograms of the rounded measures of
-all documents that pass the word rules; groups of fewer than ``GROUP_ROWS`` such
-documents have no band.
+all documents that pass the word rules; a script's counts all its documents, whatever
+their language.
 
 Distribution: one pass over the texts writes a few numbers per document; the
 histograms are aggregated before the shuffle and have a bounded number of bins per
@@ -28,6 +29,7 @@ are ignored.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,7 @@ from pyspark.sql.window import Window
 
 from . import words as W
 from .common import DOUBLE, LONG, STRING, column_or_null, documents, materialise, schema, ship_package
+from .packing import is_panic
 
 MIN_WORDS = 50
 REPEAT_WINDOW = 3
@@ -52,6 +55,8 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 SCRIPTS = ((0x41, 0x24F, "latin"), (0x370, 0x3FF, "greek"), (0x400, 0x52F, "cyrillic"), (0x590, 0x5FF, "hebrew"),
            (0x600, 0x6FF, "arabic"), (0x900, 0xDFF, "indic"), (0xE00, 0xE7F, "thai"), (0x3040, 0x30FF, "kana"),
            (0x3400, 0x9FFF, "han"), (0xAC00, 0xD7A3, "hangul"))
+WHITE = " \t-\r\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = re.compile(f"([{WHITE}]+)([^{WHITE}]*)")
 _LOADED: dict = {}
 
 
@@ -129,13 +134,32 @@ def base_counts(w: W.Words) -> dict[str, np.ndarray]:
     return out
 
 
+def byte_tokens(byte, word: str) -> int:
+    """Tokens of a word behind a blank. A run of white space other than ASCII that is too long
+    for the pattern is cut as the pattern would: one piece, but for the last character
+    if another one follows."""
+    try:
+        return len(byte.encode_ordinary(" " + word))
+    except BaseException as e:
+        if not is_panic(e):
+            raise
+    one_piece, total = byte._core_bpe.encode_single_piece, 0
+    for run, rest in LONG_RUN.findall(" " + word):
+        if run == " ":
+            total += len(byte.encode_ordinary(run + rest))
+        else:
+            cut = [run[:-1], run[-1]] if rest else [run]
+            total += sum(len(one_piece(x.encode())) for x in cut if x) + len(byte.encode_ordinary(rest))
+    return total
+
+
 def token_measures(w: W.Words, byte, piece, fallback: np.ndarray, chars: np.ndarray) -> dict[str, np.ndarray]:
     """Fertility measures of each text; nan where it has no token."""
     n = len(w.counts)
     _, first, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
     raw = w.data.tobytes()
     words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[first], w.end[first], strict=True)]
-    byte_n = np.array([len(byte.encode_ordinary(" " + x)) for x in words], dtype=np.int64)
+    byte_n = np.array([byte_tokens(byte, x) for x in words], dtype=np.int64)
     ids = piece.encode(words, num_threads=1) if words else []
     piece_n = np.array([len(x) for x in ids], dtype=np.int64)
     flat = np.fromiter((t for x in ids for t in x), dtype=np.int64, count=int(piece_n.sum()))
@@ -164,7 +188,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         piece_path = piece_path or public_tokenizers.path("piece_bpe_32k.model")
     ship_package(docs.sparkSession)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    out = schema(id=LONG, band=STRING, **{c: LONG for c in counts}, **{c: DOUBLE for c in MEASURES})
+    out = schema(id=LONG, lang=STRING, script=STRING, **{c: LONG for c in counts}, **{c: DOUBLE for c in MEASURES})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         byte, piece, fallback = _vocabularies(byte_path, piece_path)
@@ -173,10 +197,9 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 w = W.split(c.column("text"))
                 base = base_counts(w)
                 found = token_measures(w, byte, piece, fallback, base["word_chars"])
-                band = [lang if lang is not None else "script:" + script(text.as_py() or "")
-                        for lang, text in zip(c.column("lang").to_pylist(), c.column("text"), strict=True)]
+                scripts = [script(text.as_py() or "") for text in c.column("text")]
                 yield pa.RecordBatch.from_arrays(
-                    [c.column("id"), pa.array(band, pa.string()), *(pa.array(base[k], pa.int64()) for k in counts),
+                    [c.column("id"), c.column("lang"), pa.array(scripts, pa.string()), *(pa.array(base[k], pa.int64()) for k in counts),
                      *(pa.array(found[k], pa.float64(), from_pandas=True) for k in MEASURES)], out.names)
 
     given = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"),
@@ -193,13 +216,19 @@ def _median(histogram: DataFrame, value: str, out: str) -> DataFrame:
             .agg(F.min(value).alias(out), F.max("_all").alias("rows")))
 
 
+def _band(kind: str):
+    return F.concat(F.lit(f"{kind}:"), F.col(kind))
+
+
 def bands(measured: DataFrame) -> DataFrame:
-    """Rows (band, then median and deviation of each measure, in bins) from all documents that pass the word rules."""
+    """Rows (band, then median and deviation of each measure, in bins) from all documents that pass the word
+    rules: of each script, and of each language of ``GROUP_ROWS`` such documents."""
     pairs = [F.struct(F.lit(k).alias("measure"), F.round(F.col(k) * scale).cast("long").alias("bin")) for k, (scale, *_) in MEASURES.items()]
-    histogram = (measured.where("not base_failed").select("band", F.explode(F.array(*pairs)).alias("p"))
-                 .where("p.bin is not null").groupBy("band", F.col("p.measure").alias("measure"), F.col("p.bin").alias("bin"))
-                 .agg(F.count(F.lit(1)).alias("n")))
-    middle = _median(histogram, "bin", "middle").where(F.col("rows") >= GROUP_ROWS)
+    histogram = (measured.where("not base_failed").select("lang", "script", F.explode(F.array(*pairs)).alias("p"))
+                 .where("p.bin is not null").groupBy("lang", "script", F.col("p.measure").alias("measure"), F.col("p.bin").alias("bin"))
+                 .agg(F.count(F.lit(1)).alias("n"))
+                 .select(F.explode(F.array(_band("lang"), _band("script"))).alias("band"), "measure", "bin", "n").where("band is not null").groupBy("band", "measure", "bin").agg(F.sum("n").alias("n")))
+    middle = _median(histogram, "bin", "middle").where((F.col("rows") >= GROUP_ROWS) | F.col("band").startswith("script:"))
     away = (histogram.join(middle.drop("rows"), ["band", "measure"])
             .groupBy("band", "measure", "middle", F.abs(F.col("bin") - F.col("middle")).alias("away")).agg(F.sum("n").alias("n")))
     spread = _median(away, "away", "spread").drop("rows")
@@ -214,16 +243,22 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     measured, _ = materialise(measure(docs, id_col, text_col, lang_col).withColumn("base_failed", failed), "fertility")
     edges, _ = materialise(bands(measured), "bands")
-    known = edges.withColumnRenamed("band", "_band")
-    known = F.broadcast(known) if known.count() <= max_bands else known  # else as Spark plans it
+    small = edges.count() <= max_bands
+
+    def side(prefix: str) -> DataFrame:
+        named = edges.select(*(F.col(c).alias(f"{prefix}{c}") for c in edges.columns))
+        return F.broadcast(named) if small else named  # else as Spark plans it
+
     wider = F.sqrt(F.greatest(F.lit(1.0), F.lit(FULL_WORDS) / F.greatest("n_words", F.lit(1))))
     outside = []
     for k, (scale, _, below, above) in MEASURES.items():
-        away = (F.col(k) * scale - F.col(f"{k}_middle")) / (F.col(f"{k}_spread") * wider)
+        middle, spread = (F.when(F.col("l_band").isNotNull(), F.col(f"l_{k}_{e}")).otherwise(F.col(f"s_{k}_{e}")) for e in ("middle", "spread"))
+        away = (F.col(k) * scale - middle) / (spread * wider)
         outside.append(F.when((away < -below) | (away > above), F.lit(k)))
-    out = measured.join(known, F.col("band") == F.col("_band"), "left").withColumn("rejected", F.array_compact(F.array(*outside)))
+    joined = (measured.join(side("l_"), _band("lang") == F.col("l_band"), "left").join(side("s_"), _band("script") == F.col("s_band"), "left"))
+    out = joined.withColumn("rejected", F.array_compact(F.array(*outside))).withColumn("band", F.coalesce("l_band", "s_band"))
     return (out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected") == 0))
-            .drop("_band", *edges.columns[1:]).withColumnRenamed("id", id_col))
+            .drop(*(p + c for p in ("l_", "s_") for c in edges.columns)).withColumnRenamed("id", id_col))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

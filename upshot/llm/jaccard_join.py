@@ -310,10 +310,12 @@ def text_hash(text: Column) -> Column:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class: the one whose id is the class id."""
+    taken = set(docs.columns)
+    at, hashed = (next(f"{name}{n}" for n in range(len(taken) + 1) if f"{name}{n}" not in taken) for name in ("class_", "hash_"))
     first = (near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("class_id")))
-             .select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    text = F.col(f"`{text_col}`")
-    return (docs.join(first, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (text_hash(text) == F.col("_hash")), "left_semi")
+             .select(F.col(id_col).alias(at), F.col("text_hash").alias(hashed)).distinct())
+    own, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    return (docs.join(first, own.eqNullSafe(F.col(at)) & (text_hash(text) == F.col(hashed)), "left_semi")
             .dropDuplicates([id_col, text_col]))
 
 

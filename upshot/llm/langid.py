@@ -24,7 +24,6 @@ alike; an empty table gives an empty result; other columns are kept.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,10 +44,14 @@ RIDGE = 1e-2
 SLICE = 1 << 16
 BATCH = 64
 
-_LETTER = re.compile(r"[^\W\d_]")
 _STEP = np.uint32(0x9E3779B1)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of the categories L."""
+    return any(map(str.isalpha, text))
+
+
 def places(text: str) -> Iterator[np.ndarray]:
     """Hashed n-grams of a text, slice by slice."""
     for at in range(0, len(text), SLICE):
@@ -79,7 +82,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-        known = [i for i, t in enumerate(texts) if self.langs and t and _LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if self.langs and t and has_letter(t)]
         for at in range(0, len(known), BATCH):
             rows = known[at:at + BATCH]
             p = presence([texts[i] for i in rows])
