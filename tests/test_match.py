@@ -1,14 +1,20 @@
 import numpy as np
 import pandas as pd
+import pytest
 
 from upshot.operators import match as M
 
 
-def _brute(t, c, cal):
-    """All pairs within the caliper, sorted by (distance, treated id, control id); each is accepted if both are free."""
-    every = sorted((abs(cs - ts), tid, cid) for tid, ts in t.items() for cid, cs in c.items())
+def _brute(t, c, cal, rule="closest"):
+    """Pairs by plain loops. ``closest``: all pairs within the caliper by (distance, treated score, control score, ids), each
+    accepted if both are free. ``score_order``: treated by (score, id), each with its nearest free control."""
     pairs, used_t, used_c = [], set(), set()
-    for d, tid, cid in every:
+    if rule == "closest":
+        every = sorted((abs(cs - ts), ts, cs, tid, cid) for tid, ts in t.items() for cid, cs in c.items())
+    else:
+        every = [p for ts, tid in sorted((ts, tid) for tid, ts in t.items())
+                 for p in sorted((abs(cs - ts), ts, cs, tid, cid) for cid, cs in c.items())]
+    for d, _, _, tid, cid in every:
         if (cal is None or d <= cal) and tid not in used_t and cid not in used_c:
             pairs.append((tid, cid))
             used_t.add(tid)
@@ -23,31 +29,74 @@ def _run(spark, t, c, cal, kind="long", **kw):
     return sorted((r.treatment_id, r.control_id) for r in out), out
 
 
-def test_random_against_brute_force(spark):
+@pytest.mark.parametrize("rule", ["closest", "score_order"])
+@pytest.mark.parametrize("n_c", [80, 40])           # spare controls / too few
+def test_random_against_brute_force(spark, rule, n_c):
     rng = np.random.default_rng(11)
     grid = 1 / 256                         # exact distances, many ties
     t = {i: float(rng.integers(0, 256)) * grid for i in range(60)}
-    c = {100 + i: float(rng.integers(0, 256)) * grid for i in range(80)}
-    for cal in (0.05, None):
-        for bucket in (12, 10_000):        # many buckets and passes / one
-            got, rows = _run(spark, t, c, cal, bucket=bucket)
-            assert got == _brute(t, c, cal)
-            used = [r.control_id for r in rows]
-            assert len(used) == len(set(used))
-            assert cal is None or all(r.distance <= cal for r in rows)
-
-
-def test_one_bucket_without_spark():
+    c = {100 + i: float(rng.integers(0, 256)) * grid for i in range(n_c)}
+    for cal, bucket in ((0.05, 12), (0.05, 10_000), (None, 12)):        # many buckets and passes / one
+        got, rows = _run(spark, t, c, cal, bucket=bucket, rule=rule)
+        assert got == _brute(t, c, cal, rule)
+        used = [r.control_id for r in rows]
+        assert len(used) == len(set(used))
+        assert cal is None or all(r.distance <= cal for r in rows)
+
+
+def _units(t, c):
+    """Blocks of equal score and arm, and the ids of each."""
+    cells = {}
+    for arm, side in ((1, t), (0, c)):
+        for i, s in side.items():
+            cells.setdefault((s, arm), []).append(i)
+    order = sorted(cells)
+    return [[s, arm, len(cells[s, arm])] for s, arm in order], [sorted(cells[k]) for k in order]
+
+
+def _ids_of(ranges, t_ids, c_ids):
+    used_t, used_c, out = {}, {}, []
+    for i, j, n, _ in ranges:
+        a, b = used_t.get(i, 0), used_c.get(j, 0)
+        out += zip(t_ids[i][a:a + n], c_ids[j][b:b + n], strict=True)
+        used_t[i], used_c[j] = a + n, b + n
+    return sorted(out)
+
+
+def test_one_bucket_of_both_rules_on_400_random_cases():
     rng = np.random.default_rng(5)
-    for n in (3, 20, 60):
-        for span in (4, 30, 10_000):
-            t = {f"T{i}": float(rng.integers(0, span)) / 64 for i in range(n)}
-            c = {f"C{i}": float(rng.integers(0, span)) / 64 for i in range(n + 5)}
-            # equal scores pair by rank beforehand; _settle takes them as blocks all the same
-            ids, arm, s = [*t, *c], [1] * len(t) + [0] * len(c), [*t.values(), *c.values()]
-            got = sorted((ids[a], ids[b]) for a, b, _ in M._settle(ids, arm, s, None, (None,) * 4))
-            if not set(t.values()) & set(c.values()):
-                assert got == _brute(t, c, None)
+    for case in range(400):
+        n, span = int(rng.integers(1, 30)), int(rng.choice([2, 4, 30, 10_000]))
+        t = {f"T{i:02}": float(rng.integers(0, span)) / 64 for i in range(n)}
+        c = {f"C{i:02}": float(rng.integers(0, span)) / 64 for i in range(int(rng.integers(1, 30)))}
+        cal = [None, 0.0, 1 / 64, 0.5][case % 4]
+        blocks, ids = _units(t, c)
+        assert _ids_of(M._settle(blocks, cal, (None,) * 4), ids, ids) == _brute(t, c, cal)
+        tb, cb = ([[s, k] for s, a, k in blocks if a == arm] for arm in (1, 0))
+        ti, ci = ([x for x, (_, a, _) in zip(ids, blocks) if a == arm] for arm in (1, 0))
+        pairs, more = M._serve(tb, cb, cal, None, None)
+        assert not more and _ids_of(pairs, ti, ci) == _brute(t, c, cal, "score_order")
+
+
+def test_common_scores_a_step_apart(spark):
+    n = 30_000
+    df = spark.range(2 * n).selectExpr("id", "cast(id % 2 as int) arm", "0.5 + (id % 2) * 0.01 s")
+    for rule in ("closest", "score_order"):
+        out = M.match_nearest(df, "id", "arm", "s", caliper=0.1, bucket=100, rule=rule)
+        assert out.selectExpr("count(*)", "max(round) <= 3", "bool_and(treatment_id = control_id + 1)").first()[:] == (n, True, True)
+
+
+def test_strata_and_a_grid_of_calipers_in_one_run(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(i % 3 == 0), float(rng.integers(0, 64)) / 64, ["a", "b", None][i % 7 % 3]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, arm int, s double, g string")
+    grid = df.crossJoin(spark.createDataFrame([(0.0,), (1 / 64,), (0.1,)], "cal double"))
+    for rule in ("closest", "score_order"):
+        got = M.match_nearest(grid, "id", "arm", "s", caliper="cal", by=["g", "cal"], bucket=20, rule=rule).collect()
+        for g in ("a", "b", None):
+            for cal in (0.0, 1 / 64, 0.1):
+                t, c = ({i: s for i, a, s, h in rows if a == arm and h == g} for arm in (1, 0))
+                assert sorted((r.treatment_id, r.control_id) for r in got if r.g == g and r.cal == cal) == _brute(t, c, cal, rule)
 
 
 def test_string_ids_and_far_arms(spark):
@@ -61,7 +110,7 @@ def test_many_equal_scores_take_few_passes(spark):
     n = 5000
     df = spark.createDataFrame([(i, i % 2, 0.5) for i in range(2 * n)], "id long, arm int, s double")
     out = M.match_nearest(df, "id", "arm", "s", caliper=0.1).collect()
-    assert len(out) == n and max(r["round"] for r in out) == 0
+    assert len(out) == n and max(r["round"] for r in out) == 1
     assert sorted((r.treatment_id, r.control_id) for r in out) == [(2 * i + 1, 2 * i) for i in range(n)]
 
 

@@ -1,24 +1,28 @@
 """Propensity scores and 1:1 matching without replacement (M-1 .. M-8, J-9, J-10).
 
-The rule: of all pairs of a free treated and a free control within the caliper, the
-closest is matched first (ties: lower treated id, then lower control id), until none
-is left. That depends on no order of processing, so any set of pairs that nothing
-closer can disturb may be settled at once:
-
-1. units of equal score pair by rank, in one pass;
-2. units are cut into buckets of about ``BUCKET`` at quantiles of the score. A bucket
-   settles its pairs in order of distance, as long as they are closer than the
-   nearest unit outside the bucket that could take part; a pair that isn't holds
-   back its units, and with them what depends on them;
-3. matched units, and units without a partner within the caliper, leave; buckets
-   are cut anew from what is left, at shifted borders, until no pair is possible.
-
-Of units with one score only the ``BUCKET`` lowest ids take part in a pass, as lower
-ids go first; so a common score doesn't fill a bucket.
+Two rules: the closest free pair first, until none is left (``closest``), or the treated in
+order of score, each with its nearest free control (``score_order``).
+
+Units of equal score and arm are a block: a row with their number, and units take part by their
+rank in it, which is counted over ranges of ids (:func:`_numbered`). So a common score is one
+row whatever its size, and two common scores a step apart pair in one step.
+
+``closest`` depends on no order of processing, so pairs that nothing closer can disturb are settled
+at once: blocks are cut into buckets of ``BUCKET`` in order of score, and a bucket settles its pairs in
+order of distance, as long as they are closer than the nearest free block outside; a pair that isn't
+holds back its blocks, and with them what depends on them. Matched units, and blocks without a
+partner within the caliper, leave; buckets are cut anew at shifted borders, until no pair is possible.
+
+``score_order`` serves all buckets at once, again and again, each with what the buckets before took in the round
+before, until nothing changes. Rounds are as many as buckets that really pass shortage on to each other.
+
+Strata, or the cells of a grid, are matched together: blocks are keyed by their cell.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
@@ -80,172 +84,317 @@ def propensity_scores(df: DataFrame, label: str, numeric: Sequence[str],
 # ---- J-9 / J-10 / M-2 / M-3 -------------------------------------------------------------
 
 BUCKET = 10_000
-
-
-def _settle(ids, arm, score, caliper, outside) -> list[tuple[int, int, float]]:
-    """Pairs (row, row, distance) of one bucket. ``outside``: scores just beyond the
-    bucket, (control below, control above, treated below, treated above), None if
-    there is none."""
-    import heapq
-    order = sorted(range(len(ids)), key=lambda i: (score[i], arm[i], ids[i]))
-    blocks: list[list] = []                 # [score, arm, rows by id (lowest last), held back, left, right]
-    for i in order:
-        if blocks and blocks[-1][0] == score[i] and blocks[-1][1] == arm[i]:
-            blocks[-1][2].append(i)
-        else:
-            blocks.append([score[i], arm[i], [i], False, len(blocks) - 1, len(blocks) + 1])
-    for k in blocks:
-        k[2].reverse()
-    blocks[-1][5] = -1
+RANGE = 10_000   # units of one row of a range of pairs
+RANGES = "g string, ts double, tf long, cs double, cf long, n long, distance double, b long"
+
+
+def _numbered(df: DataFrame, order: Sequence[str], out: str, within: Sequence[str] = ()) -> DataFrame:
+    """Rows numbered 0, 1, 2 ... by ``order`` (whose first columns are ``within``) over all rows or those
+    of equal ``within``. Rows are dealt by ranges of ``order``, numbered in each range, and the counts
+    of the ranges before are added; a large group lies in many ranges."""
+    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    keys = list(within)
+    local = Window.partitionBy("__p", *keys).orderBy(*order)
+    sizes = dealt.groupBy("__p", *keys).agg(F.count(F.lit(1)).alias("__n"))
+    # a row for each range that has the group
+    before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("__p").alias("__q"), *[F.col(k).alias(f"__k_{k}") for k in keys],
+                           F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    same = F.col("__p") == F.col("__q")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return (dealt.withColumn("__r", F.row_number().over(local) - 1).join(offsets, same)
+            .withColumn(out, F.col("__r") + F.col("__o")).drop("__p", "__q", "__r", "__o", *[f"__k_{k}" for k in keys]))
+
+
+def _settle(blocks: list[list], caliper: float | None, outside: Sequence) -> list[tuple[int, int, int, float]]:
+    """(treated block, control block, units, distance) of one bucket, closest first. Blocks are
+    [score, arm, units] in order of (score, arm). ``outside``: scores just beyond the bucket, (control below,
+    control above, treated below, treated above), None if there is none."""
+    left = [-1, *range(len(blocks) - 1)]
+    right = [*range(1, len(blocks)), -1]
+    held = [False] * len(blocks)
+    free = [b[2] for b in blocks]
     heap: list = []
 
-    def offer(left: int, right: int) -> None:
-        if left < 0 or right < 0 or blocks[left][1] == blocks[right][1]:
+    def offer(i: int, j: int) -> None:
+        if i < 0 or j < 0 or blocks[i][1] == blocks[j][1]:
             return
-        t, c = (left, right) if blocks[left][1] else (right, left)
-        d = blocks[right][0] - blocks[left][0]
+        t, c = (i, j) if blocks[i][1] else (j, i)
+        d = blocks[j][0] - blocks[i][0]
         if caliper is None or d <= caliper:
-            a, b = blocks[t][2][-1], blocks[c][2][-1]
-            heapq.heappush(heap, (d, ids[a], ids[b], t, c, a, b))
+            heapq.heappush(heap, (d, blocks[t][0], blocks[c][0], t, c))
 
     def safe(d: float, s: float, below, above) -> bool:
-        return (below is None or d < s - below) and (above is None or d < above - s)
+        # at equal distance the lower score goes first
+        return (below is None or d < s - below) and (above is None or d <= above - s)
 
     for k in range(len(blocks) - 1):
         offer(k, k + 1)
     pairs = []
     while heap:
-        d, _, _, t, c, a, b = heapq.heappop(heap)
-        bt, bc = blocks[t], blocks[c]
-        if not bt[2] or not bc[2] or bt[2][-1] != a or bc[2][-1] != b:
-            continue                        # an end has moved on; its own offer was made then
-        if bt[3] or bc[3] or not (safe(d, bt[0], outside[0], outside[1]) and safe(d, bc[0], outside[2], outside[3])):
-            bt[3] = bc[3] = True            # what is farther waits for these two
+        d, ts, cs, t, c = heapq.heappop(heap)
+        if not free[t] or not free[c]:
             continue
-        pairs.append((a, b, d))
-        for k in (t, c):
-            blocks[k][2].pop()
-            if not blocks[k][2]:
-                left, right = blocks[k][4], blocks[k][5]
-                if left >= 0:
-                    blocks[left][5] = right
-                if right >= 0:
-                    blocks[right][4] = left
-                offer(left, right)
+        if held[t] or held[c] or not (safe(d, ts, outside[0], outside[1]) and safe(d, cs, outside[2], outside[3])):
+            held[t] = held[c] = True            # what is farther waits for these two
+            continue
+        n = min(free[t], free[c])
+        pairs.append((t, c, n, d))
         for k in (t, c):
-            if blocks[k][2]:
-                offer(blocks[k][4], k)
-                offer(k, blocks[k][5])
+            free[k] -= n
+            if not free[k]:
+                i, j = left[k], right[k]
+                if i >= 0:
+                    right[i] = j
+                if j >= 0:
+                    left[j] = i
+                offer(i, j)
     return pairs
 
 
-def _equal_scores(units: DataFrame) -> DataFrame:
-    """Pairs of units with the same score, by rank of id."""
-    at = Window.partitionBy("s", "arm").orderBy("id")
-    both = units.join(units.groupBy("s").agg(F.countDistinct("arm").alias("__arms")).where("__arms > 1")
-                      .select(F.col("s").alias("__s")), F.col("s") == F.col("__s")).drop("__s")
-    ranked = both.withColumn("r", F.row_number().over(at))
-    t = ranked.where("arm = 1").select(F.col("id").alias("treatment_id"), "s", "r")
-    c = ranked.where("arm = 0").select(F.col("id").alias("control_id"), F.col("s").alias("__s"), F.col("r").alias("__r"))
-    return (t.join(c, (F.col("s") == F.col("__s")) & (F.col("r") == F.col("__r")))
-            .select("treatment_id", "control_id", F.lit(0.0).alias("distance"), F.lit(0).alias("round")))
+def _serve(treated: list[list], controls: list[list], caliper: float | None, below, above) -> tuple[list[tuple[int, int, int, float]], bool]:
+    """(treated block, control block, units, distance) with treated blocks [score, units] served in order, each by its
+    nearest free control; blocks are in order of score. ``below`` and ``above``: free control
+    scores just beyond those given. The flag tells that one beyond was nearer: what follows is open."""
+    score, free = [c[0] for c in controls], [c[1] for c in controls]
+    up, down = list(range(len(score) + 1)), list(range(len(score) + 1))  # next free one, itself included; down[i] is for i - 1
 
+    def find(to: list[int], i: int) -> int:
+        root = i
+        while to[root] != root:
+            root = to[root]
+        while to[i] != root:
+            to[i], i = root, to[i]
+        return root
 
-def _without(units: DataFrame, pairs: DataFrame) -> DataFrame:
-    gone = (pairs.select(F.lit(1).alias("__arm"), F.col("treatment_id").alias("__id"))
-            .unionByName(pairs.select(F.lit(0).alias("__arm"), F.col("control_id").alias("__id"))))
-    return units.join(gone, (F.col("id") == F.col("__id")) & (F.col("arm") == F.col("__arm")), "left_anti")
+    pairs = []
+    for t, (s, n) in enumerate(treated):
+        at = bisect.bisect_right(score, s)
+        while n:
+            j, i = find(up, at), find(down, at) - 1
+            dj = score[j] - s if j < len(score) else None
+            di = s - score[i] if i >= 0 else None
+            k, d = (i, di) if dj is None or (di is not None and di <= dj) else (j, dj)
+            inside = d is not None and (caliper is None or d <= caliper)
+            reach = d if inside else caliper
+            if below is not None and (reach is None or s - below <= reach):
+                return pairs, True
+            if above is not None and (reach is None or above - s < reach or (not inside and above - s == reach)):
+                return pairs, True
+            if not inside:
+                break
+            q = min(n, free[k])
+            pairs.append((t, k, q, d))
+            n, free[k] = n - q, free[k] - q
+            if not free[k]:
+                up[k], down[k + 1] = k + 1, k
+    return pairs, False
 
 
-def _pass(units: DataFrame, count: int, size: int, shift: float, caliper, number: int, kind) -> DataFrame:
-    """The pairs that one pass settles."""
+def _range_rows(rows: list[tuple]):
+    """Ranges of pairs as a frame, in pieces of at most ``RANGE`` units."""
     import pandas as pd
-    spark = units.sparkSession
-    n = max(1, round(count / size))
-    probs = [(i + shift) / n for i in range(n) if 0 < (i + shift) / n < 1] if n > 1 else []
-    cuts = units.agg(F.percentile_approx("s", F.array(*[F.lit(p) for p in probs]), max(10_000, 10 * n)).alias("c")).first()["c"] if probs else []
-    cuts = sorted(set(cuts))
-    starts = spark.sparkContext.broadcast(cuts)  # one number per bucket
-    place = F.pandas_udf(lambda s: pd.Series(_search(starts.value, s)), "int")
-    dealt = units.withColumn("b", place("s")) if cuts else units.withColumn("b", F.lit(0))
-    top = Window.partitionBy("s", "arm").orderBy("id")
-    dealt = dealt.withColumn("__r", F.row_number().over(top)).where(F.col("__r") <= size).drop("__r")
-    ends = dealt.groupBy("b").agg(*[f(F.when(F.col("arm") == k, F.col("s"))).alias(f"{name}{k}") for k in (0, 1)
-                                    for name, f in (("lo", F.min), ("hi", F.max))])
-    rows = sorted(ends.collect(), key=lambda r: r["b"])  # one row per bucket
-    edge = {}
-    low = [None, None]
-    for r in rows:
-        edge[r["b"]] = [low[0], None, low[1], None]
-        low = [r[f"hi{k}"] if r[f"hi{k}"] is not None else low[k] for k in (0, 1)]
-    high = [None, None]
-    for r in reversed(rows):
-        edge[r["b"]][1], edge[r["b"]][3] = high
-        high = [r[f"lo{k}"] if r[f"lo{k}"] is not None else high[k] for k in (0, 1)]
-    edges = spark.sparkContext.broadcast(edge)
-
-    def run(key, pdf):
-        ids, arm, s = pdf["id"].tolist(), pdf["arm"].tolist(), pdf["s"].tolist()
-        got = _settle(ids, arm, s, caliper, edges.value[key[0]])
-        return pd.DataFrame({"treatment_id": pd.Series([ids[a] for a, _, _ in got], dtype=object),
-                             "control_id": pd.Series([ids[b] for _, b, _ in got], dtype=object),
-                             "distance": pd.Series([d for _, _, d in got], dtype="float64"), "round": number})
-
-    return dealt.select("b", "id", "arm", "s").groupBy("b").applyInPandas(
-        run, f"treatment_id {kind}, control_id {kind}, distance double, round int")
-
-
-def _search(cuts: list, scores):
-    import numpy as np
-    return np.searchsorted(np.asarray(cuts), scores.to_numpy(), side="right").astype("int32")
-
-
-def _reachable(units: DataFrame, caliper: float) -> DataFrame:
-    """Units with a unit of the other arm in their own or a neighbouring caliper-wide
-    cell; the others can't match, now or later."""
-    cell = units.withColumn("__cell", F.floor(F.col("s") / F.lit(caliper)))
-    other = (cell.select("arm", "__cell").distinct()
-             .select((1 - F.col("arm")).alias("__arm"), F.explode(F.array(*[F.col("__cell") + k for k in (-1, 0, 1)])).alias("__at")).distinct())
-    return cell.join(other, (F.col("arm") == F.col("__arm")) & (F.col("__cell") == F.col("__at")), "left_semi").drop("__cell")
-
-
-def match_nearest(units: DataFrame, id_col: str, arm: str, score: str,
-                  caliper: float | None = 0.1, bucket: int = BUCKET) -> DataFrame:
-    """M-2 (``caliper`` set, absolute score units) / M-3 (``caliper=None``): 1:1
-    matching without replacement, the closest pair first. Ids are of any type
-    that orders.
-
-    Returns ``(treatment_id, control_id, distance, round)``; ``round`` is the pass
-    that settled the pair. A pass without a pair doubles the buckets, so passes end."""
-    if caliper is not None and caliper <= 0:
-        caliper = 0.0
-    s = F.col(score).cast("double")
-    kind = dict(units.dtypes)[id_col]
-    free = cut_lineage(units.where(s.isNotNull() & F.col(arm).isNotNull())
-                       .select(F.col(id_col).alias("id"), F.when(F.col(arm) == 1, 1).otherwise(0).alias("arm"), s.alias("s")))
-    pairs = cut_lineage(_equal_scores(free))
-    found, number, size = [pairs], 0, bucket
-    free = cut_lineage(_without(free, pairs))
-    while caliper != 0.0:
-        if caliper is not None:
-            free = cut_lineage(_reachable(free, caliper))
-        arms = free.agg(F.count_if(F.col("arm") == 1).alias("t"), F.count_if(F.col("arm") == 0).alias("c")).first()
-        if not arms["t"] or not arms["c"]:
-            break
+    out = []
+    for g, ts, tf, cs, cf, n, d, b in rows:
+        for at in range(0, n, RANGE):
+            out.append((g, ts, tf + at, cs, cf + at, min(RANGE, n - at), d, b))
+    names = [f.split()[0] for f in RANGES.split(", ")]
+    kinds = dict(zip(names, ("object", "float64", "int64", "float64", "int64", "int64", "float64", "int64"), strict=True))
+    return pd.DataFrame(out, columns=names).astype(kinds)
+
+
+def _edges(ends: DataFrame, lo: str, hi: str, name: str, step: int = 1) -> DataFrame:
+    """Adds ``name``_below and ``name``_above: of the cell's buckets ``step`` or more before, the last ``hi``, and of those
+    after, the first ``lo``. A row per cell and bucket."""
+    order = Window.partitionBy("g").orderBy("b")
+    before, after = order.rangeBetween(Window.unboundedPreceding, -step), order.rangeBetween(step, Window.unboundedFollowing)
+    return (ends.withColumn(f"{name}_below", F.last(hi, ignorenulls=True).over(before))
+            .withColumn(f"{name}_above", F.first(lo, ignorenulls=True).over(after)))
+
+
+def _with_partner(blocks: DataFrame) -> DataFrame:
+    """Blocks whose cell has the other arm, and within the caliper: in their own or a neighbouring caliper-wide
+    step. The others can't match, now or later."""
+    step = F.when(F.col("cal").isNull(), F.lit(0.0)).otherwise(F.floor(F.col("s") / F.col("cal")).cast("double"))
+    cell = blocks.withColumn("__step", F.when(F.col("cal") == 0, F.col("s")).otherwise(step))
+    near = F.when(F.col("cal") > 0, F.array(*[F.col("__step") + k for k in (-1, 0, 1)])).otherwise(F.array("__step"))
+    other = cell.select("g", "arm", "cal", "__step").distinct().select(
+        F.col("g").alias("__g"), (1 - F.col("arm")).alias("__arm"), F.explode(near).alias("__at")).distinct()
+    return cell.join(other, (F.col("g") == F.col("__g")) & (F.col("arm") == F.col("__arm")) & (F.col("__step") == F.col("__at")), "left_semi").drop("__step")
+
+
+def _closest_first(blocks: DataFrame, size: int) -> list[DataFrame]:
+    """Ranges of pairs of each pass."""
+    found, number = [], 0
+    free = blocks.withColumn("used", F.lit(0).cast("long"))
+    while True:
+        free = cut_lineage(_with_partner(free))
+        count = free.count()
+        if not count:
+            return found
         number += 1
-        got = _pass(free, arms["t"] + arms["c"], size, 0.5 * (number % 2), caliper, number, kind)
-        got = cut_lineage(got)
+        dealt = _numbered(free, ["g", "s", "arm"], "o").withColumn("b", F.expr(f"(o + {size // 2 * (number % 2)}) div {size}"))
+        dealt = cut_lineage(dealt)
+        ends = dealt.groupBy("g", "b").agg(*[f(F.when(F.col("arm") == k, F.col("s"))).alias(f"{name}{k}") for k in (0, 1)
+                                             for name, f in (("lo", F.min), ("hi", F.max))])
+        ends = _edges(_edges(ends, "lo0", "hi0", "c"), "lo1", "hi1", "t").select(
+            F.col("g").alias("__g"), F.col("b").alias("__b"), "c_below", "c_above", "t_below", "t_above")
+        given = dealt.join(ends, (F.col("g") == F.col("__g")) & (F.col("b") == F.col("__b"))).drop("__g", "__b", "o")
+
+        def run(key, pdf):
+            rows = []
+            for g, cell in pdf.sort_values(["g", "s", "arm"]).groupby("g", sort=False):
+                first = cell.iloc[0]
+                caliper, *outside = (None if pd_null(first[c]) else float(first[c]) for c in ("cal", "c_below", "c_above", "t_below", "t_above"))
+                blocks = [list(x) for x in zip(cell["s"].tolist(), cell["arm"].tolist(), cell["n"].tolist(), strict=True)]
+                used = cell["used"].tolist()
+                for t, c, n, d in _settle(blocks, caliper, outside):
+                    rows.append((g, blocks[t][0], used[t], blocks[c][0], used[c], n, d, int(key[0])))
+                    used[t] += n
+                    used[c] += n
+            return _range_rows(rows)
+
+        got = cut_lineage(given.groupBy("b").applyInPandas(run, RANGES))
         if got.isEmpty():
-            if arms["t"] + arms["c"] <= size:
-                break
+            if count <= size // 2:
+                return found
             size *= 2
             continue
-        found.append(got)
-        free = cut_lineage(_without(free, got))
-    out = found[0]
+        found.append(got.withColumn("round", F.lit(number)))
+        taken = (got.select("g", F.col("ts").alias("s"), F.lit(1).alias("arm"), "n").union(got.select("g", "cs", F.lit(0), "n"))
+                 .groupBy(F.col("g").alias("__g"), F.col("s").alias("__s"), F.col("arm").alias("__arm")).agg(F.sum("n").alias("__n")))
+        same = (F.col("g") == F.col("__g")) & (F.col("s") == F.col("__s")) & (F.col("arm") == F.col("__arm"))
+        gone = F.coalesce("__n", F.lit(0))
+        free = (free.join(taken, same, "left").withColumn("n", F.col("n") - gone).withColumn("used", F.col("used") + gone)
+                .where("n > 0").drop("__g", "__s", "__arm", "__n"))
+
+
+def pd_null(x) -> bool:
+    return x is None or x != x
+
+
+def _score_order(blocks: DataFrame, size: int) -> list[DataFrame]:
+    """Ranges of pairs with treated units served in order of score.
+
+    Buckets of ``size`` blocks are served at the same time, each as if the buckets before had taken what they took
+    in the round before, from the controls of the ``wide`` buckets to either side. When no bucket
+    takes otherwise than in the round before, each has met what the ones before it really took, from the
+    first on: that is the result of serving all in one row. Only buckets whose controls changed are served again."""
+    dealt = cut_lineage(_numbered(_with_partner(blocks), ["g", "s", "arm"], "o").withColumn("b", F.expr(f"o div {size}")))
+    treated = dealt.where("arm = 1").select("g", "b", "s", "n", "cal")
+    controls = dealt.where("arm = 0").select("g", "b", "s", "n")
+    served = treated.select(F.col("g").alias("__g"), F.col("b").alias("__to")).distinct()
+    got, wide, number = None, 1, 0
+    while True:
+        number += 1
+        if got is None:
+            known = controls.withColumn("last", F.lit(None).cast("long"))
+        else:
+            takes = got.where("n > 0").groupBy("g", "b", "cs").agg(F.sum("n").alias("n"))
+            so_far = Window.partitionBy("g", "cs").orderBy("b")
+            whole = (takes.withColumn("sum", F.sum("n").over(so_far)).select(F.col("g").alias("__g"), F.col("cs").alias("__s"), "b", "sum")
+                     .join(controls.select("g", "s", F.col("n").alias("all")), (F.col("g") == F.col("__g")) & (F.col("s") == F.col("__s")))
+                     .where("sum >= all").groupBy("__g", "__s").agg(F.min("b").alias("last")))
+            known = controls.join(whole, (F.col("g") == F.col("__g")) & (F.col("s") == F.col("__s")), "left").drop("__g", "__s")
+        known = cut_lineage(known)  # ``last``: the bucket that takes the control's last unit
+        seen = known.withColumn("to", F.explode(F.expr(f"sequence(b - {wide}, greatest(b - {wide}, least(b + {wide}, coalesce(last, b + {wide}))))")))
+        seen = seen.join(served, (F.col("g") == F.col("__g")) & (F.col("to") == F.col("__to")), "left_semi")
+        if got is not None:
+            low = takes.select(F.col("g").alias("__g"), F.col("cs").alias("__s"), F.col("b").alias("__by"), F.col("n").alias("__n"))
+            seen = (seen.join(low, (F.col("g") == F.col("__g")) & (F.col("s") == F.col("__s")) & (F.col("__by") < F.col("to")), "left")
+                    .groupBy("g", "to", "s", "n").agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("used")))
+        else:
+            seen = seen.select("g", "to", "s", "n", F.lit(0).cast("long").alias("used"))
+        seen = seen.where("n > used")
+        ends = known.groupBy("g", "b").agg(F.min("s").alias("lo"), F.max(F.when(F.col("last").isNull(), F.col("s"))).alias("hi"))
+        ends = dealt.select("g", "b").distinct().join(ends.select(F.col("g").alias("__g"), F.col("b").alias("__b"), "lo", "hi"),
+                                                      (F.col("g") == F.col("__g")) & (F.col("b") == F.col("__b")), "left").drop("__g", "__b")
+        ends = _edges(ends, "lo", "hi", "c", wide + 1).select(F.col("g").alias("__g"), F.col("b").alias("__b"), "c_below", "c_above")
+        mine = (treated.join(ends, (F.col("g") == F.col("__g")) & (F.col("b") == F.col("__b")))
+                .select("g", "b", F.lit(1).alias("arm"), "s", "n", F.lit(0).cast("long").alias("used"), "cal", "c_below", "c_above"))
+        none = F.lit(None).cast("double")
+        given = mine.union(seen.select("g", "to", F.lit(0), "s", "n", "used", none, none, none))
+
+        def run(key, pdf):
+            rows = []
+            for g, cell in pdf.sort_values(["g", "s"]).groupby("g", sort=False):
+                t, c = cell[cell["arm"] == 1], cell[cell["arm"] == 0]
+                if not len(t):
+                    continue
+                first = t.iloc[0]
+                caliper, below, above = (None if pd_null(first[x]) else float(first[x]) for x in ("cal", "c_below", "c_above"))
+                served = [list(x) for x in zip(t["s"].tolist(), t["n"].tolist(), strict=True)]
+                offered = [list(x) for x in zip(c["s"].tolist(), (c["n"] - c["used"]).tolist(), strict=True)]
+                used, taken = c["used"].tolist(), [0] * len(served)
+                pairs, more = _serve(served, offered, caliper, below, above)
+                for i, j, n, d in pairs:
+                    rows.append((g, served[i][0], taken[i], offered[j][0], used[j], n, d, int(key[0])))
+                    taken[i] += n
+                    used[j] += n
+                if more:
+                    rows.append((g, served[0][0], 0, 0.0, 0, 0, 0.0, int(key[0])))
+            out = _range_rows([r for r in rows if r[5]])
+            open_ones = [r for r in rows if not r[5]]
+            if open_ones:
+                import pandas as pd
+                out = pd.concat([out, pd.DataFrame(open_ones, columns=out.columns).astype(out.dtypes.to_dict())]) if len(out) else \
+                    pd.DataFrame(open_ones, columns=out.columns).astype(out.dtypes.to_dict())
+            return out
+
+        new = cut_lineage(given.groupBy("b").applyInPandas(run, RANGES))
+        if not new.where("n = 0").isEmpty():
+            wide *= 2
+        elif got is not None and _same_rows(new, got):
+            return [new.withColumn("round", F.lit(number))]
+        got = new
+
+
+def _same_rows(a: DataFrame, b: DataFrame) -> bool:
+    both = a.select("*", F.lit(1).alias("__in")).union(b.select("*", F.lit(-1))).groupBy(*a.columns).agg(F.sum("__in").alias("__in"))
+    return both.where("__in <> 0").isEmpty()
+
+
+def match_nearest(units: DataFrame, id_col: str, arm: str, score: str,
+                  caliper: float | str | None = 0.1, bucket: int = BUCKET, by: Sequence[str] = (),
+                  rule: str = "closest") -> DataFrame:
+    """M-2 (``caliper`` set, absolute score units) / M-3 (``caliper=None``): 1:1
+    matching without replacement. Ids are of any type that orders.
+
+    ``rule="closest"``: the closest free pair first; at equal distance the lower treated
+    score, then the lower control score. ``rule="score_order"``: treated units in ascending order of score, each with
+    its nearest free control (at equal distance the one of lower score). Units of equal score go by id.
+
+    ``by``: strata, or the cells of a grid; units match within their cell, and all cells are matched in the
+    same passes. ``caliper`` may name a column, constant within a cell.
+
+    Returns ``by``, ``treatment_id``, ``control_id``, ``distance`` and ``round``, the pass that settled the pair."""
+    if rule not in ("closest", "score_order"):
+        raise ValueError(f"unknown rule {rule!r}")
+    s = F.col(score).cast("double") + F.lit(0.0)
+    cal = F.col(caliper).cast("double") if isinstance(caliper, str) else F.lit(caliper).cast("double")
+    cell = F.to_json(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(by)]), {"ignoreNullFields": "false"}) if by else F.lit("")
+    free = units.where(s.isNotNull() & ~F.isnan(s) & F.col(arm).isNotNull() & F.col(id_col).isNotNull()).select(
+        cell.alias("g"), s.alias("s"), F.when(F.col(arm) == 1, 1).otherwise(0).alias("arm"), F.col(id_col).alias("id"),
+        F.greatest(cal, F.lit(0.0)).alias("cal") if caliper is not None else cal.alias("cal"), *[F.col(c).alias(f"__by_{k}") for k, c in enumerate(by)])
+    ranked = cut_lineage(_numbered(free, ["g", "s", "arm", "id"], "r", ["g", "s", "arm"]))
+    blocks = cut_lineage(ranked.groupBy("g", "s", "arm").agg(F.count(F.lit(1)).alias("n"), F.max("cal").alias("cal")))
+    found = (_closest_first if rule == "closest" else _score_order)(blocks, bucket)
+    columns = [F.col(f"__by_{k}").alias(c) for k, c in enumerate(by)] + ["treatment_id", "control_id", "distance", "round"]
+    if not found:
+        none = ranked.where("1 = 0")
+        return none.withColumn("treatment_id", F.col("id")).withColumn("control_id", F.col("id")).withColumn("distance", F.lit(0.0)).withColumn(
+            "round", F.lit(0)).select(*columns)
+    ranges = found[0]
     for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        ranges = ranges.unionByName(f)
+    pairs = (ranges.withColumn("i", F.explode(F.expr("sequence(0, n - 1)")))
+             .select("g", "ts", (F.col("tf") + F.col("i")).alias("tr"), "cs", (F.col("cf") + F.col("i")).alias("cr"), "distance", "round"))
+    t = ranked.where("arm = 1").select(F.col("g").alias("__tg"), F.col("s").alias("__ts"), F.col("r").alias("__tr"), F.col("id").alias("treatment_id"),
+                                       *[f"__by_{k}" for k in range(len(by))])
+    c = ranked.where("arm = 0").select(F.col("g").alias("__cg"), F.col("s").alias("__cs"), F.col("r").alias("__cr"), F.col("id").alias("control_id"))
+    return (pairs.join(t, (F.col("g") == F.col("__tg")) & (F.col("ts") == F.col("__ts")) & (F.col("tr") == F.col("__tr")))
+            .join(c, (F.col("g") == F.col("__cg")) & (F.col("cs") == F.col("__cs")) & (F.col("cr") == F.col("__cr"))).select(*columns))
 
 
 def match_report(pairs: DataFrame, units: DataFrame, arm: str) -> DataFrame:
