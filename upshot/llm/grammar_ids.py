@@ -56,7 +56,7 @@ from .packing import bytes_of_letters
 SHARD_IDS = 4 << 20
 PART_BYTES = 32 << 20  # text bytes a file
 MIN_COUNT = 64
-SHARE = 64  # a round takes the pairs at least 1 / SHARE as frequent as the first
+SHARE = 1024  # a round takes the pairs at least 1 / SHARE as frequent as the first
 END_ID = 2
 WORDS_HELD = 300_000  # in each of two generations
 MAGIC, HEADER, ENTRY, TAIL = b"UPSHIDS1", struct.Struct("<6q"), struct.Struct("<4q"), struct.Struct("<2q")
@@ -173,7 +173,7 @@ def compress(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT, share:
         size = terminals + len(rules)
         begins, follows = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
         begins[left], follows[right] = True, True
-        at = np.flatnonzero(begins[x[:-1]] & follows[x[1:]])
+        at = np.flatnonzero(begins.take(x)[:-1] & follows.take(x)[1:])
         order = np.argsort(pairs)
         here = (x[at].astype(wide) << wide(bits)) | x[at + 1]
         place = np.minimum(np.searchsorted(pairs[order], here), len(pairs) - 1)
