@@ -62,6 +62,7 @@ WORDS_HELD = 300_000  # in each of two generations
 MAGIC, HEADER, ENTRY, TAIL = b"UPSHIDS1", struct.Struct("<6q"), struct.Struct("<4q"), struct.Struct("<2q")
 HAS_ID, BEGINS, ENDS = 1, 2, 4
 LATIN = "\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\\u0131-\\u017f"
+SIGNS = ".,;:!?"
 PLAIN = re.compile(f"[!-~\\u00d7\\u00f7{LATIN}]+")
 #: the vocabulary's own pattern on such words
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z{LATIN}]+|[0-9]|[^A-Za-z{LATIN}0-9]+")
@@ -95,14 +96,17 @@ class Encoder:
                 whole = word.endswith(suffix)
                 ranks[bytes(letters[c] for c in (word.removesuffix(suffix) if whole else word)) + (b"\xff" if whole else b"")] = i
         self.pair = tiktoken.Encoding("file", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.new, self.old = {}, {}
+        self.new, self.old, self.tails = {}, {}, {}
 
     def word(self, word: bytes) -> bytes:
         """Ids of a word as little-endian uint32."""
-        if word.isalpha():  # ASCII letters alone
-            return array("I", self.pair(word.lower() + b"\xff")).tobytes()
         text = word.decode("utf-8", "replace")
-        if PLAIN.fullmatch(text) and "<|" not in text:
+        core = text.rstrip(SIGNS)
+        if core.isalpha() and (core.isascii() or (max(core) <= "\u017f" and "\u0130" not in core)):  # letters, then signs or nothing
+            ids = self.pair(core.lower().encode() + b"\xff")
+            if len(core) < len(text):
+                ids += self.tail(text[len(core):])
+        elif PLAIN.fullmatch(text) and "<|" not in text:
             ids = []
             for piece in PIECES.findall(text.lower()):
                 ids += self.pair(piece.encode() + b"\xff")
@@ -110,6 +114,14 @@ class Encoder:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
+    def tail(self, signs: str) -> list[int]:
+        found = self.tails.get(signs)
+        if found is None:
+            found = self.pair(signs.encode() + b"\xff")
+            if len(signs) <= 4:  # few of them
+                self.tails[signs] = found
+        return found
+
     def _first(self, word: bytes) -> bytes:
         found = self.old.get(word) or self.word(word)
         if len(word) <= 64:
