@@ -67,3 +67,35 @@ def test_round_trip(spark):
 def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, html string")
     assert A.read_archives(A.write_archives(pages, scratch_path(spark, "warc"))).count() == 0
+
+
+@pytest.mark.parametrize("step", [7, 1 << 20])
+def test_members_of_several_records(step):
+    records = [page(i, 40 * i) for i in range(6)]
+    junk = b"junk WARC/1.1\r\n\x1f\x8b\x08"
+    data = A.member(b"".join(records[:4])) + A.member(records[4] + junk + records[5] + b"tail") + A.member(b"no record") + A.member(records[0]) + records[1]
+    got = list(A.salvage(io.BytesIO(data), step))
+    assert [g[0] for g in got] == ["record"] * 4 + ["record", "gap", "record", "gap", "gap", "record", "record"]
+    assert [int(g[3]["warc-record-id"][10:-1]) for g in got if g[0] == "record"] == [0, 1, 2, 3, 4, 5, 0, 1]
+    inner = [g[5] for g in got]
+    assert inner[0] == (0, len(records[0])) and inner[5] == (len(records[4]), len(records[4]) + len(junk)) and inner[8:] == [None] * 3
+    ends = sorted({(g[1], g[2]) for g in got})
+    assert [a for a, _ in ends[1:]] == [b for _, b in ends[:-1]] and ends[-1][1] == len(data)
+    broken = bytearray(data)
+    broken[len(A.member(b"".join(records[:4]))) // 2] ^= 1
+    assert [int(g[3]["warc-record-id"][10:-1]) for g in A.salvage(io.BytesIO(bytes(broken)), step) if g[0] == "record"] == [4, 5, 0, 1]
+
+
+def test_long_headers():
+    body = b"x" * 100
+    long = A.record("response", 1, "http://a/" + "y" * 3_000_000, body, hashlib.sha256(body).hexdigest(), None)
+    for data in (long + page(2, 5), A.member(long) + page(2, 5)):
+        assert [g[0] for g in A.salvage(io.BytesIO(data))] == ["record", "record"]
+
+
+def test_damaged_archives_give_the_other_records(spark):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " + "words " * 200) for i in range(1, 301)], "page_id long, url string, html string").repartition(3)
+    manifest = A.write_archives(pages, scratch_path(spark, "warc"))
+    rows = A.read_archives(manifest, with_block=False, damage_every=7).collect()
+    assert {r["id"]: r["salvaged"] for r in rows} == {i: i % 7 != 0 for i in range(1, 301)}
+    assert {r["salvaged"] for r in A.read_archives(manifest).collect()} == {None}

@@ -7,7 +7,8 @@ that Spark commits, so repeated or lost tasks leave no trace. Of equal payloads
 ``REVISIT_BYTES`` at least, the one with the smallest id is a response, the others
 are revisits without payload; which they are is found on digests alone.
 
-Reader: a file is read in pieces of ``READ_BYTES``. A record counts if its member
+Reader: a file is read in pieces of ``READ_BYTES``. A member may hold one record, as the writer's do, or
+many; its records are searched in what it holds, with the gaps between. A record counts if its member
 decompresses with the right checksum, its version line, headers, length and end
 are in order, and its digest fits. If a check fails, the reader looks on from
 the next byte for the next gzip magic number, or version line in plain archives,
@@ -19,7 +20,7 @@ are all responses; rows that repeat an id give a record each, and of such rows
 with the smallest id all records are responses; a null id is written without a
 number, is a response and never the one that others revisit; an empty table gives
 no files; other columns are ignored. A record larger than memory
-isn't read: a record is held whole while it is checked.
+isn't read: a record, and a member as compressed, is held whole while it is checked.
 """
 
 from __future__ import annotations
@@ -102,33 +103,46 @@ class _Source:
         self.base = to
 
 
-def _inflate(source: _Source, at: int) -> tuple[bytes, int] | None:
-    """A gzip member at ``at`` and its end, or None if it is damaged or cut off."""
+def _member_end(source: _Source, at: int) -> int | None:
+    """End of the gzip member at ``at`` if it decompresses with the right checksum; what it
+    holds is not kept."""
     d = zlib.decompressobj(31)
-    out, pos = [], at - source.base
+    pos = at - source.base
     try:
         while not d.eof:
             if pos >= len(source.data) and not source.more():
                 return None
             piece = bytes(source.data[pos:pos + source.step])
-            out.append(d.decompress(piece))
-            pos += len(piece) - len(d.unused_data)
+            while piece:
+                d.decompress(piece, source.step)
+                left = d.unused_data if d.eof else d.unconsumed_tail
+                pos += len(piece) - len(left)
+                piece = b"" if d.eof else left
     except zlib.error:
         return None
-    return b"".join(out), source.base + pos
+    return source.base + pos
 
 
-def _record_at(source: _Source, at: int) -> tuple[dict[str, str], bytes, int] | None:
+class _Unzipped:
+    """What a sound gzip member holds, as a stream."""
+
+    def __init__(self, data: bytes):
+        self.left, self.zip = data, zlib.decompressobj(31)
+
+    def read(self, n: int) -> bytes:
+        while self.left:
+            out = self.zip.decompress(self.left, n)
+            self.left = self.zip.unconsumed_tail
+            if out:
+                return out
+        return b""
+
+
+def _plain_record(source: _Source, at: int) -> tuple[dict[str, str], bytes, int] | None:
     while len(source.data) - (at - source.base) < 10 and source.more():
         pass
-    here = at - source.base
-    if source.data[here:here + 3] == GZIP:
-        got = _inflate(source, at)
-        one = parse(got[0]) if got else None
-        return (one[0], one[1], got[1]) if one and one[2] == len(got[0]) else None
-    if not VERSION.match(source.data, here):
+    if not VERSION.match(source.data, at - source.base):
         return None
-    seen = 0
     while True:
         head = source.data.find(b"\r\n\r\n", at - source.base)
         length = re.search(rb"(?i)\r\ncontent-length: *(\d{1,18})\r\n", bytes(source.data[at - source.base:head + 2])) if head >= 0 else None
@@ -136,17 +150,14 @@ def _record_at(source: _Source, at: int) -> tuple[dict[str, str], bytes, int] |
         if need is not None and len(source.data) >= need or source.ended or head >= 0 and not length:
             got = parse(bytes(source.data[at - source.base:need]))
             return (got[0], got[1], at + got[2]) if got else None
-        if head < 0 and seen > 1 << 16:  # no header block is that long
-            return None
-        seen = len(source.data) - (at - source.base)
         source.more()
 
 
-def _next_start(source: _Source, at: int) -> int | None:
-    """First place from ``at`` on where a member or version line may begin."""
+def _next_start(source: _Source, at: int, zipped: bool) -> int | None:
+    """First place from ``at`` on where a member (unless ``zipped``: within one) or version line may begin."""
     while True:
         here = at - source.base
-        gz = source.data.find(GZIP, here)
+        gz = -1 if zipped else source.data.find(GZIP, here)
         line = VERSION.search(source.data, here)
         found = [x for x in (gz if gz >= 0 else None, line.start() if line else None) if x is not None]
         if found:
@@ -157,31 +168,79 @@ def _next_start(source: _Source, at: int) -> int | None:
             return None
 
 
-def salvage(stream, step: int = READ_BYTES) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
-    """("record", start, end, headers, block) of each good record in file order,
-    and ("gap", start, end, {}, b"") of the quarantined bytes between."""
+def _member_records(source: _Source, at: int, end: int) -> Iterator[tuple]:
+    """Records of a sound member, and the gaps between; nothing if it has no record."""
+    items = ((kind, at, end, head, block, (start, stop)) for kind, start, stop, head, block, _ in salvage(
+        _Unzipped(bytes(source.data[at - source.base:end - source.base])), source.step, True))
+    first = []
+    for item in items:
+        first.append(item)
+        if item[0] == "record":
+            break
+    else:
+        return
+    after = next(items, None)
+    if len(first) == 1 and after is None:  # one record and nothing else
+        yield (*first[0][:5], None)
+        return
+    yield from first
+    if after is not None:
+        yield after
+        yield from items
+
+
+def salvage(stream, step: int = READ_BYTES, zipped: bool = False) -> Iterator[tuple[str, int, int, dict[str, str], bytes, tuple[int, int] | None]]:
+    """("record", start, end, headers, block, inner) of each good record in file order,
+    and ("gap", start, end, {}, b"", inner) of the quarantined bytes between. A member with other than one
+    record gives its own place for each of its records and gaps, and their place in what it holds as ``inner``."""
     source, at, lost = _Source(stream, step), 0, None
     while True:
-        got = _record_at(source, at)
-        if got:
+        while len(source.data) - (at - source.base) < 10 and source.more():
+            pass
+        end, items = None, iter(())
+        if not zipped and source.data[at - source.base:at - source.base + 3] == GZIP:
+            end = _member_end(source, at)
+            items = _member_records(source, at, end) if end else items
+        else:
+            got = _plain_record(source, at)
+            if got:
+                end, items = got[2], iter([("record", at, got[2], got[0], got[1], None)])
+        first = next(items, None)
+        if first is not None:
             if lost is not None:
-                yield "gap", lost, at, {}, b""
+                yield "gap", lost, at, {}, b"", None
                 lost = None
-            yield "record", at, got[2], got[0], got[1]
-            at = got[2]
+            yield first
+            yield from items
+            at = end
             source.drop(at)
             continue
         if source.ended and at >= source.base + len(source.data):
             if lost is not None:
-                yield "gap", lost, at, {}, b""
+                yield "gap", lost, at, {}, b"", None
             return
         lost = at if lost is None else lost
-        start = _next_start(source, at + 1)
+        start = _next_start(source, at + 1, zipped)
         at = source.base + len(source.data) if start is None else start
         if start is not None:
             source.drop(at)
 
 
+class _Damaged:
+    """A stream with one bit changed at each of some places."""
+
+    def __init__(self, stream, spots: list[int]):
+        self.stream, self.spots, self.at = stream, spots, 0
+
+    def read(self, n: int) -> bytes:
+        data = bytearray(self.stream.read(n))
+        for spot in self.spots:
+            if self.at <= spot < self.at + len(data):
+                data[spot - self.at] ^= 0x10
+        self.at += len(data)
+        return bytes(data)
+
+
 def _open(path: str, write: bool = False):
     """A file of the shared folder, in whatever store it is."""
     from pyarrow import fs
@@ -235,51 +294,75 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return manifest
 
 
-def read_archives(manifest: DataFrame, path_col: str = "path", with_block: bool = True) -> DataFrame:
+def read_archives(manifest: DataFrame, path_col: str = "path", with_block: bool = True, damage_every: int | None = None) -> DataFrame:
     """Rows of kind record or gap: path, start, end, and of records the headers' id,
-    type, url, digest, length, reference and the block."""
+    type, url, digest, length, reference and the block. A member with several records gives each a row.
+
+    With ``damage_every`` each archive is read a second time with a bit changed in the middle of every
+    record whose id that number divides, and ``salvaged`` tells whether the record came back all the same;
+    else it is null."""
     ship_package(manifest.sparkSession)
     out = schema(kind=STRING, path=STRING, start=LONG, end=LONG, id=LONG, record_type=STRING, url=STRING,
-                 payload_digest=STRING, payload_bytes=LONG, refers_to=LONG).add("block", "binary")
+                 payload_digest=STRING, payload_bytes=LONG, refers_to=LONG).add("block", "binary").add("salvaged", "boolean")
 
     def number(x: str | None) -> int | None:
         m = re.search(r"(-?\d+)>?$", x or "")
         return int(m[1]) if m else None
 
+    def again(path: str) -> set[tuple[int, int]]:
+        """Places of the records that the damaged archive gives."""
+        spots = []
+        with _open(path) as stream:
+            for kind, start, end, head, _, _ in salvage(stream):
+                n = number(head.get("warc-record-id")) if kind == "record" else None
+                if n is not None and n % damage_every == 0:
+                    spots.append((start + end) // 2)
+        with _open(path) as stream:
+            return {(start, end) for kind, start, end, *_ in salvage(_Damaged(stream, spots)) if kind == "record"}
+
     def rows(path: str) -> Iterator[tuple]:
+        back = again(path) if damage_every else None
         with _open(path) as stream:
-            for kind, start, end, head, block in salvage(stream):
+            for kind, start, end, head, block, _ in salvage(stream):
                 n = number(head.get("x-payload-length")) if kind == "record" else None
                 yield (kind, path, start, end, number(head.get("warc-record-id")), head.get("warc-type"), head.get("warc-target-uri"),
                        head.get("warc-payload-digest", "").removeprefix("sha256:") if head else None,
                        n if n is not None or kind == "gap" else len(block), number(head.get("warc-refers-to")),
-                       block if with_block and kind == "record" else None)
+                       block if with_block and kind == "record" else None, (start, end) in back if back is not None and kind == "record" else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), *[pa.int64()] * 3, *[pa.string()] * 3, *[pa.int64()] * 2, pa.binary()]
+        kinds = [pa.string(), pa.string(), *[pa.int64()] * 3, *[pa.string()] * 3, *[pa.int64()] * 2, pa.binary(), pa.bool_()]
+
+        def batch_of(held: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], out.names)
+
         for b in batches:
             for path in b.column("path").to_pylist():
                 held, size = [], 0
                 for r in rows(path):
                     held.append(r)
-                    size += len(r[-1] or b"") + 200
+                    size += len(r[-2] or b"") + 200
                     if size > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], out.names)
+                        yield batch_of(held)
                         held, size = [], 0
                 if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], out.names)
+                    yield batch_of(held)
 
     spark = manifest.sparkSession
     parts = max(1, spark.sparkContext.defaultParallelism * 4)
     return (manifest.select(F.col(path_col).alias("path")).repartition(parts, "path").mapInArrow(run, out))
 
 
+DAMAGE_EVERY = 97
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages written as WARC records and read back by the salvage reader."""
+    """All pages written as WARC records and read back by the salvage reader, from the archives as they are and
+    from the archives with the records of every 97th id damaged (``salvaged``)."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     manifest = write_archives(pages, scratch_path(spark, "warc"))
-    back = read_archives(manifest, with_block=False).where("kind = 'record'")
-    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    back = read_archives(manifest, with_block=False, damage_every=DAMAGE_EVERY).where("kind = 'record'")
+    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "salvaged")
 
 
 SQL = """
@@ -287,5 +370,6 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
 f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to FROM f
+       CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to,
+       page_id IS NULL OR page_id % 97 <> 0 AS salvaged FROM f
 """
