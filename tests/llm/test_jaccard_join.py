@@ -120,3 +120,38 @@ def test_pairs_at_the_threshold_share_paths_at_every_depth():
             lost[depth] += not len(shared)
             shared = np.array([c for p in shared for c in np.intersect1d(*(J._children(x, p) for x in pair))], dtype=np.uint64)
     assert lost == [0] * (J.LEVELS + 1)
+
+
+def test_a_large_core_and_a_shared_passage(spark):
+    """1,200 near copies and 500 texts with a passage in common, at the limits in use, against all intersections."""
+    import pyarrow as pa
+    rows = []
+    base = prose(1, 120).split()
+    for k in range(1200):
+        w = list(base)
+        for j in range(1 + k % 4):
+            w[(k * 7 + j * 31) % 118] = f"x{k}z{j}"
+        rows.append((k, " ".join(w)))
+    passage = prose(3, 60)
+    rows += [(2000 + k, passage + " " + prose(100 + k // 2, 60) + f" q{k}" * (k % 2)) for k in range(500)]  # in pairs
+    x, at = J._sets(pa.array([t for _, t in rows]))
+    lists = [x[a:b] for a, b in zip(at[:-1], at[1:])]
+    size = np.diff(at)
+    both = J._common(lists)
+    linked = 5 * both >= 4 * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(linked, False)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    label = np.arange(len(rows))
+    while True:
+        new = np.minimum(label, np.where(linked, label[None, :], len(rows)).min(axis=1))
+        if (new == label).all():
+            break
+        label = new
+    assert got == {i: (rows[label[k]][0], int(linked[k].sum())) for k, (i, _) in enumerate(rows)}
+
+
+def test_helper_columns_may_exist(spark):
+    rows = [(1, "a b c d e f", 1, 2, 3), (2, "a b c d e f", 1, 2, 3), (3, "z", 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, _hash int, class_0 int")
+    kept = J.keep_one(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]

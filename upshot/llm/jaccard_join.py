@@ -13,7 +13,7 @@ Buckets of at most ``LIMIT`` sets are compared by brute force with exact
 intersections; larger ones recurse. A pair at the threshold shares a path of two
 tokens with probability 0.47 at least, so ``RUNS`` runs leave one in 300,000 such
 pairs apart, and fewer at higher similarities. Deeper paths are shared less often.
-So members of large buckets get ``MORE_RUNS`` further runs among themselves, and
+So members of large buckets get ``MORE_RUNS`` further runs, once the similar cores (below) are taken off, and
 below the second level a node chooses the tokens below ``1/(0.64 n)``. Of pairs at
 the threshold with sizes 4:5, the worst case, a run then shares a path of 3, 4, 5,
 6 and 7 tokens with probability 0.40, 0.36, 0.33, 0.32 and 0.30; all runs miss one
@@ -24,7 +24,8 @@ Before a large bucket is split, its similar core is taken off: distances (one
 minus similarity) to the bucket's smallest member obey the triangle inequality,
 so a set nearer than 0.5 has all its links within distance 0.7. The sets within
 0.7 are compared completely, once, in tiles (an exact way, whatever their
-number), and the near ones leave the recursion. What is still large after
+number), and the near ones leave the recursion. They are sent as what they lack and have
+beside the smallest member, which is little in a core. What is still large after
 ``LEVELS`` levels is compared in tiles too, so nothing is capped.
 
 Equal sets are one representative with the number of its different texts. A pair
@@ -170,11 +171,6 @@ def _tokens(cell: bytes) -> np.ndarray:
     return np.frombuffer(cell, dtype=W.U)
 
 
-def _similarity(x: np.ndarray, y: np.ndarray) -> float:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both)
-
-
 def _more_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Paths of two tokens of the further runs."""
     for batch in batches:
@@ -193,20 +189,25 @@ def _children(x: np.ndarray, path: W.U) -> np.ndarray:
 
 
 def _recurse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a member of large buckets with the same smallest member: whether it lies
-    around that one, and if it isn't near it, the paths of the next level."""
+    """Of a member of large buckets with the same smallest member: whether it is near that one;
+    if it lies around it, its size and what it lacks and has beside it; if it isn't near it, the paths of the next level."""
     for batch in batches:
-        around, children = [], []
+        near, size, gone, fresh, children = [], [], [], [], []
         for paths, x, p in zip(*(batch.column(k).to_pylist() for k in ("paths", "set", "pivot_set")), strict=True):
-            x = _tokens(x)
-            far = 1 - _similarity(x, _tokens(p))
-            around.append(far <= FAR)
+            x, p = _tokens(x), _tokens(p)
+            out, new = np.setdiff1d(p, x, assume_unique=True), np.setdiff1d(x, p, assume_unique=True)
+            far = 1 - (len(p) - len(out)) / (len(p) + len(new))
+            near.append(far < NEAR)
+            size.append(len(p) if far <= FAR else None)
+            gone.append(out.tobytes() if far <= FAR else None)
+            fresh.append(new.tobytes() if far <= FAR else None)
             nxt = []
             for seed in np.array(paths if far >= NEAR else [], dtype=np.int64).view(W.U):
                 nxt += W.int64(_children(x, seed)).tolist()
             children.append(nxt)
-        yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "pivot": batch.column("pivot"), "around": pa.array(around, pa.bool_()),
-                                          "children": pa.array(children, pa.list_(pa.int64()))})
+        yield pa.RecordBatch.from_pydict({
+            "rep": batch.column("rep"), "pivot": batch.column("pivot"), "near": pa.array(near, pa.bool_()), "size": pa.array(size, pa.int64()),
+            "gone": pa.array(gone, pa.binary()), "fresh": pa.array(fresh, pa.binary()), "children": pa.array(children, pa.list_(pa.int64()))})
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -233,6 +234,8 @@ def _common(lists: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
     """Sizes of the intersections of all pairs of sorted lists without repeats."""
     own = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     values = np.concatenate(lists)
+    if not len(values):
+        return np.zeros((len(lists), len(lists)), dtype=np.int64)
     order = np.argsort(values, kind="stable")
     values, own = values[order], own[order]
     new = np.ones(len(values), dtype=bool)
@@ -269,9 +272,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rep, order = np.unique(g.column("rep").to_numpy(), return_index=True)
         side = g.column("side").to_numpy()[order]
         weight = g.column("weight").to_numpy()[order]
-        cells, homes = g.column("set").to_pylist(), g.column("homes").to_pylist()
-        both = _common([_tokens(cells[i]) for i in order])
-        size = np.array([len(cells[i]) // 8 for i in order], dtype=np.int64)
+        homes = g.column("homes").to_pylist()
+        if g.column("pivot_size")[0].as_py() is None:
+            cells = g.column("set").to_pylist()
+            both = _common([_tokens(cells[i]) for i in order])
+            size = np.array([len(cells[i]) // 8 for i in order], dtype=np.int64)
+        else:  # sets by what they lack and have beside the same one
+            whole = g.column("pivot_size")[0].as_py()
+            gone, fresh = ([_tokens(cells[i]) for i in order] for cells in (g.column("gone").to_pylist(), g.column("fresh").to_pylist()))
+            less, more = (np.array([len(x) for x in side_], dtype=np.int64) for side_ in (gone, fresh))
+            size = whole - less + more
+            both = whole - less[:, None] - less[None, :] + _common(gone) + _common(fresh)
         linked = 5 * both >= 4 * (size[:, None] + size[None, :] - both)
         np.fill_diagonal(linked, False)
         if g.column("a")[0] != g.column("b")[0]:
@@ -350,12 +361,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     small = members.where(F.col("size") <= LIMIT).select("path", "rep")
     large = members.where(F.col("size") > LIMIT).select("path", "rep", "pivot")
-    if not large.isEmpty():
-        more, _ = materialise(_members(in_large.mapInArrow(_more_paths, schema(rep=LONG, path=LONG))), "members")
-        small = small.union(more.where(F.col("size") <= LIMIT).select("path", "rep"))
-        large = large.union(more.where(F.col("size") > LIMIT).select("path", "rep", "pivot"))
+    shape = schema(rep=LONG, pivot=LONG, near=BOOL, size=LONG, gone=BINARY, fresh=BINARY).add("children", T.ArrayType(LONG))
     around: list[DataFrame] = []
-    for _ in range(LEVELS):
+    for level in range(LEVELS):
         if large.isEmpty():
             break
         pivots = (in_large.join(large.select("pivot").distinct(), F.col("rep") == F.col("pivot"))
@@ -365,34 +373,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         step, _ = materialise(
             met.join(in_large, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(SALT)).cast("int"))
             .join(pivots, (F.col("pivot") == F.col("_pivot")) & (F.col("part") == F.col("_part")))
-            .select("rep", "pivot", "paths", "set", "pivot_set")
-            .mapInArrow(_recurse, schema(rep=LONG, pivot=LONG, around=BOOL).add("children", T.ArrayType(LONG))), "level")
-        around.append(step.where("around").select(F.xxhash64(F.lit("around"), "pivot").alias("home"), "rep"))
-        deeper, _ = materialise(_members(step.select(F.explode("children").alias("path"), "rep")), "members")
+            .select("rep", "pivot", "paths", "set", "pivot_set").mapInArrow(_recurse, shape), "level")
+        around.append(step.where("size is not null").select(F.xxhash64(F.lit("around"), "pivot").alias("home"), "rep",
+                                                            F.col("size").alias("pivot_size"), "gone", "fresh"))
+        # a member near any smallest one meets all its links around it
+        complete = step.where("near").select(F.col("rep").alias("_rep")).distinct()
+        apart = step.join(complete, F.col("rep") == F.col("_rep"), "left_anti")
+        deeper, _ = materialise(_members(apart.select(F.explode("children").alias("path"), "rep")), "members")
+        if not level:
+            again = in_large.join(apart.select(F.col("rep").alias("_rep")).distinct(), F.col("rep") == F.col("_rep"), "left_semi")
+            more, _ = materialise(_members(again.mapInArrow(_more_paths, schema(rep=LONG, path=LONG))), "members")
+            deeper = deeper.union(more)
         small = small.union(deeper.where(F.col("size") <= LIMIT).select("path", "rep"))
         large = deeper.where(F.col("size") > LIMIT).select("path", "rep", "pivot")
-    around.append(large.select(F.col("path").alias("home"), "rep"))  # still large: compared in tiles
+    rest = large.select(F.col("path").alias("home"), "rep").distinct()  # still large: compared in tiles
 
     # buckets of the same members are compared once
     listed = small.groupBy("path").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
     once = (listed.groupBy("reps").agg(F.min("path").alias("home"))
             .select("home", F.explode("reps").alias("rep"), F.lit(0).alias("tiles")))
-    rest = around[0]
-    for more in around[1:]:
-        rest = rest.union(more)
-    rest = rest.distinct()
-    tiles = rest.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).withColumnRenamed("home", "_home")
+    cores = None  # a member may meet the same smallest one on several levels
+    for part in around:
+        cores = part if cores is None else cores.union(part)
+    if cores is not None:
+        cores = cores.dropDuplicates(["home", "rep"])
+    tiled = rest if cores is None else rest.union(cores.select("home", "rep"))
+    tiles = tiled.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).withColumnRenamed("home", "_home")
     homes, homes_path = materialise(
-        once.union(rest.join(tiles, F.col("home") == F.col("_home")).select("home", "rep", "tiles")), "homes")
-
-    per_rep = homes.groupBy("rep").agg(F.collect_list(F.struct("home", "tiles")).alias("at"))
-    placed = (sets.join(per_rep, "rep").join(usable.select("rep", "weight"), "rep")
-              .select("rep", "weight", "set", F.col("at.home").alias("homes"), F.explode("at").alias("p"))
-              .select("rep", "weight", "set", "homes", "p.*")
-              .withColumn("own", F.pmod(F.xxhash64("rep"), F.greatest("tiles", F.lit(1))).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("tiles", F.lit(1)) - 1)))
-              .select("home", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
-                      F.col("own").alias("side"), "rep", "weight", "set", "homes"))
+        once.union(tiled.join(tiles, F.col("home") == F.col("_home")).select("home", "rep", "tiles")), "homes")
+
+    per_rep = homes.groupBy("rep").agg(F.sort_array(F.collect_list("home")).alias("homes")).withColumnRenamed("rep", "_rep")
+    weights = usable.select(F.col("rep").alias("_w"), "weight")
+
+    def spread(rows: DataFrame) -> DataFrame:
+        """Members with all their homes, dealt to the pairs of tiles of the home at hand."""
+        return (rows.join(per_rep, F.col("rep") == F.col("_rep")).join(weights, F.col("rep") == F.col("_w"))
+                .withColumn("own", F.pmod(F.xxhash64("rep"), F.greatest("tiles", F.lit(1))).cast("int"))
+                .withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("tiles", F.lit(1)) - 1)))
+                .select("home", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.col("own").alias("side"),
+                        "rep", "weight", "set", "homes", "pivot_size", "gone", "fresh"))
+
+    none, nothing = F.lit(None).cast("long"), F.lit(None).cast("binary")
+    plain = homes if cores is None else homes.join(cores.select(F.col("home").alias("_home")).distinct(), F.col("home") == F.col("_home"), "left_anti")
+    placed = spread(plain.join(sets, "rep").select("home", "rep", "tiles", "set", none.alias("pivot_size"), nothing.alias("gone"), nothing.alias("fresh")))
+    if cores is not None:
+        placed = placed.union(spread(cores.join(tiles, F.col("home") == F.col("_home")).select(
+            "home", "rep", "tiles", nothing.alias("set"), "pivot_size", "gone", "fresh")))
     found, found_path = materialise(
         placed.repartition("home", "a", "b").sortWithinPartitions("home", "a", "b")
         .mapInArrow(_compare, schema(rep=LONG, links=LONG, label=LONG)), "links")
