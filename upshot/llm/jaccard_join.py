@@ -374,16 +374,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             met.join(in_large, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(SALT)).cast("int"))
             .join(pivots, (F.col("pivot") == F.col("_pivot")) & (F.col("part") == F.col("_part")))
             .select("rep", "pivot", "paths", "set", "pivot_set").mapInArrow(_recurse, shape), "level")
-        around.append(step.where("size is not null").select(F.xxhash64(F.lit("around"), "pivot").alias("home"), "rep",
+        around.append(step.where("size is not null").select(F.xxhash64(F.lit("around"), F.lit(level), "pivot").alias("home"), "rep",
                                                             F.col("size").alias("pivot_size"), "gone", "fresh"))
         # a member near any smallest one meets all its links around it
-        complete = step.where("near").select(F.col("rep").alias("_rep")).distinct()
-        apart = step.join(complete, F.col("rep") == F.col("_rep"), "left_anti")
-        deeper, _ = materialise(_members(apart.select(F.explode("children").alias("path"), "rep")), "members")
+        apart = (step.groupBy("rep").agg(F.max("near").alias("complete"), F.flatten(F.collect_list("children")).alias("children"))
+                 .where("not complete").select("rep", "children"))
+        apart, _ = materialise(apart, "apart")
+        paths = apart.select(F.explode("children").alias("path"), "rep")
         if not level:
-            again = in_large.join(apart.select(F.col("rep").alias("_rep")).distinct(), F.col("rep") == F.col("_rep"), "left_semi")
-            more, _ = materialise(_members(again.mapInArrow(_more_paths, schema(rep=LONG, path=LONG))), "members")
-            deeper = deeper.union(more)
+            again = in_large.join(apart.select(F.col("rep").alias("_rep")), F.col("rep") == F.col("_rep"), "left_semi")
+            paths = paths.union(again.mapInArrow(_more_paths, schema(rep=LONG, path=LONG)).select("path", "rep"))
+        deeper, _ = materialise(_members(paths), "members")
         small = small.union(deeper.where(F.col("size") <= LIMIT).select("path", "rep"))
         large = deeper.where(F.col("size") > LIMIT).select("path", "rep", "pivot")
     rest = large.select(F.col("path").alias("home"), "rep").distinct()  # still large: compared in tiles
@@ -392,33 +393,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     listed = small.groupBy("path").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
     once = (listed.groupBy("reps").agg(F.min("path").alias("home"))
             .select("home", F.explode("reps").alias("rep"), F.lit(0).alias("tiles")))
-    cores = None  # a member may meet the same smallest one on several levels
+    whole = [F.lit(None).cast("long").alias("pivot_size"), F.lit(None).cast("binary").alias("gone"), F.lit(None).cast("binary").alias("fresh")]
+    tiled = rest.select("home", "rep", *whole)
     for part in around:
-        cores = part if cores is None else cores.union(part)
-    if cores is not None:
-        cores = cores.dropDuplicates(["home", "rep"])
-    tiled = rest if cores is None else rest.union(cores.select("home", "rep"))
+        tiled = tiled.union(part)
     tiles = tiled.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).withColumnRenamed("home", "_home")
-    homes, homes_path = materialise(
-        once.union(tiled.join(tiles, F.col("home") == F.col("_home")).select("home", "rep", "tiles")), "homes")
-
-    per_rep = homes.groupBy("rep").agg(F.sort_array(F.collect_list("home")).alias("homes")).withColumnRenamed("rep", "_rep")
-    weights = usable.select(F.col("rep").alias("_w"), "weight")
-
-    def spread(rows: DataFrame) -> DataFrame:
-        """Members with all their homes, dealt to the pairs of tiles of the home at hand."""
-        return (rows.join(per_rep, F.col("rep") == F.col("_rep")).join(weights, F.col("rep") == F.col("_w"))
-                .withColumn("own", F.pmod(F.xxhash64("rep"), F.greatest("tiles", F.lit(1))).cast("int"))
-                .withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("tiles", F.lit(1)) - 1)))
-                .select("home", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.col("own").alias("side"),
-                        "rep", "weight", "set", "homes", "pivot_size", "gone", "fresh"))
-
-    none, nothing = F.lit(None).cast("long"), F.lit(None).cast("binary")
-    plain = homes if cores is None else homes.join(cores.select(F.col("home").alias("_home")).distinct(), F.col("home") == F.col("_home"), "left_anti")
-    placed = spread(plain.join(sets, "rep").select("home", "rep", "tiles", "set", none.alias("pivot_size"), nothing.alias("gone"), nothing.alias("fresh")))
-    if cores is not None:
-        placed = placed.union(spread(cores.join(tiles, F.col("home") == F.col("_home")).select(
-            "home", "rep", "tiles", nothing.alias("set"), "pivot_size", "gone", "fresh")))
+    homes, homes_path = materialise(once.select("home", "rep", "tiles", *whole).union(
+        tiled.join(tiles, F.col("home") == F.col("_home")).select("home", "rep", "tiles", "pivot_size", "gone", "fresh")), "homes")
+
+    per_rep = (homes.groupBy("rep").agg(F.collect_list("home").alias("homes")).join(usable.select(F.col("rep").alias("_w"), "weight"), F.col("rep") == F.col("_w"))
+               .select(F.col("rep").alias("_rep"), "homes", "weight"))
+    # the members of a core by their differences, all others by their sets
+    held = (homes.where("pivot_size is null").join(sets, "rep").select("home", "rep", "tiles", "pivot_size", "gone", "fresh", "set")
+            .union(homes.where("pivot_size is not null").withColumn("set", F.lit(None).cast("binary"))))
+    placed = (held.join(per_rep, F.col("rep") == F.col("_rep"))
+              .withColumn("own", F.pmod(F.xxhash64("rep"), F.greatest("tiles", F.lit(1))).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("tiles", F.lit(1)) - 1)))
+              .select("home", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.col("own").alias("side"),
+                      "rep", "weight", "set", "homes", "pivot_size", "gone", "fresh"))
     found, found_path = materialise(
         placed.repartition("home", "a", "b").sortWithinPartitions("home", "a", "b")
         .mapInArrow(_compare, schema(rep=LONG, links=LONG, label=LONG)), "links")
