@@ -34,3 +34,16 @@ def test_without_groups_and_without_broadcast(spark, monkeypatch):
     df = spark.createDataFrame([(float(i),) for i in range(101)], "v double")
     assert Q.exact_quantiles(df, "v", (0.25, 0.5)).first()["q"] == [25.0, 50.0]
     assert Q.exact_quantiles(df.where("v < 0"), "v", (0.5,)).count() == 0
+
+
+def test_median_time_of_dates_and_timestamps(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from upshot.operators.panel import median_time
+    days = [dt.date(2024, 1, d) for d in (1, 2, 9, 20)] + [None]
+    df = spark.createDataFrame([(d,) for d in days], "d date").withColumn("t", F.col("d").cast("timestamp"))
+    for c in ("d", "t"):
+        assert median_time(df, c) == dt.datetime(2024, 1, 5, 12)
+        assert median_time(df.where("1 = 0"), c) is None

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_category, to_number
+from ..session import cut_lineage
 from .quantiles import exact_quantiles, small_side
 
 
@@ -33,23 +34,33 @@ def remove_outliers_iqr(df: DataFrame, columns: Sequence[str], segment: str,
     one. A segment is only trimmed when it has more than ``min_n`` rows and a
     positive IQR; rows with a null segment are never removed. Quartiles are
     exact at any size (linear interpolation, :mod:`.quantiles`)."""
-    out = df
-    for col in columns:
-        if col not in out.columns:
-            continue
-        out = out.withColumn(col, to_number(col))
-        v, q = F.col(col), F.col("q")
-        stats = (exact_quantiles(out, col, (0.25, 0.75), [segment])
+    cols = [c for c in columns if c in df.columns]
+    out = df.withColumns({c: to_number(c) for c in cols})
+    if not cols:
+        return out
+    # the quartiles of a column read only the segment and the columns: written once, and trimmed as they come
+    live = cut_lineage(out.select(F.col(segment).alias("__key"), *[F.col(c).alias(f"__x{i}") for i, c in enumerate(cols)])
+                       .where(F.col("__key").isNotNull()))
+    for i, c in enumerate(cols):
+        q = F.col("q")
+        stats = (exact_quantiles(live, f"__x{i}", (0.25, 0.75), ["__key"])
                  .where((F.col("n") > min_n) & ((q[1] - q[0]) > 0))
-                 .select(F.col(segment).alias("__seg"),
+                 .select(F.col("__key").alias("__seg"),
                          (q[0] - factor * (q[1] - q[0])).alias("__lo"),
                          (q[1] + factor * (q[1] - q[0])).alias("__hi")))
-        out = (out.join(small_side(stats), F.col(segment) == F.col("__seg"), "left")
-               .where(F.col("__lo").isNull() | ((v >= F.col("__lo")) & (v <= F.col("__hi"))))
-               .drop("__seg", "__lo", "__hi"))
+        bounds = small_side(cut_lineage(stats))
+        live = _inside(live, F.col("__key"), F.col(f"__x{i}"), bounds)
+        out = _inside(out, F.col(segment), F.col(c), bounds)
     return out
 
 
+def _inside(df: DataFrame, segment: Column, value: Column, bounds: DataFrame) -> DataFrame:
+    """Rows within the bounds of their segment, and those of a segment without."""
+    return (df.join(bounds, segment == F.col("__seg"), "left")
+            .where(F.col("__lo").isNull() | ((value >= F.col("__lo")) & (value <= F.col("__hi"))))
+            .drop("__seg", "__lo", "__hi"))
+
+
 def remove_outliers_zscore(df: DataFrame, columns: Sequence[str], z: float = 3.0) -> DataFrame:
     """C-2: keep rows with |x - mean| / sd < z for every column. The global
     moments are one aggregation whose scalars become literals of the filter."""

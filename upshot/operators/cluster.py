@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clean_category
 from ..session import cut_lineage
 from .effects import two_sample_t
+from .gram import gram, principal_axes
 from .kmeans import ROWS_PER_PARTITION, fit_starts, nearest_centre, score_labels, weighted_points
 from .opportunity import category_mode
 from .quantiles import exact_quantiles, small_side
@@ -184,13 +187,22 @@ def within_cluster_tests(pred: DataFrame, arm: str, value: str, valid: DataFrame
 
 
 def pca_2d(df: DataFrame, features: str = "features"):
-    """K-13: 2-D projection of mean-centred features and explained variance
-    ratios (Spark's PCA does not centre, so centre first)."""
-    c = StandardScaler(inputCol=features, outputCol="__centred", withMean=True, withStd=False).fit(df)
-    z = c.transform(df)
-    m = PCA(k=2, inputCol="__centred", outputCol="__pc").fit(z)
-    z = m.transform(z)
-    out = z.withColumn("__a", vector_to_array("__pc")).select(
-        *df.columns, F.col("__a")[0].alias("pc1"), F.col("__a")[1].alias("pc2"))
-    ev = [float(x) for x in m.explainedVariance.toArray()]
-    return out.drop(features), ev
+    """K-13: 2-D projection of mean-centred features and explained variance ratios, from one
+    cross-product matrix; the largest loading of each axis is positive."""
+    first = df.select(vector_to_array(features).alias("v")).first()
+    if first is None:
+        return df.select(*df.columns, F.lit(0.0).alias("pc1"), F.lit(0.0).alias("pc2")).drop(features), [float("nan")] * 2
+    dims = len(first["v"])
+    v = vector_to_array(features)
+    g = gram(df.select(*[v[j].alias(f"v{j}") for j in range(dims)]), [f"v{j}" for j in range(dims)])
+    axes, shares = principal_axes(g, 2)
+
+    def project(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        z = (np.stack(x.to_numpy()) - g.mean) @ axes
+        return pd.Series([[*row, 0.0][:2] for row in z.tolist()])
+
+    z = df.withColumn("__z", F.pandas_udf(project, "array<double>")(v))
+    out = z.select(*df.columns, F.col("__z")[0].alias("pc1"), F.col("__z")[1].alias("pc2"))
+    return out.drop(features), [float(x) for x in shares] + [0.0] * (2 - len(shares))

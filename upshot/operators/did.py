@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distributions as D
+from .panel import unit_period
 from .effects import unpivot_structs
 
 CELLS = (("treat_pre", 1, 0), ("treat_post", 1, 1), ("control_pre", 0, 0), ("control_post", 0, 1))
@@ -28,10 +29,7 @@ def did(panel: DataFrame, unit: str, period: str, arm: str, outcomes: Sequence[s
         med = panel.agg(F.percentile(F.unix_date(F.col(period).cast("date")).cast("double"), 0.5)
                         .alias("m")).first()["m"]
         split = F.unix_date(F.col(period).cast("date")) >= F.lit(med)
-    cell = (panel.groupBy(unit, period)
-            .agg(*[F.avg(F.col(o).cast("double")).alias(o) for o in outcomes],
-                 F.max(arm).alias(arm))
-            .withColumn("__post", split.cast("int")))
+    cell = unit_period(panel, unit, period, outcomes, arm).withColumn("__post", split.cast("int"))
     aggs = []
     for i, o in enumerate(outcomes):
         for name, a, p in CELLS:

@@ -81,7 +81,7 @@ def eligibility_summary(elig: DataFrame) -> DataFrame:
 def pseudo_event_date(panel: DataFrame, event: str) -> object:
     """C-7: the control arm's pseudo event date = median treated event date
     over panel rows (a scalar from one aggregation)."""
-    return panel.where(F.col(event).isNotNull()).agg(median_time(event).alias("m")).first()["m"]
+    return median_time(panel.where(F.col(event).isNotNull()), event)
 
 
 def growth_comparison(treated: DataFrame, control: DataFrame | None, with_p: bool = False) -> DataFrame:

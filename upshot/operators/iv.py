@@ -5,33 +5,30 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .effects import add_t_pvalue
+from .gram import gram, two_stage
 
 
 def iv_estimate(df: DataFrame, instrument: str, treatment: str, outcome: str,
                 controls: Sequence[str] = ()) -> DataFrame:
-    """E-21: two-stage least squares effect of ``treatment`` on ``outcome``.
+    """E-21: two-stage least squares effect of ``treatment`` on ``outcome``, with its standard
+    error and t test.
 
-    Without controls 2SLS reduces to the Wald ratio cov(z, y) / cov(z, x),
-    one aggregation. With controls, stage 1 regresses the treatment on the
-    instrument and controls, stage 2 regresses the outcome on the fitted
-    treatment and controls (two distributed least-squares fits)."""
-    z, x, y = (F.col(c).cast("double") for c in (instrument, treatment, outcome))
+    Without controls 2SLS reduces to the Wald ratio cov(z, y) / cov(z, x), whose ``reduced_form`` and
+    ``first_stage`` are the two covariances; with controls ``first_stage`` is the instrument's slope in stage 1. All of it
+    comes from one cross-product matrix of the columns (:mod:`.gram`). An instrument that is constant, or says nothing
+    about the treatment, gives nulls."""
+    g = gram(df, [instrument, treatment, outcome, *controls])
+    found = two_stage(g, 0, 1, 2, range(3, 3 + len(controls)))
+    estimate, se, first, dof = (found["iv_estimate"], found["standard_error"], found["first_stage"], found["df"]) if found else (None, None, None, None)
+    row = {"iv_estimate": estimate, "standard_error": se, "t_stat": estimate / se if found and se and se > 0 else None, "df": dof, "n": g.n}
+    fields = "iv_estimate double, standard_error double, t_stat double, df long, n long"
     if not controls:
-        return df.agg(F.try_divide(F.covar_samp(z, y), F.covar_samp(z, x)).alias("iv_estimate"),
-                      F.covar_samp(z, y).alias("reduced_form"),
-                      F.covar_samp(z, x).alias("first_stage"),
-                      F.count(F.lit(1)).alias("n"))
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    base = df.select(z.alias("__z"), x.alias("__x"), y.alias("__y"),
-                     *[F.col(c).cast("double").alias(f"__c{i}") for i, c in enumerate(controls)]).na.drop()
-    ctl = [f"__c{i}" for i in range(len(controls))]
-    s1 = VectorAssembler(inputCols=["__z"] + ctl, outputCol="__f1").transform(base)
-    m1 = LinearRegression(featuresCol="__f1", labelCol="__x", solver="normal").fit(s1)
-    fitted = m1.transform(s1).withColumnRenamed("prediction", "__xhat")
-    s2 = VectorAssembler(inputCols=["__xhat"] + ctl, outputCol="__f2").transform(fitted)
-    m2 = LinearRegression(featuresCol="__f2", labelCol="__y", solver="normal").fit(s2)
-    spark = df.sparkSession
-    return spark.createDataFrame([(float(m2.coefficients[0]), float(m1.coefficients[0]), s2.count())],
-                                 "iv_estimate double, first_stage double, n long")
+        cov = g.products / (g.n - 1) if g.n > 1 else None
+        row |= {"reduced_form": float(cov[0, 2]) if g.n > 1 else None, "first_stage": float(cov[0, 1]) if g.n > 1 else None}
+        fields += ", reduced_form double, first_stage double"
+    else:
+        row["first_stage"] = first
+        fields += ", first_stage double"
+    return add_t_pvalue(df.sparkSession.createDataFrame([tuple(row.values())], fields))

@@ -21,10 +21,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage, ship_package
 
@@ -46,18 +48,84 @@ class Run:
     done: bool = False
 
 
+SPARSE = "struct<size: int, indices: array<int>, values: array<double>>"
+
+
 def weighted_points(df: DataFrame, features: str = "features") -> DataFrame:
-    """Distinct feature vectors ``x`` (array of doubles) with their number ``w`` and a key
-    ``h``, written once, in partitions of some thousand points."""
-    x = df.select(vector_to_array(features).alias("x")) if dict(df.dtypes)[features] == "vector" else df.select(F.col(features).alias("x"))
+    """Distinct feature vectors ``x`` with their number ``w`` and a key
+    ``h``, written once, in partitions of some thousand points. Features are an ML vector or an array
+    of doubles, or a struct ``SPARSE`` with ascending indices, which stays sparse."""
+    kind = df.schema[features].dataType
+    x = df.select(vector_to_array(features).alias("x")) if kind.typeName() not in ("struct", "array") else df.select(F.col(features).alias("x"))
     points = cut_lineage(x.where(F.col("x").isNotNull()).groupBy("x").agg(F.count(F.lit(1)).alias("w")).withColumn("h", F.xxhash64("x")))
     n = points.count()
     return cut_lineage(points.repartition(max(1, -(-n // ROWS_PER_PARTITION)), "h"))
 
 
+class Dense:
+    """Rows of numbers."""
+
+    def __init__(self, column: pa.Array):
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        self.x = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+    def __len__(self) -> int:
+        return len(self.x)
+
+    def distances(self, centres: np.ndarray) -> np.ndarray:
+        return distances(self.x, centres)
+
+    def sums(self, nearest: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+        take = np.zeros((len(self.x), k))
+        take[np.arange(len(self.x)), nearest] = weight
+        return take.T @ self.x
+
+    def rows(self, which: np.ndarray) -> list[list[float]]:
+        return self.x[which].tolist()
+
+
+class Sparse:
+    """Rows of (index, value) pairs; work is by pairs, not by dimensions."""
+
+    def __init__(self, column: pa.Array):
+        self.index = column.field("indices").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.value = column.field("values").flatten().to_numpy(zero_copy_only=False)
+        self.n = column.field("indices").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.size = int(column.field("size")[0].as_py()) if len(column) else 0
+        self.owner = np.repeat(np.arange(len(self.n)), self.n)
+
+    def __len__(self) -> int:
+        return len(self.n)
+
+    def _by_row(self, x: np.ndarray) -> np.ndarray:
+        total = np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)])
+        at = np.concatenate([[0], np.cumsum(self.n)])
+        return total[at[1:]] - total[at[:-1]]
+
+    def distances(self, centres: np.ndarray) -> np.ndarray:
+        dots = self._by_row(self.value[:, None] * centres.T[self.index])
+        norm = self._by_row(np.square(self.value)[:, None])
+        return np.maximum(norm + (centres * centres).sum(axis=1)[None, :] - 2.0 * dots, 0.0)
+
+    def sums(self, nearest: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+        place = nearest[self.owner] * self.size + self.index
+        return np.bincount(place, self.value * weight[self.owner], minlength=k * self.size).reshape(k, self.size)
+
+    def rows(self, which: np.ndarray) -> list[list[float]]:
+        out = np.zeros((len(which), self.size))
+        back = np.full(len(self.n), -1)
+        back[which] = np.arange(len(which))
+        mine = back[self.owner] >= 0
+        out[back[self.owner[mine]], self.index[mine]] = self.value[mine]
+        return out.tolist()
+
+
+def _points(column: pa.Array) -> Dense | Sparse:
+    return Sparse(column) if pa.types.is_struct(column.type) else Dense(column)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    return Dense(column).x
 
 
 def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -73,7 +141,7 @@ def _chunks(batches, width: int):
         step = max(1, CHUNK_NUMBERS // max(width, 1))
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
-            yield _matrix(part.column("x")), part.column("w").to_numpy(), part.column("h").to_numpy()
+            yield _points(part.column("x")), part.column("w").to_numpy(), part.column("h").to_numpy()
 
 
 def _bounds(groups: Sequence[np.ndarray]) -> np.ndarray:
@@ -111,16 +179,13 @@ def _assign(points: DataFrame, groups: Sequence[np.ndarray]) -> tuple[np.ndarray
         at, stacked = held.value
         total = np.zeros((len(stacked), stacked.shape[1] + 2))
         for x, w, _ in _chunks(batches, len(stacked)):
-            d = distances(x, stacked)
-            take = np.zeros_like(d)
+            d = x.distances(stacked)
             for a, b in zip(at[:-1], at[1:]):
                 nearest = d[:, a:b].argmin(axis=1)
-                rows = np.arange(len(x))
-                take[rows, a + nearest] = w
-                cost = w * d[rows, a + nearest]
+                cost = w * d[np.arange(len(x)), a + nearest]
                 total[a:b, -1] += np.bincount(nearest, cost, minlength=b - a)
-            total[:, :-2] += take.T @ x
-            total[:, -2] += take.sum(axis=0)
+                total[a:b, -2] += np.bincount(nearest, w, minlength=b - a)
+                total[a:b, :-2] += x.sums(nearest, w, b - a)
         yield _rows(total)
 
     got = _table(_collect(points, run, FIELDS), len(stacked), stacked.shape[1] + 2)
@@ -146,14 +211,14 @@ def _draw(points: DataFrame, runs: Sequence[tuple[int, int]], candidates: list[n
     def run(batches):
         at, stacked, cost = held.value
         for x, w, h in _chunks(batches, len(stacked)):
-            d = distances(x, stacked)
+            d = x.distances(stacked)
             for r, (k, seed) in enumerate(runs):
                 if cost[r] <= 0:
                     continue
                 chance = OVERSAMPLE * k * w * d[:, at[r]:at[r + 1]].min(axis=1) / cost[r]
                 hit = np.flatnonzero(_uniform(h, seed * 1_000_003 + 31 * k + number) < chance)
                 if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), r, dtype=np.int32)), pa.array(x[hit].tolist(), pa.list_(pa.float64()))], ["run", "x"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), r, dtype=np.int32)), pa.array(x.rows(hit), pa.list_(pa.float64()))], ["run", "x"])
 
     got = points.mapInArrow(run, "run int, x array<double>").toPandas()  # some 2 k rows a run
     held.destroy()
@@ -193,11 +258,20 @@ def _plus_plus(candidates: np.ndarray, weight: np.ndarray, k: int, seed: int) ->
     return centres
 
 
+def _dense(x) -> list[float]:
+    if not hasattr(x, "indices"):
+        return list(x)
+    out = [0.0] * x["size"]
+    for i, v in zip(x["indices"], x["values"], strict=True):
+        out[i] = v
+    return out
+
+
 def starts(points: DataFrame, runs: Sequence[tuple[int, int]]) -> list[np.ndarray]:
     """First centres of every (k, seed) run by k-means||."""
     seeds = sorted({seed for _, seed in runs})
     firsts = points.agg(*[F.min_by("x", F.xxhash64("h", F.lit(s))).alias(f"s{s}") for s in seeds]).first()
-    candidates = [np.array([firsts[f"s{seed}"]]) for _, seed in runs]
+    candidates = [np.array([_dense(firsts[f"s{seed}"])]) for _, seed in runs]
     for number in range(ROUNDS):
         _, _, cost = _assign(points, candidates)
         at = _bounds(candidates)
@@ -237,16 +311,23 @@ def fit_starts(points: DataFrame, ks: Sequence[int], seeds: Sequence[int], max_i
 
 def nearest_centre(features: str, centres: np.ndarray) -> Column:
     """Number of the nearest of some centres, for a feature vector."""
-    rows = [c.tolist() for c in centres]
+    def nearest(x: pd.Series) -> pd.Series:
+        return pd.Series(distances(np.stack(x.to_numpy()), centres).argmin(axis=1) if len(x) else [], dtype="int32")
+
+    return F.pandas_udf(nearest, "int")(vector_to_array(features))
 
-    def nearest(x):
-        import pandas as pd
-        if not len(x):
-            return pd.Series([], dtype="int32")
-        return pd.Series(distances(np.stack(x.to_numpy()), np.array(rows)).argmin(axis=1).astype("int32"))
 
-    from pyspark.sql.functions import pandas_udf
-    return pandas_udf(nearest, "int")(vector_to_array(features))
+def assign_nearest(df: DataFrame, centres: np.ndarray, features: str = "features", out: str = "cluster") -> DataFrame:
+    """``df`` with the nearest centre's number, for sparse (or array) features."""
+    ship_package(df.sparkSession)
+    names = df.columns
+
+    def run(batches):
+        for batch in batches:
+            found = _points(batch.column(names.index(features))).distances(centres).argmin(axis=1) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], [*names, out])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.IntegerType())]))
 
 
 def score_labels(df: DataFrame, labels: Sequence[str], features: str = "features", arm: str | None = None) -> dict[str, dict]:

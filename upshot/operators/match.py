@@ -4,7 +4,7 @@ Two rules: the closest free pair first, until none is left (``closest``), or the
 order of score, each with its nearest free control (``score_order``).
 
 Units of equal score and arm are a block: a row with their number, and units take part by their
-rank in it, which is counted over ranges of ids (:func:`_numbered`). So a common score is one
+rank in it, which is counted over ranges of ids (:func:`numbered`). So a common score is one
 row whatever its size, and two common scores a step apart pair in one step.
 
 ``closest`` depends on no order of processing, so pairs that nothing closer can disturb are settled
@@ -32,8 +32,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import clean_category, to_number
+from ..functions.columns import clean_category, to_number, uniform
 from ..session import cut_lineage
+from .ranks import mann_whitney
 
 
 # ---- M-1 ------------------------------------------------------------------------------
@@ -88,7 +89,7 @@ RANGE = 10_000   # units of one row of a range of pairs
 RANGES = "g string, ts double, tf long, cs double, cf long, n long, distance double, b long"
 
 
-def _numbered(df: DataFrame, order: Sequence[str], out: str, within: Sequence[str] = ()) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str], out: str, within: Sequence[str] = ()) -> DataFrame:
     """Rows numbered 0, 1, 2 ... by ``order`` (whose first columns are ``within``) over all rows or those
     of equal ``within``. Rows are dealt by ranges of ``order``, numbered in each range, and the counts
     of the ranges before are added; a large group lies in many ranges."""
@@ -234,7 +235,7 @@ def _closest_first(blocks: DataFrame, size: int) -> list[DataFrame]:
         if not count:
             return found
         number += 1
-        dealt = _numbered(free, ["g", "s", "arm"], "o").withColumn("b", F.expr(f"(o + {size // 2 * (number % 2)}) div {size}"))
+        dealt = numbered(free, ["g", "s", "arm"], "o").withColumn("b", F.expr(f"(o + {size // 2 * (number % 2)}) div {size}"))
         dealt = cut_lineage(dealt)
         ends = dealt.groupBy("g", "b").agg(*[f(F.when(F.col("arm") == k, F.col("s"))).alias(f"{name}{k}") for k in (0, 1)
                                              for name, f in (("lo", F.min), ("hi", F.max))])
@@ -281,7 +282,7 @@ def _score_order(blocks: DataFrame, size: int) -> list[DataFrame]:
     in the round before, from the controls of the ``wide`` buckets to either side. When no bucket
     takes otherwise than in the round before, each has met what the ones before it really took, from the
     first on: that is the result of serving all in one row. Only buckets whose controls changed are served again."""
-    dealt = cut_lineage(_numbered(_with_partner(blocks), ["g", "s", "arm"], "o").withColumn("b", F.expr(f"o div {size}")))
+    dealt = cut_lineage(numbered(_with_partner(blocks), ["g", "s", "arm"], "o").withColumn("b", F.expr(f"o div {size}")))
     treated = dealt.where("arm = 1").select("g", "b", "s", "n", "cal")
     controls = dealt.where("arm = 0").select("g", "b", "s", "n")
     served = treated.select(F.col("g").alias("__g"), F.col("b").alias("__to")).distinct()
@@ -377,7 +378,7 @@ def match_nearest(units: DataFrame, id_col: str, arm: str, score: str,
     free = units.where(s.isNotNull() & ~F.isnan(s) & F.col(arm).isNotNull() & F.col(id_col).isNotNull()).select(
         cell.alias("g"), s.alias("s"), F.when(F.col(arm) == 1, 1).otherwise(0).alias("arm"), F.col(id_col).alias("id"),
         F.greatest(cal, F.lit(0.0)).alias("cal") if caliper is not None else cal.alias("cal"), *[F.col(c).alias(f"__by_{k}") for k, c in enumerate(by)])
-    ranked = cut_lineage(_numbered(free, ["g", "s", "arm", "id"], "r", ["g", "s", "arm"]))
+    ranked = cut_lineage(numbered(free, ["g", "s", "arm", "id"], "r", ["g", "s", "arm"]))
     blocks = cut_lineage(ranked.groupBy("g", "s", "arm").agg(F.count(F.lit(1)).alias("n"), F.max("cal").alias("cal")))
     found = (_closest_first if rule == "closest" else _score_order)(blocks, bucket)
     columns = [F.col(f"__by_{k}").alias(c) for k, c in enumerate(by)] + ["treatment_id", "control_id", "distance", "round"]
@@ -420,6 +421,54 @@ def matched_rows(df: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
     return matched_units(pairs, df, id_col)
 
 
+def cross_fitted_scores(df: DataFrame, key: str, label: str, numeric: Sequence[str], categorical: Sequence[str] = (),
+                        trees: int = 100, depth: int = 3, step: float = 0.1, folds: int = 5, seed: int = 42, out: str = "gbt_score") -> DataFrame:
+    """M-7: boosted-tree propensity out of fold: columns ``key``, ``label``, ``fold`` and ``out``, the score of a model that has not
+    seen the row's fold. One table of features with a fold number (md5 of the key) is written; the folds' models
+    are fitted from it at the same time. :func:`auc_by_group` gives the folds' AUC."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.ml.classification import GBTClassifier
+    x = df.withColumns({f"__n_{c}": to_number(c) for c in numeric} | {f"__c_{c}": clean_category(c) for c in categorical})
+    fold = F.floor(uniform(seed, key) * folds).cast("int")
+    x = x.where(F.col(label).isNotNull()).select(F.col(key), F.col(label).cast("int").alias("__y"), fold.alias("__fold"),
+                                                 *[f"__n_{c}" for c in numeric], *[f"__c_{c}" for c in categorical])
+    stages = [StringIndexer(inputCol=f"__c_{c}", outputCol=f"__i_{c}", handleInvalid="keep", stringOrderType="alphabetAsc") for c in categorical]
+    stages.append(VectorAssembler(inputCols=[f"__n_{c}" for c in numeric] + [f"__i_{c}" for c in categorical], outputCol="__features"))
+    x = cut_lineage(x)
+    levels = [r for r in x.agg(*[F.countDistinct(f"__c_{c}") for c in categorical]).first()] if categorical else []
+    z = Pipeline(stages=stages).fit(x).transform(x).select(F.col(key), F.col("__y").cast("double").alias("__label"), "__fold", "__features")
+    z = cut_lineage(z.repartition(max(1, -(-z.count() // FIT_ROWS))))
+
+    def fit(k: int) -> DataFrame:
+        seen, rest = z.where(F.col("__fold") != k), z.where(F.col("__fold") == k)
+        arms = {r["__label"] for r in seen.select("__label").distinct().collect()}
+        if len(arms) < 2:  # nothing to learn
+            return rest.withColumn(out, F.lit(float(max(arms, default=0.0))))
+        gbt = GBTClassifier(featuresCol="__features", labelCol="__label", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed,
+                            maxBins=max([32, *(n + 1 for n in levels)]))
+        return gbt.fit(seen).transform(rest).withColumn(out, vector_to_array("probability")[1])
+
+    with ThreadPoolExecutor(max_workers=folds) as ex:
+        parts = list(ex.map(fit, range(folds)))
+    scored = [p.select(F.col(key), F.col("__label").cast("int").alias(label), F.col("__fold").alias("fold"), out) for p in parts]
+    whole = scored[0]
+    for p in scored[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
+FIT_ROWS = 20_000
+
+
+def auc_by_group(scores: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Area under the ROC curve of a score per group, from average ranks (W-4): U of the positives over all pairs;
+    null where an arm is missing."""
+    r = mann_whitney(scores, label, score, by, with_p=False)
+    pairs = F.col("n_t").cast("double") * F.col("n_c")
+    return r.select(*by, "n_t", "n_c", F.try_divide(F.col("u_stat"), F.nullif(pairs, F.lit(0.0))).alias("auc"))
+
+
 def gbt_propensity(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str] = (),
                    trees: int = 100, depth: int = 3, step: float = 0.1, folds: int = 5, seed: int = 42):
     """M-7: boosted-tree propensity with k-fold cross-validated AUC.

@@ -59,6 +59,21 @@ def distinct_counts(table: DataFrame, by: Sequence[str], keys: Sequence[str]) ->
     return table.groupBy(*by).agg(*[F.countDistinct(k).alias(f"n_{k}") for k in keys])
 
 
+LG_K = 12  # of the sketches: relative standard error 1.04 / sqrt(2 ** LG_K), 1.6 %
+
+
+def distinct_sketches(table: DataFrame, by: Sequence[str], keys: Sequence[str], lg_k: int = LG_K) -> DataFrame:
+    """A-4 option: a mergeable sketch of each key's values per finest cell (``sketch_<key>``, binary). The table can be kept and
+    merged over any roll-up later, without the rows."""
+    return table.groupBy(*by).agg(*[F.hll_sketch_agg(k, F.lit(lg_k)).alias(f"sketch_{k}") for k in keys])
+
+
+def merged_distinct(sketches: DataFrame, sets: Sequence[Sequence[str]], by: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """A-17 over sketches: estimated distinct counts ``approx_<key>`` for each grouping set of ``by``; a dimension left out of a set is null."""
+    return sketches.groupingSets([list(s) for s in sets], *by).agg(
+        *[F.hll_sketch_estimate(F.hll_union_agg(f"sketch_{k}")).alias(f"approx_{k}") for k in keys])
+
+
 def type_kpis(table: DataFrame, region: str | None = None) -> DataFrame:
     """A-5: KPIs per engagement type over treated line rows: accounts,
     opportunities, total and mean line ARR, closed / won rows, win rate."""

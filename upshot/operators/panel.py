@@ -34,11 +34,15 @@ def unit_period(df: DataFrame, unit: str, period: str, outcomes: Sequence[str],
     return df.groupBy(unit, period).agg(*aggs)
 
 
-def median_time(col: str) -> Column:
-    """A-13: median of a date/timestamp column, linear interpolation, as a
-    timestamp (aggregate expression)."""
+def median_time(df: DataFrame, col: str):
+    """A-13: median of a date/timestamp column, linear interpolation, as a timestamp value
+    (None without any). Dates have few different values, so one aggregation counts them; timestamps
+    may have as many as rows and go through the distributed quantiles."""
     secs = F.unix_micros(F.col(col).cast("timestamp")).cast("double") / 1e6
-    return F.timestamp_seconds(F.percentile(secs, 0.5))
+    if dict(df.dtypes)[col] == "date":
+        return df.agg(F.timestamp_seconds(F.percentile(secs, 0.5)).alias("m")).first()["m"]
+    found = exact_quantiles(df.select(secs.alias("__s")), "__s", (0.5,)).select(F.timestamp_seconds(F.col("q")[0]).alias("m")).first()
+    return found["m"] if found else None
 
 
 def quartiles(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

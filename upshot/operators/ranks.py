@@ -17,29 +17,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distributions as D
+from ..session import cut_lineage
+
+
+VALUES_PER_BUCKET = 100_000
 
 
 def average_ranks(hist: DataFrame, by: Sequence[str], value: str, weight: str,
-                  buckets: int = 64, accuracy: int = 10000) -> DataFrame:
+                  values_per_bucket: int = VALUES_PER_BUCKET) -> DataFrame:
     """Add ``rank`` = average rank (1-based, ties averaged) of ``value``
     within ``by`` to a histogram with a row count column ``weight``.
 
-    ``hist`` must hold one row per distinct (by, value)."""
+    ``hist`` must hold one row per distinct (by, value). It is written once, and its
+    number of rows gives the number of buckets."""
     by = list(by)
     single = not by
-    probs = [i / buckets for i in range(1, buckets)]
-    pct = F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(p) for p in probs]), accuracy)
+    hist = cut_lineage(hist)
+    buckets = -(-hist.count() // values_per_bucket)
     if single:
-        # one group: the buckets - 1 boundaries are fetched as scalars and inlined
-        b = hist.agg(pct.alias("b")).first()["b"] or []
         hist = hist.withColumn("__g", F.lit(0))
         by = ["__g"]
-        hb = hist.withColumn("__bounds", F.array(*[F.lit(float(x)) for x in b]).cast("array<double>"))
+    if buckets <= 1:
+        hb = hist.withColumn("__bucket", F.lit(0))
     else:
-        bounds = hist.groupBy(*by).agg(pct.alias("__bounds"))
-        hb = hist.join(bounds, by, "inner")
-    hb = hb.withColumn("__bucket", F.size(F.filter("__bounds", lambda b: b < F.col(value).cast("double")))) \
-           .drop("__bounds")
+        probs = [i / buckets for i in range(1, buckets)]
+        pct = F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(p) for p in probs]), max(10_000, 10 * buckets))
+        hb = hist.join(hist.groupBy(*by).agg(pct.alias("__bounds")), by, "inner")
+        hb = hb.withColumn("__bucket", F.size(F.filter("__bounds", lambda b: b < F.col(value).cast("double")))).drop("__bounds")
     btot = hb.groupBy(*by, "__bucket").agg(F.sum(weight).alias("__btot"))
     wb = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = btot.withColumn("__off", F.coalesce(F.sum("__btot").over(wb), F.lit(0))).drop("__btot")
@@ -52,7 +56,7 @@ def average_ranks(hist: DataFrame, by: Sequence[str], value: str, weight: str,
 
 
 def mann_whitney(df: DataFrame, arm: str, value: str, by: Sequence[str] = (),
-                 buckets: int = 64, with_p: bool = True) -> DataFrame:
+                 values_per_bucket: int = VALUES_PER_BUCKET, with_p: bool = True) -> DataFrame:
     """E-5: two-sided Mann-Whitney U per group (normal approximation with tie
     correction and continuity correction). ``u_stat`` is U of the treated arm."""
     by = list(by)
@@ -62,7 +66,7 @@ def mann_whitney(df: DataFrame, arm: str, value: str, by: Sequence[str] = (),
             .agg(F.count_if(F.col(arm) == 1).alias("__nt"),
                  F.count_if(F.col(arm) != 1).alias("__nc"))
             .withColumn("__n", F.col("__nt") + F.col("__nc")))
-    r = average_ranks(hist, by, "__v", "__n", buckets)
+    r = average_ranks(hist, by, "__v", "__n", values_per_bucket)
     aggs = [F.sum("__nt").alias("n_t"), F.sum("__nc").alias("n_c"),
             F.sum(F.col("__nt") * F.col("rank")).alias("rank_sum_t"),
             F.sum(F.pow(F.col("__n").cast("double"), 3) - F.col("__n")).alias("tie_term")]
@@ -80,7 +84,7 @@ def mann_whitney(df: DataFrame, arm: str, value: str, by: Sequence[str] = (),
 
 
 def wilcoxon_signed_rank(df: DataFrame, diff: str, by: Sequence[str] = (),
-                         buckets: int = 64, with_p: bool = True) -> DataFrame:
+                         values_per_bucket: int = VALUES_PER_BUCKET, with_p: bool = True) -> DataFrame:
     """E-16: Wilcoxon signed-rank on paired differences (zeros dropped,
     average ranks of |d|, tie-corrected normal approximation)."""
     by = list(by)
@@ -89,7 +93,7 @@ def wilcoxon_signed_rank(df: DataFrame, diff: str, by: Sequence[str] = (),
             .groupBy(*by, F.abs(d).alias("__a"))
             .agg(F.count_if(d > 0).alias("__pos"), F.count_if(d < 0).alias("__neg"))
             .withColumn("__n", F.col("__pos") + F.col("__neg")))
-    r = average_ranks(hist, by, "__a", "__n", buckets)
+    r = average_ranks(hist, by, "__a", "__n", values_per_bucket)
     aggs = [F.sum("__n").alias("n"), F.sum(F.col("__pos") * F.col("rank")).alias("w_plus"),
             F.sum(F.col("__neg") * F.col("rank")).alias("w_minus"),
             F.sum(F.pow(F.col("__n").cast("double"), 3) - F.col("__n")).alias("tie_term")]
@@ -105,7 +109,7 @@ def wilcoxon_signed_rank(df: DataFrame, diff: str, by: Sequence[str] = (),
 
 
 def mann_whitney_vs_pool(treated: DataFrame, control: DataFrame, value: str,
-                         by: Sequence[str], with_p: bool = True, buckets: int = 64) -> DataFrame:
+                         by: Sequence[str], with_p: bool = True, values_per_bucket: int = VALUES_PER_BUCKET) -> DataFrame:
     """E-4 / E-9 form of E-5: every group of ``treated`` against one pooled
     ``control`` sample, without copying the control rows per group.
 
@@ -124,7 +128,7 @@ def mann_whitney_vs_pool(treated: DataFrame, control: DataFrame, value: str,
     c_ties = float(tot["ties"] or 0.0)
     keys = tv.select("__v").distinct()
     h = (cv.join(keys, "__v", "full_outer").na.fill(0, ["__nc"]))
-    r = average_ranks(h, [], "__v", "__nc", buckets)
+    r = average_ranks(h, [], "__v", "__nc", values_per_bucket)
     below = r.select("__v", "__nc", (F.col("rank") - (F.col("__nc") + 1) / 2.0).alias("__below"))
     j = tv.join(below, "__v", "inner")
     m = F.col("__nt") + F.col("__nc")

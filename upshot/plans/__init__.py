@@ -4,6 +4,6 @@
 def load_all():
     """Import every query module so the registry is complete."""
     from . import (cluster_queries, growth_queries, lift_queries,  # noqa: F401
-                   match_queries, opportunity_queries)
+                   match_queries, opportunity_queries, table_queries)
     from .registry import REGISTRY
     return REGISTRY

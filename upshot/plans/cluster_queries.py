@@ -9,14 +9,13 @@ from ..session import cut_lineage
 from .domain import Domain
 from ..operators.effects import add_t_pvalue, arm_moments, pooled_t
 from ..operators.ranks import mann_whitney
-from .opportunity_queries import PRODUCTS, _mw_sql, account_features, features_sql_parts, q
+from .opportunity_queries import _mw_sql, account_features, features_sql_parts, q
 from .registry import register
 from .sqlgen import moments_sql, pooled_t_cols, t_p_sql, with_p_sql, z_p_sql
 
 ENCODED = ("segment", "phase", "industry", "organization")
-NUMERIC = PRODUCTS + ("real_total_arr", "total_opportunities", "won_opportunities",
+NUMERIC = ("real_total_arr", "total_opportunities", "won_opportunities",
                       "closed_opportunities", "has_security", "has_resiliency", "product_diversity")
-FEATURES = tuple(NUMERIC) + tuple(f"{c}_encoded" for c in ENCODED)
 
 
 def clustering_input(spark, d):
@@ -27,8 +26,10 @@ def clustering_input(spark, d):
     x = (f.join(acc, "account_id", "inner")
          .withColumn("treated", (F.col("group_type") == "Treatment").cast("int")))
     x = K.label_encode(x, ENCODED)
-    x = K.robust_scale(x, FEATURES, suffix="_s")
-    return K.assemble(x, [f"{c}_s" for c in FEATURES])
+    products = [c for c in f.columns if c not in {"account_id", "group_type", *NUMERIC}]
+    features = [*products, *NUMERIC, *[f"{c}_encoded" for c in ENCODED]]
+    x = K.robust_scale(x, features, suffix="_s")
+    return K.assemble(x, [f"{c}_s" for c in features])
 
 
 def sweep(spark, d):
@@ -174,6 +175,69 @@ def q_within_lift(spark, d):
                                                            "lift_pct", "t_stat", "df", "p_value", "significant", "u_stat", "rank_p_value")
 
 
+_POINTS = ("pt AS (SELECT account_id, cluster, treated, CAST(real_total_arr AS DOUBLE) / 1e6 AS x, win_rate AS y FROM fx),\n"
+           "cl AS (SELECT cluster, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x + y * y) AS q FROM pt GROUP BY cluster)")
+
+
+def _scores_sql() -> str:
+    body = (_rule_rows_sql() + ",\n" + _POINTS + ",\n"
+            "ds AS (SELECT p.account_id, p.cluster = c.cluster AS own, c.n, p.x * p.x + p.y * p.y + c.q / c.n - 2 * (p.x * c.sx + p.y * c.sy) / c.n AS m FROM pt p CROSS JOIN cl c),\n"
+            "ab AS (SELECT account_id, max(n) FILTER (WHERE own) AS n, max(CASE WHEN n > 1 THEN m * n / (n - 1) ELSE m END) FILTER (WHERE own) AS a, "
+            "min(m) FILTER (WHERE NOT own) AS b FROM ds GROUP BY account_id),\n"
+            "sc AS (SELECT (SELECT avg(CASE WHEN n > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0.0 END) FROM ab) AS silhouette, "
+            "(sum((sx * sx + sy * sy) / n) - (pow(sum(sx), 2) + pow(sum(sy), 2)) / sum(n)) / (count(*) - 1) / "
+            "(sum(q - (sx * sx + sy * sy) / n) / (sum(n) - count(*))) AS calinski_harabasz FROM cl),\n"
+            "vl AS (SELECT count(*) FILTER (WHERE is_valid) AS valid_clusters, coalesce(avg(balance_ratio) FILTER (WHERE is_valid), 0.0) AS avg_balance_ratio FROM vb)")
+    return q(body, "SELECT silhouette, calinski_harabasz, valid_clusters, avg_balance_ratio, "
+                   "0.7 * avg_balance_ratio + 0.3 * (silhouette + calinski_harabasz / 1000.0) / 2.0 AS composite FROM sc, vl")
+
+
+def rule_points(spark, d):
+    x = rule_clusters(spark, d)
+    return cut_lineage(K.assemble(x.withColumn("x", F.col("real_total_arr").cast("double") / 1e6).withColumn("y", F.col("win_rate")), ["x", "y"]))
+
+
+@register("k8_k10_rule_scores", sql=_scores_sql(),
+          doubles={"silhouette": 6, "calinski_harabasz": 4, "avg_balance_ratio": 6, "composite": 6})
+def q_rule_scores(spark, d):
+    """K-7/K-8/K-10: silhouette, Calinski-Harabasz and composite score of the rule clusters over (ARR, win rate)."""
+    x = rule_points(spark, d)
+    found = K.score_labels(x, ["cluster"])["cluster"]
+    valid = K.cluster_balance(x, "treated").agg(F.count_if("is_valid").alias("valid_clusters"),
+                                                F.coalesce(F.avg(F.when(F.col("is_valid"), F.col("balance_ratio"))), F.lit(0.0)).alias("avg_balance_ratio"))
+    s, c = found["silhouette"], found["calinski_harabasz"]
+    return valid.select(F.lit(s).alias("silhouette"), F.lit(c).alias("calinski_harabasz"), "valid_clusters", "avg_balance_ratio",
+                        (F.col("avg_balance_ratio") * 0.7 + F.lit(0.3 * (s + c / 1000.0) / 2.0)).alias("composite"))
+
+
+@register("k12_rule_within_tests",
+          sql=q(_rule_rows_sql() + ",\nvx AS (SELECT * FROM fx WHERE cluster IN (SELECT cluster FROM vb WHERE is_valid)),\n"
+                "m AS (" + moments_sql("vx", "treated", ["real_total_arr"], ["cluster"]) + ")",
+                with_p_sql(f"SELECT cluster, metric, n_t, n_c, mean_t, mean_c, {pooled_t_cols()} FROM m", t_p_sql())),
+          doubles={"mean_t": 4, "mean_c": 4, "sd_t": 4, "sd_c": 4, "diff": 4, "lift_pct": 6, "t_stat": 6, "p_value": 6})
+def q_rule_within(spark, d):
+    """K-12: ARR difference between arms inside each valid rule cluster."""
+    x = rule_clusters(spark, d)
+    r = K.within_cluster_tests(x, "treated", "real_total_arr", K.cluster_balance(x, "treated"))
+    return r.select("cluster", "metric", "n_t", "n_c", "mean_t", "mean_c", "sd_t", "sd_c", "diff", "lift_pct", "t_stat", "df", "p_value", "significant")
+
+
+@register("k13_rule_pca",
+          sql=q(_rule_rows_sql() + ",\n" + _POINTS.split(",\ncl AS")[0] + ",\n"
+                "cv AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, var_pop(y) AS c, covar_pop(x, y) AS b FROM pt),\n"
+                "ev AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS l1, (a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b) AS l2 FROM cv),\n"
+                "ax AS (SELECT *, b / sqrt(b * b + pow(l1 - a, 2)) AS u, (l1 - a) / sqrt(b * b + pow(l1 - a, 2)) AS v FROM ev),\n"
+                # the second axis is (-v, u); the part of larger size is made positive
+                "sg AS (SELECT *, sign(CASE WHEN abs(u) > abs(v) THEN u ELSE v END) AS s1, sign(CASE WHEN abs(u) > abs(v) THEN u ELSE -v END) AS s2 FROM ax)",
+                "SELECT account_id, s1 * (u * (x - mx) + v * (y - my)) AS pc1, s2 * (u * (y - my) - v * (x - mx)) AS pc2, "
+                "l1 / (l1 + l2) AS explained_1, l2 / (l1 + l2) AS explained_2 FROM pt, sg"),
+          doubles={"pc1": 6, "pc2": 6, "explained_1": 6, "explained_2": 6})
+def q_rule_pca(spark, d):
+    """K-13: projection of (ARR, win rate) on their principal axes, the largest loading of each positive."""
+    out, shares = K.pca_2d(rule_points(spark, d).select("account_id", "features"))
+    return out.withColumn("explained_1", F.lit(shares[0])).withColumn("explained_2", F.lit(shares[1]))
+
+
 @register("k9_k11_rule_clusters", sql=_rule_sql(),
           doubles={"avg_product_diversity": 6, "treatment_ratio": 6, "balance_ratio": 6})
 def q_rule_clusters(spark, d):

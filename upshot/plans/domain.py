@@ -49,7 +49,7 @@ class Domain:
     # accounts ---------------------------------------------------------------
     def accounts(self) -> DataFrame:
         t = self.t
-        c, n, r = t.customer, F.broadcast(t.nation), F.broadcast(t.region)
+        c, n, r = t.customer, t.nation, t.region
         bal = F.col("c_acctbal")
         return (c.join(n, c.c_nationkey == n.n_nationkey, "left")
                 .join(r, n.n_regionkey == r.r_regionkey, "left")

@@ -12,6 +12,7 @@ from ..operators.clean import coerce_numeric, remove_outliers_zscore
 from ..operators.effects import one_sample_t
 from ..operators.panel import arm_period_moments, median_time, profile, quartiles
 from ..operators.ranks import wilcoxon_signed_rank
+from ..session import cut_lineage
 from .domain import OUTCOMES, Domain, with_domain
 from .lift_queries import PREP_SQL, prepared_panel
 from .registry import register
@@ -44,14 +45,15 @@ def treated_growth(spark, d, post=POST, panel=None):
 
 
 def control_arm(spark, d):
-    panel = growth_panel(spark, d)
+    # eligibility, pseudo date, counts, sample and both arms read the panel: written once
+    panel = cut_lineage(growth_panel(spark, d).select("account_id", "period", "event_date", *REV))
     ok = _suitable(panel).where("suitable").select("account_id")
     treated_rows = panel.join(ok, "account_id", "left_semi")
     pseudo = G.pseudo_event_date(treated_rows, "event_date")
     pseudo_d = F.lit(pseudo).cast("date")
     ctl_panel = panel.where(F.col("event_date").isNull())
-    elig = G.eligibility(ctl_panel, "account_id", "period", pseudo_d, MIN_PRE, MIN_POST, MIN_ROWS)
-    tg = treated_growth(spark, d, panel=panel)
+    elig = cut_lineage(G.eligibility(ctl_panel, "account_id", "period", pseudo_d, MIN_PRE, MIN_POST, MIN_ROWS))
+    tg = cut_lineage(treated_growth(spark, d, panel=panel))
     n_t = tg.select("account_id").distinct().count()
     n_c = elig.where("suitable").count()
     sample = C.seeded_sample(elig.where("suitable").select("account_id"), "account_id", min(n_t, n_c), SEED)
@@ -366,7 +368,7 @@ def q_wilcoxon(spark, d):
 def q_quantiles(spark, d):
     """A-13/A-14: revenue quartiles per segment (linear interpolation) and the median period."""
     p = prepared_panel(spark, d)
-    med = p.agg(median_time("period").alias("m")).first()["m"]
+    med = median_time(p, "period")
     return quartiles(p, "revenue", ["segment"]).withColumn("median_period", F.lit(str(med)))
 
 

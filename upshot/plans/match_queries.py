@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import uniform_sql
+from ..functions.columns import in_range, stars, uniform_sql
 from ..operators import cohort as C
 from ..operators import did as DD
 from ..operators import match as M
@@ -21,7 +21,7 @@ from .lift_queries import CATS, METRICS, NUM, XS_SQL, customer_xs, prepared_pane
 from .opportunity_queries import analysis, q
 from .registry import register
 from ..session import cut_lineage
-from .sqlgen import moments_sql, pooled_t_cols, t_p_sql, with_p_sql, z_p_sql
+from .sqlgen import chi2_p_sql, moments_sql, pooled_t_cols, t_p_sql, with_p_sql, z_p_sql
 
 PS_NUM = NUM
 PS_CAT = CATS
@@ -52,6 +52,102 @@ def q_matching(spark, d):
     return matched(spark, d)[1]
 
 
+@register("m2_score_order_matching", doubles={"distance": 6})
+def q_matching_in_order(spark, d):
+    """M-2/J-10 in the order of the surveyed analysis: treated by ascending score, each with its nearest free control
+    within an absolute caliper of 0.1."""
+    xs = scored_xs(spark, d)
+    return M.match_nearest(xs, "account_id", "treated", "propensity_score", caliper=CALIPER, rule="score_order").drop("round")
+
+
+SCORE_STEP = 25000.0
+EXACT = ["segment", "region"]
+EXACT_SQL = (XS_SQL + f""",
+ex AS (SELECT *, floor(revenue / {SCORE_STEP}) AS score FROM xs),
+rk AS (SELECT *, row_number() OVER (PARTITION BY segment, region, score, treated ORDER BY account_id) AS r FROM ex),
+pr AS (SELECT t.segment, t.region, t.account_id AS treatment_id, c.account_id AS control_id FROM rk t JOIN rk c
+       ON t.segment = c.segment AND t.region = c.region AND t.score = c.score AND t.r = c.r WHERE t.treated = 1 AND c.treated = 0),
+mu AS (SELECT * FROM ex WHERE account_id IN (SELECT treatment_id FROM pr UNION ALL SELECT control_id FROM pr))""")
+
+
+def exact_matched(spark, d):
+    """Customers with a coarse score, and their pairs of equal score within segment and region."""
+    xs = cut_lineage(customer_xs(spark, d).withColumn("score", F.floor(F.col("revenue") / SCORE_STEP).cast("double")))
+    return xs, cut_lineage(M.match_nearest(xs, "account_id", "treated", "score", caliper=0.0, by=EXACT))
+
+
+@register("m2_exact_matching", sql=with_domain(EXACT_SQL, "SELECT * FROM pr"))
+def q_exact(spark, d):
+    """M-2/J-10 within strata: customers of equal segment, region and coarse revenue, paired by rank of id."""
+    return exact_matched(spark, d)[1].select(*EXACT, "treatment_id", "control_id")
+
+
+@register("m4_exact_report",
+          sql=with_domain(EXACT_SQL, "SELECT (SELECT count(*) FROM pr) AS matched, count(*) FILTER (WHERE treated = 1) AS treated_units, "
+                          "(SELECT count(*) FROM pr) / nullif(count(*) FILTER (WHERE treated = 1), 0) AS match_rate, "
+                          "0.0 AS mean_distance, 0.0 AS max_distance FROM ex"),
+          doubles={"match_rate": 6, "mean_distance": 6, "max_distance": 6})
+def q_exact_report(spark, d):
+    """M-4: matched count, match rate and distances of the exact pairs."""
+    xs, pairs = exact_matched(spark, d)
+    return M.match_report(pairs, xs, "treated").drop("rounds")
+
+
+@register("m5_exact_balance",
+          sql=with_domain(EXACT_SQL + ",\nm AS (" + moments_sql("mu", "treated", ["revenue", "security_revenue", "adoption_score"]) + ")",
+                          "SELECT metric, n_t, n_c, mean_t, mean_c, t_stat, p_value, p_value >= 0.05 AS balanced FROM ("
+                          + with_p_sql(f"SELECT metric, n_t, n_c, mean_t, mean_c, {pooled_t_cols()} FROM m", t_p_sql()) + ") AS b"),
+          doubles={"mean_t": 4, "mean_c": 4, "t_stat": 6, "p_value": 6})
+def q_exact_balance(spark, d):
+    """M-5/D-9: t test per covariate on the exactly matched sample."""
+    xs, pairs = exact_matched(spark, d)
+    r = two_sample_t(M.matched_units(pairs, xs, "account_id"), "treated", ["revenue", "security_revenue", "adoption_score"])
+    return (r.withColumn("balanced", F.col("p_value") >= 0.05)
+            .select("metric", "n_t", "n_c", "mean_t", "mean_c", "t_stat", "p_value", "balanced"))
+
+
+def _balance_sql() -> str:
+    body = EXACT_SQL + ",\ncv AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS covariate, CAST({c} AS VARCHAR) AS value, treated FROM mu" for c in ("phase", "support_level", "organization")) + "),\n" + (
+        "cells AS (SELECT covariate, value, treated, count(*) AS o FROM cv GROUP BY covariate, value, treated),\n"
+        "rs AS (SELECT covariate, value, sum(o) AS r FROM cells GROUP BY covariate, value),\n"
+        "cs AS (SELECT covariate, treated, sum(o) AS c FROM cells GROUP BY covariate, treated),\n"
+        "st AS (SELECT cells.covariate, CAST(sum(o) AS BIGINT) AS n, CAST((count(DISTINCT cells.value) - 1) * (count(DISTINCT cells.treated) - 1) AS BIGINT) AS dof, "
+        "sum(o) * sum(CAST(o AS DOUBLE) * o / (r * c)) - sum(o) AS chi2 FROM cells JOIN rs ON rs.covariate = cells.covariate AND rs.value = cells.value "
+        "JOIN cs ON cs.covariate = cells.covariate AND cs.treated = cells.treated GROUP BY cells.covariate)")
+    return with_domain(body, f"SELECT covariate, n, dof, chi2, {chi2_p_sql()} AS p_value FROM st")
+
+
+@register("m6_exact_balance", sql=_balance_sql(), doubles={"chi2": 6, "p_value": 6})
+def q_exact_balance_cat(spark, d):
+    """M-6: chi-square of other categorical covariates against the arm on the exactly matched sample."""
+    xs, pairs = exact_matched(spark, d)
+    m = M.matched_units(pairs, xs, "account_id")
+    per = {c: F.struct(F.col(c).alias("value")) for c in ("phase", "support_level", "organization")}
+    return chi2_independence(unpivot_structs(m, ["treated"], per, "covariate"), "value", "treated", ["covariate"]).select(
+        "covariate", "n", "dof", "chi2", "p_value")
+
+
+@register("r1_exact_results",
+          sql=with_domain(EXACT_SQL + ",\nm AS (" + moments_sql("mu", "treated", METRICS) + ")",
+                          "SELECT metric, 'Exact Matching' AS method, mean_t AS treatment_mean, mean_c AS control_mean, lift_pct AS effect_size_pct, p_value, "
+                          "significant, CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE '' END AS stars, "
+                          "n_t AS sample_size FROM ("
+                          + with_p_sql(f"SELECT metric, n_t, n_c, mean_t, mean_c, {pooled_t_cols()} FROM m", t_p_sql()) + ") AS b"),
+          doubles={"treatment_mean": 4, "control_mean": 4, "effect_size_pct": 6, "p_value": 6})
+def q_exact_results(spark, d):
+    """R-1/E-1/P-19: effect per outcome on the exactly matched sample, with p-value and stars."""
+    xs, pairs = exact_matched(spark, d)
+    return _result_rows(two_sample_t(M.matched_units(pairs, xs, "account_id"), "treated", METRICS), "Exact Matching")
+
+
+def _result_rows(r, method: str):
+    return r.select("metric", F.lit(method).alias("method"),
+                    F.col("mean_t").alias("treatment_mean"), F.col("mean_c").alias("control_mean"),
+                    F.col("lift_pct").alias("effect_size_pct"), "p_value", "significant",
+                    stars("p_value").alias("stars"), F.col("n_t").alias("sample_size"))
+
+
 @register("m4_match_report", doubles={"mean_distance": 6, "max_distance": 6, "match_rate": 6})
 def q_match_report(spark, d):
     """M-4: matched count, match rate and distances."""
@@ -86,12 +182,7 @@ def q_matched_results(spark, d):
     """R-1/E-1/P-19: matched-sample effect per outcome with p-value and stars."""
     xs, pairs = matched(spark, d)
     m = M.matched_units(pairs, xs, "account_id")
-    r = two_sample_t(m, "treated", METRICS)
-    from ..functions.columns import stars
-    return r.select("metric", F.lit("Propensity Score Matching").alias("method"),
-                    F.col("mean_t").alias("treatment_mean"), F.col("mean_c").alias("control_mean"),
-                    F.col("lift_pct").alias("effect_size_pct"), "p_value", "significant",
-                    stars("p_value").alias("stars"), F.col("n_t").alias("sample_size"))
+    return _result_rows(two_sample_t(m, "treated", METRICS), "Propensity Score Matching")
 
 
 @register("m8_matched_did", doubles={k: 4 for k in (
@@ -112,12 +203,15 @@ def account_level(spark, d):
     return acc.withColumn("treated", (F.col("group_type") == "Treatment").cast("int"))
 
 
+ARR_BOUNDS = (0.0, 5.0e7)  # open, as surveyed
+
+
 @register("e10_matched_arr", doubles={"treatment_mean": 2, "control_mean": 2, "difference": 2,
                                       "pct_difference": 6, "u_stat": 2, "z": 6, "p_value": 6})
-def q_matched_arr(spark, d):
-    """E-10/M-3/P-8/E-5: accounts with 0 < ARR < 50M matched 1:1 on ARR / sd (no caliper),
+def q_matched_arr(spark, d, bounds=ARR_BOUNDS):
+    """E-10/M-3/P-8/E-5: accounts with an ARR inside ``bounds`` matched 1:1 on ARR / sd (no caliper),
     Mann-Whitney on matched ARR."""
-    acc = account_level(spark, d).where((F.col("real_total_arr") > 0) & (F.col("real_total_arr") < 5.0e7))
+    acc = account_level(spark, d).where(in_range("real_total_arr", *bounds))
     sd = acc.agg(F.stddev_samp("real_total_arr")).first()[0] or 1.0
     units = cut_lineage(acc.withColumn("score", F.col("real_total_arr") / F.lit(sd if sd > 0 else 1.0)))
     pairs = M.match_nearest(units, "account_id", "treated", "score", caliper=None)
@@ -237,7 +331,20 @@ def q_effect_sizes(spark, d):
                     required_n("cohens_d").cast("long").alias("required_n"))
 
 
-@register("e19_power", doubles={"cohens_d": 6, "power": 6})
+def _power_sql() -> str:
+    def cdf(x: str) -> str:
+        return f"(CASE WHEN {x} >= 0 THEN 1.0 - ({z_p_sql('(' + x + ')')}) / 2.0 ELSE ({z_p_sql('(' + x + ')')}) / 2.0 END)"
+
+    body = (XS_SQL + ",\nm AS (" + moments_sql("xs", "treated", METRICS, ["organization"]) + "),\n"
+            "es AS (SELECT organization, metric, n_t, n_c, (mean_t - mean_c) / nullif(sqrt(((n_t - 1) * coalesce(var_t, 0.0) + (n_c - 1) * coalesce(var_c, 0.0)) "
+            "/ nullif(n_t + n_c - 2, 0)), 0.0) AS cohens_d FROM m),\n"
+            "nc AS (SELECT *, abs(cohens_d) * sqrt(n_t * n_c / nullif(n_t + n_c, 0)) AS ncp FROM es)")
+    return with_domain(body, "SELECT organization, metric, n_t, n_c, cohens_d, "
+                       f"CASE WHEN ncp IS NULL THEN NULL ELSE {cdf(f'ncp - {Z_975!r}')} + {cdf(f'-ncp - {Z_975!r}')} END AS power, "
+                       f"CAST(ceil(2.0 * pow({Z_975!r} + {Z_80!r}, 2) / nullif(cohens_d * cohens_d, 0.0)) AS BIGINT) AS required_n FROM nc")
+
+
+@register("e19_power", sql=_power_sql(), doubles={"cohens_d": 6, "power": 6})
 def q_power(spark, d):
     """E-19: power of the two-sample test at the observed sizes and effect, per metric and organization."""
     m = cohens_d(arm_moments(customer_xs(spark, d), "treated", METRICS, ["organization"]))
@@ -281,7 +388,7 @@ def q_placebo(spark, d):
     treated; PASS if the difference isn't significant."""
     p = prepared_panel(spark, d)
     from ..operators.panel import median_time
-    med = p.agg(median_time("period").alias("m")).first()["m"]
+    med = median_time(p, "period")
     pre = p.where(F.col("period").cast("timestamp") < F.lit(med))
     units = pre.select("account_id").distinct()
     k = int(units.count() * PLACEBO_SHARE)
@@ -294,25 +401,34 @@ def q_placebo(spark, d):
                     "t_stat", "df", "p_value", verdict.alias("verdict"))
 
 
+def _iv_sql(instrument: str, source: str, first: str, k: int) -> str:
+    """2SLS of revenue on treated from a relation ``r`` (treated, revenue, z) with everything taken off its controls."""
+    stats = ("st AS (SELECT count(*) AS n, covar_samp(z, y) / covar_samp(z, t) AS b, covar_samp(z, y) AS zy, covar_samp(z, t) AS zt, var_samp(z) AS zz, "
+             "var_samp(y) AS yy, var_samp(t) AS tt, covar_samp(t, y) AS ty FROM r),\n"
+             f"se AS (SELECT *, n - {k} AS df, sqrt((yy - 2 * b * ty + b * b * tt) * (n - 1) / (n - {k}) / (zt * zt / zz * (n - 1))) AS standard_error FROM st)")
+    return with_domain(XS_SQL + ",\n" + source + ",\n" + stats,
+                       with_p_sql(f"SELECT b AS iv_estimate, standard_error, b / standard_error AS t_stat, df, n, {first} FROM se", t_p_sql()))
+
+
 @register("e21_instrumental_variable",
-          sql=with_domain(XS_SQL, "SELECT covar_samp(adoption_score, revenue) / covar_samp(adoption_score, treated) "
-                                  "AS iv_estimate, covar_samp(adoption_score, revenue) AS reduced_form, "
-                                  "covar_samp(adoption_score, treated) AS first_stage, count(*) AS n FROM xs"),
-          doubles={"iv_estimate": 4, "reduced_form": 4, "first_stage": 8})
+          sql=_iv_sql("adoption_score", "r AS (SELECT treated AS t, revenue AS y, adoption_score AS z FROM xs)",
+                      "zy AS reduced_form, zt AS first_stage", 2),
+          doubles={"iv_estimate": 3, "standard_error": 3, "t_stat": 6, "p_value": 6, "reduced_form": 4, "first_stage": 8})
 def q_iv(spark, d):
-    """E-21: instrumental-variable (Wald / 2SLS without controls) effect of treatment on revenue,
+    """E-21: instrumental-variable (Wald / 2SLS without controls) effect of treatment on revenue with its standard error,
     adoption score as the instrument."""
     return iv_estimate(customer_xs(spark, d), "adoption_score", "treated", "revenue")
 
 
 @register("e21_iv_with_control",
-          sql=with_domain(XS_SQL + ",\nb AS (SELECT covar_samp(adoption_score, security_count) / var_samp(security_count) AS b FROM xs),\n"
-                          "r AS (SELECT treated, revenue, adoption_score - b * security_count AS z FROM xs CROSS JOIN b)",
-                          "SELECT covar_samp(z, revenue) / covar_samp(z, treated) AS iv_estimate, "
-                          "covar_samp(z, treated) / var_samp(z) AS first_stage, count(*) AS n FROM r"),
-          doubles={"iv_estimate": 3, "first_stage": 8})
+          sql=_iv_sql("adoption_score",
+                      "cf AS (SELECT covar_samp(adoption_score, security_count) / var_samp(security_count) AS bz, covar_samp(treated, security_count) / var_samp(security_count) AS bt, "
+                      "covar_samp(revenue, security_count) / var_samp(security_count) AS yb FROM xs),\n"
+                      "r AS (SELECT treated - bt * security_count AS t, revenue - yb * security_count AS y, adoption_score - bz * security_count AS z FROM xs CROSS JOIN cf)",
+                      "zt / zz AS first_stage", 3),
+          doubles={"iv_estimate": 3, "standard_error": 3, "t_stat": 6, "p_value": 6, "first_stage": 8})
 def q_iv_control(spark, d):
-    """E-21: two-stage least squares with a control (security products), adoption score as the instrument."""
+    """E-21: two-stage least squares with a control (security products) and its standard error, adoption score as the instrument."""
     return iv_estimate(customer_xs(spark, d), "adoption_score", "treated", "revenue", ["security_count"])
 
 
@@ -426,18 +542,22 @@ def q_chi2(spark, d):
         "n", "dof", "chi2")
 
 
+FACTORS, CALIPERS = (2.0, 2.5, 3.0), (0.05, 0.1, 0.2)
+GRID = ["outlier_factor", "caliper"]
+
+
 @register("e23_sensitivity", doubles={"effect_size_pct": 6, "t_stat": 6, "p_value": 6})
 def q_sensitivity(spark, d):
     """E-23: matched revenue effect on the grid of outlier factors (2.0, 2.5, 3.0) and
-    calipers (0.05, 0.1, 0.2), one table."""
-    out = None
-    for factor in (2.0, 2.5, 3.0):
-        xs = cut_lineage(scored_xs(spark, d, factor))
-        for cal in (0.05, 0.1, 0.2):
-            pairs = M.match_nearest(xs, "account_id", "treated", "propensity_score", caliper=cal)
-            m = M.matched_units(pairs, xs, "account_id")
-            r = (two_sample_t(m, "treated", ["revenue"])
-                 .select(F.lit(str(factor)).alias("outlier_factor"), F.lit(str(cal)).alias("caliper"), F.col("n_t").alias("pairs"),
-                         F.col("lift_pct").alias("effect_size_pct"), "t_stat", "p_value"))
-            out = r if out is None else out.unionByName(r)
-    return out
+    calipers (0.05, 0.1, 0.2): all cells matched in the same passes, one table."""
+    scored = None
+    for factor in FACTORS:
+        xs = scored_xs(spark, d, factor).select("account_id", "treated", "revenue", "propensity_score", F.lit(str(factor)).alias("outlier_factor"))
+        scored = xs if scored is None else scored.unionByName(xs)
+    cells = F.explode(F.array(*[F.struct(F.lit(str(c)).alias("caliper"), F.lit(c).alias("width")) for c in CALIPERS]))
+    units = cut_lineage(scored.withColumn("__c", cells).select("*", "__c.*").drop("__c"))
+    pairs = M.match_nearest(units, "account_id", "treated", "propensity_score", caliper="width", by=GRID)
+    ids = pairs.select(*GRID, F.explode(F.array("treatment_id", "control_id")).alias("account_id"))
+    matched_rows = units.join(ids, [*GRID, "account_id"], "left_semi")
+    r = two_sample_t(matched_rows, "treated", ["revenue"], by=GRID)
+    return r.select(*GRID, F.col("n_t").alias("pairs"), F.col("lift_pct").alias("effect_size_pct"), "t_stat", "p_value")

@@ -12,6 +12,7 @@ from .registry import register
 from .sqlgen import with_p_sql, z_p_sql
 
 FLAGS = ("qualified_account_flag", "has_revenue_flag", "created_opportunities_flag")
+#: the products of the test tables, for the oracle SQL
 PRODUCTS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
 
@@ -234,18 +235,30 @@ def _features_sql() -> str:
     return q(body, final)
 
 
+REPORT_PRODUCTS = 1_000  # widest report; :mod:`..operators.sparse` has the form without a bound
+
+
+def product_names(table) -> tuple[str, ...]:
+    """The products of the data in sorted order, for a report with a column each."""
+    names = [r[0] for r in table.select("product_name").where(F.col("product_name").isNotNull()).distinct().limit(REPORT_PRODUCTS + 1).collect()]
+    if len(names) > REPORT_PRODUCTS:
+        raise ValueError(f"more than {REPORT_PRODUCTS} products: use the sparse form")
+    return tuple(sorted(names))
+
+
 def account_features(spark, d):
     t = analysis(spark, d)
+    products = product_names(t)
     key = ["account_id", "group_type"]
     arr = O.account_arr_metrics(t, key).drop("real_win_rate")
-    mat = O.product_matrix(t, key, "product_name", PRODUCTS)
+    mat = O.product_matrix(t, key, "product_name", products)
     fam = O.family_flags(t, key, {
         "security": F.coalesce(F.col("functional_area").isin(*SECURITY_AREAS), F.lit(False)),
         "resiliency": F.coalesce(F.col("product_name").isin(*RESILIENCY_PRODUCTS), F.lit(False))})
     fam = fam.withColumn("has_security", F.coalesce("has_security", F.lit(0)).cast("int")) \
              .withColumn("has_resiliency", F.coalesce("has_resiliency", F.lit(0)).cast("int"))
-    mat = mat.select(*key, *[F.col(p).cast("int").alias(p) for p in PRODUCTS])
-    return arr.join(mat, key, "left").join(fam, key, "left").na.fill(0, list(PRODUCTS))
+    mat = mat.select(*key, *[F.col(p).cast("int").alias(p) for p in products])
+    return arr.join(mat, key, "left").join(fam, key, "left").na.fill(0, list(products))
 
 
 @register("k1_account_features", sql=_features_sql(), doubles={"real_total_arr": 2})

@@ -31,8 +31,8 @@ REGISTRY: dict[str, Query] = {}
 
 # Decimals kept beyond the declared ones in a first rounding, on both sides. Means of
 # fixed-point data can sit on a rounding tie, where summation noise in the last bit
-# would decide; the first rounding removes that noise. It moves a value by less
-# than 10^-(k + GUARD) and leaves large sums as they are.
+# would decide; the first rounding removes that noise, and the second is done on a decimal, so that a tie
+# goes the same way on both sides. The first moves a value by less than 10^-(k + GUARD) and leaves large sums as they are.
 GUARD = 5
 
 
@@ -56,7 +56,7 @@ def finalize(df: DataFrame, doubles: dict[str, int], texts=()) -> DataFrame:
             if isinstance(f.dataType, T.DecimalType):
                 cols.append(F.round(F.col(n), k).cast(T.DecimalType(38, k)).alias(n))
             else:
-                cols.append(F.round(F.round(F.col(n).cast("double"), k + GUARD), k).cast(T.DecimalType(38, k)).alias(n))
+                cols.append(F.round(F.round(F.col(n).cast("double"), k + GUARD).cast(T.DecimalType(38, k + GUARD)), k).cast(T.DecimalType(38, k)).alias(n))
         elif isinstance(f.dataType, (T.DateType, T.TimestampType)) or n in texts:
             cols.append(F.col(n).cast("string").alias(n))
         else:
@@ -65,7 +65,7 @@ def finalize(df: DataFrame, doubles: dict[str, int], texts=()) -> DataFrame:
 
 
 def sql_finalize(inner: str, doubles: dict[str, int], texts=()) -> str:
-    parts = [f"CAST(round(round(CAST({c} AS DOUBLE), {k + GUARD}), {k}) AS DECIMAL(38,{k})) AS {c}"
+    parts = [f"CAST(round(CAST(round(CAST({c} AS DOUBLE), {k + GUARD}) AS DECIMAL(38,{k + GUARD})), {k}) AS DECIMAL(38,{k})) AS {c}"
              for c, k in doubles.items()]
     parts += [f"CAST({c} AS VARCHAR) AS {c}" for c in texts]
     if not parts:

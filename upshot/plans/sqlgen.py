@@ -120,6 +120,16 @@ def z_p_sql(stat: str = "z", steps: int = 4000) -> str:
     return f"CASE WHEN {stat} IS NULL THEN NULL ELSE least(1.0, 2.0 / sqrt(2.0 * pi()) * (40.0 / {steps}) / 3.0 * {total}) END"
 
 
+def chi2_p_sql(stat: str = "chi2", dof: str = "dof", steps: int = 8000) -> str:
+    """Upper tail of the chi-square distribution: Simpson's rule on the density of its root."""
+    weight = f"(CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    u = f"(sqrt({stat}) + i * 40.0 / {steps})"
+    total = (f"list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * "
+             f"CASE WHEN {dof} = 1 THEN exp(-{u} * {u} / 2.0) ELSE pow({u}, {dof} - 1.0) * exp(-{u} * {u} / 2.0) END))")
+    return (f"CASE WHEN {stat} IS NULL OR {dof} <= 0 THEN NULL ELSE least(1.0, pow(2.0, 1.0 - {dof} / 2.0) * exp(-lgamma({dof} / 2.0)) "
+            f"* (40.0 / {steps}) / 3.0 * {total}) END")
+
+
 def with_p_sql(final: str, p: str, flag: bool = True) -> str:
     """``final`` with its p-value and, if wanted, the 5 % significance flag."""
     inner = f"SELECT *, {p} AS p_value FROM ({final}) AS stats"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +58,23 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet",
     w.save(path)
 
 
+def replace_table(df: DataFrame, name: str, bucket_by: str, buckets: int, path: str | None = None) -> None:
+    """Persisted, bucketed table (S-6), replaced at one stroke: the rows are written as a table of a new name, bucketed and
+    sorted by ``bucket_by``, and the view ``name`` then points to it; readers see the old table or the new one, never half
+    of either. Older versions are dropped afterwards. Joins and aggregations on ``bucket_by`` read it without a
+    shuffle. With ``path``, the files are kept below it."""
+    spark = df.sparkSession
+    version = f"{name}_v{uuid.uuid4().hex}"
+    w = df.write.format("parquet").bucketBy(buckets, bucket_by).sortBy(bucket_by)
+    if path:
+        w = w.option("path", f"{path.rstrip('/')}/{version}")
+    w.saveAsTable(version)
+    spark.sql(f"CREATE OR REPLACE VIEW `{name}` AS SELECT * FROM `{version}`")
+    for t in spark.catalog.listTables():
+        if t.name.startswith(f"{name.lower()}_v") and t.name != version.lower() and not t.isTemporary:
+            spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
+
+
 def save_table(df: DataFrame, name: str, partition_by=(), bucket_by: tuple | None = None) -> None:
     """Persisted analysis table (S-6): replace-on-write catalog table,
     optionally partitioned (e.g. by ``group_type``) or bucketed by a join key

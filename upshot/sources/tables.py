@@ -100,7 +100,7 @@ class Tables:
         return read_table(self.spark, self.base, name)
 
 
-def register_views(spark: SparkSession, base: str, names=None) -> None:
+def register_views(spark: SparkSession, base: str, names=None, prefix: str = "") -> None:
     """Staging relations as temp views (S-7), e.g. for SQL-first callers."""
     for name in names or SCHEMAS:
-        read_table(spark, base, name).createOrReplaceTempView(name)
+        read_table(spark, base, name).createOrReplaceTempView(prefix + name)
