@@ -5,8 +5,9 @@ prompt; what follows on either side are the completions. A completion's mask giv
 its segments in order as ``loss:characters``: only the text and end mark of
 assistant turns have loss 1.
 
-Everything is DataFrame functions on the row of a pair: nothing is shuffled, and
-work is linear in the pair's text.
+:func:`format_pairs` is DataFrame functions on the row of a pair: it shuffles nothing, and its
+work is linear in the pair's text. The stand-in pairs of :func:`stand_in_pairs` do shuffle whole
+conversations, as they bring turns together; where the next id is absent, the rejected answer is empty.
 
 Defined cases: a null side is an empty conversation; a null turn, role or text is
 an empty text of the role ``unknown``; equal sides give empty completions and
