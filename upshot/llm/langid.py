@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +44,7 @@ LANDMARKS = 256
 RIDGE = 1e-2
 SLICE = 1 << 16
 BATCH = 64
+ROWS = 512  # texts held as Python strings
 
 _STEP = np.uint32(0x9E3779B1)
 
@@ -166,9 +168,11 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     out = T.StructType([given.schema["row"], T.StructField("lang_pred", STRING), T.StructField("score", DOUBLE)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs, scores = model.predict(b.column("row").field(text_col).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], out.names)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                b = batch.slice(at, ROWS)
+                langs, scores = model.predict(pc.struct_field(b.column("row"), text_col).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], out.names)
 
     return given.mapInArrow(run, out)
 

@@ -77,17 +77,22 @@ def encoder(path: str):
         special = [t["content"] for t in spec.get("added_tokens", [])]
         ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
         fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        whole = Tokenizer.from_file(path)
+        whole: list[Tokenizer] = []  # loaded for the first text that needs it
+
+        def by_library(text: str) -> list[int]:
+            if not whole:
+                whole.append(Tokenizer.from_file(path))
+            return whole[0].encode(text, add_special_tokens=False).ids
 
         def encode(text: str) -> list[int]:
             if any(s in text for s in special):
-                return whole.encode(text, add_special_tokens=False).ids
+                return by_library(text)
             try:
                 return fast.encode_ordinary(text)
             except BaseException as e:
                 if not is_panic(e):
                     raise
-                return whole.encode(text, add_special_tokens=False).ids
+                return by_library(text)
 
         _ENCODERS[path] = encode
     return _ENCODERS[path]

@@ -40,7 +40,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = n + n // 8  # chunks are of about one size
             for name, b in (("up", self.base), ("down", self.inverse)):
                 p = np.full(size, b, dtype=U)
                 p[0] = 1
