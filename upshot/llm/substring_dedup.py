@@ -39,7 +39,6 @@ from . import words as W
 from .common import BINARY, INT, LONG, STRING, documents, drop_scratch, materialise, schema, shuffle_partitions
 
 WINDOW = 50
-RANGE_BYTES = 64 << 20  # anchors of a range of hashes, held by a task
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)  # a perfect difference set: each shift occurs once
 ANCHOR = WINDOW - PERIOD + 1
@@ -410,8 +409,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     given = docs.select(F.struct(*rest).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"),
                         F.col(f"`{text_col}`").cast("string").alias("text"))
-    size = given.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    ranges = max(16, shuffle_partitions(spark), -(-size // (4 * RANGE_BYTES)))  # anchors take about a quarter of the texts
+    # anchors take about a quarter of the texts, and a partition of the scan has a bounded part of these
+    ranges = max(16, shuffle_partitions(spark), given.rdd.getNumPartitions())
     row_type = given.schema["row"].dataType
     dealt_type = T.StructType([T.StructField("kind", INT), T.StructField("chunk", LONG), T.StructField("part", LONG),
                                T.StructField("size", LONG), T.StructField("data", BINARY), T.StructField("id", LONG),
