@@ -133,15 +133,15 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                             F.col(f"`{text_col}`").cast("string").alias("text")).where(
         "lang is not null and lang <> 'und' and text is not null").where(F.col("text").rlike(r"\p{L}"))
     keyed = given.select("lang", F.xxhash64(F.coalesce("id", F.lit(""))).alias("h"), F.xxhash64("text").alias("t"))
-    sizes = keyed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(rows)
-    per_lang = sizes.count()
-    if not per_lang:
+    sizes = keyed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()  # at most ``rows`` languages
+    if not sizes:
         return fit(np.zeros((0, (1 << BITS) // 8), np.uint8), [])
-    each = max(1, rows // per_lang)
+    each = max(1, rows // len(sizes))
     # hashes are uniform: the lowest ``each`` of a language lie below four times their share of the range, so few rows are ranked
-    share = F.least(F.lit(1.0), F.lit(4.0 * (each + 16)) / F.col("n"))
-    bound = sizes.select(F.col("lang").alias("_lang"), F.when(share < 0.999, (share * 2.0**64 - 2.0**63).cast("long")).otherwise(F.lit(2**63 - 1)).alias("bound"))
-    keyed = keyed.join(F.broadcast(bound), F.col("lang") == F.col("_lang")).where("h <= bound").drop("_lang", "bound")  # at most ``rows`` languages
+    share = [4.0 * (each + 16) / max(r["n"], 1) for r in sizes]
+    bound = labelled.sparkSession.createDataFrame(
+        [(r["lang"], int(x * 2.0**64) - 2**63 if x < 0.999 else 2**63 - 1) for r, x in zip(sizes, share, strict=True)], "_lang string, bound long")
+    keyed = keyed.join(F.broadcast(bound), F.col("lang") == F.col("_lang")).where("h <= bound").drop("_lang", "bound")
     order = Window.partitionBy("lang").orderBy("h", "t")
     chosen = keyed.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).limit(rows).select("lang", "h", "t")
     picked = given.withColumn("h", F.xxhash64(F.coalesce("id", F.lit("")))).withColumn("t", F.xxhash64("text")).join(
