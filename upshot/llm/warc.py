@@ -309,26 +309,25 @@ def read_archives(manifest: DataFrame, path_col: str = "path", with_block: bool
         m = re.search(r"(-?\d+)>?$", x or "")
         return int(m[1]) if m else None
 
-    def again(path: str) -> set[tuple[int, int]]:
-        """Places of the records that the damaged archive gives."""
-        spots = []
-        with _open(path) as stream:
-            for kind, start, end, head, _, _ in salvage(stream):
-                n = number(head.get("warc-record-id")) if kind == "record" else None
-                if n is not None and n % damage_every == 0:
-                    spots.append((start + end) // 2)
-        with _open(path) as stream:
-            return {(start, end) for kind, start, end, *_ in salvage(_Damaged(stream, spots)) if kind == "record"}
-
-    def rows(path: str) -> Iterator[tuple]:
-        back = again(path) if damage_every else None
+    def sound(path: str) -> Iterator[tuple]:
         with _open(path) as stream:
             for kind, start, end, head, block, _ in salvage(stream):
                 n = number(head.get("x-payload-length")) if kind == "record" else None
                 yield (kind, path, start, end, number(head.get("warc-record-id")), head.get("warc-type"), head.get("warc-target-uri"),
                        head.get("warc-payload-digest", "").removeprefix("sha256:") if head else None,
                        n if n is not None or kind == "gap" else len(block), number(head.get("warc-refers-to")),
-                       block if with_block and kind == "record" else None, (start, end) in back if back is not None and kind == "record" else None)
+                       block if with_block and kind == "record" else None, None)
+
+    def rows(path: str) -> Iterator[tuple]:
+        if not damage_every:
+            yield from sound(path)
+            return
+        places = [(*r[:5],) for r in sound(path)] if with_block else list(sound(path))  # no block is held
+        spots = [(r[2] + r[3]) // 2 for r in places if r[0] == "record" and r[4] is not None and r[4] % damage_every == 0]
+        with _open(path) as stream:
+            back = {(start, end) for kind, start, end, *_ in salvage(_Damaged(stream, spots)) if kind == "record"}
+        for r in sound(path) if with_block else places:
+            yield (*r[:-1], (r[2], r[3]) in back if r[0] == "record" else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.string(), *[pa.int64()] * 3, *[pa.string()] * 3, *[pa.int64()] * 2, pa.binary(), pa.bool_()]
