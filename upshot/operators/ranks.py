@@ -29,21 +29,21 @@ def average_ranks(hist: DataFrame, by: Sequence[str], value: str, weight: str,
     within ``by`` to a histogram with a row count column ``weight``.
 
     ``hist`` must hold one row per distinct (by, value). It is written once, and its
-    number of rows gives the number of buckets."""
+    number of rows gives the number of buckets; up to ``values_per_bucket`` values are one."""
     by = list(by)
     single = not by
     hist = cut_lineage(hist)
     buckets = -(-hist.count() // values_per_bucket)
+    if buckets <= 1:
+        below = Window.partitionBy(*(by or [F.lit(0)])).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return hist.withColumn("rank", F.coalesce(F.sum(weight).over(below), F.lit(0)) + (F.col(weight) + 1) / 2.0)
     if single:
         hist = hist.withColumn("__g", F.lit(0))
         by = ["__g"]
-    if buckets <= 1:
-        hb = hist.withColumn("__bucket", F.lit(0))
-    else:
-        probs = [i / buckets for i in range(1, buckets)]
-        pct = F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(p) for p in probs]), max(10_000, 10 * buckets))
-        hb = hist.join(hist.groupBy(*by).agg(pct.alias("__bounds")), by, "inner")
-        hb = hb.withColumn("__bucket", F.size(F.filter("__bounds", lambda b: b < F.col(value).cast("double")))).drop("__bounds")
+    probs = [i / buckets for i in range(1, buckets)]
+    pct = F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(p) for p in probs]), max(10_000, 10 * buckets))
+    hb = hist.join(hist.groupBy(*by).agg(pct.alias("__bounds")), by, "inner")
+    hb = hb.withColumn("__bucket", F.size(F.filter("__bounds", lambda b: b < F.col(value).cast("double")))).drop("__bounds")
     btot = hb.groupBy(*by, "__bucket").agg(F.sum(weight).alias("__btot"))
     wb = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = btot.withColumn("__off", F.coalesce(F.sum("__btot").over(wb), F.lit(0))).drop("__btot")
