@@ -13,7 +13,8 @@ Buckets of at most ``LIMIT`` sets are compared by brute force with exact
 intersections; larger ones recurse. A pair at the threshold shares a path of two
 tokens with probability 0.47 at least, so ``RUNS`` runs leave one in 300,000 such
 pairs apart, and fewer at higher similarities. Deeper paths are shared less often.
-So members of large buckets get ``MORE_RUNS`` further runs, once the similar cores (below) are taken off, and
+So members of large buckets get ``MORE_RUNS`` further runs, once the similar cores and the texts that only
+share a passage (both below) are taken off, and
 below the second level a node chooses the tokens below ``1/(0.64 n)``. Of pairs at
 the threshold with sizes 4:5, the worst case, a run then shares a path of 3, 4, 5,
 6 and 7 tokens with probability 0.40, 0.36, 0.33, 0.32 and 0.30; all runs miss one
@@ -25,7 +26,10 @@ minus similarity) to the bucket's smallest member obey the triangle inequality,
 so a set nearer than 0.5 has all its links within distance 0.7. The sets within
 0.7 are compared completely, once, in tiles (an exact way, whatever their
 number), and the near ones leave the recursion. They are sent as what they lack and have
-beside the smallest member, which is little in a core. What is still large after
+beside the smallest member, which is little in a core. Of what is left, the tokens of a smallest member that
+more than ``LIMIT`` members hold are common, a passage in most cases. A set whose links need m tokens besides its common ones
+goes on with single rare ones, chosen below 1/m in ``RUNS`` runs, which leaves one link in 4e8 apart, and leaves the
+recursion; a set whose links may do without goes on with all its rare tokens, and stays in it. What is still large after
 ``LEVELS`` levels is compared in tiles too, so nothing is capped.
 
 Equal sets are one representative with the number of its different texts. A pair
@@ -190,24 +194,69 @@ def _children(x: np.ndarray, path: W.U) -> np.ndarray:
 
 def _recurse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a member of large buckets with the same smallest member: whether it is near that one;
-    if it lies around it, its size and what it lacks and has beside it; if it isn't near it, the paths of the next level."""
+    if it lies around it, its size and what it lacks and has beside it; if it isn't near it, the paths of the next level.
+    Then, for each smallest member, how many of the task's members that aren't near hold each of its tokens."""
+    names = ["rep", "pivot", "near", "size", "gone", "fresh", "children", "counts"]
+    held: dict[int, np.ndarray] = {}
+
+    def counted() -> pa.RecordBatch:
+        n = len(held)
+        out = [pa.nulls(n, pa.int64()), pa.array(list(held), pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
+               pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.array([x.astype("<i4").tobytes() for x in held.values()], pa.binary())]
+        held.clear()
+        return pa.RecordBatch.from_arrays(out, names)
+
     for batch in batches:
         near, size, gone, fresh, children = [], [], [], [], []
-        for paths, x, p in zip(*(batch.column(k).to_pylist() for k in ("paths", "set", "pivot_set")), strict=True):
+        for pivot, paths, x, p in zip(*(batch.column(k).to_pylist() for k in ("pivot", "paths", "set", "pivot_set")), strict=True):
             x, p = _tokens(x), _tokens(p)
-            out, new = np.setdiff1d(p, x, assume_unique=True), np.setdiff1d(x, p, assume_unique=True)
+            has = np.isin(p, x, assume_unique=True)
+            out, new = p[~has], np.setdiff1d(x, p, assume_unique=True)
             far = 1 - (len(p) - len(out)) / (len(p) + len(new))
             near.append(far < NEAR)
             size.append(len(p) if far <= FAR else None)
             gone.append(out.tobytes() if far <= FAR else None)
             fresh.append(new.tobytes() if far <= FAR else None)
             nxt = []
-            for seed in np.array(paths if far >= NEAR else [], dtype=np.int64).view(W.U):
-                nxt += W.int64(_children(x, seed)).tolist()
+            if far >= NEAR:
+                held[pivot] = held[pivot] + has if pivot in held else has.astype(np.int64)
+                for seed in np.array(paths, dtype=np.int64).view(W.U):
+                    nxt += W.int64(_children(x, seed)).tolist()
             children.append(nxt)
-        yield pa.RecordBatch.from_pydict({
-            "rep": batch.column("rep"), "pivot": batch.column("pivot"), "near": pa.array(near, pa.bool_()), "size": pa.array(size, pa.int64()),
-            "gone": pa.array(gone, pa.binary()), "fresh": pa.array(fresh, pa.binary()), "children": pa.array(children, pa.list_(pa.int64()))})
+        yield pa.RecordBatch.from_arrays([
+            batch.column("rep"), batch.column("pivot"), pa.array(near, pa.bool_()), pa.array(size, pa.int64()), pa.array(gone, pa.binary()),
+            pa.array(fresh, pa.binary()), pa.array(children, pa.list_(pa.int64())), pa.nulls(len(near), pa.binary())], names)
+        if len(held) > 1000:
+            yield counted()
+    if held:
+        yield counted()
+
+
+def _common_tokens(table: pa.Table) -> pa.Table:
+    """The tokens of a bucket's smallest member that more than ``LIMIT`` of the members hold."""
+    total = sum(np.frombuffer(c, dtype="<i4").astype(np.int64) for c in table.column("counts").to_pylist())
+    tokens = _tokens(table.column("pivot_set")[0].as_py())
+    return pa.table({"pivot": table.column("pivot")[:1], "common": pa.array([tokens[total > LIMIT].tobytes()], pa.binary())})
+
+
+def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paths of one token among a member's rare ones under a smallest member, and whether a link may do without them.
+
+    A linked set holds at least 0.8 n of a set's n tokens; c of these being common, m = 0.8 n - c of the rare ones. A run would
+    choose the rare tokens whose hash is below 1/m; ``RUNS`` runs at once choose those below 1 - (1 - 1/m)^RUNS. Sets that meet
+    in a bucket have its smallest member, so the same common tokens, and choose alike."""
+    for batch in batches:
+        paths, stays = [], []
+        for x, pivot, common in zip(*(batch.column(k).to_pylist() for k in ("set", "pivot", "common")), strict=True):
+            x, seed = _tokens(x), W.mix64(np.array([pivot], dtype=np.int64).view(W.U) + W.U(1))
+            rare = np.setdiff1d(x, _tokens(common), assume_unique=True)
+            least = -(-4 * len(x) // 5) - (len(x) - len(rare))
+            u = _draw(rare, seed)
+            if least > 1:
+                u = u[u < W.U(int((1 - (1 - 1 / least)**RUNS) * (1 - 1e-12) * 2.0**64))]
+            paths.append(W.int64(W.mix64(u ^ seed)).tolist())
+            stays.append(least <= 0)
+        yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "children": pa.array(paths, pa.list_(pa.int64())), "stays": pa.array(stays, pa.bool_())})
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -361,7 +410,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     small = members.where(F.col("size") <= LIMIT).select("path", "rep")
     large = members.where(F.col("size") > LIMIT).select("path", "rep", "pivot")
-    shape = schema(rep=LONG, pivot=LONG, near=BOOL, size=LONG, gone=BINARY, fresh=BINARY).add("children", T.ArrayType(LONG))
+    shape = schema(rep=LONG, pivot=LONG, near=BOOL, size=LONG, gone=BINARY, fresh=BINARY).add("children", T.ArrayType(LONG)).add("counts", BINARY)
     around: list[DataFrame] = []
     for level in range(LEVELS):
         if large.isEmpty():
@@ -377,13 +426,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         around.append(step.where("size is not null").select(F.xxhash64(F.lit("around"), F.lit(level), "pivot").alias("home"), "rep",
                                                             F.col("size").alias("pivot_size"), "gone", "fresh"))
         # a member near any smallest one meets all its links around it
-        apart = (step.groupBy("rep").agg(F.max("near").alias("complete"), F.flatten(F.collect_list("children")).alias("children"))
+        apart = (step.where("rep is not null").groupBy("rep").agg(F.max("near").alias("complete"), F.flatten(F.collect_list("children")).alias("children"))
                  .where("not complete").select("rep", "children"))
         apart, _ = materialise(apart, "apart")
         paths = apart.select(F.explode("children").alias("path"), "rep")
         if not level:
-            again = in_large.join(apart.select(F.col("rep").alias("_rep")), F.col("rep") == F.col("_rep"), "left_semi")
-            paths = paths.union(again.mapInArrow(_more_paths, schema(rep=LONG, path=LONG)).select("path", "rep"))
+            common = (step.where("rep is null").select("pivot", "counts")
+                      .join(in_large.select(F.col("rep").alias("_pivot"), F.col("set").alias("pivot_set")), F.col("pivot") == F.col("_pivot"))
+                      .select("pivot", "counts", "pivot_set").groupBy("pivot").applyInArrow(_common_tokens, schema(pivot=LONG, common=BINARY)))
+            common = common.select(F.col("pivot").alias("_pivot"), "common", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_part"))
+            met = (step.where("rep is not null").select("rep", "pivot", F.pmod(F.xxhash64("rep"), F.lit(SALT)).cast("int").alias("part"))
+                   .join(common, (F.col("pivot") == F.col("_pivot")) & (F.col("part") == F.col("_part"))).select("rep", "pivot", "common"))
+            own = apart.select("rep").join(met, "rep").join(in_large, "rep").select("rep", "pivot", "set", "common")
+            rare, _ = materialise(own.mapInArrow(_rare, schema(rep=LONG).add("children", T.ArrayType(LONG)).add("stays", BOOL)), "rare")
+            stays = rare.where("stays").select(F.col("rep").alias("_rep")).distinct()
+            again = in_large.join(stays, F.col("rep") == F.col("_rep"), "left_semi")
+            paths = (paths.join(stays, F.col("rep") == F.col("_rep"), "left_semi").select("path", "rep")
+                     .union(rare.select(F.explode("children").alias("path"), "rep"))
+                     .union(again.mapInArrow(_more_paths, schema(rep=LONG, path=LONG)).select("path", "rep")))
         deeper, _ = materialise(_members(paths), "members")
         small = small.union(deeper.where(F.col("size") <= LIMIT).select("path", "rep"))
         large = deeper.where(F.col("size") > LIMIT).select("path", "rep", "pivot")
