@@ -464,9 +464,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per_rep = (homes.groupBy("rep").agg(F.collect_list("home").alias("homes")).join(usable.select(F.col("rep").alias("_w"), "weight"), F.col("rep") == F.col("_w"))
                .select(F.col("rep").alias("_rep"), "homes", "weight"))
     # the members of a core by their differences, all others by their sets
-    held = (homes.where("pivot_size is null").join(sets, "rep").select("home", "rep", "tiles", "pivot_size", "gone", "fresh", "set")
-            .union(homes.where("pivot_size is not null").withColumn("set", F.lit(None).cast("binary"))))
-    placed = (held.join(per_rep, F.col("rep") == F.col("_rep"))
+    at, listed_at = ["home", "rep", "tiles", "pivot_size", "gone", "fresh"], F.col("rep") == F.col("_rep")
+    whole_sets = homes.where("pivot_size is null").select(*at).join(sets, "rep").join(per_rep, listed_at).select(*at, "set", "homes", "weight")
+    cores = homes.where("pivot_size is not null").join(per_rep, listed_at).select(*at, F.lit(None).cast("binary").alias("set"), "homes", "weight")
+    placed = (whole_sets.union(cores)
               .withColumn("own", F.pmod(F.xxhash64("rep"), F.greatest("tiles", F.lit(1))).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("tiles", F.lit(1)) - 1)))
               .select("home", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.col("own").alias("side"),
