@@ -178,3 +178,19 @@ def test_gbt_propensity_small(spark):
                                              "seg": rng.choice(["a", "b"], 200)}))
     scored, auc = M.gbt_propensity(df, "arm", ["x"], ["seg"], trees=5, depth=2, folds=2)
     assert scored.count() == 200 and 0.7 < auc <= 1.0
+
+
+def test_rounds_of_score_order_broadcast_nothing(spark, monkeypatch):
+    """The driver builds no table for the joins of the rounds, however many there are."""
+    plans, cut = [], M.cut_lineage
+
+    def kept(df, *a):
+        out = cut(df, *a)
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return out
+
+    monkeypatch.setattr(M, "cut_lineage", kept)
+    t, c = {i: i / 64 for i in range(40)}, {100 + i: i / 128 for i in range(60)}
+    got, _ = _run(spark, t, c, 0.3, bucket=8, rule="score_order")
+    assert got == _brute(t, c, 0.3, "score_order")
+    assert len(plans) > 8 and sum(p.count("BroadcastHashJoin") for p in plans) <= 2  # of the blocks, before the rounds

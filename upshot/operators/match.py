@@ -101,6 +101,8 @@ def numbered(df: DataFrame, order: Sequence[str], out: str, within: Sequence[str
     before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col("__p").alias("__q"), *[F.col(k).alias(f"__k_{k}") for k in keys],
                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    if keys:  # a row for each group and its ranges: too many to broadcast
+        offsets = offsets.hint("merge")
     same = F.col("__p") == F.col("__q")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
@@ -281,7 +283,9 @@ def _score_order(blocks: DataFrame, size: int) -> list[DataFrame]:
     Buckets of ``size`` blocks are served at the same time, each as if the buckets before had taken what they took
     in the round before, from the controls of the ``wide`` buckets to either side. When no bucket
     takes otherwise than in the round before, each has met what the ones before it really took, from the
-    first on: that is the result of serving all in one row. Only buckets whose controls changed are served again."""
+    first on: that is the result of serving all in one row. Only buckets whose controls changed are served again.
+
+    Joins of the rounds are by sorting: a broadcast each would pile up in the driver."""
     dealt = cut_lineage(numbered(_with_partner(blocks), ["g", "s", "arm"], "o").withColumn("b", F.expr(f"o div {size}")))
     treated = dealt.where("arm = 1").select("g", "b", "s", "n", "cal")
     controls = dealt.where("arm = 0").select("g", "b", "s", "n")
@@ -295,24 +299,24 @@ def _score_order(blocks: DataFrame, size: int) -> list[DataFrame]:
             takes = got.where("n > 0").groupBy("g", "b", "cs").agg(F.sum("n").alias("n"))
             so_far = Window.partitionBy("g", "cs").orderBy("b")
             whole = (takes.withColumn("sum", F.sum("n").over(so_far)).select(F.col("g").alias("__g"), F.col("cs").alias("__s"), "b", "sum")
-                     .join(controls.select("g", "s", F.col("n").alias("all")), (F.col("g") == F.col("__g")) & (F.col("s") == F.col("__s")))
+                     .join(controls.select("g", "s", F.col("n").alias("all")).hint("merge"), (F.col("g") == F.col("__g")) & (F.col("s") == F.col("__s")))
                      .where("sum >= all").groupBy("__g", "__s").agg(F.min("b").alias("last")))
-            known = controls.join(whole, (F.col("g") == F.col("__g")) & (F.col("s") == F.col("__s")), "left").drop("__g", "__s")
+            known = controls.join(whole.hint("merge"), (F.col("g") == F.col("__g")) & (F.col("s") == F.col("__s")), "left").drop("__g", "__s")
         known = cut_lineage(known)  # ``last``: the bucket that takes the control's last unit
         seen = known.withColumn("to", F.explode(F.expr(f"sequence(b - {wide}, greatest(b - {wide}, least(b + {wide}, coalesce(last, b + {wide}))))")))
-        seen = seen.join(served, (F.col("g") == F.col("__g")) & (F.col("to") == F.col("__to")), "left_semi")
+        seen = seen.join(served.hint("merge"), (F.col("g") == F.col("__g")) & (F.col("to") == F.col("__to")), "left_semi")
         if got is not None:
             low = takes.select(F.col("g").alias("__g"), F.col("cs").alias("__s"), F.col("b").alias("__by"), F.col("n").alias("__n"))
-            seen = (seen.join(low, (F.col("g") == F.col("__g")) & (F.col("s") == F.col("__s")) & (F.col("__by") < F.col("to")), "left")
+            seen = (seen.join(low.hint("merge"), (F.col("g") == F.col("__g")) & (F.col("s") == F.col("__s")) & (F.col("__by") < F.col("to")), "left")
                     .groupBy("g", "to", "s", "n").agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("used")))
         else:
             seen = seen.select("g", "to", "s", "n", F.lit(0).cast("long").alias("used"))
         seen = seen.where("n > used")
         ends = known.groupBy("g", "b").agg(F.min("s").alias("lo"), F.max(F.when(F.col("last").isNull(), F.col("s"))).alias("hi"))
-        ends = dealt.select("g", "b").distinct().join(ends.select(F.col("g").alias("__g"), F.col("b").alias("__b"), "lo", "hi"),
+        ends = dealt.select("g", "b").distinct().join(ends.select(F.col("g").alias("__g"), F.col("b").alias("__b"), "lo", "hi").hint("merge"),
                                                       (F.col("g") == F.col("__g")) & (F.col("b") == F.col("__b")), "left").drop("__g", "__b")
         ends = _edges(ends, "lo", "hi", "c", wide + 1).select(F.col("g").alias("__g"), F.col("b").alias("__b"), "c_below", "c_above")
-        mine = (treated.join(ends, (F.col("g") == F.col("__g")) & (F.col("b") == F.col("__b")))
+        mine = (treated.join(ends.hint("merge"), (F.col("g") == F.col("__g")) & (F.col("b") == F.col("__b")))
                 .select("g", "b", F.lit(1).alias("arm"), "s", "n", F.lit(0).cast("long").alias("used"), "cal", "c_below", "c_above"))
         none = F.lit(None).cast("double")
         given = mine.union(seen.select("g", "to", F.lit(0), "s", "n", "used", none, none, none))
@@ -394,8 +398,8 @@ def match_nearest(units: DataFrame, id_col: str, arm: str, score: str,
     t = ranked.where("arm = 1").select(F.col("g").alias("__tg"), F.col("s").alias("__ts"), F.col("r").alias("__tr"), F.col("id").alias("treatment_id"),
                                        *[f"__by_{k}" for k in range(len(by))])
     c = ranked.where("arm = 0").select(F.col("g").alias("__cg"), F.col("s").alias("__cs"), F.col("r").alias("__cr"), F.col("id").alias("control_id"))
-    return (pairs.join(t, (F.col("g") == F.col("__tg")) & (F.col("ts") == F.col("__ts")) & (F.col("tr") == F.col("__tr")))
-            .join(c, (F.col("g") == F.col("__cg")) & (F.col("cs") == F.col("__cs")) & (F.col("cr") == F.col("__cr"))).select(*columns))
+    return (pairs.join(t.hint("merge"), (F.col("g") == F.col("__tg")) & (F.col("ts") == F.col("__ts")) & (F.col("tr") == F.col("__tr")))
+            .join(c.hint("merge"), (F.col("g") == F.col("__cg")) & (F.col("cs") == F.col("__cs")) & (F.col("cr") == F.col("__cr"))).select(*columns))
 
 
 def match_report(pairs: DataFrame, units: DataFrame, arm: str) -> DataFrame:
