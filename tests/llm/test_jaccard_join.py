@@ -94,6 +94,19 @@ def test_large_buckets(spark, monkeypatch, levels):
     check(J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string")), rows)
 
 
+def test_a_token_is_one_path_however_many_large_buckets_a_set_is_in(spark, monkeypatch):
+    """Rare tokens are gone on with once for each set, not once for each of its smallest members, and exploded once."""
+    monkeypatch.setattr(J, "LIMIT", 4)
+    written = defaultdict(list)
+    monkeypatch.setattr(J, "materialise", lambda df, name, *by, f=J.materialise: written[name].append(f(df, name, *by)) or written[name][-1])
+    rows = family()
+    check(J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string")), rows)
+    rare, = (x for x, _ in written["rare"])
+    assert rare.count() > 20 and rare.count() == rare.select("rep").distinct().count()
+    paths, = (x for x, _ in written["paths"])
+    assert paths.count() > 20 and paths.count() == paths.distinct().count()
+
+
 def test_keep_one_and_no_rows(spark, tricky, no_rows):
     kept = J.keep_one(tricky)
     assert kept.columns == tricky.columns

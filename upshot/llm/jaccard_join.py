@@ -240,22 +240,27 @@ def _common_tokens(table: pa.Table) -> pa.Table:
 
 
 def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paths of one token among a member's rare ones under a smallest member, and whether a link may do without them.
+    """Paths of one token among a member's rare ones under any of its smallest members, and whether a link may do without them.
 
     A linked set holds at least 0.8 n of a set's n tokens; c of these being common, m = 0.8 n - c of the rare ones. A run would
     choose the rare tokens whose hash is below 1/m; ``RUNS`` runs at once choose those below 1 - (1 - 1/m)^RUNS. Sets that meet
-    in a bucket have its smallest member, so the same common tokens, and choose alike."""
+    in a bucket have its smallest member, so the same common tokens, and choose alike. The hash is the same under every smallest
+    member, so a token makes one path, whatever the number of large buckets that its set is in."""
+    seed = W.mix64(np.array([1], dtype=W.U))
     for batch in batches:
         paths, stays = [], []
-        for x, pivot, common in zip(*(batch.column(k).to_pylist() for k in ("set", "pivot", "common")), strict=True):
-            x, seed = _tokens(x), W.mix64(np.array([pivot], dtype=np.int64).view(W.U) + W.U(1))
-            rare = np.setdiff1d(x, _tokens(common), assume_unique=True)
-            least = -(-4 * len(x) // 5) - (len(x) - len(rare))
-            u = _draw(rare, seed)
-            if least > 1:
-                u = u[u < W.U(int((1 - (1 - 1 / least)**RUNS) * (1 - 1e-12) * 2.0**64))]
-            paths.append(W.int64(W.mix64(u ^ seed)).tolist())
-            stays.append(least <= 0)
+        for x, commons in zip(*(batch.column(k).to_pylist() for k in ("set", "commons")), strict=True):
+            x = _tokens(x)
+            u, chosen, free = _draw(x, seed), np.zeros(len(x), dtype=bool), False
+            for common in set(commons):
+                rare = np.isin(x, _tokens(common), assume_unique=True, invert=True)
+                least = -(-4 * len(x) // 5) - (len(x) - int(rare.sum()))
+                if least > 1:
+                    rare &= u < W.U(int((1 - (1 - 1 / least)**RUNS) * (1 - 1e-12) * 2.0**64))
+                chosen |= rare
+                free |= least <= 0
+            paths.append(W.int64(W.mix64(u[chosen] ^ seed)).tolist())
+            stays.append(free)
         yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "children": pa.array(paths, pa.list_(pa.int64())), "stays": pa.array(stays, pa.bool_())})
 
 
@@ -436,14 +441,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       .select("pivot", "counts", "pivot_set").groupBy("pivot").applyInArrow(_common_tokens, schema(pivot=LONG, common=BINARY)))
             common = common.select(F.col("pivot").alias("_pivot"), "common", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_part"))
             met = (step.where("rep is not null").select("rep", "pivot", F.pmod(F.xxhash64("rep"), F.lit(SALT)).cast("int").alias("part"))
-                   .join(common, (F.col("pivot") == F.col("_pivot")) & (F.col("part") == F.col("_part"))).select("rep", "pivot", "common"))
-            own = apart.select("rep").join(met, "rep").join(in_large, "rep").select("rep", "pivot", "set", "common")
+                   .join(common, (F.col("pivot") == F.col("_pivot")) & (F.col("part") == F.col("_part"))).select("rep", "common"))
+            met = apart.select("rep").join(met, "rep").groupBy("rep").agg(F.collect_set("common").alias("commons"))
+            own = met.join(in_large, "rep").select("rep", "set", "commons")
             rare, _ = materialise(own.mapInArrow(_rare, schema(rep=LONG).add("children", T.ArrayType(LONG)).add("stays", BOOL)), "rare")
-            stays = rare.where("stays").select(F.col("rep").alias("_rep")).distinct()
+            stays = rare.where("stays").select(F.col("rep").alias("_rep"))
             again = in_large.join(stays, F.col("rep") == F.col("_rep"), "left_semi")
-            paths = (paths.join(stays, F.col("rep") == F.col("_rep"), "left_semi").select("path", "rep")
-                     .union(rare.select(F.explode("children").alias("path"), "rep"))
-                     .union(again.mapInArrow(_more_paths, schema(rep=LONG, path=LONG)).select("path", "rep")))
+            stay_on = apart.join(stays, F.col("rep") == F.col("_rep"), "left_semi").select("rep", "children")
+            paths, _ = materialise(
+                stay_on.union(rare.select("rep", "children")).select(F.explode("children").alias("path"), "rep")
+                .union(again.mapInArrow(_more_paths, schema(rep=LONG, path=LONG)).select("path", "rep")), "paths")  # read twice
         deeper, _ = materialise(_members(paths), "members")
         small = small.union(deeper.where(F.col("size") <= LIMIT).select("path", "rep"))
         large = deeper.where(F.col("size") > LIMIT).select("path", "rep", "pivot")
