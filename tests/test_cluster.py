@@ -105,3 +105,29 @@ def test_scores_of_labellings_against_spark_and_plain_sums(spark):
         assert got[c]["silhouette"] == pytest.approx(want, abs=1e-6)
     assert got["truth"]["clusters"] == [(c, int((pdf.truth == c).sum()), int(pdf[pdf.truth == c].arm.sum())) for c in range(3)]
     assert np.isnan(K.silhouette(x.withColumn("cluster", F.lit(0))))
+
+
+def test_trees_of_all_cluster_numbers_share_their_passes(spark, monkeypatch):
+    """The labels of Spark ML's bisecting fits, with no more passes than one tree of three levels makes."""
+    from pyspark.ml.clustering import BisectingKMeans
+    from upshot.operators import kmeans
+    rng = np.random.default_rng(7)
+    n = 400
+    blob = rng.choice(8, n, p=[.3, .2, .15, .1, .08, .07, .06, .04])
+    v = np.column_stack([blob % 2 * 40, blob // 2 % 2 * 17, blob // 4 * 7]) + rng.normal(size=(n, 3)) + [3, 1, 2]
+    x = K.assemble(spark.createDataFrame(pd.DataFrame(v, columns=list("abc"))), list("abc"))
+    passes = []
+    monkeypatch.setattr(kmeans, "_divide", lambda *a, f=kmeans._divide: passes.append(1) or f(*a))
+    trees = kmeans.fit_trees(K.weighted_points(x), range(3, 8), 42)
+    assert 0 < len(passes) <= 3 * kmeans.TREE_ITERATIONS
+    for k in range(3, 8):
+        want = BisectingKMeans(k=k, seed=42, predictionCol="want").fit(x).transform(x)
+        got = want.withColumn("got", kmeans.tree_leaf("features", trees[k])).toPandas()
+        assert got.want.nunique() == k and (got.want == got.got).all()
+    assert K.fit_bisecting(x.where("1 = 0"), 3).count() == 0
+
+
+def test_equal_rows_make_one_leaf(spark):
+    hot = K.assemble(spark.createDataFrame([(1.0, 2.0)] * 50 + [(5.0, 2.0)] * 3, "a double, b double"), ["a", "b"])
+    got = K.fit_bisecting(hot, 4).toPandas()
+    assert got.groupby("a").cluster.nunique().max() == 1 and got.cluster.nunique() == 2

@@ -10,8 +10,9 @@ pass over these, for all (cluster number, start) runs at once:
   sums, weight and cost of each centre as (centre, place, value); Spark adds these up by centre and
   place. A run whose centres have stopped moving leaves the following passes.
 
-So there is a job an iteration, not one for each start. The driver holds the centres,
-runs x k x dimensions numbers, whatever the rows. Draws come from a hash of seed, round
+So there is a job an iteration, not one for each start. Points of numbers are packed into blocks of some
+hundred for these passes. Bisecting trees of all cluster numbers share their passes in the same way (``fit_trees``).
+The driver holds the centres, runs x k x dimensions numbers, whatever the rows. Draws come from a hash of seed, round
 and point, so a repeated task draws the same.
 """
 
@@ -33,7 +34,9 @@ from ..session import cut_lineage, ship_package
 ROWS_PER_PARTITION = 20_000
 ROUNDS = 2          # of k-means||
 OVERSAMPLE = 2      # expected draws of a round, in centres
-CHUNK_NUMBERS = 4 << 20  # points x centres handled at once in a task
+CHUNK_NUMBERS = 1 << 19  # points x centres handled at once in a task
+BLOCK_NUMBERS = 1 << 14  # of a block of packed points
+TREE_ITERATIONS = 20  # of a split
 
 
 @dataclass
@@ -65,7 +68,10 @@ def weighted_points(df: DataFrame, features: str = "features") -> DataFrame:
 class Dense:
     """Rows of numbers."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array | np.ndarray):
+        if isinstance(column, np.ndarray):
+            self.x = column
+            return
         flat = column.flatten().to_numpy(zero_copy_only=False)
         self.x = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
@@ -136,9 +142,35 @@ def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * a @ b.T, 0.0)
 
 
+def _packed(points: DataFrame) -> DataFrame:
+    """Points of numbers in blocks, a row each, written once; sparse ones as they are."""
+    if points.schema["x"].dataType.typeName() != "array":
+        return points
+
+    def pack(batches):
+        for batch in batches:
+            x = _matrix(batch.column("x"))
+            w, h = (batch.column(c).to_numpy() for c in ("w", "h"))
+            step = max(1, BLOCK_NUMBERS // max(x.shape[1], 1))
+            cut = range(0, len(x), step)
+            yield pa.RecordBatch.from_arrays([pa.array([c[at:at + step].tobytes() for at in cut], pa.binary()) for c in (x, w, h)], ["x", "w", "h"])
+
+    return cut_lineage(points.mapInArrow(pack, "x binary, w binary, h binary"))
+
+
 def _chunks(batches, width: int):
+    """Points, weights and keys, of packed or single points."""
+    numbers = max(width, 1)
     for batch in batches:
-        step = max(1, CHUNK_NUMBERS // max(width, 1))
+        if pa.types.is_binary(batch.column("x").type):
+            for x, w, h in zip(*(batch.column(c).to_pylist() for c in ("x", "w", "h")), strict=True):
+                w, h = np.frombuffer(w, dtype=np.int64), np.frombuffer(h, dtype=np.int64)
+                x = np.frombuffer(x).reshape(len(w), -1)
+                step = max(1, CHUNK_NUMBERS // numbers)
+                for at in range(0, len(w), step):
+                    yield Dense(x[at:at + step]), w[at:at + step], h[at:at + step]
+            continue
+        step = max(1, CHUNK_NUMBERS // numbers)
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
             yield _points(part.column("x")), part.column("w").to_numpy(), part.column("h").to_numpy()
@@ -179,13 +211,21 @@ def _assign(points: DataFrame, groups: Sequence[np.ndarray]) -> tuple[np.ndarray
         at, stacked = held.value
         total = np.zeros((len(stacked), stacked.shape[1] + 2))
         for x, w, _ in _chunks(batches, len(stacked)):
-            d = x.distances(stacked)
+            d = np.ascontiguousarray(x.distances(stacked).T)  # a row a centre
+            took = np.empty_like(d)
             for a, b in zip(at[:-1], at[1:]):
-                nearest = d[:, a:b].argmin(axis=1)
-                cost = w * d[np.arange(len(x)), a + nearest]
-                total[a:b, -1] += np.bincount(nearest, cost, minlength=b - a)
-                total[a:b, -2] += np.bincount(nearest, w, minlength=b - a)
-                total[a:b, :-2] += x.sums(nearest, w, b - a)
+                least, nearest = d[a].copy(), np.zeros(len(x), dtype=np.int32)
+                for j in range(a + 1, b):
+                    np.putmask(nearest, d[j] < least, j - a)
+                    np.minimum(least, d[j], out=least)
+                for j in range(a, b):
+                    np.multiply(nearest == j - a, w, out=took[j])
+                total[a:b, -1] += took[a:b] @ least
+                if isinstance(x, Sparse):
+                    total[a:b, :-2] += x.sums(nearest, w, b - a)
+            total[:, -2] += took.sum(axis=1)
+            if isinstance(x, Dense):
+                total[:, :-2] += took @ x.x
         yield _rows(total)
 
     got = _table(_collect(points, run, FIELDS), len(stacked), stacked.shape[1] + 2)
@@ -267,10 +307,10 @@ def _dense(x) -> list[float]:
     return out
 
 
-def starts(points: DataFrame, runs: Sequence[tuple[int, int]]) -> list[np.ndarray]:
-    """First centres of every (k, seed) run by k-means||."""
+def starts(points: DataFrame, runs: Sequence[tuple[int, int]], single: DataFrame | None = None) -> list[np.ndarray]:
+    """First centres of every (k, seed) run by k-means||; ``single`` are the points if ``points`` are packed."""
     seeds = sorted({seed for _, seed in runs})
-    firsts = points.agg(*[F.min_by("x", F.xxhash64("h", F.lit(s))).alias(f"s{s}") for s in seeds]).first()
+    firsts = (points if single is None else single).agg(*[F.min_by("x", F.xxhash64("h", F.lit(s))).alias(f"s{s}") for s in seeds]).first()
     candidates = [np.array([_dense(firsts[f"s{seed}"])]) for _, seed in runs]
     for number in range(ROUNDS):
         _, _, cost = _assign(points, candidates)
@@ -289,7 +329,8 @@ def fit_starts(points: DataFrame, ks: Sequence[int], seeds: Sequence[int], max_i
     wanted = [(k, s) for k in ks for s in seeds]
     if points.isEmpty():
         return {}
-    runs = [Run(k, s, c) for (k, s), c in zip(wanted, starts(points, wanted), strict=True)]
+    single, points = points, _packed(points)
+    runs = [Run(k, s, c) for (k, s), c in zip(wanted, starts(points, wanted, single), strict=True)]
     for _ in range(max_iter):
         live = [r for r in runs if not r.done]
         if not live:
@@ -309,6 +350,158 @@ def fit_starts(points: DataFrame, ks: Sequence[int], seeds: Sequence[int], max_i
     return {k: min((r for r in runs if r.k == k), key=lambda r: (r.cost, r.seed)) for k in ks}
 
 
+@dataclass
+class Split:
+    """A cluster's division in two; ``parent`` is the split and side that its points come from."""
+
+    parent: tuple[int, int] | None
+    sides: np.ndarray  # two centres; infinite for a side without points
+    weight: np.ndarray
+    cost: np.ndarray
+    done: bool = False
+
+
+@dataclass
+class Tree:
+    """A tree of clusters: centres by place in the tree (1, children of p at 2 p and 2 p + 1), and the leaves' numbers."""
+
+    centres: dict[int, np.ndarray]
+    leaves: dict[int, int]
+
+    def labels(self, x: Dense | Sparse) -> np.ndarray:
+        """Leaf of each point, by the nearer child from the root on."""
+        places = sorted(self.centres)
+        d = x.distances(np.array([self.centres[p] for p in places]))
+        at, column = np.ones(len(x), dtype=np.int64), {p: i for i, p in enumerate(places)}
+        for p in places:
+            kids = [c for c in (2 * p, 2 * p + 1) if c in column]
+            if kids:
+                mine = np.flatnonzero(at == p)
+                far = kids[-1:] if len(kids) == 1 else np.where(d[mine, column[kids[1]]] < d[mine, column[kids[0]]], kids[1], kids[0])
+                at[mine] = far
+        out = np.zeros(len(x), dtype=np.int32)
+        for p, number in self.leaves.items():
+            out[at == p] = number
+        return out
+
+
+class _Noise:
+    """``java.util.Random`` doubles, as Spark ML's bisecting k-means draws them."""
+
+    def __init__(self, seed: int):
+        self.state = (seed ^ 0x5DEECE66D) & ((1 << 48) - 1)
+
+    def _bits(self, n: int) -> int:
+        self.state = (self.state * 0x5DEECE66D + 0xB) & ((1 << 48) - 1)
+        return self.state >> (48 - n)
+
+    def draw(self, n: int) -> np.ndarray:
+        return np.array([((self._bits(26) << 27) + self._bits(27)) / float(1 << 53) for _ in range(n)])
+
+
+def _divide(points: DataFrame, splits: list[Split]) -> None:
+    """One pass: the points of every split that isn't done go to the nearer side, whose centre moves to their mean."""
+    given = [(s.parent, s.sides, s.done) for s in splits]
+    dims = splits[0].sides.shape[1]
+    held = points.sparkSession.sparkContext.broadcast(given)
+
+    def run(batches):
+        given = held.value
+        stacked = np.concatenate([np.where(np.isfinite(sides), sides, 0.0) for _, sides, _ in given])
+        gone = ~np.isfinite(np.array([sides[:, 0] for _, sides, _ in given])).ravel()
+        total = np.zeros((len(stacked), dims + 2))
+        for x, w, _ in _chunks(batches, len(stacked)):
+            d = x.distances(stacked)
+            d[:, gone] = np.inf
+            member = {}
+            for k, (parent, _, done) in enumerate(given):
+                mine = member[parent] if parent else np.ones(len(x), dtype=bool)
+                right = d[:, 2 * k + 1] < d[:, 2 * k]
+                member[k, 0], member[k, 1] = mine & ~right, mine & right
+                if not done:
+                    side, weight = right.astype(np.int64), w * mine
+                    total[2 * k:2 * k + 2, :-2] += x.sums(side, weight, 2)
+                    total[2 * k:2 * k + 2, -2] += np.bincount(side, weight, minlength=2)
+                    total[2 * k:2 * k + 2, -1] += np.bincount(side, weight * np.where(mine, d[np.arange(len(x)), 2 * k + side], 0.0), minlength=2)
+        yield _rows(total)
+
+    got = _table(_collect(points, run, FIELDS), 2 * len(splits), dims + 2).reshape(len(splits), 2, dims + 2)
+    held.destroy()
+    for s, g in zip(splits, got, strict=True):
+        if s.done:
+            continue
+        n = g[:, dims]
+        new = np.where(n[:, None] > 0, g[:, :dims] / np.where(n > 0, n, 1)[:, None], np.inf)
+        moved = np.where(n > 0, np.square(np.where(np.isfinite(new), new, 0.0) - np.where(np.isfinite(s.sides), s.sides, 0.0)).sum(axis=1), 0.0)
+        s.done = bool(np.array_equal(new, s.sides))  # the same points go there from now on
+        s.sides, s.weight, s.cost = new, n, np.maximum(g[:, dims + 1] - n * moved, 0.0)
+
+
+def fit_trees(points: DataFrame, ks: Sequence[int], seed: int, max_iter: int = TREE_ITERATIONS) -> dict[int, Tree]:
+    """K-6: bisecting k-means for all cluster numbers at once, in ``max_iter`` passes a level at most, with the rules of Spark ML's:
+    every level divides the clusters that can be, the largest if not all are needed, each from two points beside its mean.
+    Equal divisions of several trees are made once; one whose centres have stopped moving is done."""
+    ship_package(points.sparkSession)
+    if points.isEmpty():
+        return {}
+    dims = len(_dense(points.first()["x"]))
+    points = _packed(points)
+    sums, weight, cost = _assign(points, [np.zeros((1, dims))])
+    mean = sums[0] / weight[0]
+    root = (None, mean, weight[0], max(cost[0] - weight[0] * float(mean @ mean), 0.0))  # split and side, centre, weight, cost
+    splits: list[Split] = []
+    known: dict = {}
+    clusters = {k: {1: root} for k in ks}
+    active = {k: {1: root} for k in ks}
+    noise, needed = {k: _Noise(seed) for k in ks}, {k: k - 1 for k in ks}
+    while True:
+        level: list[tuple[int, int, int]] = []
+        for k in ks:
+            able = [p for p, (_, _, n, c) in sorted(active[k].items()) if n >= 1 and c > np.finfo(float).eps * n] if needed[k] > 0 else []
+            if len(able) > needed[k]:
+                able = sorted(able, key=lambda p: -active[k][p][2])[:needed[k]]
+            for p in able:
+                parent, centre, _, _ = active[k][p]
+                beside = 1e-4 * np.sqrt(float(centre @ centre)) * noise[k].draw(dims)
+                sides = np.array([centre - beside, centre + beside])
+                key = parent, sides.tobytes()
+                if key not in known:
+                    known[key] = len(splits)
+                    splits.append(Split(parent, sides, np.zeros(2), np.zeros(2)))
+                level.append((k, p, known[key]))
+            needed[k] -= len(able)
+        if not level:
+            break
+        for _ in range(max_iter):
+            if all(s.done for s in splits):
+                break
+            _divide(points, splits)
+        for s in splits:
+            s.done = True
+        active = {k: {} for k in ks}
+        for k, p, number in level:
+            s = splits[number]
+            for side in (0, 1):
+                if s.weight[side] > 0:
+                    active[k][2 * p + side] = ((number, side), s.sides[side], s.weight[side], s.cost[side])
+        for k in ks:
+            clusters[k] |= active[k]
+
+    def leaves(of: dict, p: int) -> list[int]:
+        below = [x for c in (2 * p, 2 * p + 1) if c in of for x in leaves(of, c)]
+        return below or [p]
+
+    return {k: Tree({p: c[1] for p, c in clusters[k].items()}, {p: i for i, p in enumerate(leaves(clusters[k], 1))}) for k in ks}
+
+
+def tree_leaf(features: str, tree: Tree) -> Column:
+    """Number of a tree's leaf, for a feature vector."""
+    def leaf(x: pd.Series) -> pd.Series:
+        return pd.Series(tree.labels(Dense(np.stack(x.to_numpy()))) if len(x) else [], dtype="int32")
+
+    return F.pandas_udf(leaf, "int")(vector_to_array(features))
+
+
 def nearest_centre(features: str, centres: np.ndarray) -> Column:
     """Number of the nearest of some centres, for a feature vector."""
     def nearest(x: pd.Series) -> pd.Series:
