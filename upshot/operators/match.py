@@ -462,7 +462,7 @@ def cross_fitted_scores(df: DataFrame, key: str, label: str, numeric: Sequence[s
     return whole
 
 
-FIT_ROWS = 20_000
+FIT_ROWS = 100_000  # of a partition: a fit makes some thousand short passes, and a task of few rows is mostly its start
 
 
 def auc_by_group(scores: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
