@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +57,43 @@ def open_file(path: str, write: bool = False):
     return store.open_output_stream(at) if write else store.open_input_file(at)
 
 
+def release() -> None:
+    """Give freed memory of this process back to the system."""
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow. Spark uses Python workers again: what a task has freed goes back to the system at
+    its end, else it adds to the memory of the next step's tasks."""
+
+    @functools.wraps(run)
+    def tidy(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidy
+
+
+def lean_group(run: Callable) -> Callable:
+    """:func:`lean` for the groups of applyInArrow."""
+
+    @functools.wraps(run)
+    def tidy(*tables):
+        try:
+            return run(*tables)
+        finally:
+            release()
+
+    tidy.__signature__ = inspect.signature(run)  # Spark looks at the number of arguments
+    return tidy
+
+
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 

@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import BINARY, BOOL, INT, LONG, documents, drop_scratch, materialise, schema
+from .common import BINARY, BOOL, INT, LONG, documents, drop_scratch, lean, materialise, schema
 from .components import components
 
 SHINGLE = 5
@@ -394,7 +394,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     hashed = given.withColumn("th", text_hash(F.col("text")))
     described = schema(id=LONG, m1=LONG, m2=LONG, n=LONG, th=LONG).add("paths", T.ArrayType(LONG))
-    rows, _ = materialise(hashed.mapInArrow(_describe, described), "sets")
+    rows, _ = materialise(hashed.mapInArrow(lean(_describe), described), "sets")
 
     texts = rows.groupBy("m1", "m2", "n", "th").agg(
         F.min(F.struct(F.col("id").isNull(), "id", "th", "paths")).alias("first"), F.count(F.lit(1)).alias("copies"))
@@ -410,7 +410,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .join(usable.select("rep", "m1", "m2", F.col("id").alias("_id"), F.col("th").alias("_th")), "rep"))
     sets, sets_path = materialise(
         hashed.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("rep", "m1", "m2", "large", "text")
-        .mapInArrow(_collect_sets, schema(rep=LONG, large=INT, set=BINARY)), "tokens", "large")
+        .mapInArrow(lean(_collect_sets), schema(rep=LONG, large=INT, set=BINARY)), "tokens", "large")
     in_large, sets = sets.where("large = 1").select("rep", "set"), sets.select("rep", "set")
 
     small = members.where(F.col("size") <= LIMIT).select("path", "rep")
@@ -427,7 +427,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         step, _ = materialise(
             met.join(in_large, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(SALT)).cast("int"))
             .join(pivots, (F.col("pivot") == F.col("_pivot")) & (F.col("part") == F.col("_part")))
-            .select("rep", "pivot", "paths", "set", "pivot_set").mapInArrow(_recurse, shape), "level")
+            .select("rep", "pivot", "paths", "set", "pivot_set").mapInArrow(lean(_recurse), shape), "level")
         around.append(step.where("size is not null").select(F.xxhash64(F.lit("around"), F.lit(level), "pivot").alias("home"), "rep",
                                                             F.col("size").alias("pivot_size"), "gone", "fresh"))
         # a member near any smallest one meets all its links around it
@@ -444,13 +444,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                    .join(common, (F.col("pivot") == F.col("_pivot")) & (F.col("part") == F.col("_part"))).select("rep", "common"))
             met = apart.select("rep").join(met, "rep").groupBy("rep").agg(F.collect_set("common").alias("commons"))
             own = met.join(in_large, "rep").select("rep", "set", "commons")
-            rare, _ = materialise(own.mapInArrow(_rare, schema(rep=LONG).add("children", T.ArrayType(LONG)).add("stays", BOOL)), "rare")
+            rare, _ = materialise(own.mapInArrow(lean(_rare), schema(rep=LONG).add("children", T.ArrayType(LONG)).add("stays", BOOL)), "rare")
             stays = rare.where("stays").select(F.col("rep").alias("_rep"))
             again = in_large.join(stays, F.col("rep") == F.col("_rep"), "left_semi")
             stay_on = apart.join(stays, F.col("rep") == F.col("_rep"), "left_semi").select("rep", "children")
             paths, _ = materialise(
                 stay_on.union(rare.select("rep", "children")).select(F.explode("children").alias("path"), "rep")
-                .union(again.mapInArrow(_more_paths, schema(rep=LONG, path=LONG)).select("path", "rep")), "paths")  # read twice
+                .union(again.mapInArrow(lean(_more_paths), schema(rep=LONG, path=LONG)).select("path", "rep")), "paths")  # read twice
         deeper, _ = materialise(_members(paths), "members")
         small = small.union(deeper.where(F.col("size") <= LIMIT).select("path", "rep"))
         large = deeper.where(F.col("size") > LIMIT).select("path", "rep", "pivot")
@@ -481,7 +481,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       "rep", "weight", "set", "homes", "pivot_size", "gone", "fresh"))
     found, found_path = materialise(
         placed.repartition("home", "a", "b").sortWithinPartitions("home", "a", "b")
-        .mapInArrow(_compare, schema(rep=LONG, links=LONG, label=LONG)), "links")
+        .mapInArrow(lean(_compare), schema(rep=LONG, links=LONG, label=LONG)), "links")
     drop_scratch(spark, sets_path, members_path, homes_path)
 
     counts = found.groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "_rep")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import BINARY, DOUBLE, LONG, STRING, documents, schema, ship_package
+from .common import BINARY, DOUBLE, LONG, STRING, documents, lean, schema, ship_package
 
 MAX_N = 3
 BITS = 16
@@ -155,7 +155,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 yield pa.RecordBatch.from_pydict({"lang": part.column("lang"), "h": part.column("h"), "t": part.column("t"),
                                                   "bits": pa.array([r.tobytes() for r in packed], pa.binary())})
 
-    got = (picked.select("lang", "h", "t", "text").mapInArrow(bits, schema(lang=STRING, h=LONG, t=LONG, bits=BINARY))
+    got = (picked.select("lang", "h", "t", "text").mapInArrow(lean(bits), schema(lang=STRING, h=LONG, t=LONG, bits=BINARY))
            .dropDuplicates(["lang", "h", "t"]).orderBy("lang", "h", "t").limit(rows).collect())
     packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in got), np.uint8).reshape(len(got), -1)
     return fit(packed, [r["lang"] for r in got])
@@ -174,7 +174,7 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 langs, scores = model.predict(pc.struct_field(b.column("row"), text_col).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], out.names)
 
-    return given.mapInArrow(run, out)
+    return given.mapInArrow(lean(run), out)
 
 
 def held_out(id_col: str = "doc_id"):

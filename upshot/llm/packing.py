@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import INT, LONG, documents, gapless_rank, materialise, schema, ship_package
+from .common import INT, LONG, documents, gapless_rank, lean, materialise, schema, ship_package
 
 CAPACITY = 2048
 SETTINGS = ((32, 1 / 4), (32, 1 / 3), (64, 1 / 3), (32, 1 / 2))  # (groups, share of the capacity up to which lengths are small)
@@ -128,7 +128,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
                 for k, f in enumerate(out.fields)})
 
     given = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return given.mapInArrow(run, out)
+    return given.mapInArrow(lean(run), out)
 
 
 def best_configurations(sizes: list[int], wanted: list[int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -335,7 +335,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                 [*names, "sequence_id", "offset"])
 
     out = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", LONG), T.StructField("offset", LONG)])
-    return ranked.select(*names, "rank").mapInArrow(run, out).withColumnRenamed("id", id_col)
+    return ranked.select(*names, "rank").mapInArrow(lean(run), out).withColumnRenamed("id", id_col)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

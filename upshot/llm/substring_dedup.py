@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import BINARY, INT, LONG, STRING, documents, drop_scratch, materialise, schema, shuffle_partitions
+from .common import BINARY, INT, LONG, STRING, documents, drop_scratch, lean, lean_group, materialise, schema, shuffle_partitions
 
 WINDOW = 50
 PERIOD = 31
@@ -421,20 +421,20 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     removed_type = T.StructType([T.StructField("row", row_type), T.StructField("kept", STRING),
                                  *schema(n_words=LONG, n_removed=LONG, kept_sha256=STRING).fields])
 
-    dealt, dealt_path = materialise(given.mapInArrow(_deal(row_type, ranges, window), dealt_type), "dealt", "kind")
+    dealt, dealt_path = materialise(given.mapInArrow(lean(_deal(row_type, ranges, window)), dealt_type), "dealt", "kind")
     shared = (dealt.where("kind = 1").select("part", "chunk", "data").groupBy("part")
-              .applyInArrow(_shared_anchors, schema(chunk=LONG, data=BINARY)))
+              .applyInArrow(lean_group(_shared_anchors), schema(chunk=LONG, data=BINARY)))
     extended, _ = materialise(
         dealt.where("kind = 0").groupBy("chunk").cogroup(shared.groupBy("chunk"))
-        .applyInArrow(_extend(ranges, window, keep_text), extended_type), "extended", "kind")
+        .applyInArrow(lean_group(_extend(ranges, window, keep_text)), extended_type), "extended", "kind")
     drop_scratch(spark, dealt_path)
     earlier = (extended.where("kind = 1").select("part", "chunk", "size", "data").groupBy("part")
-               .applyInArrow(_earlier, schema(chunk=LONG, part=LONG, size=LONG, data=BINARY)))
+               .applyInArrow(lean_group(_earlier), schema(chunk=LONG, part=LONG, size=LONG, data=BINARY)))
     removed = (extended.where("kind = 0").drop("n_words", "kept_sha256").groupBy("chunk").cogroup(earlier.groupBy("chunk"))
-               .applyInArrow(_remove(ranges, window), removed_type))
+               .applyInArrow(lean_group(_remove(ranges, window)), removed_type))
     clean = extended.where("kind = 2")
     if keep_text:
-        clean = clean.select("row", "data", "size", "n_words", "kept_sha256").mapInArrow(_unpack, removed_type)
+        clean = clean.select("row", "data", "size", "n_words", "kept_sha256").mapInArrow(lean(_unpack), removed_type)
     else:
         clean = clean.select("row", F.lit(None).cast("string").alias("kept"), "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     return removed.union(clean)
