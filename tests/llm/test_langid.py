@@ -63,6 +63,17 @@ def test_sample_is_bounded(spark):
     assert len(L.train(docs, rows=21).langs) == 7 and len(L.train(docs, rows=5).langs) <= 5
 
 
+def test_fit_holds_the_landmarks_once():
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    bits = np.packbits(rng.random((L.LANDMARKS, 1 << L.BITS)) < 0.02, axis=1)
+    tracemalloc.start()
+    L.fit(bits, ["l%d" % (i % 3) for i in range(len(bits))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.9 * 4 * (L.LANDMARKS << L.BITS)
+
+
 def test_letters():
     assert not any(map(L.has_letter, ["½", "²", "Ⅷ", "12 !?", "_", "☃", "", "१"]))
     assert all(map(L.has_letter, ["1a", "漢", "ª", "ʰ", "½ é"]))

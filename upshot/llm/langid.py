@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import BINARY, DOUBLE, LONG, STRING, documents, lean, schema, ship_package
+from .common import BINARY, DOUBLE, LONG, STRING, documents, lean, release, schema, ship_package
 
 MAX_N = 3
 BITS = 16
@@ -103,14 +103,17 @@ def fit(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge:
 
     def unpacked(rows: np.ndarray) -> np.ndarray:
         x = np.unpackbits(rows, axis=1).astype(np.float32)
-        return x / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
+        x /= np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]  # in place: the driver holds few copies
+        return x
 
     y = np.array([langs.index(v) for v in labels])
     turn = np.empty(len(y), dtype=np.int64)
     for k in range(len(langs)):
         turn[y == k] = np.arange((y == k).sum())
     marks = np.lexsort((y, turn))[:landmarks]
-    m = unpacked(bits[marks])
+    m = np.empty((len(marks), 1 << BITS), np.float32)
+    for at in range(0, len(m), BATCH):
+        m[at:at + BATCH] = unpacked(bits[marks[at:at + BATCH]])
     k_nm = np.vstack([unpacked(bits[at:at + BATCH]) @ m.T for at in range(0, len(bits), BATCH)]).astype(float)
     value, vector = np.linalg.eigh(k_nm[marks])
     keep = value > 1e-6 * value.max()
@@ -157,8 +160,14 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     got = (picked.select("lang", "h", "t", "text").mapInArrow(lean(bits), schema(lang=STRING, h=LONG, t=LONG, bits=BINARY))
            .dropDuplicates(["lang", "h", "t"]).orderBy("lang", "h", "t").limit(rows).collect())
-    packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in got), np.uint8).reshape(len(got), -1)
-    return fit(packed, [r["lang"] for r in got])
+    langs = [r["lang"] for r in got]
+    packed = np.empty((len(got), (1 << BITS) // 8), np.uint8)
+    for at in range(len(got)):
+        packed[at], got[at] = np.frombuffer(got[at]["bits"], np.uint8), None  # a row goes as its bits are copied
+    try:
+        return fit(packed, langs)
+    finally:
+        release()
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
