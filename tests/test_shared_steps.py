@@ -37,6 +37,19 @@ def test_factors_of_the_grid_share_one_panel(spark, monkeypatch):
     assert got["2.0"].effect_size_pct != got["1000.0"].effect_size_pct  # the outlier is trimmed in one alone
 
 
+def test_first_rows_are_kept_without_other_columns(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from upshot.plans import opportunity_queries as Q
+    rows = [(i % 5, 1, "Treatment", 9 - i, 1, "f", "p", 1.0, 1.0, "a name that nobody asks for") for i in range(10)] + [(None, 1, "Control", None, None, None, None, None, None, "x")]
+    t = spark.createDataFrame(rows, "opp_id long, account_id long, group_type string, activity_id long, line_no int, functional_area string, "
+                                    "product_name string, total_price double, service_arr double, account_name string")
+    monkeypatch.setattr(Q, "analysis", lambda spark, d: t.repartition(2).withColumn("account_name", F.upper("account_name")))
+    out = Q.q_first_row(spark, "/none")
+    assert {(r.opp_id, r.activity_id) for r in out.collect()} == {(i, 4 - i) for i in range(5)}
+    assert "upper(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_fit_makes_few_tasks_a_pass(spark, monkeypatch):
     from pyspark.ml.classification import GBTClassifier
     seen = []
