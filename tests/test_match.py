@@ -194,3 +194,28 @@ def test_rounds_of_score_order_broadcast_nothing(spark, monkeypatch):
     got, _ = _run(spark, t, c, 0.3, bucket=8, rule="score_order")
     assert got == _brute(t, c, 0.3, "score_order")
     assert len(plans) > 8 and sum(p.count("BroadcastHashJoin") for p in plans) <= 2  # of the blocks, before the rounds
+
+
+def test_a_long_shortage_takes_one_round_of_score_order(spark, monkeypatch):
+    """Each round leaves its jobs in the driver: a shortage that runs through 24,000 scores is served by one task."""
+    cuts, cut = [], M.cut_lineage
+    monkeypatch.setattr(M, "cut_lineage", lambda df, *a: cuts.append(df) or cut(df, *a))
+    rng = np.random.default_rng(2)
+    s = np.sort(rng.uniform(0.2, 0.8, 24_000))
+    arm = (rng.uniform(size=len(s)) < 0.35 + 0.6 * (s - 0.2)).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(s)), "arm": arm, "s": s}))
+    got = M.match_nearest(df, "id", "arm", "s", caliper=0.1, rule="score_order").collect()
+    ids = [np.flatnonzero(arm == k).tolist() for k in (1, 0)]
+    pairs, _ = M._serve(*[[[float(s[i]), 1] for i in x] for x in ids], 0.1, None, None)
+    assert sorted((r.treatment_id, r.control_id) for r in got) == sorted((ids[0][t], ids[1][c]) for t, c, _, _ in pairs)
+    assert {r["round"] for r in got} == {1} and len(cuts) <= 6
+
+
+def test_large_buckets_keep_ranges_of_many_units_and_cells_apart(spark):
+    """Blocks of more than a range's units, in two cells with a caliper each, over several buckets."""
+    n = M.RANGE + 2_345
+    df = spark.range(3 * n).selectExpr("id", "cast(id % 3 = 0 as int) arm", "0.25 + (id % 3) / 16 s").crossJoin(
+        spark.createDataFrame([("a", 0.0625), ("b", 0.03125)], "g string, cal double"))
+    for bucket in (1, 2, None):
+        out = M.match_nearest(df, "id", "arm", "s", caliper="cal", by=["g"], bucket=bucket, rule="score_order")
+        assert out.selectExpr("count(*)", "min(g)", "max(g)", "bool_and(control_id = treatment_id + 1)").first()[:] == (n, "a", "a", True)

@@ -14,7 +14,8 @@ holds back its blocks, and with them what depends on them. Matched units, and bl
 partner within the caliper, leave; buckets are cut anew at shifted borders, until no pair is possible.
 
 ``score_order`` serves all buckets at once, again and again, each with what the buckets before took in the round
-before, until nothing changes. Rounds are as many as buckets that really pass shortage on to each other.
+before, until nothing changes. Rounds are as many as buckets that really pass shortage on to each other, and each
+leaves jobs and plans in the driver; so these buckets have ``ORDER_BUCKET`` blocks, as many as a task holds well.
 
 Strata, or the cells of a grid, are matched together: blocks are keyed by their cell.
 """
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+from array import array
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
@@ -85,6 +87,7 @@ def propensity_scores(df: DataFrame, label: str, numeric: Sequence[str],
 # ---- J-9 / J-10 / M-2 / M-3 -------------------------------------------------------------
 
 BUCKET = 10_000
+ORDER_BUCKET = 200_000   # of score order
 RANGE = 10_000   # units of one row of a range of pairs
 RANGES = "g string, ts double, tf long, cs double, cf long, n long, distance double, b long"
 
@@ -161,9 +164,9 @@ def _serve(treated: list[list], controls: list[list], caliper: float | None, bel
     nearest free control; blocks are in order of score. ``below`` and ``above``: free control
     scores just beyond those given. The flag tells that one beyond was nearer: what follows is open."""
     score, free = [c[0] for c in controls], [c[1] for c in controls]
-    up, down = list(range(len(score) + 1)), list(range(len(score) + 1))  # next free one, itself included; down[i] is for i - 1
+    up, down = array("q", range(len(score) + 1)), array("q", range(len(score) + 1))  # next free one, itself included; down[i] is for i - 1
 
-    def find(to: list[int], i: int) -> int:
+    def find(to: array, i: int) -> int:
         root = i
         while to[root] != root:
             root = to[root]
@@ -277,6 +280,43 @@ def pd_null(x) -> bool:
     return x is None or x != x
 
 
+def _serve_bucket(key, table):
+    """Ranges of pairs of one bucket's treated blocks, with the controls offered to it; a range of no units for a
+    cell that is open. Columns stay arrays: a bucket is large."""
+    import numpy as np
+    import pyarrow as pa
+    cells = table["g"].combine_chunks().dictionary_encode()
+    names, cell = cells.dictionary.to_pylist(), cells.indices.to_numpy(zero_copy_only=False)
+    s, n, used, arm = (table[c].to_numpy() for c in ("s", "n", "used", "arm"))
+    order = np.lexsort((s, cell))
+    starts = np.searchsorted(cell[order], np.arange(len(names) + 1))
+    found: list[list] = [[] for _ in RANGES.split(", ")]
+
+    def add(*row) -> None:
+        for to, x in zip(found, row, strict=True):
+            to.append(x)
+
+    bucket = key[0].as_py()
+    for k, g in enumerate(names):
+        own = order[starts[k]:starts[k + 1]]
+        t, c = own[arm[own] == 1], own[arm[own] == 0]
+        if not len(t):
+            continue
+        caliper, below, above = (table[x][int(t[0])].as_py() for x in ("cal", "c_below", "c_above"))
+        served, offered = (list(zip(s[x].tolist(), (n[x] - used[x]).tolist(), strict=True)) for x in (t, c))
+        before, taken = used[c].tolist(), [0] * len(served)
+        pairs, more = _serve(served, offered, caliper, below, above)
+        for i, j, units, d in pairs:
+            for at in range(0, units, RANGE):
+                add(g, served[i][0], taken[i] + at, offered[j][0], before[j] + at, min(RANGE, units - at), d, bucket)
+            taken[i] += units
+            before[j] += units
+        if more:
+            add(g, served[0][0], 0, 0.0, 0, 0, 0.0, bucket)
+    kinds = {"string": pa.string(), "double": pa.float64(), "long": pa.int64()}
+    return pa.table({name: pa.array(x, kinds[kind]) for x, (name, kind) in zip(found, (f.split() for f in RANGES.split(", ")), strict=True)})
+
+
 def _score_order(blocks: DataFrame, size: int) -> list[DataFrame]:
     """Ranges of pairs with treated units served in order of score.
 
@@ -290,19 +330,19 @@ def _score_order(blocks: DataFrame, size: int) -> list[DataFrame]:
     treated = dealt.where("arm = 1").select("g", "b", "s", "n", "cal")
     controls = dealt.where("arm = 0").select("g", "b", "s", "n")
     served = treated.select(F.col("g").alias("__g"), F.col("b").alias("__to")).distinct()
+    alone = not dealt.agg(F.max("b")).first()[0]  # one bucket: no other takes from it
     got, wide, number = None, 1, 0
     while True:
         number += 1
         if got is None:
-            known = controls.withColumn("last", F.lit(None).cast("long"))
+            known = controls.withColumn("last", F.lit(None).cast("long"))  # ``last``: the bucket that takes the control's last unit
         else:
             takes = got.where("n > 0").groupBy("g", "b", "cs").agg(F.sum("n").alias("n"))
             so_far = Window.partitionBy("g", "cs").orderBy("b")
             whole = (takes.withColumn("sum", F.sum("n").over(so_far)).select(F.col("g").alias("__g"), F.col("cs").alias("__s"), "b", "sum")
                      .join(controls.select("g", "s", F.col("n").alias("all")).hint("merge"), (F.col("g") == F.col("__g")) & (F.col("s") == F.col("__s")))
                      .where("sum >= all").groupBy("__g", "__s").agg(F.min("b").alias("last")))
-            known = controls.join(whole.hint("merge"), (F.col("g") == F.col("__g")) & (F.col("s") == F.col("__s")), "left").drop("__g", "__s")
-        known = cut_lineage(known)  # ``last``: the bucket that takes the control's last unit
+            known = cut_lineage(controls.join(whole.hint("merge"), (F.col("g") == F.col("__g")) & (F.col("s") == F.col("__s")), "left").drop("__g", "__s"))
         seen = known.withColumn("to", F.explode(F.expr(f"sequence(b - {wide}, greatest(b - {wide}, least(b + {wide}, coalesce(last, b + {wide}))))")))
         seen = seen.join(served.hint("merge"), (F.col("g") == F.col("__g")) & (F.col("to") == F.col("__to")), "left_semi")
         if got is not None:
@@ -321,36 +361,10 @@ def _score_order(blocks: DataFrame, size: int) -> list[DataFrame]:
         none = F.lit(None).cast("double")
         given = mine.union(seen.select("g", "to", F.lit(0), "s", "n", "used", none, none, none))
 
-        def run(key, pdf):
-            rows = []
-            for g, cell in pdf.sort_values(["g", "s"]).groupby("g", sort=False):
-                t, c = cell[cell["arm"] == 1], cell[cell["arm"] == 0]
-                if not len(t):
-                    continue
-                first = t.iloc[0]
-                caliper, below, above = (None if pd_null(first[x]) else float(first[x]) for x in ("cal", "c_below", "c_above"))
-                served = [list(x) for x in zip(t["s"].tolist(), t["n"].tolist(), strict=True)]
-                offered = [list(x) for x in zip(c["s"].tolist(), (c["n"] - c["used"]).tolist(), strict=True)]
-                used, taken = c["used"].tolist(), [0] * len(served)
-                pairs, more = _serve(served, offered, caliper, below, above)
-                for i, j, n, d in pairs:
-                    rows.append((g, served[i][0], taken[i], offered[j][0], used[j], n, d, int(key[0])))
-                    taken[i] += n
-                    used[j] += n
-                if more:
-                    rows.append((g, served[0][0], 0, 0.0, 0, 0, 0.0, int(key[0])))
-            out = _range_rows([r for r in rows if r[5]])
-            open_ones = [r for r in rows if not r[5]]
-            if open_ones:
-                import pandas as pd
-                out = pd.concat([out, pd.DataFrame(open_ones, columns=out.columns).astype(out.dtypes.to_dict())]) if len(out) else \
-                    pd.DataFrame(open_ones, columns=out.columns).astype(out.dtypes.to_dict())
-            return out
-
-        new = cut_lineage(given.groupBy("b").applyInPandas(run, RANGES))
+        new = cut_lineage(given.groupBy("b").applyInArrow(_serve_bucket, RANGES))
         if not new.where("n = 0").isEmpty():
             wide *= 2
-        elif got is not None and _same_rows(new, got):
+        elif alone or (got is not None and _same_rows(new, got)):
             return [new.withColumn("round", F.lit(number))]
         got = new
 
@@ -361,7 +375,7 @@ def _same_rows(a: DataFrame, b: DataFrame) -> bool:
 
 
 def match_nearest(units: DataFrame, id_col: str, arm: str, score: str,
-                  caliper: float | str | None = 0.1, bucket: int = BUCKET, by: Sequence[str] = (),
+                  caliper: float | str | None = 0.1, bucket: int | None = None, by: Sequence[str] = (),
                   rule: str = "closest") -> DataFrame:
     """M-2 (``caliper`` set, absolute score units) / M-3 (``caliper=None``): 1:1
     matching without replacement. Ids are of any type that orders.
@@ -384,7 +398,7 @@ def match_nearest(units: DataFrame, id_col: str, arm: str, score: str,
         F.greatest(cal, F.lit(0.0)).alias("cal") if caliper is not None else cal.alias("cal"), *[F.col(c).alias(f"__by_{k}") for k, c in enumerate(by)])
     ranked = cut_lineage(numbered(free, ["g", "s", "arm", "id"], "r", ["g", "s", "arm"]))
     blocks = cut_lineage(ranked.groupBy("g", "s", "arm").agg(F.count(F.lit(1)).alias("n"), F.max("cal").alias("cal")))
-    found = (_closest_first if rule == "closest" else _score_order)(blocks, bucket)
+    found = _closest_first(blocks, bucket or BUCKET) if rule == "closest" else _score_order(blocks, bucket or ORDER_BUCKET)
     columns = [F.col(f"__by_{k}").alias(c) for k, c in enumerate(by)] + ["treatment_id", "control_id", "distance", "round"]
     if not found:
         none = ranked.where("1 = 0")
