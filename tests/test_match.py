@@ -196,19 +196,22 @@ def test_rounds_of_score_order_broadcast_nothing(spark, monkeypatch):
     assert len(plans) > 8 and sum(p.count("BroadcastHashJoin") for p in plans) <= 2  # of the blocks, before the rounds
 
 
-def test_a_long_shortage_takes_one_round_of_score_order(spark, monkeypatch):
-    """Each round leaves its jobs in the driver: a shortage that runs through 24,000 scores is served by one task."""
+def test_a_long_shortage_takes_few_rounds_of_score_order(spark, monkeypatch):
+    """Each round leaves its jobs in the driver: a shortage that runs through 24,000 scores is served in as many rounds as large buckets."""
     cuts, cut = [], M.cut_lineage
     monkeypatch.setattr(M, "cut_lineage", lambda df, *a: cuts.append(df) or cut(df, *a))
     rng = np.random.default_rng(2)
     s = np.sort(rng.uniform(0.2, 0.8, 24_000))
     arm = (rng.uniform(size=len(s)) < 0.35 + 0.6 * (s - 0.2)).astype(int)
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(s)), "arm": arm, "s": s}))
-    got = M.match_nearest(df, "id", "arm", "s", caliper=0.1, rule="score_order").collect()
     ids = [np.flatnonzero(arm == k).tolist() for k in (1, 0)]
     pairs, _ = M._serve(*[[[float(s[i]), 1] for i in x] for x in ids], 0.1, None, None)
-    assert sorted((r.treatment_id, r.control_id) for r in got) == sorted((ids[0][t], ids[1][c]) for t, c, _, _ in pairs)
-    assert {r["round"] for r in got} == {1} and len(cuts) <= 6
+    want = sorted((ids[0][t], ids[1][c]) for t, c, _, _ in pairs)
+    for bucket, rounds in ((None, 1), (8_000, 3)):        # as many as buckets, at most
+        cuts.clear()
+        got = M.match_nearest(df, "id", "arm", "s", caliper=0.1, bucket=bucket, rule="score_order").collect()
+        assert sorted((r.treatment_id, r.control_id) for r in got) == want
+        assert max(r["round"] for r in got) <= rounds and len(cuts) <= 4 + 2 * rounds
 
 
 def test_large_buckets_keep_ranges_of_many_units_and_cells_apart(spark):

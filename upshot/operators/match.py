@@ -87,7 +87,7 @@ def propensity_scores(df: DataFrame, label: str, numeric: Sequence[str],
 # ---- J-9 / J-10 / M-2 / M-3 -------------------------------------------------------------
 
 BUCKET = 10_000
-ORDER_BUCKET = 200_000   # of score order
+ORDER_BUCKET = 500_000   # of score order
 RANGE = 10_000   # units of one row of a range of pairs
 RANGES = "g string, ts double, tf long, cs double, cf long, n long, distance double, b long"
 
@@ -323,15 +323,16 @@ def _score_order(blocks: DataFrame, size: int) -> list[DataFrame]:
     Buckets of ``size`` blocks are served at the same time, each as if the buckets before had taken what they took
     in the round before, from the controls of the ``wide`` buckets to either side. When no bucket
     takes otherwise than in the round before, each has met what the ones before it really took, from the
-    first on: that is the result of serving all in one row. Only buckets whose controls changed are served again.
+    first on: that is the result of serving all in one row. So it is after as many rounds as buckets in which none was open,
+    as each makes one bucket more sure.
 
     Joins of the rounds are by sorting: a broadcast each would pile up in the driver."""
     dealt = cut_lineage(numbered(_with_partner(blocks), ["g", "s", "arm"], "o").withColumn("b", F.expr(f"o div {size}")))
     treated = dealt.where("arm = 1").select("g", "b", "s", "n", "cal")
     controls = dealt.where("arm = 0").select("g", "b", "s", "n")
     served = treated.select(F.col("g").alias("__g"), F.col("b").alias("__to")).distinct()
-    alone = not dealt.agg(F.max("b")).first()[0]  # one bucket: no other takes from it
-    got, wide, number = None, 1, 0
+    buckets = (dealt.agg(F.max("b")).first()[0] or 0) + 1
+    got, wide, number, sure = None, 1, 0, 0  # ``sure``: buckets, from the first on, that have met what the ones before really took
     while True:
         number += 1
         if got is None:
@@ -363,9 +364,11 @@ def _score_order(blocks: DataFrame, size: int) -> list[DataFrame]:
 
         new = cut_lineage(given.groupBy("b").applyInArrow(_serve_bucket, RANGES))
         if not new.where("n = 0").isEmpty():
-            wide *= 2
-        elif alone or (got is not None and _same_rows(new, got)):
-            return [new.withColumn("round", F.lit(number))]
+            wide, sure = wide * 2, 0
+        else:
+            sure += 1
+            if sure >= buckets or (got is not None and _same_rows(new, got)):
+                return [new.withColumn("round", F.lit(number))]
         got = new
 
 
